@@ -3,10 +3,11 @@
 Two fixed permutations of [0, 2^20) make every signature coordinate: the first
 scatters the shingles, and coordinate k is the least value of the second one
 shifted circularly by k. Bands of coordinates are hashed to buckets. In each
-bucket all members are compared with its smallest member first; only members
-that this leaves in different components are compared with each other, under
-the length bound that similarity implies, and what large buckets still hold
-goes through an exact prefix filter. Every link is confirmed on full sets.
+bucket all members are compared with one leader at a time: the smallest member
+first, then, while that finds links, others in a pseudo-random order. Only
+members that this leaves in different components are compared with each other,
+under the length bound that similarity implies, and what large buckets still
+hold goes through an exact prefix filter. Every link is confirmed on full sets.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; texts with fewer words than a shingle have one, the whole sequence;
@@ -25,8 +26,9 @@ from .common import WordHashes, map_batches, mixed, windows, written
 
 SPACE = 1 << 20
 BANDS, ROWS = 56, 6
-#: Members that a bucket may still hold in different components before the prefix filter takes over.
-CROWD = 48
+#: Rounds of further leaders, and members that a bucket may then still hold in
+#: different components before the prefix filter takes over.
+ROUNDS, CROWD = 4, 16
 
 
 def words(text: str | None) -> list[bytes]:
@@ -135,34 +137,51 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return found if found is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after further links; the graph of roots is all that is contracted."""
+    at = roots.select(F.col("node").alias("x"), F.col("root").alias("r"))
+    lifted = links
+    for c in "uv":
+        lifted = lifted.join(at.withColumnRenamed("x", c), c, "left").withColumn(c, F.coalesce("r", c)).drop("r")
+    new = components(lifted, "minhash-cc")
+    to = new.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = roots.join(to, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(old.unionByName(new.join(roots, "node", "left_anti")), "minhash-cc")
+
+
+def _unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Bucket rows (key, rep, n, root, size) of the buckets that hold several components."""
+    rows = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("key", "size")
+    return written(rows.join(several, "key"), "minhash-rest")
+
+
 def _prefixes(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of members that share one of their rarest shingles: two sets of
-    the wanted similarity must, when each gives up its first n - ceil(n *
-    percent / 100) + 1 in an order by rareness. Nothing is left to chance."""
+    """Pairs of members (rep, root) of different components that share one of
+    their rarest shingles: two sets of the wanted similarity must, when each
+    gives up its first n - ceil(n * percent / 100) + 1 in an order by rareness.
+    Nothing is left to chance."""
 
     def make():
         cache = WordHashes()
 
         def work(x):
-            out = {"rep": [], "n": [], "s": []}
-            for rep, text in zip(x["rep"], x["text"], strict=True):
-                found = shingles(text, width, cache).view(np.int64)
-                out["rep"] += [rep] * len(found)
-                out["n"] += [len(found)] * len(found)
-                out["s"] += found.tolist()
-            return out
+            sets = [shingles(text, width, cache).view(np.int64) for text in x["text"]]
+            sizes = np.array([len(s) for s in sets])
+            return {"rep": np.repeat(np.array(x["rep"], np.int64), sizes), "root": np.repeat(np.array(x["root"], np.int64), sizes), "n": np.repeat(sizes, sizes), "s": np.concatenate(sets)}
 
         return work
 
     from pyspark.sql import Window as W
 
-    rows = written(map_batches(texts.join(members, "rep", "left_semi").select("rep", "text"), "rep long, n long, s long", make), "prefix")
-    often = rows.groupBy("s").agg(F.count("*").alias("df"))
+    rows = written(map_batches(texts.join(members, "rep").select("rep", "root", "text"), "rep long, root long, n long, s long", make), "minhash-prefix")
+    # A shingle of one component only makes no pair between components, but keeps its place in the order.
+    often = rows.groupBy("s").agg(F.count("*").alias("df"), (F.min("root") != F.max("root")).alias("across"))
     order = W.partitionBy("rep").orderBy("df", "s")
-    first = rows.join(often, "s").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1")
-    first = written(first.select("s", "rep", "n"), "prefix")
+    first = rows.join(often, "s").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("across")
+    first = written(first.select("s", "rep", "root", "n"), "minhash-prefix")
     a, b = first.alias("a"), first.alias("b")
-    return a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.rep") < F.col("b.rep")) & _fits(F.col("a.n"), F.col("b.n"), percent)).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
+    return a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & _fits(F.col("a.n"), F.col("b.n"), percent)).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -178,18 +197,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     texts = written(docs.select(F.col("doc_id").alias("rep"), "text").join(involved, "rep").dropDuplicates(["rep"]), "minhash-texts")
     links = written(_verified(stars, texts, width, percent), "minhash-links")
     roots = components(links, "minhash-cc")
+    for turn in range(ROUNDS):
+        rest = _unsettled(shared, roots)
+        lead = rest.groupBy("key").agg(F.min_by(F.struct("rep", "n", "root"), F.xxhash64("rep", F.lit(turn))).alias("lead"))
+        tries = rest.join(lead, "key").where((F.col("root") != F.col("lead.root")) & _fits(F.col("n"), F.col("lead.n"), percent))
+        tries = tries.select(F.col("lead.rep").alias("u"), F.col("rep").alias("v")).distinct()
+        more = written(_verified(tries, texts, width, percent), "minhash-links")
+        if more.isEmpty():
+            break
+        roots = _merged(roots, more)
     # What buckets still hold in different components.
-    rest = shared.where("rep <> leader").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).select("key", "rep", "n", "root")
-    mixed_up = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("key", "size")
-    rest = written(rest.join(mixed_up, "key"), "minhash-rest")
+    rest = _unsettled(shared, roots)
     a, b = rest.where(F.col("size") <= CROWD).alias("a"), rest.alias("b")
     few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & _fits(F.col("a.n"), F.col("b.n"), percent)).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    crowd = rest.where(F.col("size") > CROWD).select("rep").distinct()
+    crowd = rest.where(F.col("size") > CROWD).select("rep", "root").distinct()
     if not crowd.isEmpty():
         few = few.union(_prefixes(texts, crowd, width, percent))
     more = written(_verified(few.distinct(), texts, width, percent), "minhash-links")
     if not more.isEmpty():
-        roots = components(links.union(more), "minhash-cc")
+        roots = _merged(roots, more)
     labels = written(classes.select("set_id", F.col("rep").alias("node")).join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("component_id")), "minhash-labels")
     out = signed.select("doc_id", "n", "set_id").join(labels, "set_id", "left")
     top = F.coalesce("component_id", "doc_id")
