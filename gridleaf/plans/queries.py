@@ -1,4 +1,6 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""All registered queries over the driver's tables, with their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import forms, joins, rollups, texts
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "forms", "joins", "rollups", "texts"]
