@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, mixed, written
+from .common import WordHashes, map_batches, mixed, unused, written
 
 DEPTH, FIFTHS, LONG = 3, 5, 50
 VARIABLE = re.compile(rb"[0-9@]|://|\\")
@@ -121,10 +121,10 @@ def length(text: Column) -> Column:
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """All columns of docs, text without its recurring lines, and n_lines,
     n_dropped, chars_before, chars_after."""
-    text, gone = F.col("text"), F.col("__gone")
-    marks = recurring(docs, **options).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    out = docs.join(marks, F.col("doc_id") == F.col("__id"), "left")
+    ident, lost, new = unused(docs, "__id", "__gone", "__new")
+    text, gone = F.col("text"), F.col(lost)
+    marks = recurring(docs, **options).select(F.col("doc_id").alias(ident), F.col("gone").alias(lost))
+    out = docs.join(marks, F.col("doc_id") == F.col(ident), "left").withColumn(new, _without(text, gone))
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
-    out = out.withColumn("__new", _without(text, gone))
     old = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "chars_before", "chars_after")]
-    return out.select(*(F.col("__new").alias("text") if c == "text" else F.col(c) for c in old), n.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"), length(text).alias("chars_before"), length(F.col("__new")).alias("chars_after"))
+    return out.select(*(F.col(new).alias("text") if c == "text" else F.col(c) for c in old), n.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"), length(text).alias("chars_before"), length(F.col(new)).alias("chars_after"))

@@ -153,12 +153,15 @@ def edges_of(text: str, nodes: list) -> tuple[list[tuple[int, int]], list[tuple[
 def learnt(texts: list[str]) -> dict:
     """Potentials from texts that the base patterns label; other nodes count as none."""
     x, y, near = [], [], np.ones((5, 5))
-    alike = np.ones((5, 5)) + 4 * np.eye(5)
+    alike = np.zeros((5, 5))
     for text in texts:
         nodes, _ = nodes_of(text)
         labels = [n[2] or 0 for n in nodes]
-        x += [form(text[s:e]) for s, e, _ in nodes]
-        y += labels
+        named = {value_of(text[s:e]) for s, e, label in nodes if label}
+        for s, e, label in nodes:  # an unlabelled word of a labelled value is no example of none
+            if label or value_of(text[s:e]) not in named:
+                x.append(form(text[s:e]))
+                y.append(label or 0)
         chain, skip = edges_of(text, nodes)
         for i, j in chain:
             near[labels[i], labels[j]] += 1
@@ -174,9 +177,9 @@ def learnt(texts: list[str]) -> dict:
             p /= p.sum(axis=1, keepdims=True)
             w -= 2.0 * (a.T @ (p - t) / len(a) + 1e-3 * w)
     ratio = lambda c: np.log(c * c.sum() / np.outer(c.sum(axis=1), c.sum(axis=0)))
-    # Equal values with one label known: the strength of agreement grows with how often pairs agreed.
-    agree = np.trace(alike[1:, 1:])
-    strength = np.log((agree + 1) / (alike[1:, 1:].sum() - agree + 1)) + 4
+    # Equal values: log-odds that labelled pairs agree, over a prior of many agreements.
+    agree = np.trace(alike)
+    strength = np.log((agree + 100) / (alike.sum() - agree + 0.25))
     return {"w": w, "near": np.clip(ratio(near), -1, 1), "alike": strength * np.eye(5)}
 
 

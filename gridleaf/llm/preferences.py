@@ -73,27 +73,27 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
 ORACLE_SQL = """
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
-opened AS (SELECT conv_id, role, text FROM t WHERE at = 1),
+opened AS (SELECT conv_id, role, text FROM t WHERE pos = 1),
 firsts AS (SELECT role, text, min(conv_id) AS chosen_id, count(*) AS n FROM opened GROUP BY ALL),
 pairs AS (
   SELECT o.conv_id AS pair_id, f.chosen_id, CASE WHEN f.n > 1 THEN o.conv_id END AS rejected_id
   FROM opened o JOIN firsts f ON o.role = f.role AND o.text = f.text WHERE o.conv_id <> f.chosen_id OR f.n = 1),
-c AS (SELECT p.pair_id, t.at, t.role, t.text FROM pairs p JOIN t ON t.conv_id = p.chosen_id),
-r AS (SELECT p.pair_id, t.at, t.role, t.text FROM pairs p JOIN t ON t.conv_id = coalesce(p.rejected_id, p.chosen_id) AND (p.rejected_id IS NOT NULL OR t.at = 1)),
+c AS (SELECT p.pair_id, t.pos, t.role, t.text FROM pairs p JOIN t ON t.conv_id = p.chosen_id),
+r AS (SELECT p.pair_id, t.pos, t.role, t.text FROM pairs p JOIN t ON t.conv_id = coalesce(p.rejected_id, p.chosen_id) AND (p.rejected_id IS NOT NULL OR t.pos = 1)),
 lcp AS (
   SELECT coalesce(c.pair_id, r.pair_id) AS pair_id,
-         coalesce(min(CASE WHEN c.role = r.role AND c.text = r.text THEN NULL ELSE coalesce(c.at, r.at) END) - 1, count(*)) AS k
-  FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.at = r.at GROUP BY 1),
+         coalesce(min(CASE WHEN c.role = r.role AND c.text = r.text THEN NULL ELSE coalesce(c.pos, r.pos) END) - 1, count(*)) AS k
+  FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.pos = r.pos GROUP BY 1),
 cc AS (
-  SELECT c.pair_id, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY at) FILTER (at <= k), '') AS prompt,
-         coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY at) FILTER (at > k), '') AS chosen,
-         string_agg(CASE WHEN role = 'assistant' THEN (length(role) + 5) || ':0,' || length(text) || ':1,1:0' ELSE (length(role) + 6 + length(text)) || ':0' END, ',' ORDER BY at) FILTER (at > k) AS mask
+  SELECT c.pair_id, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) FILTER (pos <= k), '') AS prompt,
+         coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) FILTER (pos > k), '') AS chosen,
+         string_agg(CASE WHEN role = 'assistant' THEN (length(role) + 5) || ':0,' || length(text) || ':1,1:0' ELSE (length(role) + 6 + length(text)) || ':0' END, ',' ORDER BY pos) FILTER (pos > k) AS mask
   FROM c JOIN lcp USING (pair_id) GROUP BY 1),
 rr AS (
-  SELECT r.pair_id, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY at) FILTER (at > k), '') AS rejected,
-         string_agg(CASE WHEN role = 'assistant' THEN (length(role) + 5) || ':0,' || length(text) || ':1,1:0' ELSE (length(role) + 6 + length(text)) || ':0' END, ',' ORDER BY at) FILTER (at > k) AS mask
+  SELECT r.pair_id, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) FILTER (pos > k), '') AS rejected,
+         string_agg(CASE WHEN role = 'assistant' THEN (length(role) + 5) || ':0,' || length(text) || ':1,1:0' ELSE (length(role) + 6 + length(text)) || ':0' END, ',' ORDER BY pos) FILTER (pos > k) AS mask
   FROM r JOIN lcp USING (pair_id) GROUP BY 1)
 SELECT p.pair_id, p.chosen_id, p.rejected_id, CAST(l.k AS BIGINT) AS prefix_turns, cc.prompt, cc.chosen, rr.rejected,
        concat_ws(',', length(cc.prompt) || ':0', cc.mask) AS chosen_mask, concat_ws(',', length(cc.prompt) || ':0', rr.mask) AS rejected_mask
