@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, written
 
 UNIT, MAGIC = 64, b"GLCD"
-LEAST, MOST, MASK = 512, 16384, (1 << 11) - 1
+LEAST, MOST, MASK = 1024, 32768, (1 << 12) - 1
 GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 #: Rows that the compression dictionary is trained on at most, and its size.
 SAMPLE_ROWS, DICTIONARY = 600, 64 * 1024
@@ -156,8 +156,12 @@ def stored(docs: DataFrame, dictionary: bytes) -> DataFrame:
 def rebuilt(lists: DataFrame, store: DataFrame, dictionary: bytes, keep_media: bool = False) -> DataFrame:
     """media_id with the digests of each medium (media_id, n_bytes, list) as
     read back from the store; with keep_media its file form too."""
-    places = lists.select("media_id", "n_bytes", F.posexplode("list").alias("at", "digest"))
-    gathered = places.join(store, "digest").groupBy("media_id").agg(F.first("n_bytes").alias("n_bytes"), F.collect_list(F.struct("at", "digest", "z")).alias("parts"), F.count("*").alias("n"))
+    places = lists.select("media_id", "n_bytes", F.size("list").alias("k"), F.posexplode("list").alias("at", "digest"))
+    part = F.struct("at", "digest", "z")
+    # A medium of one chunk is whole where its chunk is; only the others' chunks move on to meet.
+    single = places.where("k = 1").join(store, "digest").select("media_id", "n_bytes", F.array(part).alias("parts"), F.lit(1).cast("long").alias("n"))
+    gathered = places.where("k > 1").join(store, "digest").groupBy("media_id").agg(F.first("n_bytes").alias("n_bytes"), F.collect_list(part).alias("parts"), F.count("*").alias("n"))
+    gathered = single.unionByName(gathered)
 
     def make():
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
