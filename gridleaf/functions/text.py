@@ -63,6 +63,11 @@ def key_text(x: Column) -> Column:
     return F.translate(without_space(x), KEY_PUNCTUATION, "")
 
 
+def stripped(x: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(F.regexp_replace(x, r"(?U)^[\s\x{1C}-\x{1F}]+", ""), r"(?U)[\s\x{1C}-\x{1F}]+$", "")
+
+
 def collapsed(x: Column) -> Column:
     """One space for each run of white space, none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)[\s\x{1C}-\x{1F}]+", " "))
@@ -142,7 +147,7 @@ def without_thinking(x: Column) -> Column:
     out = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?is)<think\b[^>]*>.*?</think\s*/?>", "")
     out = F.regexp_replace(out, r"(?is)<think\b[^>]*>.*?<think\s*/>", "")
     out = F.regexp_replace(out, r"(?i)(?:\s*(?:<end_of_turn>|<\|endoftext\|>|</s>|<eos>))+\s*$", "")
-    return F.regexp_replace(F.regexp_replace(out, r"(?U)^[\s\x{1C}-\x{1F}]+", ""), r"(?U)[\s\x{1C}-\x{1F}]+$", "")
+    return stripped(out)
 
 
 def response_text(x: Column) -> Column:
@@ -154,9 +159,9 @@ def response_text(x: Column) -> Column:
 def clean_html(x: Column) -> Column:
     """An HTML response without fences and without what stands before its first tag."""
     fenced = F.regexp_extract(x, r"(?s)```(?:html)?\s*(.*?)```", 1)
-    body = F.trim(F.when(fenced != "", fenced).otherwise(x))
+    body = stripped(F.when(fenced != "", fenced).otherwise(x))
     at = F.regexp_instr(F.lower(body), F.lit(r"<!doctype|<html|<body|<table|<div|<form|<style"))
-    return F.trim(F.when(at > 1, F.substring(body, at, F.char_length(body))).otherwise(body))
+    return stripped(F.when(at > 1, F.substring(body, at, F.char_length(body))).otherwise(body))
 
 
 def fenced_html(x: Column) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries over the driver's tables, with their SQL."""
 
-from . import forms, joins, rollups, texts
+from . import forms, joins, records, rollups, texts
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "forms", "joins", "rollups", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "forms", "joins", "records", "rollups", "texts"]
