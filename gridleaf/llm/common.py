@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go to a folder of the shared one that is deleted at the end."""
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _FOLDER.set(path)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: its lineage
-    ends there, and a lost executor costs no recomputation of what came before."""
+    ends there, and a lost executor costs no recomputation of what came before.
+    With keep it outlives the scratch folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{(None if keep else _FOLDER.get()) or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

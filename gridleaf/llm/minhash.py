@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, mixed, windows, written
+from .common import WordHashes, map_batches, mixed, scratch, windows, written
 
 SPACE = 1 << 20
 BANDS, ROWS = 56, 6
@@ -211,7 +211,16 @@ def _prefixes(texts: DataFrame, members: DataFrame, width: int, percent: int) ->
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    signed = written(_signed(docs, width, bands, rows), "minhash-signed")
+    signed = written(_signed(docs, width, bands, rows), "minhash-signed", keep=True)
+    with scratch(docs.sparkSession):
+        labels = _labels(docs, signed, width, percent, bands, rows)
+    out = signed.select("doc_id", "n", "set_id").join(labels, "set_id", "left")
+    top = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), top.alias("component_id"), F.coalesce(top == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _labels(docs: DataFrame, signed: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """component_id of each set_id."""
     some = signed.where("n > 0")
     classes = written(some.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "minhash-classes")
     apart, width_ = bits_apart(bands * rows, percent), -(-bands * rows // 64)
@@ -242,10 +251,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     more = written(_verified(few.distinct(), texts, width, percent), "minhash-links")
     if not more.isEmpty():
         roots = _merged(roots, more)
-    labels = written(classes.select("set_id", F.col("rep").alias("node")).join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("component_id")), "minhash-labels")
-    out = signed.select("doc_id", "n", "set_id").join(labels, "set_id", "left")
-    top = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), top.alias("component_id"), F.coalesce(top == F.col("doc_id"), F.lit(True)).alias("kept"))
+    found = classes.select("set_id", F.col("rep").alias("node")).join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("component_id"))
+    return written(found, "minhash-labels", keep=True)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

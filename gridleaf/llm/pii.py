@@ -223,10 +223,11 @@ def spans_of(text: str, model: dict) -> tuple[list[tuple[int, int, int]], list[t
 
 
 def trained(docs: DataFrame) -> dict:
-    """Potentials from a bounded, hash-ordered sample of documents with digits or at signs."""
-    some = docs.where(F.col("text").rlike("[0-9]{3}|@")).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select("text").toPandas()
-    return learnt(rows["text"].tolist())
+    """Potentials from a bounded, hash-ordered sample of documents with digits
+    or at signs; only ids are ordered, and texts are fetched for the chosen ones."""
+    ids = docs.where(F.col("text").rlike("[0-9]{3}|@")).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).distinct()
+    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(ids), "doc_id").select("text").toPandas()
+    return learnt(sorted(t for t in rows["text"] if t))
 
 
 def personal(docs: DataFrame, model: dict | None = None) -> DataFrame:
