@@ -140,11 +140,11 @@ def tree_edit_flat(t):
 
 
 @query("""
-SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS distance,
-  round(CASE o_orderkey % 5 WHEN 0 THEN 1 - 2 / 14.0 WHEN 1 THEN 1 - 2 / 12.0 ELSE 1 END, 9) AS similarity FROM orders WHERE o_orderkey % 5 <> 2""")
+SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 8 ELSE 0 END AS BIGINT) AS distance,
+  round(CASE o_orderkey % 5 WHEN 0 THEN 1 - 2 / 14.0 WHEN 1 THEN 1 - 2 / 12.0 WHEN 2 THEN 0 ELSE 1 END, 9) AS similarity FROM orders""")
 def json_label_multiset_distance(t):
-    some = _json_pair(t).where("o_orderkey % 5 <> 2")
-    nodes = some.select("o_orderkey", F.explode(F.array(F.struct(F.lit("pred").alias("side"), F.col("pred").alias("json")), F.struct(F.lit("gold").alias("side"), F.col("gold").alias("json")))).alias("x"))
+    """A prediction without a document has no labels, so all of gold's count."""
+    nodes = _json_pair(t).select("o_orderkey", F.explode(F.array(F.struct(F.lit("pred").alias("side"), F.col("pred").alias("json")), F.struct(F.lit("gold").alias("side"), F.col("gold").alias("json")))).alias("x"))
     nodes = nodes.select("o_orderkey", "x.side", F.explode(S.json_nodes("x.json")).alias("n")).select("o_orderkey", "side", "n.node", "n.label")
     return S.label_distance(nodes, ["o_orderkey"]).select("o_orderkey", "distance", F.round("similarity", 9).alias("similarity"))
 

@@ -24,14 +24,14 @@ _PRED = f"SELECT l_orderkey AS sample_id, {_CONDITION} AS condition, l_linestatu
 
 @query("""
 WITH d AS (SELECT DISTINCT c_mktsegment AS segment FROM customer), s AS (SELECT DISTINCT o_orderstatus AS status FROM orders),
-o AS (SELECT c_mktsegment AS segment, o_orderstatus AS status, count(*) AS n, min(o_orderkey) AS min_id, max(o_orderkey) AS max_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 3 GROUP BY ALL)
+o AS (SELECT c_mktsegment AS segment, o_orderstatus AS status, count(*) AS n, min(o_orderkey) AS min_id, max(o_orderkey) AS max_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9900 GROUP BY ALL)
 SELECT segment, status, CAST(coalesce(n, 0) AS BIGINT) AS n, min_id, max_id FROM d CROSS JOIN s LEFT JOIN o USING (segment, status)""")
 def coverage_cross_join(t):
     """Counts of every combination, those without rows included."""
-    c = t("customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment"))
+    c = t("customer").select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("segment"))
     o = t("orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"))
     dims = c.select("segment").distinct().crossJoin(F.broadcast(o.select("status").distinct()))  # a handful of codes each
-    some = o.join(c.where("c_nationkey < 3"), F.col("o_custkey") == F.col("c_custkey")).groupBy("segment", "status").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("min_id"), F.max("o_orderkey").alias("max_id"))
+    some = o.join(c.where("c_acctbal > 9900"), F.col("o_custkey") == F.col("c_custkey")).groupBy("segment", "status").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("min_id"), F.max("o_orderkey").alias("max_id"))
     return dims.join(some, ["segment", "status"], "left").select("segment", "status", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "min_id", "max_id")
 
 
@@ -43,7 +43,7 @@ def pair_coverage(t):
 
 
 @query(f"""
-WITH want AS (SELECT c.condition, o_orderkey AS sample_id FROM orders CROSS JOIN (VALUES ('filled'), ('empty')) c(condition) WHERE o_orderkey % 2 = 0),
+WITH want AS (SELECT c.condition, o_orderkey AS sample_id FROM orders CROSS JOIN (VALUES ('filled'), ('empty')) c(condition) WHERE o_orderstatus <> 'P'),
 seen AS (SELECT condition, sample_id, count(*) AS n FROM ({_PRED}) GROUP BY ALL),
 b AS (SELECT coalesce(w.condition, s.condition) AS condition, w.sample_id IS NOT NULL AS w, coalesce(n, 0) AS n FROM want w FULL JOIN seen s ON w.condition = s.condition AND w.sample_id = s.sample_id)
 SELECT condition, count(*) FILTER (w AND n = 0) AS missing, count(*) FILTER (NOT w) AS extra, count(*) FILTER (n > 1) AS duplicates,
@@ -51,7 +51,7 @@ SELECT condition, count(*) FILTER (w AND n = 0) AS missing, count(*) FILTER (NOT
 def detail_audit_anti(t):
     spark = t("orders").sparkSession
     both = spark.createDataFrame([("filled",), ("empty",)], "condition string")
-    want = t("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("sample_id")).crossJoin(F.broadcast(both))  # two rows
+    want = t("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("sample_id")).crossJoin(F.broadcast(both))  # two rows
     return G.detail_audit(want, _predictions(t), ["condition"])
 
 
@@ -63,36 +63,34 @@ def common_support_division(t):
 
 @query("""
 WITH a AS (SELECT doc_id AS sample_id, lang, 'main' AS root, 0 AS o, sha256(text) AS h FROM documents
-  UNION ALL SELECT doc_id, lang, 'overlay', 1, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) FROM documents WHERE doc_id % 2 = 0)
+  UNION ALL SELECT doc_id, lang, 'overlay', 1, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) FROM documents WHERE lang = 'en')
 SELECT lang, sample_id, count(*) AS roots, count(DISTINCT h) AS versions, arg_min(root, o) AS root, count(DISTINCT h) > 1 AS conflict FROM a GROUP BY lang, sample_id""")
 def overlay_conflicts(t):
     d = t("documents").select(F.col("doc_id").alias("sample_id"), "lang", "text")
     main = d.select("sample_id", "lang", F.lit("main").alias("root"), F.lit(0).alias("root_order"), F.lit("0").alias("stage"), F.sha2("text", 256).alias("sha256"))
     altered = F.when(F.col("sample_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    over = d.where("sample_id % 2 = 0").select("sample_id", "lang", F.lit("overlay").alias("root"), F.lit(1).alias("root_order"), F.lit("0").alias("stage"), F.sha2(altered, 256).alias("sha256"))
+    over = d.where("lang = 'en'").select("sample_id", "lang", F.lit("overlay").alias("root"), F.lit(1).alias("root_order"), F.lit("0").alias("stage"), F.sha2(altered, 256).alias("sha256"))
     return G.overlay(main.unionByName(over))
 
 
 @query("""
-WITH n AS (SELECT o_orderkey, sha1(CAST(o_totalprice AS BIGINT) || CASE WHEN o_orderkey % 9 = 0 THEN '*' ELSE '' END) AS mark FROM orders), o AS (SELECT o_orderkey, sha1('' || CAST(o_totalprice AS BIGINT)) AS mark FROM orders WHERE o_orderkey % 4 <> 0)
+WITH n AS (SELECT o_orderkey, sha1(CAST(o_totalprice AS BIGINT) || CASE WHEN o_orderkey % 9 = 0 THEN '*' ELSE '' END) AS mark FROM orders), o AS (SELECT o_orderkey, sha1('' || CAST(o_totalprice AS BIGINT)) AS mark FROM orders WHERE o_orderstatus <> 'P')
 SELECT n.o_orderkey AS sample_id, o.o_orderkey IS NOT NULL AS reused FROM n LEFT JOIN o ON n.o_orderkey = o.o_orderkey AND n.mark = o.mark""")
 def resume_reuse(t):
     price = F.col("o_totalprice").cast("decimal(20,0)").cast("string")
     new = t("orders").select(F.col("o_orderkey").alias("sample_id"), F.sha1(F.concat(price, F.when(F.col("o_orderkey") % 9 == 0, "*").otherwise(""))).alias("mark"))
-    old = t("orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("sample_id"), F.sha1(price).alias("mark"))
+    old = t("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("sample_id"), F.sha1(price).alias("mark"))
     kept, rest = K.reuse(new, old, ["sample_id"], ["mark"])
     return kept.select("sample_id", F.lit(True).alias("reused")).unionByName(rest.select("sample_id", F.lit(False).alias("reused")))
 
 
 @query("""
-SELECT o_orderkey AS sample_id, CASE WHEN o_orderkey % 5 = 0 THEN 'process' WHEN o_orderkey % 7 = 0 THEN 'skip' WHEN o_orderkey % 3 = 0 THEN 'refresh' ELSE 'process' END AS action FROM orders""")
+SELECT o_orderkey AS sample_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'process' WHEN o_orderpriority = '2-HIGH' THEN 'skip' WHEN o_orderstatus = 'F' THEN 'refresh' ELSE 'process' END AS action FROM orders""")
 def work_plan_actions(t):
-    k = F.col("o_orderkey")
-    base = t("orders").select(k.alias("sample_id"))
-    s = F.col("sample_id")
+    base = t("orders").select(F.col("o_orderkey").alias("sample_id"), "o_orderpriority", "o_orderstatus")
     inputs = base.select("sample_id", F.lit(100).alias("in_mtime"))
-    outputs = base.where(s % 5 != 0).select("sample_id", F.when(s % 3 == 0, 120).otherwise(90).alias("out_mtime"))
-    state = base.where(s % 7 == 0).select("sample_id", F.lit(100).alias("state_mtime"))
+    outputs = base.where("o_orderpriority <> '1-URGENT'").select("sample_id", F.when(F.col("o_orderstatus") == "F", 120).otherwise(90).alias("out_mtime"))
+    state = base.where("o_orderpriority = '2-HIGH'").select("sample_id", F.lit(100).alias("state_mtime"))
     return K.actions(inputs, outputs, state, ["sample_id"])
 
 
@@ -103,10 +101,10 @@ def pending_jobs_anti(t):
 
 
 @query("""
-SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS origin, CASE WHEN c_custkey % 3 = 0 THEN 'X' ELSE c_mktsegment END AS value FROM customer""")
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'new' ELSE 'old' END AS origin, CASE WHEN c_mktsegment = 'BUILDING' THEN 'X' ELSE c_mktsegment END AS value FROM customer""")
 def latest_upsert(t):
     old = t("customer").select("c_custkey", F.lit("old").alias("origin"), F.col("c_mktsegment").alias("value"))
-    new = t("customer").where("c_custkey % 3 = 0").select("c_custkey", F.lit("new").alias("origin"), F.lit("X").alias("value"))
+    new = t("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("new").alias("origin"), F.lit("X").alias("value"))
     return K.upsert(old, new, ["c_custkey"])
 
 

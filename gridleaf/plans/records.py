@@ -49,13 +49,13 @@ def file_change_ladder(t):
 
 
 @query("""
-WITH j AS (SELECT c_custkey, c_custkey % 3 = 0 AS has FROM customer WHERE c_custkey % 2 = 0)
+WITH j AS (SELECT c_custkey, c_custkey % 3 = 0 AS has FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT 'c' || c.c_custkey AS custom_id, CASE WHEN j.c_custkey IS NULL THEN 'unknown' WHEN c.c_custkey % 5 = 0 THEN 'failed' WHEN c.c_custkey % 7 = 0 THEN 'empty' WHEN has THEN 'skip' ELSE 'write' END AS state
 FROM customer c LEFT JOIN j ON c.c_custkey = j.c_custkey""")
 def batch_output_states(t):
     k = F.col("c_custkey")
     ident = F.concat(F.lit("c"), k.cast("string")).alias("custom_id")
-    jobs = t("customer").where("c_custkey % 2 = 0").select(ident, (k % 3 == 0).alias("has_prediction"))
+    jobs = t("customer").where("c_mktsegment <> 'BUILDING'").select(ident, (k % 3 == 0).alias("has_prediction"))
     out = t("customer").select(ident, F.when(k % 5 == 0, "e").alias("error"), F.when(k % 7 != 0, F.col("c_name")).alias("response"))
     return J.batch_outcome(jobs, out)
 
@@ -126,11 +126,11 @@ def marker_inputs(t):
     return t("nation").select("n_nationkey", H.inputs_for_markers(html).alias("html"))
 
 
-_DETAIL = "SELECT o_orderkey AS sample_id, CASE o_custkey % 2 WHEN 0 THEN 'infill' ELSE 'alignment' END AS task, 'm' || (o_custkey % 3) AS model, o_orderkey % 5 AS correct, 5 AS total FROM orders"
+_DETAIL = "SELECT o_orderkey AS sample_id, CASE o_custkey % 2 WHEN 0 THEN 'infill' ELSE 'alignment' END AS task, 'm' || (o_custkey % 3) AS model, o_orderkey % 5 AS correct, 5 AS total, o_orderstatus AS s, o_orderpriority AS p FROM orders"
 
 
 @query(f"""
-WITH d AS ({_DETAIL}), b AS (SELECT * FROM d WHERE sample_id % 3 <> 0), u AS (SELECT sample_id, task, model, (correct + 1) % 6 AS correct, total FROM d WHERE sample_id % 4 <> 0),
+WITH d AS ({_DETAIL}), b AS (SELECT * FROM d WHERE s <> 'P'), u AS (SELECT sample_id, task, model, (correct + 1) % 6 AS correct, total FROM d WHERE p <> '5-LOW'),
 j AS (SELECT model, task, sum(b.correct) / sum(b.total) AS base, sum(u.correct) / sum(u.total) AS tuned, count(*) AS samples FROM b JOIN u USING (sample_id, task, model) GROUP BY ALL),
 w AS (SELECT model, avg(base) AS base, avg(tuned) AS tuned, CAST(sum(samples) AS BIGINT) AS samples FROM j GROUP BY model)
 SELECT model, round(base, 9) AS base, round(tuned, 9) AS tuned, round(tuned - base, 9) AS delta, samples FROM w
@@ -138,21 +138,20 @@ UNION ALL SELECT 'Average', round(avg(base), 9), round(avg(tuned), 9), round(avg
 def base_vs_tuned(t):
     """Scores over the samples that both sides have, a mean over tasks, and the average row."""
     c = F.col("o_custkey")
-    d = t("orders").select(F.col("o_orderkey").alias("sample_id"), F.when(c % 2 == 0, "infill").otherwise("alignment").alias("task"), F.concat(F.lit("m"), (c % 3).cast("string")).alias("model"), (F.col("o_orderkey") % 5).alias("correct"), F.lit(5).alias("total"))
-    tuned = d.where("sample_id % 4 <> 0").withColumn("correct", (F.col("correct") + 1) % 6)
-    out = T.base_vs_tuned(d.where("sample_id % 3 <> 0"), tuned)
+    d = t("orders").select(F.col("o_orderkey").alias("sample_id"), F.when(c % 2 == 0, "infill").otherwise("alignment").alias("task"), F.concat(F.lit("m"), (c % 3).cast("string")).alias("model"), (F.col("o_orderkey") % 5).alias("correct"), F.lit(5).alias("total"), "o_orderstatus", "o_orderpriority")
+    tuned = d.where("o_orderpriority <> '5-LOW'").withColumn("correct", (F.col("correct") + 1) % 6)
+    out = T.base_vs_tuned(d.where("o_orderstatus <> 'P'"), tuned)
     return out.select("model", *(F.round(x, 9).alias(x) for x in ("base", "tuned", "delta")), "samples")
 
 
 @query("""
-WITH a AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS n FROM part WHERE p_partkey < 200), b AS (SELECT p_partkey, CASE WHEN p_partkey = 150 THEN 'other' ELSE p_name END AS p_name, row_number() OVER (ORDER BY p_partkey) AS n FROM part)
+WITH a AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS n FROM part), b AS (SELECT p_partkey, CASE WHEN p_size = 7 THEN 'other' ELSE p_name END AS p_name, row_number() OVER (ORDER BY p_partkey) AS n FROM part)
 SELECT a.p_partkey, a.p_name IS NOT DISTINCT FROM b.p_name AS same FROM a LEFT JOIN b USING (n)""")
 def manifest_prefix(t):
     """Whether a shorter manifest is the beginning of a longer one, row by row."""
     part = t("part").select("p_partkey", "p_name")
-    short = part.where("p_partkey < 200")
-    long = part.withColumn("p_name", F.when(F.col("p_partkey") == 150, "other").otherwise(F.col("p_name")))
-    return T.zipped(short, long, "p_partkey").select("p_partkey", F.col("p_name").eqNullSafe(F.col("other_p_name")).alias("same"))
+    other = t("part").select("p_partkey", F.when(F.col("p_size") == 7, "other").otherwise(F.col("p_name")).alias("p_name"))
+    return T.zipped(part, other, "p_partkey").select("p_partkey", F.col("p_name").eqNullSafe(F.col("other_p_name")).alias("same"))
 
 
 @query("""
@@ -177,11 +176,11 @@ def percent_parse(t):
 
 @query("""
 SELECT sample_id, language, count(*) > 1 AS repeated, bool_or(source = '' OR license = '') AS incomplete FROM (
-SELECT o_custkey % 50 AS sample_id, 'l' || (o_orderkey % 2) AS language, CASE WHEN o_orderkey % 40 = 0 THEN '' ELSE 's' END AS source, CASE WHEN o_orderkey % 60 = 1 THEN '' ELSE 'l' END AS license FROM orders WHERE o_orderkey < 300) GROUP BY ALL""")
+SELECT o_custkey AS sample_id, 'l' || (o_orderkey % 2) AS language, CASE WHEN o_orderkey % 40 = 0 THEN '' ELSE 's' END AS source, CASE WHEN o_orderkey % 60 = 1 THEN '' ELSE 'l' END AS license FROM orders) GROUP BY ALL""")
 def inventory_check(t):
     """Identities that repeat, and rows that lack a required value."""
     k = F.col("o_orderkey")
-    rows = t("orders").where("o_orderkey < 300").select((F.col("o_custkey") % 50).alias("sample_id"), F.concat(F.lit("l"), (k % 2).cast("string")).alias("language"), F.when(k % 40 == 0, "").otherwise("s").alias("source"), F.when(k % 60 == 1, "").otherwise("l").alias("license"))
+    rows = t("orders").select(F.col("o_custkey").alias("sample_id"), F.concat(F.lit("l"), (k % 2).cast("string")).alias("language"), F.when(k % 40 == 0, "").otherwise("s").alias("source"), F.when(k % 60 == 1, "").otherwise("l").alias("license"))
     return T.inventory(rows, ["sample_id", "language"], ["source", "license"])
 
 
@@ -200,13 +199,13 @@ def status_histogram(t):
 
 
 @query("""
-WITH m AS (SELECT DISTINCT 'm' || (o_custkey % 4) AS model FROM orders WHERE o_custkey % 5 = 0)
+WITH m AS (SELECT DISTINCT 'm' || (o_custkey % 4) AS model FROM orders WHERE o_orderstatus = 'F')
 SELECT model, CAST(coalesce(CASE model WHEN 'm2' THEN 0 WHEN 'm0' THEN 1 END, 99) AS INTEGER) AS rank FROM m""")
 def discovered_models(t):
     """Models that have predictions, known ones by their rank, others behind them."""
     spark = t("orders").sparkSession
     known = spark.createDataFrame([("m2", 0), ("m0", 1)], "model string, rank int")
-    seen = t("orders").where("o_custkey % 5 = 0").select(F.concat(F.lit("m"), (F.col("o_custkey") % 4).cast("string")).alias("model")).distinct()
+    seen = t("orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("m"), (F.col("o_custkey") % 4).cast("string")).alias("model")).distinct()
     return seen.join(F.broadcast(known), "model", "left").select("model", F.coalesce("rank", F.lit(99)).alias("rank"))
 
 
