@@ -425,3 +425,64 @@ def inputs_for_markers(html: str) -> str:
             out.append(c[at:])
         n.children = [c for c in out if c != ""]
     return root.markup()
+
+
+_TABLE_ROW = re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.I | re.S)
+_TABLE_CELL = re.compile(r"<t[dh]\b[^>]*>(.*?)</t[dh]>", re.I | re.S)
+
+
+def scanned_cells(html: str) -> dict[tuple[int, int], str]:
+    """Cell texts by pattern alone: rows and cells in order, spans ignored."""
+    return {(r, c): re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]+>", " ", cell))).strip() for r, row in enumerate(_TABLE_ROW.findall(html)) for c, cell in enumerate(_TABLE_CELL.findall(row))}
+
+
+def repaired_widths(table: Node) -> dict[str, int]:
+    """Rows brought to the table's modal width: wider ones give up the columns
+    of their widest spans, narrower ones stretch their last cell. The counts of
+    repaired and of unresolved rows; spans change in place."""
+    rows, widths = direct_rows(table), row_widths(table)
+    target = modal_width(widths)
+    for row, width in zip(rows, widths, strict=True):
+        spare = sum(strict_span(c.attrs.get("colspan")) - 1 for c in row.direct("td", "th"))
+        target = max(target, width - spare)
+    out = {"target": target, "repaired": 0, "unresolved": 0}
+    for row, width in zip(rows, widths, strict=True):
+        cells_ = row.direct("td", "th")
+        over = width - target
+        if over == 0:
+            continue
+        while over > 0 and cells_:
+            widest = max(cells_, key=lambda c: strict_span(c.attrs.get("colspan")))
+            n = strict_span(widest.attrs.get("colspan"))
+            if n == 1:
+                break
+            widest.attrs["colspan"] = str(max(1, n - over))
+            over -= n - strict_span(widest.attrs["colspan"])
+        if over < 0 and cells_:
+            cells_[-1].attrs["colspan"] = str(strict_span(cells_[-1].attrs.get("colspan")) - over)
+            over = 0
+        out["unresolved" if over else "repaired"] += 1
+    return out
+
+
+def empty_cells(html: str | None) -> list[tuple[int, int, bool]]:
+    """(row, column, empty) of each cell of all tables; a control is content."""
+    return [(r, c, not n.text().strip() and not n.all("input", "select", "textarea", "img")) for (r, c), n in cells(html).items()]
+
+
+def repaired_gold(html: str, reference: str, strategy: str = "analysis") -> str:
+    """html, with a named input in each cell whose bracket in the reference has no input there."""
+    names = {(r, c): BRACKET.findall(n.text()) for r, c, n in strategy_cells(reference, strategy, "bracket")}
+    root = parse(html)
+    base = 0
+    for t in analysis_tables(root, _marker("input")) if strategy == "analysis" else leaf_tables(root, _marker("input")):
+        rows = direct_rows(t)
+        for (r, c), cell in origins(placed([row.direct("td", "th") for row in rows], 100)).items():
+            have = [n.attrs.get("name") for n in cell.all("input")]
+            for name in names.get((base + r, c), []):
+                if name in have:
+                    have.remove(name)
+                else:
+                    cell.children.append(Node("input", {"type": "text", "name": name, "value": "placeholder"}, cell))
+        base += len(rows)
+    return root.markup()
