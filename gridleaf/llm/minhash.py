@@ -4,11 +4,11 @@ Two fixed permutations of [0, 2^20) make every signature coordinate: the first
 scatters the shingles, and coordinate k is the least value of the second one
 shifted circularly by k. Bands of coordinates are hashed to buckets. In each
 bucket all members are compared with the smallest member first, and, where
-this leaves several components, with a few pseudo-random leaders. Only members
-that are still in different components are compared with each other,
-under the bounds on length and on one-bit sketches that similarity implies, and
-what very large buckets still hold goes through an exact prefix filter. Every
-link is confirmed on full sets.
+this leaves several components, with a few pseudo-random leaders. Members that
+are still in different components meet through an exact prefix filter, which
+pairs only those that share one of their rarest shingles at a place from which
+the similarity can be reached; no bucket's pairs are listed. Every link is
+confirmed on full sets.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; texts with fewer words than a shingle have one, the whole sequence;
@@ -27,12 +27,12 @@ from .common import WordHashes, map_batches, mixed, scratch, windows, written
 
 SPACE = 1 << 20
 BANDS, ROWS = 56, 6
-#: Further leaders that a bucket gets, and members that it may then still hold
-#: in different components before the prefix filter takes over.
-LEADERS, CROWD = 3, 2048
-#: Pairs are compared by one bit of each coordinate before they are verified.
-#: Similar sets differ in one of ten bits on average; a bound this many standard
-#: deviations above that loses less than one link in 10^10.
+#: Further leaders that a bucket gets where the first leaves several components.
+LEADERS = 3
+#: Members and those leaders are compared by one bit of each coordinate before
+#: they are verified: similar sets differ in one of ten bits on average, and the
+#: bound is this many standard deviations above that. It only saves work; what
+#: it holds back still goes through the prefix filter.
 DEVIATIONS = 6.5
 
 
@@ -173,17 +173,18 @@ def _near(a: str, b: str, words_: int, apart: int) -> Column:
 
 
 def _unsettled(shared: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
-    """Bucket rows (key, rep, n, root, size, sketch words) of the buckets that hold several components."""
+    """Bucket rows (key, rep, n, root, sketch words) of the buckets that hold several components."""
     rows = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("key", "size")
+    several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     return written(rows.join(several, "key").join(bits, "rep"), "minhash-rest")
 
 
 def _prefixes(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of members (rep, root) of different components that share one of
-    their rarest shingles: two sets of the wanted similarity must, when each
-    gives up its first n - ceil(n * percent / 100) + 1 in an order by rareness.
-    Nothing is left to chance."""
+    """Pairs of members (rep, root) of different components that can be similar
+    enough. In an order by rareness, the first common shingle of such a pair
+    stands, on either side, before so many others that the overlap can still be
+    reached. Nothing is left to chance, and sets that differ in more shingles of
+    their own than the similarity allows make no pair, however many they are."""
 
     def make():
         cache = WordHashes()
@@ -243,11 +244,7 @@ def _labels(docs: DataFrame, signed: DataFrame, width: int, percent: int, bands:
         roots = _merged(roots, more)
         rest = _unsettled(shared, roots, bits)
     # What buckets still hold in different components.
-    a, b = rest.where(F.col("size") <= CROWD).alias("a"), rest.alias("b")
-    few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & _fits(F.col("a.n"), F.col("b.n"), percent) & _near("a.", "b.", width_, apart)).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    crowd = rest.where(F.col("size") > CROWD).select("rep", "root").distinct()
-    if not crowd.isEmpty():
-        few = few.union(_prefixes(texts, crowd, width, percent))
+    few = _prefixes(texts, rest.select("rep", "root").distinct(), width, percent)
     more = written(_verified(few.distinct(), texts, width, percent), "minhash-links")
     if not more.isEmpty():
         roots = _merged(roots, more)

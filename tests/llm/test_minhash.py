@@ -62,7 +62,6 @@ def test_against_all_pairs(spark, width):
 
 
 def test_prefix_filter_settles_crowds(spark, monkeypatch):
-    monkeypatch.setattr(m, "CROWD", 1)
     monkeypatch.setattr(m, "LEADERS", 1)
     texts = corpus(2)
     got = rows(m.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 2))
