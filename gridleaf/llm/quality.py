@@ -111,7 +111,8 @@ def scored(docs: DataFrame, model: dict | None, columns: list[str]) -> DataFrame
 def priors(scores: DataFrame) -> DataFrame:
     """__host, __path, n, p_global, p_host, p_path from rows with __host, __path, __e."""
     p = 1 / (1 + F.exp(-F.col("__e")))
-    paths = scores.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum(p).alias("s"))
+    # One row a path: all levels come from these sums, so documents are scored once for them.
+    paths = written(scores.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "quality-paths")
     hosts = paths.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     # Moments: the spread of a level's means beyond what their sizes explain sets the weight of its parent.
     top = hosts.agg((F.sum("hs") / F.sum("hn")).alias("p_global"))
