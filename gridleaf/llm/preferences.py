@@ -55,8 +55,10 @@ def formatted(pairs: DataFrame, convs: DataFrame) -> DataFrame:
     """pair_id, chosen_id, rejected_id, prefix_turns, prompt, chosen, rejected,
     chosen_mask, rejected_mask of each pair (pair_id, chosen_id, rejected_id)."""
     c = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("c"))
-    r = convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("r"))
-    both = pairs.join(c, "chosen_id").join(r, "rejected_id", "left").withColumn("r", F.coalesce("r", F.slice("c", 1, 1)))
+    r = convs.select(F.col("conv_id").alias("other_id"), F.col("turns").alias("r"))
+    # Nulls would meet in one task; a pair without a rejected side looks up its own conversation instead.
+    both = pairs.withColumn("other_id", F.coalesce("rejected_id", "chosen_id")).join(c, "chosen_id").join(r, "other_id", "left")
+    both = both.withColumn("r", F.when(F.col("rejected_id").isNull(), F.slice("c", 1, 1)).otherwise(F.coalesce("r", F.slice("c", 1, 1))))
     same = F.zip_with("c", "r", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     both = both.withColumn("same", same)
     both = both.withColumn("k", F.when(F.array_position("same", False) > 0, F.array_position("same", False) - 1).otherwise(F.size("same")).cast("int"))
