@@ -8,8 +8,16 @@ inside one fifth generalise to the same template. A template that recurs in
 enough documents is dropped from all but the document of the smallest doc_id.
 Short templates need more documents than passages of fifty words and more.
 
+A passage of fifty words that recurs verbatim (but for case and white space)
+goes wherever it stands, broken into lines or inside longer ones: every run of
+fifty words of the whole text is compared. So that few runs are, each text
+first gives its anchors, the least of the 16-word hashes of each passage; two
+equal passages have equal anchors, and only runs around anchors that recur are
+listed. Lines that such passages cover are dropped whatever their length, and
+lines that they cover in part lose the covered words only.
+
 Defined results: null texts stay null and empty ones empty; lines of fewer
-words than the least stay; a line that repeats inside one document counts
+words than the least stay unless a passage covers them; a line that repeats inside one document counts
 once, and its later copies go if its template recurs; a tie of templates drops
 the line once; rows that repeat a doc_id are one document; other columns are
 kept, whatever their names.
@@ -21,12 +29,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, mixed, unused, written
+from .common import WordHashes, map_batches, mixed, scratch, unused, written
 
 DEPTH, FIFTHS, LONG = 3, 5, 50
+#: Words of an anchor.
+GRAM = 16
+_BASE = 0x9E3779B97F4A7C15
+_WORD = re.compile(rb"\S+")
 VARIABLE = re.compile(rb"[0-9@]|://|\\")
 
 
@@ -64,54 +76,210 @@ def templates(lines: list[list[bytes]], cache: MaskedHashes, wild: int = 20) ->
     return np.concatenate(keys).view(np.int64), np.concatenate(owner)
 
 
+def runs(h: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of width words start that lie inside one text, and their
+    hashes; h has the words of all texts, sizes the words of each."""
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(h))
+    at = np.flatnonzero(left >= width)
+    power = np.cumprod(np.full(len(h), _BASE, np.uint64))
+    inverse = np.cumprod(np.full(len(h), pow(_BASE, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power, dtype=np.uint64)])
+    return at, mixed((sums[at + width] - sums[at]) * inverse[at])
+
+
+def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The best of each width neighbours."""
+    k = 1
+    while 2 * k <= width:
+        x = best(x[:-k], x[k:])
+        k *= 2
+    return best(x[: len(x) - (width - k)], x[width - k :])
+
+
+def anchors(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and keys of the runs of GRAM words that are the least of some passage."""
+    span = LONG - GRAM + 1
+    at = runs(h, sizes, LONG)[0]
+    if not len(at):
+        return at, np.zeros(0, np.int64)
+    where, keys = runs(h, sizes, GRAM)
+    grams = np.full(len(h), np.iinfo(np.uint64).max, np.uint64)
+    grams[where] = keys
+    low = np.zeros(len(h) + span - 1, np.uint64)
+    low[at + span - 1] = _sliding(grams, span, np.minimum)[at]
+    found = np.flatnonzero(_sliding(low, span, np.maximum) == grams)
+    return found, grams[found].view(np.int64)
+
+
+def _once(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Positions of the first of each document's equal keys."""
+    order = np.lexsort((keys, doc))
+    first = np.ones(len(keys), bool)
+    first[1:] = (np.diff(keys[order]) != 0) | (np.diff(doc[order]) != 0)
+    return order[first]
+
+
 def _keyed(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, at (position of the line), long (whether it is a passage), fresh
-    (1 at the document's first such key) and key, of each line's templates."""
+    (1 at the document's first such key) and key, of each line's templates, and
+    of each text's anchors, whose at is -1."""
 
     def make():
-        cache = MaskedHashes()
+        cache, plain = MaskedHashes(), WordHashes()
 
         def work(x):
-            docs, ats, lines = [], [], []
+            docs, ats, lines, flat, sizes = [], [], [], [], []
             for doc, text in enumerate(x["text"]):
+                sizes.append(-len(flat))
                 for at, line in enumerate((text or "").encode().lower().split(b"\n")):
                     words = line.split()
+                    flat += words
                     if len(words) >= least:
                         docs.append(doc)
                         ats.append(at)
                         lines.append(words)
-            if not lines:
+                sizes[-1] += len(flat)
+            sizes = np.array(sizes, np.int64)
+            place, marks = anchors(plain.of(flat), sizes)
+            holder = np.repeat(np.arange(len(sizes)), sizes)[place]
+            some = _once(holder, marks)
+            if not lines and not len(some):
                 return {c: [] for c in ("doc_id", "at", "long", "fresh", "key")}
-            keys, owner = templates(lines, cache)
-            doc = np.array(docs)[owner]
-            order = np.lexsort((keys, doc))
-            first = np.ones(len(keys), np.int64)
-            first[order[1:]] = (np.diff(keys[order]) != 0) | (np.diff(doc[order]) != 0)
-            ids = pa.array(x["doc_id"], pa.int64()).take(pa.array(doc))
-            passage = np.array([len(w) >= LONG for w in lines])
-            return {"doc_id": ids, "at": np.array(ats, np.int32)[owner], "long": passage[owner], "fresh": first, "key": keys}
+            keys, owner = templates(lines, cache) if lines else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            doc = np.array(docs, np.int64)[owner]
+            first = np.zeros(len(keys), np.int64)
+            first[_once(doc, keys)] = 1
+            ids = pa.array(x["doc_id"], pa.int64()).take(pa.array(np.concatenate([doc, holder[some]])))
+            passage = np.array([len(w) >= LONG for w in lines], bool)
+            return {
+                "doc_id": ids,
+                "at": np.concatenate([np.array(ats, np.int32)[owner], np.full(len(some), -1, np.int32)]),
+                "long": np.concatenate([passage[owner], np.ones(len(some), bool)]),
+                "fresh": np.concatenate([first, np.ones(len(some), np.int64)]),
+                "key": np.concatenate([keys, marks[some]]),
+            }
 
         return work
 
     return map_batches(docs.select("doc_id", "text"), "doc_id long, at int, long boolean, fresh long, key long", make)
 
 
+def _around(docs: DataFrame) -> DataFrame:
+    """doc_id and keys of the runs of LONG words around the anchors of each row
+    of doc_id, text, anchors; a key once in each text."""
+
+    def make():
+        plain = WordHashes()
+
+        def work(x):
+            texts = [(t or "").encode().lower().split() for t in x["text"]]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            h = plain.of([w for t in texts for w in t])
+            holder = np.repeat(np.arange(len(texts)), sizes)
+            place, marks = anchors(h, sizes)
+            wanted = _pairs(holder[place], marks)
+            given = _pairs(np.repeat(np.arange(len(texts)), [len(a) for a in x["anchors"]]), np.array([k for a in x["anchors"] for k in a], np.int64))
+            place = place[np.isin(wanted, given)]
+            # A run from p on holds the anchors from p to p + LONG - GRAM.
+            ends = np.zeros(len(h) + 1, np.int64)
+            np.add.at(ends, np.maximum(place - (LONG - GRAM), 0), 1)
+            np.add.at(ends, place + 1, -1)
+            near = np.cumsum(ends)[:-1] > 0
+            at, keys = runs(h, sizes, LONG)
+            keys = keys[near[at]].view(np.int64)
+            doc = holder[at[near[at]]]
+            some = _once(doc, keys)
+            return {"doc_id": pa.array(x["doc_id"], pa.int64()).take(pa.array(doc[some])), "key": keys[some]}
+
+        return work
+
+    return map_batches(docs, "doc_id long, key long", make)
+
+
+def _pairs(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One number for a document's place in its batch and a key."""
+    return mixed(key.view(np.uint64) + doc.astype(np.uint64) * np.uint64(_BASE))
+
+
 def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: int = 2) -> DataFrame:
-    """doc_id, gone (positions of the lines to drop). Templates are counted by
-    partial aggregates, so no key's rows ever have to meet; the join of lines
-    with the templates that recur is one whose large partitions Spark splits."""
-    keyed = written(_keyed(docs, least), "lines-keyed")
-    counts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("long").alias("long"), F.sum("fresh").alias("docs"))
-    often = counts.where("first < last").where(F.col("docs") >= F.when(F.col("long"), long_docs).otherwise(short_docs))
-    often = written(often.select("key", "first"), "lines-often")
-    hits = keyed.join(often, "key").where("doc_id <> first")
-    return hits.groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    """doc_id, gone (positions of the lines to drop), covered (keys of the
+    passages to drop, or null). Templates and passages are counted by partial
+    aggregates, so no key's rows ever have to meet; the joins with those that
+    recur are ones whose large partitions Spark splits."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        keyed = written(_keyed(docs, least), "lines-keyed")
+        counts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("long").alias("long"), F.sum("fresh").alias("docs"))
+        often = counts.where("first < last").where(F.col("docs") >= F.when(F.col("long"), long_docs).otherwise(short_docs))
+        often = written(often.select("key", "first"), "lines-often")
+        hits = keyed.join(often, "key").where("at < 0 or doc_id <> first")
+        marks = hits.groupBy("doc_id").agg(F.collect_set(F.when(F.col("at") >= 0, F.col("at"))).alias("gone"), F.collect_set(F.when(F.col("at") < 0, F.col("key"))).alias("anchors"))
+        marks = written(marks, "lines-marks", keep=True)
+    _collected(spark)
+    with scratch(spark):
+        near = marks.where(F.size("anchors") > 0).select("doc_id", "anchors")
+        passages = written(_around(docs.select("doc_id", "text").join(near, "doc_id")), "lines-passages")
+        _collected(spark)
+        twice = passages.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        twice = written(twice.select("key", "first"), "lines-twice")
+        _collected(spark)
+        covered = passages.join(twice, "key").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("key").alias("covered"))
+        covered = written(covered, "lines-covered", keep=True)
+    _collected(spark)
+    return marks.select("doc_id", "gone").join(covered, "doc_id", "left")
+
+
+def _collected(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of what has ended, which else stay until the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def uncovered(text: str, gone: set[int], covered: np.ndarray, cache: WordHashes) -> tuple[str, int]:
+    """The text without the lines at gone and without the words of the covered
+    passages, and how many lines are dropped whole."""
+    raw = text.encode()
+    spans = [m.span() for m in _WORD.finditer(raw)]
+    low = raw.lower()
+    at, keys = runs(cache.of([low[s:e] for s, e in spans]), np.array([len(spans)]), LONG)
+    at = at[np.isin(keys.view(np.int64), covered)]
+    ends = np.zeros(len(spans) + 1, np.int64)
+    ends[at] += 1
+    ends[at + LONG] -= 1
+    lost = (np.cumsum(ends) > 0).tolist()
+    out, dropped, k, start = [], 0, 0, 0
+    for i, line in enumerate(raw.split(b"\n")):
+        since, stop = k, start + len(line)
+        while k < len(spans) and spans[k][0] < stop:
+            k += 1
+        if i in gone or (k > since and all(lost[since:k])):
+            dropped += 1
+        elif not any(lost[since:k]):
+            out.append(line)
+        else:
+            parts: list[list[int]] = []
+            for j in range(since, k):
+                if not lost[j]:
+                    if j > since and not lost[j - 1]:
+                        parts[-1][1] = spans[j][1]
+                    else:
+                        parts.append([*spans[j]])
+            out.append(b" ".join(raw[s:e] for s, e in parts))
+        start = stop + 1
+    return b"\n".join(out).decode(), dropped
+
+
+def _uncovered(text: pa.Array, gone: pa.Array, covered: pa.Array) -> pa.Array:
+    cache, out = WordHashes(), []
+    for t, g, c in zip(text, gone, covered, strict=True):
+        found = (None, None) if not t.is_valid else uncovered(t.as_py(), set(g.as_py() or ()), c.values.to_numpy(), cache)
+        out.append(dict(zip(("text", "dropped"), found, strict=True)))
+    return pa.array(out, pa.struct([("text", pa.string()), ("dropped", pa.int32())]))
 
 
 def _without(text: Column, gone: Column) -> Column:
     lines = F.split(text, "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
-    return F.when(gone.isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return F.when(gone.isNull() | text.isNull() | (F.size(gone) == 0), text).otherwise(F.array_join(kept, "\n"))
 
 
 def length(text: Column) -> Column:
@@ -119,12 +287,15 @@ def length(text: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """All columns of docs, text without its recurring lines, and n_lines,
-    n_dropped, chars_before, chars_after."""
-    ident, lost, new = unused(docs, "__id", "__gone", "__new")
-    text, gone = F.col("text"), F.col(lost)
-    marks = recurring(docs, **options).select(F.col("doc_id").alias(ident), F.col("gone").alias(lost))
-    out = docs.join(marks, F.col("doc_id") == F.col(ident), "left").withColumn(new, _without(text, gone))
+    """All columns of docs, text without its recurring lines and passages, and
+    n_lines, n_dropped (lines dropped whole), chars_before, chars_after."""
+    ident, lost, over, cut, new = unused(docs, "__id", "__gone", "__covered", "__cut", "__new")
+    text, gone, covered = F.col("text"), F.col(lost), F.col(over)
+    marks = recurring(docs, **options).select(F.col("doc_id").alias(ident), F.col("gone").alias(lost), F.col("covered").alias(over))
+    out = docs.join(marks, F.col("doc_id") == F.col(ident), "left")
+    out = out.withColumn(cut, F.arrow_udf(_uncovered, "struct<text: string, dropped: int>")(F.when(covered.isNotNull(), text), gone, covered))
+    out = out.withColumn(new, F.coalesce(F.col(cut)["text"], _without(text, gone)))
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
+    dropped = F.coalesce(F.col(cut)["dropped"], F.size(gone), F.lit(0)).cast("long")
     old = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "chars_before", "chars_after")]
-    return out.select(*(F.col(new).alias("text") if c == "text" else F.col(c) for c in old), n.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"), length(text).alias("chars_before"), length(F.col(new)).alias("chars_after"))
+    return out.select(*(F.col(new).alias("text") if c == "text" else F.col(c) for c in old), n.alias("n_lines"), dropped.alias("n_dropped"), length(text).alias("chars_before"), length(F.col(new)).alias("chars_after"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import oracle
 import public_tokenizers
 import pytest
@@ -167,6 +168,39 @@ def test_recurring_templates_go(spark):
     assert (got[3]["n_lines"], got[3]["n_dropped"]) == (3, 2)
 
 
+def test_passages_go_wherever_they_stand(spark):
+    word = lambda k: "w" + "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    run = lambda a, b: " ".join(map(word, range(a, b)))
+    broken = "\n".join([run(0, 35), run(35, 43), run(43, 47), "", run(47, 60)])
+    docs = [(1, broken), (2, f"own words here\n{run(0, 60).upper()}\nmore"), (3, f"ahead of it {run(0, 60)} and  after it"), (4, run(0, 49)), (5, f"{run(100, 140)} x {run(200, 260)}"), (6, f"{run(100, 140)} {run(200, 260)} y"), (6, None)]
+    docs.append((7, "\n".join([run(0, 35), run(35, 43), "other", run(43, 60)])))
+    got = {i: [r for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r["doc_id"] == i] for i in range(1, 8)}
+    text = {i: next(r["text"] for r in v if r["text"] is not None) for i, v in got.items()}
+    assert text[1] == broken and text[2] == "own words here\nmore" and text[3] == "ahead of it and  after it"
+    assert got[2][0]["n_dropped"] == 1 and got[3][0]["n_dropped"] == 0 and got[3][0]["chars_after"] == len(text[3])
+    assert text[4] == run(0, 49) and text[5] == docs[4][1] and text[6] == f"{run(100, 140)} y"
+    assert text[7] == docs[-1][1]
+
+
+def test_equal_passages_have_equal_anchors():
+    rng = random.Random(8)
+    shared = [rng.choice("abcdef").encode() for _ in range(lines.LONG)]
+    texts = [[rng.choice("abcdefgh").encode() for _ in range(rng.randrange(90))] for _ in range(60)]
+    texts = [t[: len(t) // 2] + shared + t[len(t) // 2 :] for t in texts] + [[], [b"a"] * 49, [b"a"] * 200]
+    sizes = np.array([len(t) for t in texts])
+    h = WordHashes().of([w for t in texts for w in t])
+    at, keys = lines.anchors(h, sizes)
+    _, inside = lines.anchors(h[: lines.LONG] * 0 + WordHashes().of(shared), np.array([lines.LONG]))
+    owner = np.repeat(np.arange(len(texts)), sizes)[at]
+    assert len(inside) and all(set(inside.tolist()) <= set(keys[owner == i].tolist()) for i in range(60))
+    where, grams = lines.runs(h, sizes, lines.GRAM)
+    grams = dict(zip(where.tolist(), grams.view(np.int64).tolist(), strict=True))
+    starts = lines.runs(h, sizes, lines.LONG)[0].tolist()
+    unsigned = lambda k: k % (1 << 64)
+    want = {p for s in starts for p in range(s, s + lines.LONG - lines.GRAM + 1) if unsigned(grams[p]) == min(unsigned(grams[q]) for q in range(s, s + lines.LONG - lines.GRAM + 1))}
+    assert set(at.tolist()) == want
+
+
 def test_templates_against_plain_strings():
     cache = lines.MaskedHashes()
     rng = random.Random(6)
