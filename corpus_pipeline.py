@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from gridleaf.llm import bpe, common, lines, minhash, quality, tiling
 
-#: A document that keeps no more than this share of its characters was a copy of lines kept elsewhere, and goes.
-REST = 0.2
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
@@ -23,10 +20,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that recur in documents of a smaller id."""
+    """Documents without lines and passages that recur in documents of a smaller id; one of which no text is left goes."""
     found = lines.dedup_lines(docs)
-    kept = found.where((F.col("n_dropped") == 0) | (F.col("chars_after") > REST * F.col("chars_before")))
-    n = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.col("chars_after"))
+    same = F.col("chars_after") == F.col("chars_before")
+    kept = found.where((same & (F.col("n_dropped") == 0)) | F.col("text").rlike(r"\S"))
+    n = F.when(same, F.col("n_chars")).otherwise(F.col("chars_after"))
     return kept.withColumn("n_chars", n).select(*docs.columns)
 
 

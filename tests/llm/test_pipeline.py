@@ -39,3 +39,14 @@ def test_pipeline(spark, data):
             assert set(after) == set(before) and all(r["exact"] for r in after.values())
         docs = out
     assert lines and minhash
+
+
+def test_line_stage_keeps_what_is_left(spark):
+    import corpus_pipeline as p
+
+    passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(250))
+    own = "a line of its own here"
+    docs = [(1, passage, "en", "s", len(passage)), (2, f"{passage}\n{own}", "en", "s", 0), (3, passage, "en", "s", 0), (4, None, "en", "s", 7), (5, "", "en", "s", 0)]
+    got = {r["doc_id"]: r for r in p.line_stage(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    assert set(got) == {1, 2, 4, 5} and got[2]["text"] == own and got[2]["n_chars"] == len(own)
+    assert got[1]["n_chars"] == len(passage) and got[4]["n_chars"] == 7
