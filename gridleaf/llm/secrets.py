@@ -4,8 +4,9 @@ Base spans are the matches of fixed patterns. The battery adds spans of kind
 "random": words of twenty characters and more whose encoding is inferred
 (hex, base32, base64), whose alphabet use passes a chi-squared test of
 uniformity and whose values pass a test of serial correlation, and whose
-changes between character classes are a run count that ordinary words do not
-reach. The last test's p-values go through a weighted Benjamini-Hochberg step
+changes between character classes and letters are likelier in a random word of
+that encoding than in an ordinary one. The bound that this ratio sets on an
+ordinary word's p-value goes through a weighted Benjamini-Hochberg step
 in each document, weights being proportional to the length of the word, so
 that long words need less evidence and the share of false finds stays bounded.
 
@@ -16,6 +17,7 @@ ignored, whatever their names. Positions are code points.
 
 from __future__ import annotations
 
+import math
 import operator
 from functools import reduce
 
@@ -30,15 +32,25 @@ KINDS = (
 )
 #: Maximal runs that the same kind's pattern takes whole, so that short ones need not be listed.
 FAST = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
-CANDIDATE = r"(?<![A-Za-z0-9+/_=])[A-Za-z0-9+/_=]{20,}"
+#: A run of the base64url alphabet is one word, unless a piece between its hyphens is a long hex or base32 word itself.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9_-]*+=*+(?![A-Za-z0-9+/_=-]))"
+    r"(?![A-Za-z0-9_-]*?(?<![A-Za-z0-9_])(?:[0-9a-f]{20,}|[0-9A-F]{20,}|[A-Z2-7]{20,})(?![A-Za-z0-9_]))[A-Za-z0-9_=-]{20,}"
+    r"|(?<![A-Za-z0-9+/_=])[A-Za-z0-9+/_=]{20,}"
+)
 #: Inferred encodings: pattern and alphabet; the first that fits counts.
 ENCODINGS = (
     ("hex", r"^[0-9a-f]+$|^[0-9A-F]+$", "0123456789abcdef"),
     ("base32", r"^[A-Z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567"),
-    ("base64", r"^[A-Za-z0-9+/_]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("base64", r"^[A-Za-z0-9+/_]+=*$|^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 #: Rate at which ordinary words change character class between neighbours.
 WORD_RATE = 0.12
+#: The same rate of uniformly random words of each encoding.
+RANDOM_RATE = {"hex": 2 * 10 * 6 / 16**2, "base32": 2 * 26 * 6 / 32**2, "base64": 1 - (26**2 + 26**2 + 10**2 + 2**2) / 64**2}
+#: Letters a to z of ordinary words, in thousandths; a tenth of the weight is spread evenly, as languages differ.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+EVEN = 0.1
 #: Level of the rejecting tests, and of the false-discovery control.
 REJECT_Z, FALSE_SHARE = 3.3, 0.01
 
@@ -87,14 +99,22 @@ def _classes(word: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "")
 
 
+def _odds_of_letters(alphabet: str) -> list[tuple[str, float]]:
+    """The alphabet's letters, with the log-odds of each in random against ordinary words."""
+    some = [(chr(97 + i), n) for i, n in enumerate(LETTERS) if chr(97 + i) in alphabet]
+    total, k = sum(n for _, n in some), len(some)
+    return [(c, -math.log((1 - EVEN) * k * n / total + EVEN)) for c, n in some]
+
+
 def _evidence(word: Column) -> Column:
-    """The p-value that an ordinary word would change class as often as this
-    one (Chernoff's bound), or 1 where no encoding fits or a test rejects."""
+    """A bound on the p-value of an ordinary word, the inverse of the likelihood
+    ratio of class changes and letters (Markov's inequality), or 1 where no
+    encoding fits or a test rejects."""
     p = F.lit(1.0)
     for name, pattern, alphabet in reversed(ENCODINGS):
         k = len(alphabet)
         body = F.regexp_replace(word, "=+$", "")
-        body = F.translate(body, "_", "/") if name == "base64" else F.lower(body)
+        body = F.translate(body, "_-", "/+") if name == "base64" else F.lower(body)
         values = F.transform(F.split(body, ""), _value_in(alphabet))
         n = F.char_length(body).cast("double")
         counts = F.transform(F.split(F.lit(alphabet), ""), _count_in(body))
@@ -106,9 +126,12 @@ def _evidence(word: Column) -> Column:
         serial = F.aggregate(lagged, F.lit(0.0), lambda acc, x: acc + x) / (var * F.sqrt(n - 1))
         kinds = _classes(F.regexp_replace(word, "=+$", ""))
         changes = F.aggregate(F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds) - 1), lambda x, y: (x != y).cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-        rate = changes / (n - 1)
-        far = rate * F.log(rate / WORD_RATE) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - WORD_RATE))).otherwise(0.0)
-        tail = F.when(rate > WORD_RATE, F.exp(-(n - 1) * far)).otherwise(1.0)
+        rate = RANDOM_RATE[name]
+        odds = changes * math.log(rate / WORD_RATE) + (n - 1 - changes) * math.log((1 - rate) / (1 - WORD_RATE))
+        letters = _odds_of_letters(alphabet)
+        held = F.transform(F.array(*(F.lit(c) for c, _ in letters)), _count_in(F.lower(body)))
+        odds += F.aggregate(F.zip_with(held, F.array(*(F.lit(x) for _, x in letters)), operator.mul), F.lit(0.0), lambda acc, x: acc + x)
+        tail = F.least(F.lit(1.0), F.exp(-odds))
         fits = word.rlike(pattern) & (n >= 20)
         p = F.when(fits, F.when((uniform < REJECT_Z) & (F.abs(serial) < REJECT_Z), tail).otherwise(1.0)).otherwise(p)
     return p

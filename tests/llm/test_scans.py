@@ -51,6 +51,19 @@ def test_battery_finds_keys_and_leaves_words(spark):
     assert all(got[i]["n_random"] == 0 for i in words)
 
 
+def test_battery_finds_each_encoding(spark):
+    rng = random.Random(9)
+    made = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
+    cases = [(kind, n, least) for kind, n, least in (("hex", 20, 40), ("hex", 40, 50), ("base32", 20, 45), ("base32", 32, 54), ("base32", 64, 54), ("url", 20, 52), ("url", 43, 54), ("url", 64, 54))]
+    keys = [(j * 1000 + i, "".join(rng.choice(made[kind]) for _ in range(n))) for j, (kind, n, _) in enumerate(cases) for i in range(60)]
+    plain = ["INTERNATIONALISATION", "getCustomerAddressForOrderItem", "state-of-the-art-and-up-to-date-equipment", "Donaudampfschifffahrtsgesellschaft", "CUSTOMER2ADDRESS3PREFIXES", "2024-01-02-03-04-05-06-07-08", "some_long_variable_name_of_20", "/usr/local/lib/python3/dist/packages"]
+    kept = [(90_100 + i, w) for i, w in enumerate(plain)]
+    got = rows(secrets.secrets(spark.createDataFrame([(i, f"see {t} here") for i, t in [*keys, *kept]], "doc_id long, text string")))
+    for j, (kind, n, least) in enumerate(cases):
+        assert sum(got[j * 1000 + i]["spans"].endswith(f"random:4:{4 + n}") for i in range(60)) >= least, (kind, n)
+    assert all(got[90_100 + i]["n_random"] == 0 for i in range(len(plain)))
+
+
 def base_personal(t):
     email = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     ip = [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
