@@ -1,10 +1,12 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
 Base spans are the valid matches of fixed patterns. The field adds spans: its
-nodes are the base spans, whose labels are given, and the document's other
-words with digits or an at sign. Neighbouring nodes share a chain potential,
+nodes are the base spans, whose labels are given, the document's other words
+with digits or an at sign (six characters of value at least), and groups of
+digits that together end like a base phone or card number. Neighbouring nodes share a chain potential,
 and nodes whose normalised values are equal share a skip potential however far
-apart they are, each with the next of its kind. Loopy belief propagation in
+apart they are, each with the next of its kind; numbers that share their last
+seven digits and addresses one edit apart share a weaker one. Loopy belief propagation in
 the log domain makes the labels of a document consistent, so that a repeated
 number or address is found where its form alone does not show it.
 
@@ -40,9 +42,15 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
 _WORD_END = re.compile(r"\s|$")
 _DIGITS = re.compile(r"[0-9]")
+_GROUP = re.compile(r"[0-9]++")
+_JOINT = re.compile(r"[\x20.()-]{0,3}")
+#: Digits that similar numbers end in alike, most digits of a number, and characters of an address.
+ENDING, MOST_DIGITS, ADDRESS = 7, 19, 254
 #: Documents with candidates that the potentials are learnt from at most, and the characters read of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
 ROUNDS, SURE = 8, 0.9
+#: Weights of similar values against equal ones: of a number that ends another, and of others.
+ENDS, ALIKE = 0.9, 0.5
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -118,6 +126,39 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def regrouped(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Groups of digits, joined by spaces, dots, brackets or hyphens, that end
+    like a phone or card number of the base and that no base span touches."""
+    known = {value_of(text[s:e])[-ENDING:] for s, k, e in base if k >= 2}
+    if not known:
+        return []
+    out, groups, k = [], [m.span() for m in _GROUP.finditer(text)], 0
+    taken = sorted((s, e) for s, _, e in base)
+    clear = []
+    for s, e in groups:
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        before = text[s - 1] if s else " "
+        after = text[e] if e < len(text) else " "
+        clear.append(not (k < len(taken) and taken[k][0] < e) and not (before.isalpha() or after.isalpha() or "@" in (before, after)))
+    i = 0
+    while i < len(groups):
+        digits, best, j = "", None, i
+        while j < len(groups) and clear[j] and len(digits) < MOST_DIGITS and (j == i or _JOINT.fullmatch(text, groups[j - 1][1], groups[j][0])):
+            digits += text[slice(*groups[j])]
+            if j > i and len(digits) <= MOST_DIGITS and digits[-ENDING:] in known:
+                best = j
+            j += 1
+        if best is not None:
+            start = groups[i][0]
+            while start and text[start - 1] in "+(" and (start < 2 or not text[start - 2].isdigit()):
+                start -= 1
+            out.append((start, groups[best][1]))
+            i = best
+        i += 1
+    return out
+
+
 def form(span: str) -> np.ndarray:
     """Features of a node's form, scale-free."""
     n = len(span)
@@ -134,7 +175,14 @@ def nodes_of(text: str) -> tuple[list[tuple[int, int, int | None]], list[tuple[i
         if s >= seen:
             given.append((s, e, k + 1))
             seen = e
-    return sorted([*given, *((s, e, None) for s, e in candidates(text, base))], key=lambda x: x[:2]), base
+    joined, k = regrouped(text, base), 0
+    free = []
+    for s, e in candidates(text, base):
+        while k < len(joined) and joined[k][1] <= s:
+            k += 1
+        if not (k < len(joined) and joined[k][0] < e):
+            free.append((s, e))
+    return sorted([*given, *((s, e, None) for s, e in [*free, *joined])], key=lambda x: x[:2]), base
 
 
 def edges_of(text: str, nodes: list) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -150,6 +198,26 @@ def edges_of(text: str, nodes: list) -> tuple[list[tuple[int, int]], list[tuple[
     return chain, skip
 
 
+def similar(text: str, nodes: list) -> list[tuple[int, int, float]]:
+    """Edges from each node to the next of a similar, not equal value: numbers
+    with the same last digits, addresses one character apart. Each has its
+    weight, larger where one number is the other's end."""
+    last: dict[str, tuple[int, str]] = {}
+    out: dict[tuple[int, int], float] = {}
+    for i, (s, e, _) in enumerate(nodes):
+        value = value_of(text[s:e])
+        if "@" in value:
+            keys = {value, *(value[:k] + value[k + 1 :] for k in range(len(value)))} if len(value) <= ADDRESS else set()
+        else:
+            keys = {value[-ENDING:]} if len(value) >= ENDING else set()
+        for key in keys:
+            if key in last and last[key][1] != value:
+                short, long = sorted((value, last[key][1]), key=len)
+                out[last[key][0], i] = ENDS if "@" not in value and long.endswith(short) else ALIKE
+            last[key] = (i, value)
+    return sorted((i, j, w) for (i, j), w in out.items())
+
+
 def learnt(texts: list[str]) -> dict:
     """Potentials from texts that the base patterns label; other nodes count as none."""
     x, y, near = [], [], np.ones((5, 5))
@@ -217,7 +285,7 @@ def spans_of(text: str, model: dict) -> tuple[list[tuple[int, int, int]], list[t
         if label is not None:
             unary[i] = np.where(np.arange(5) == label, 0.0, -50.0)
     chain, skip = edges_of(text, nodes)
-    p = beliefs(unary, [(i, j, model["near"]) for i, j in chain] + [(i, j, model["alike"]) for i, j in skip])
+    p = beliefs(unary, [(i, j, model["near"]) for i, j in chain] + [(i, j, model["alike"]) for i, j in skip] + [(i, j, model["alike"] * w) for i, j, w in similar(text, nodes)])
     more = [(nodes[i][0], int(p[i].argmax()) - 1, nodes[i][1]) for i in free if p[i].argmax() > 0 and p[i].max() >= SURE]
     return base, sorted([*base, *more])
 

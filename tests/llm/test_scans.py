@@ -89,6 +89,19 @@ def test_field_adds_repeated_values(spark):
         assert set(base.split(",")) <= set(got[i]["spans"].split(","))
 
 
+def test_field_joins_groups_and_similar_values():
+    first = "Call +1 (415) 555-0100 now. "
+    model = pii.learnt([first * 2] * 300 + ["No numbers of note: 12 or 345678 or 20240101."] * 10)
+    for again in ("1 415 555 0100", "415 555 0100", "(415) 555.0100", "4155550100"):
+        text = f"{first}Later {again} again, and 12 345 678."
+        base, found = pii.spans_of(text, model)
+        assert [text[s:e] for s, _, e in found if (s, 3, e) not in base] == [again]
+    text = "Mail jo.doe@mail.example.com or jo.doh@mail-example-com"
+    nodes, _ = pii.nodes_of(text)
+    assert pii.similar(text, nodes) == [(0, 1, pii.ALIKE)]
+    assert [x for x in pii.nodes_of("Rows 12 345 678 and 415 555 0100")[0]] == []
+
+
 def test_long_runs_take_linear_time():
     for t in ("1" * 200_000, "a" * 200_000 + "@", "+1" + " " * 200_000, "1." * 100_000, "@" * 100_000):
         pii.base_spans(t)
