@@ -54,7 +54,7 @@ def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return quality.judged(docs, _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), ["doc_id"])
+    return quality.judged(docs, _table(spark, sf_dir, "labels"), [F.col("source"), F.col("lang")], ["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
