@@ -3,21 +3,27 @@
 Base spans are the valid matches of fixed patterns. The field adds spans: its
 nodes are the base spans, whose labels are given, the document's other words
 with digits or an at sign (six characters of value at least), and groups of
-digits that together end like a base phone or card number. Neighbouring nodes share a chain potential,
-and nodes whose normalised values are equal share a skip potential however far
-apart they are, each with the next of its kind; numbers that share their last
-seven digits and addresses one edit apart share a weaker one. Loopy belief propagation in
-the log domain makes the labels of a document consistent, so that a repeated
-number or address is found where its form alone does not show it.
-
-The potentials are learnt in numpy from a bounded sample of documents that the
-base patterns label: a ridge softmax on features of form for single nodes, and
-smoothed log-ratios of counts for neighbours and for equal values.
+digits that together end like a base phone or card number. Neighbouring nodes
+share a chain potential. Nodes of equal value, however far apart, share a skip
+potential with the next of their kind and with the first one whose label is
+given; numbers that share their last seven digits and addresses one edit apart
+share a weaker one. Loopy belief propagation in the log domain runs until the
+messages rest, so that a document's labels are consistent: a repeated number or
+address is found where its form alone does not show it.
+
+All weights are learnt together in numpy, by penalised pseudo-likelihood on a
+bounded sample of nodes: those that the base patterns label, and words that are
+none (words with letters and digits, and fixed forms of dates, times, versions
+and counts). Each labelled node is shown with its form and once without, so
+that the potentials must explain it too. Words that have a base pattern's form
+but fail its test (a card number with a wrong digit) are no examples of none.
 
 Defined results: null texts are empty texts; empty texts have no spans; texts
-without candidates have no field; rows are independent, so repeated rows
-repeat their result; other columns are ignored, whatever their names.
-Positions are code points.
+without candidates have no field; very long texts are read whole; of overlapping
+base spans the first is a node, and all are told; a tie of two labels adds no
+span; rows are independent, so repeated rows repeat their result; empty tables
+give empty results; other columns are ignored, whatever their names. Positions
+are code points.
 """
 
 from __future__ import annotations
@@ -46,11 +52,16 @@ _GROUP = re.compile(r"[0-9]++")
 _JOINT = re.compile(r"[\x20.()-]{0,3}")
 #: Digits that similar numbers end in alike, most digits of a number, and characters of an address.
 ENDING, MOST_DIGITS, ADDRESS = 7, 19, 254
-#: Documents with candidates that the potentials are learnt from at most, and the characters read of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
-ROUNDS, SURE = 8, 0.9
-#: Weights of similar values against equal ones: of a number that ends another, and of others.
-ENDS, ALIKE = 0.9, 0.5
+#: Labelled nodes that the weights are learnt from at most, hash-ordered.
+SAMPLE_ROWS = 20_000
+#: A belief from which a label is told; messages rest below TOLERANCE, and after MOST_ROUNDS at the latest.
+SURE, TOLERANCE, MOST_ROUNDS = 0.9, 1e-4, 400
+#: What similar values share: one number ends the other, or else.
+ENDS, ALIKE = 0, 1
+#: Prior means of the agreement weights (equal, ends, alike), and prior variances of all weights and of those between neighbours.
+PRIOR, VARIANCE, NEAR_VARIANCE = (4.0, 3.5, 2.0), 4.0, 0.25
+#: Forms that are none of the kinds.
+NONE_FORMS = ("20240131", "2024-01-31", "31.01.2024", "01/31/2024", "12:30:45", "2024-01-31T12:30:45", "1.2.3", "10.15.7", "v2.10.1", "123456", "1234567", "12345678", "123.456", "1,234,567", "99.95%", "3.14159265", "100000", "1_000_000", "R2D2C3P0", "a1b2c3d4", "123456789012345678901234", "0x7fff5694", "@username", "#123456")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -185,95 +196,143 @@ def nodes_of(text: str) -> tuple[list[tuple[int, int, int | None]], list[tuple[i
     return sorted([*given, *((s, e, None) for s, e in [*free, *joined])], key=lambda x: x[:2]), base
 
 
-def edges_of(text: str, nodes: list) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges (neighbours within 200 characters) and skip edges (each node to the next of equal value)."""
+def edges_of(text: str, nodes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chain edges (neighbours within 200 characters), skip edges of equal
+    values (to the next, and to the first given one), and of similar values
+    (numbers of which one ends the other; others of the same last digits and
+    addresses one character apart), each as rows of two nodes."""
     chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= 200]
+    values = [value_of(text[s:e]) for s, e, _ in nodes]
     last: dict[str, int] = {}
-    skip = []
-    for i, (s, e, _) in enumerate(nodes):
-        key = value_of(text[s:e])
-        if key in last:
-            skip.append((last[key], i))
-        last[key] = i
-    return chain, skip
-
-
-def similar(text: str, nodes: list) -> list[tuple[int, int, float]]:
-    """Edges from each node to the next of a similar, not equal value: numbers
-    with the same last digits, addresses one character apart. Each has its
-    weight, larger where one number is the other's end."""
-    last: dict[str, tuple[int, str]] = {}
-    out: dict[tuple[int, int], float] = {}
-    for i, (s, e, _) in enumerate(nodes):
-        value = value_of(text[s:e])
-        if "@" in value:
-            keys = {value, *(value[:k] + value[k + 1 :] for k in range(len(value)))} if len(value) <= ADDRESS else set()
+    known: dict[str, int] = {}
+    for i, v in enumerate(values):
+        if nodes[i][2] is not None:
+            known.setdefault(v, i)
+    equal = set()
+    near: dict[str, tuple[int, str]] = {}
+    found: dict[tuple[int, int], int] = {}
+    for i, v in enumerate(values):
+        if v in last:
+            equal.add((last[v], i))
+        if known.get(v, i) != i:
+            equal.add((min(known[v], i), max(known[v], i)))
+        last[v] = i
+        if "@" in v:
+            keys = {v, *(v[:k] + v[k + 1 :] for k in range(len(v)))} if len(v) <= ADDRESS else set()
         else:
-            keys = {value[-ENDING:]} if len(value) >= ENDING else set()
+            keys = {v[-ENDING:]} if len(v) >= ENDING else set()
         for key in keys:
-            if key in last and last[key][1] != value:
-                short, long = sorted((value, last[key][1]), key=len)
-                out[last[key][0], i] = ENDS if "@" not in value and long.endswith(short) else ALIKE
-            last[key] = (i, value)
-    return sorted((i, j, w) for (i, j), w in out.items())
-
-
-def learnt(texts: list[str]) -> dict:
-    """Potentials from texts that the base patterns label; other nodes count as none."""
-    x, y, near = [], [], np.ones((5, 5))
-    alike = np.zeros((5, 5))
-    for text in texts:
-        nodes, _ = nodes_of(text)
-        labels = [n[2] or 0 for n in nodes]
-        named = {value_of(text[s:e]) for s, e, label in nodes if label}
-        for s, e, label in nodes:  # an unlabelled word of a labelled value is no example of none
-            if label or value_of(text[s:e]) not in named:
-                x.append(form(text[s:e]))
-                y.append(label or 0)
-        chain, skip = edges_of(text, nodes)
-        for i, j in chain:
-            near[labels[i], labels[j]] += 1
-        for i, j in skip:
-            if labels[i] and labels[j]:
-                alike[labels[i], labels[j]] += 1
-    w = np.zeros((form("0").shape[0], 5))
-    if x:
-        a, t = np.array(x, float), np.eye(5)[y]
-        for _ in range(300):
-            z = a @ w
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            w -= 2.0 * (a.T @ (p - t) / len(a) + 1e-3 * w)
-    ratio = lambda c: np.log(c * c.sum() / np.outer(c.sum(axis=1), c.sum(axis=0)))
-    # Equal values: log-odds that labelled pairs agree, over a prior of many agreements.
-    agree = np.trace(alike)
-    strength = np.log((agree + 100) / (alike.sum() - agree + 0.25))
-    return {"w": w, "near": np.clip(ratio(near), -1, 1), "alike": strength * np.eye(5)}
-
-
-def beliefs(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
-    """Marginals by loopy belief propagation, damped, a fixed number of rounds."""
-    n = len(unary)
-    to = [np.zeros((len(edges), 5)), np.zeros((len(edges), 5))]  # to the second node, to the first
-    for _ in range(ROUNDS):
-        total = unary.copy()
-        for m, (i, j, _) in enumerate(edges):
-            total[j] += to[0][m]
-            total[i] += to[1][m]
-        new = [np.empty_like(to[0]), np.empty_like(to[1])]
-        for m, (i, j, pair) in enumerate(edges):
-            a = np.logaddexp.reduce((total[i] - to[1][m])[:, None] + pair, axis=0)
-            b = np.logaddexp.reduce((total[j] - to[0][m])[None, :] + pair, axis=1)
-            new[0][m], new[1][m] = a - a.max(), b - b.max()
-        to = [0.5 * o + 0.5 * v for o, v in zip(to, new, strict=True)]
+            if key in near and near[key][1] != v:
+                short, long = sorted((v, near[key][1]), key=len)
+                found[near[key][0], i] = ENDS if "@" not in v and long.endswith(short) else ALIKE
+            near[key] = (i, v)
+    rows = lambda x: np.array(sorted(x), np.int64).reshape(-1, 2)
+    return rows(chain), rows(equal), rows(k for k, w in found.items() if w == ENDS), rows(k for k, w in found.items() if w == ALIKE)
+
+
+def lookalike(span: str) -> bool:
+    """Whether a word has the form of a base pattern, though it fails its test."""
+    digits = sum("0" <= c <= "9" for c in span)
+    return "@" in span or bool(_IP.fullmatch(span)) or (bool(_CARD.fullmatch(span)) and 12 <= digits <= 19) or (bool(_PHONE.fullmatch(span)) and digits >= 7)
+
+
+N_FORM = 12
+#: A row of an example: form, labels of the neighbours before and after (one-hot), and the numbers of equal, ending and alike nodes by label.
+N_ROW = N_FORM + 5 * (2 + 3)
+
+
+def examples(text: str) -> tuple[list[np.ndarray], list[int]]:
+    """Rows of the nodes of a text whose labels are known, and the labels."""
+    nodes, _ = nodes_of(text)
+    if not nodes:
+        return [], []
+    edges = edges_of(text, nodes)
+    labels = np.array([n[2] or 0 for n in nodes])
+    context = np.zeros((len(nodes), 5, 5))
+    named = {value_of(text[s:e]) for s, e, label in nodes if label}
+    open_ = np.array([not label and (value_of(text[s:e]) in named or lookalike(text[s:e])) for s, e, label in nodes])
+    for s_, e_, w in ((edges[2][:, 0], edges[2][:, 1], 3), (edges[3][:, 0], edges[3][:, 1], 4), (edges[1][:, 0], edges[1][:, 1], 2)):
+        for a, b in ((s_, e_), (e_, s_)):
+            a, b = a[labels[b] > 0], b[labels[b] > 0]
+            np.add.at(context, (a, w, labels[b]), 1)
+            open_[a[labels[a] == 0]] = True  # an unlabelled copy of a labelled value is no example of none
+    for a, b in edges[0]:
+        if not open_[a] and not open_[b]:
+            context[a, 1, labels[b]] = context[b, 0, labels[a]] = 1
+    keep = np.flatnonzero(~open_)
+    return [np.concatenate([form(text[nodes[i][0] : nodes[i][1]]), context[i].ravel()]) for i in keep], labels[keep].tolist()
+
+
+def learnt(rows: np.ndarray, labels: np.ndarray, steps: int = 25) -> dict:
+    """Weights of the log-linear model p(label) ~ exp(form . w + near + agreement)
+    by Newton's method on the penalised pseudo-likelihood."""
+    made = np.array([np.concatenate([form(x), np.zeros(N_ROW - N_FORM)]) for x in NONE_FORMS])
+    rows = np.concatenate([np.asarray(rows, float).reshape(-1, N_ROW), made])
+    labels = np.concatenate([np.asarray(labels, int), np.zeros(len(made), int)])
+    blind = rows[labels > 0].copy()
+    blind[:, 1:N_FORM] = 0.0
+    rows, labels = np.concatenate([rows, blind]), np.concatenate([labels, labels[labels > 0]])
+    n = len(rows)
+    seen = rows[:, N_FORM:].reshape(n, 5, 5)
+    eye = np.eye(5)
+    # phi[i, c]: features of row i under label c; near[x, y] is shared by both directions.
+    form_part = np.einsum("if,cd->icfd", rows[:, :N_FORM], eye).reshape(n, 5, -1)
+    near_part = np.einsum("ix,cd->icxd", seen[:, 0], eye) + np.einsum("iy,cd->icdy", seen[:, 1], eye)
+    phi = np.concatenate([form_part, near_part.reshape(n, 5, -1), seen[:, 2:].transpose(0, 2, 1)], axis=2)
+    mean = np.zeros(phi.shape[2])
+    mean[-3:] = PRIOR
+    theta, variance = mean.copy(), np.full(len(mean), VARIANCE)
+    variance[N_FORM * 5 : -3] = NEAR_VARIANCE
+    for _ in range(steps):
+        z = phi @ theta
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        expected = np.einsum("ic,ick->ik", p, phi)
+        slope = (phi[np.arange(n), labels] - expected).sum(axis=0) - (theta - mean) / variance
+        flat = phi.reshape(-1, phi.shape[2])
+        curve = (flat * p.reshape(-1, 1)).T @ flat - expected.T @ expected + np.diag(1 / variance)
+        step = np.linalg.solve(curve, slope)
+        theta += step * min(1.0, 5.0 / np.abs(step).max())
+        if np.abs(step).max() < 1e-6:
+            break
+    equal, ends, alike = (max(0.0, float(x)) for x in theta[-3:])
+    return {"w": theta[: N_FORM * 5].reshape(N_FORM, 5), "near": theta[N_FORM * 5 : -3].reshape(5, 5), "agree": (equal, ends, alike)}
+
+
+def beliefs(unary: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Marginals by damped loopy belief propagation on edges (rows of two nodes,
+    their potential), until the messages rest; exact where the graph has no loop."""
+    n, labels = unary.shape
+    kinds = []
+    for at, pair in edges:
+        if len(at):
+            kinds.append((at[:, 0], at[:, 1], pair, np.zeros((len(at), labels)), np.zeros((len(at), labels))))
     total = unary.copy()
-    for m, (i, j, _) in enumerate(edges):
-        total[j] += to[0][m]
-        total[i] += to[1][m]
-    p = np.exp(total - total.max(axis=1, keepdims=True)) if n else total
+    for _ in range(MOST_ROUNDS if kinds else 0):
+        total, moved, sent = unary.copy(), 0.0, []
+        for i, j, _, to_j, to_i in kinds:
+            np.add.at(total, j, to_j)
+            np.add.at(total, i, to_i)
+        for i, j, pair, to_j, to_i in kinds:
+            a = _summed((total[i] - to_i)[:, :, None] + pair)
+            b = _summed((total[j] - to_j)[:, :, None] + pair.T)
+            moved = max(moved, float(np.abs(a - to_j).max()), float(np.abs(b - to_i).max()))
+            sent.append((i, j, pair, (to_j + a) / 2, (to_i + b) / 2))
+        kinds = sent
+        if moved < TOLERANCE:
+            break
+    total = total - total.max(axis=1, keepdims=True) if n else total
+    p = np.exp(total)
     return p / p.sum(axis=1, keepdims=True) if n else p
 
 
+def _summed(z: np.ndarray) -> np.ndarray:
+    """log-sum-exp over the second axis, its greatest value taken off."""
+    top = z.max(axis=1, keepdims=True)
+    out = np.log(np.exp(z - top).sum(axis=1)) + top[:, 0]
+    return out - out.max(axis=1, keepdims=True)
+
+
 def spans_of(text: str, model: dict) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and all spans, as (start, kind, end) in order."""
     nodes, base = nodes_of(text)
@@ -284,18 +343,30 @@ def spans_of(text: str, model: dict) -> tuple[list[tuple[int, int, int]], list[t
     for i, (_, _, label) in enumerate(nodes):
         if label is not None:
             unary[i] = np.where(np.arange(5) == label, 0.0, -50.0)
-    chain, skip = edges_of(text, nodes)
-    p = beliefs(unary, [(i, j, model["near"]) for i, j in chain] + [(i, j, model["alike"]) for i, j in skip] + [(i, j, model["alike"] * w) for i, j, w in similar(text, nodes)])
+    agree = [w * np.diag([0.0, 1, 1, 1, 1]) for w in model["agree"]]
+    p = beliefs(unary, list(zip(edges_of(text, nodes), [model["near"], *agree], strict=True)))
     more = [(nodes[i][0], int(p[i].argmax()) - 1, nodes[i][1]) for i in free if p[i].argmax() > 0 and p[i].max() >= SURE]
     return base, sorted([*base, *more])
 
 
-def trained(docs: DataFrame) -> dict:
-    """Potentials from a bounded, hash-ordered sample of documents with digits
-    or at signs; only ids are ordered, and texts are fetched for the chosen ones."""
-    ids = docs.where(F.col("text").rlike("[0-9]{3}|@")).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).distinct()
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(ids), "doc_id").select("text").toPandas()
-    return learnt(sorted(t for t in rows["text"] if t))
+def trained(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
+    """Weights from a bounded, hash-ordered sample of labelled nodes of all
+    whole texts; only the nodes' numbers reach the driver."""
+    some = docs.where(F.col("text").rlike("[0-9]{3}|@")).select("text")
+
+    def make():
+        def work(x):
+            out = {"x": [], "y": []}
+            for text in x["text"]:
+                rows, labels = examples(text)
+                out["x"] += [r.tolist() for r in rows]
+                out["y"] += labels
+            return out
+
+        return work
+
+    rows = map_batches(some, "x array<double>, y int", make).orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample_rows).toPandas()
+    return learnt(np.array(rows["x"].tolist()), rows["y"].to_numpy())
 
 
 def personal(docs: DataFrame, model: dict | None = None) -> DataFrame:
