@@ -5,34 +5,92 @@ rendered once as the prompt; what follows in each is a completion, in which
 only the assistant's text counts for the loss. Masks are runs (length in code
 points, 1 where the loss counts), the prompt's run being the first and 0.
 
+A table of conversations holds two kinds of pairs. Siblings open with the same
+turn: the one that went on for more assistant turns is chosen (its reader went
+on asking), of equal ones the smaller conv_id. Stand-ins: a conversation is
+chosen against itself with its last assistant turn replaced by that of another
+conversation, which does not answer its prompt. Conversations of equal turns
+are one, which the smallest conv_id stands for; n_copies counts them.
+
+Siblings are paired with their neighbours along a fixed order of hashes, first
+inside small groups of one opening, then between the groups' first members, so
+that an opening of any number of conversations meets in no single task and all
+of them are joined. Stand-ins are drawn likewise, inside groups whose number
+grows with the table; a conversation whose group has no other last answer has
+no stand-in. Only ids and hashes move while pairs are found; turns are joined last.
+
 Defined results: null roles and texts are empty; rows without a conv_id belong
 to no conversation; turns that share a number follow in the order of role and
-text; repeated rows are repeated turns; equal conversations have empty
-completions; other columns are ignored, whatever their names.
+text; repeated rows are repeated turns; a conversation without assistant turns
+has no stand-in; very long texts are kept whole; empty tables give no pairs;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import scratch, written
+
+#: Hexadecimal digits of the groups of one opening, from level to level.
+LEVELS = (3, 1, 0)
+#: Rows that a group of stand-ins is drawn from, 16 times as many at most.
+LEAST_GROUP, MOST_DIGITS = 64, 12
+
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """conv_id and its ordered turns, array<struct<role, text>>."""
+    """conv_id, n_copies and ordered turns, array<struct<role, text>>, of each
+    conversation of different turns; the smallest conv_id stands for its copies."""
     rows = turns.where("conv_id is not null").select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     ordered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    return ordered.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-
-
-def siblings(convs: DataFrame) -> DataFrame:
-    """pair_id, chosen_id, rejected_id: conversations that open with the same
-    turn are answers to one prompt; the first of them (the smallest conv_id) is
-    chosen against each other one, and a conversation alone with its opening is
-    chosen against its own first turn only (rejected_id null)."""
-    opened = convs.select("conv_id", F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"]).alias("a"), F.crc32(F.col("turns")[0]["text"].cast("binary")).alias("b"))
-    first = opened.groupBy("a", "b").agg(F.min("conv_id").alias("chosen_id"), F.count("*").alias("n"))
-    rows = opened.join(first, ["a", "b"]).where("conv_id <> chosen_id or n = 1")
-    return rows.select(F.col("conv_id").alias("pair_id"), "chosen_id", F.when(F.col("n") > 1, F.col("conv_id")).alias("rejected_id"))
+    plain = ordered.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    return plain.groupBy(F.md5(F.to_json("turns").cast("binary")).alias("same")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"), F.first("turns").alias("turns")).drop("same")
+
+
+def heads(convs: DataFrame) -> DataFrame:
+    """conv_id, h (its hash), opening (hash of the first turn), n_answers, last
+    (place of the last assistant turn, from 1, or 0) and answer (hash of that turn's text)."""
+    own = F.transform("turns", lambda t: t["role"] == "assistant")
+    last = F.size("turns") - F.array_position(F.reverse(own), True) + 1
+    last = F.when(F.array_contains(own, True), last).otherwise(0).cast("int")
+    first = F.col("turns")[0]
+    return convs.select("conv_id", F.md5(F.col("conv_id").cast("string").cast("binary")).alias("h"), F.md5(F.concat(first["role"], F.lit("\n"), first["text"]).cast("binary")).alias("opening"), F.size(F.filter(own, lambda x: x)).alias("n_answers"), last.alias("last"), F.when(last > 0, F.md5(F.element_at("turns", F.greatest(last, F.lit(1)))["text"].cast("binary"))).alias("answer"))
+
+
+def siblings(found: DataFrame) -> DataFrame:
+    """chosen_id and rejected_id of neighbours among the conversations of one opening."""
+    rows, out = found.select("opening", "h", "conv_id", "n_answers"), None
+    for digits in LEVELS:
+        group = ["opening", F.substring("h", 1, digits)]
+        order = W.partitionBy(*group).orderBy("h", "conv_id")
+        seen = rows.withColumn("at", F.row_number().over(order))
+        for c in ("conv_id", "n_answers"):
+            seen = seen.withColumn(f"next_{c}", F.lead(c).over(order))
+        met = seen.where("next_conv_id is not null")
+        ahead = (F.col("n_answers") > F.col("next_n_answers")) | ((F.col("n_answers") == F.col("next_n_answers")) & (F.col("conv_id") < F.col("next_conv_id")))
+        pairs = met.select(F.when(ahead, F.col("conv_id")).otherwise(F.col("next_conv_id")).alias("chosen_id"), F.when(ahead, F.col("next_conv_id")).otherwise(F.col("conv_id")).alias("rejected_id"))
+        out = pairs if out is None else out.unionByName(pairs)
+        rows = seen.where("at = 1").select(rows.columns)
+    return out
+
+
+def stand_ins(found: DataFrame) -> DataFrame:
+    """chosen_id and rejected_id, whose last answer stands in for the chosen
+    one's: the next different answer by hash in a group."""
+    some = found.where("last > 0").select("conv_id", "h", "answer")
+    n, digits = some.count(), 0
+    while digits < MOST_DIGITS and n >= LEAST_GROUP * 16 ** (digits + 1):
+        digits += 1
+    group = F.substring("h", 1, digits).alias("g")
+    rows = some.select("conv_id", "answer", group)
+    ranked = rows.withColumn("at", F.dense_rank().over(W.partitionBy("g").orderBy("answer")))
+    # The smallest conversation of the next answer, or of the first after the last.
+    following = F.min("conv_id").over(W.partitionBy("g").orderBy("at").rangeBetween(1, 1))
+    first = F.min(F.when(F.col("at") == 1, F.col("conv_id"))).over(W.partitionBy("g"))
+    drawn = ranked.select("conv_id", "at", F.coalesce(following, F.when(F.col("at") > 1, first)).alias("other"))
+    return drawn.where("other is not null").select(F.col("conv_id").alias("chosen_id"), F.col("other").alias("rejected_id"))
 
 
 def _rendered(turns: Column) -> Column:
@@ -52,23 +110,31 @@ def _mask(prompt: Column, turns: Column) -> Column:
 
 
 def formatted(pairs: DataFrame, convs: DataFrame) -> DataFrame:
-    """pair_id, chosen_id, rejected_id, prefix_turns, prompt, chosen, rejected,
-    chosen_mask, rejected_mask of each pair (pair_id, chosen_id, rejected_id)."""
-    c = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("c"))
-    r = convs.select(F.col("conv_id").alias("other_id"), F.col("turns").alias("r"))
-    # Nulls would meet in one task; a pair without a rejected side looks up its own conversation instead.
-    both = pairs.withColumn("other_id", F.coalesce("rejected_id", "chosen_id")).join(c, "chosen_id").join(r, "other_id", "left")
-    both = both.withColumn("r", F.when(F.col("rejected_id").isNull(), F.slice("c", 1, 1)).otherwise(F.coalesce("r", F.slice("c", 1, 1))))
+    """kind, chosen_id, rejected_id, n_copies (of the chosen one), prefix_turns,
+    prompt, chosen, rejected, chosen_mask, rejected_mask of each pair (kind,
+    chosen_id, rejected_id); the rejected side of a stand-in is the chosen
+    conversation up to its last answer, and the other one's last answer."""
+    c = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("c"), "n_copies")
+    r = convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("r"))
+    both = pairs.join(c, "chosen_id").join(r, "rejected_id")
+    answers = F.filter(F.transform("c", lambda t, i: F.when(t["role"] == "assistant", i)), lambda x: x.isNotNull())
+    theirs = F.slice(F.filter("r", lambda t: t["role"] == "assistant"), -1, 1)
+    replaced = F.concat(F.slice("c", F.lit(1), F.array_max(answers)), theirs)
+    both = both.withColumn("r", F.when(F.col("kind") == "stand-in", replaced).otherwise(F.col("r")))
     same = F.zip_with("c", "r", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     both = both.withColumn("same", same)
     both = both.withColumn("k", F.when(F.array_position("same", False) > 0, F.array_position("same", False) - 1).otherwise(F.size("same")).cast("int"))
     both = both.withColumns({"prompt": _rendered(F.slice("c", F.lit(1), F.col("k"))), "ct": F.slice("c", F.col("k") + 1, F.size("c")), "rt": F.slice("r", F.col("k") + 1, F.size("r"))})
-    return both.select("pair_id", "chosen_id", "rejected_id", F.col("k").cast("long").alias("prefix_turns"), "prompt", _rendered(F.col("ct")).alias("chosen"), _rendered(F.col("rt")).alias("rejected"), _mask(F.col("prompt"), F.col("ct")).alias("chosen_mask"), _mask(F.col("prompt"), F.col("rt")).alias("rejected_mask"))
+    return both.select("kind", "chosen_id", "rejected_id", "n_copies", F.col("k").cast("long").alias("prefix_turns"), "prompt", _rendered(F.col("ct")).alias("chosen"), _rendered(F.col("rt")).alias("rejected"), _mask(F.col("prompt"), F.col("ct")).alias("chosen_mask"), _mask(F.col("prompt"), F.col("rt")).alias("rejected_mask"))
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:
-    convs = conversations(turns)
-    return formatted(siblings(convs), convs)
+    convs = written(conversations(turns), "preferences", keep=True)
+    with scratch(turns.sparkSession):
+        found = written(heads(convs), "preferences-heads")
+        pairs = siblings(found).withColumn("kind", F.lit("sibling")).unionByName(stand_ins(found).withColumn("kind", F.lit("stand-in")))
+        pairs = written(pairs, "preferences-pairs", keep=True)
+    return formatted(pairs, convs)
 
 
 #: The same in DuckDB SQL over the view conversations.
@@ -77,27 +143,50 @@ WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
-opened AS (SELECT conv_id, role, text FROM t WHERE pos = 1),
-firsts AS (SELECT role, text, min(conv_id) AS chosen_id, count(*) AS n FROM opened GROUP BY ALL),
-pairs AS (
-  SELECT o.conv_id AS pair_id, f.chosen_id, CASE WHEN f.n > 1 THEN o.conv_id END AS rejected_id
-  FROM opened o JOIN firsts f ON o.role = f.role AND o.text = f.text WHERE o.conv_id <> f.chosen_id OR f.n = 1),
-c AS (SELECT p.pair_id, t.pos, t.role, t.text FROM pairs p JOIN t ON t.conv_id = p.chosen_id),
-r AS (SELECT p.pair_id, t.pos, t.role, t.text FROM pairs p JOIN t ON t.conv_id = coalesce(p.rejected_id, p.chosen_id) AND (p.rejected_id IS NOT NULL OR t.pos = 1)),
+told AS (SELECT conv_id, list((role, text) ORDER BY pos) AS turns FROM t GROUP BY 1),
+classes AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies FROM told GROUP BY turns),
+u AS (SELECT t.* FROM t JOIN classes USING (conv_id)),
+ends AS (SELECT conv_id, count(*) FILTER (role = 'assistant') AS n_answers, max(pos) FILTER (role = 'assistant') AS last FROM u GROUP BY 1),
+heads AS (
+  SELECT e.conv_id, md5(CAST(e.conv_id AS VARCHAR)) AS h, o.role AS orole, o.text AS otext, e.n_answers, e.last, md5(a.text) AS answer
+  FROM ends e JOIN u o ON o.conv_id = e.conv_id AND o.pos = 1 LEFT JOIN u a ON a.conv_id = e.conv_id AND a.pos = e.last),
+a1 AS (SELECT *, row_number() OVER w AS rn, lead(conv_id) OVER w AS nid, lead(n_answers) OVER w AS nn FROM heads WINDOW w AS (PARTITION BY orole, otext, left(h, 3) ORDER BY h, conv_id)),
+a2 AS (SELECT conv_id, h, orole, otext, n_answers, row_number() OVER w AS rn, lead(conv_id) OVER w AS nid, lead(n_answers) OVER w AS nn FROM a1 WHERE rn = 1 WINDOW w AS (PARTITION BY orole, otext, left(h, 1) ORDER BY h, conv_id)),
+a3 AS (SELECT conv_id, n_answers, lead(conv_id) OVER w AS nid, lead(n_answers) OVER w AS nn FROM a2 WHERE rn = 1 WINDOW w AS (PARTITION BY orole, otext ORDER BY h, conv_id)),
+met AS (
+  SELECT conv_id, n_answers, nid, nn FROM a1 UNION ALL SELECT conv_id, n_answers, nid, nn FROM a2 UNION ALL SELECT conv_id, n_answers, nid, nn FROM a3),
+sib AS (
+  SELECT 'sibling' AS kind, CASE WHEN ahead THEN conv_id ELSE nid END AS chosen_id, CASE WHEN ahead THEN nid ELSE conv_id END AS rejected_id
+  FROM (SELECT *, n_answers > nn OR (n_answers = nn AND conv_id < nid) AS ahead FROM met WHERE nid IS NOT NULL)),
+size AS (SELECT CAST(CASE WHEN count(*) < 1024 THEN 0 ELSE floor(log(count(*) / 64.0) / log(16.0) + 1e-9) END AS INTEGER) AS digits FROM heads WHERE last IS NOT NULL),
+g AS (SELECT conv_id, answer, left(h, digits) AS g FROM heads, size WHERE last IS NOT NULL),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY g ORDER BY answer) AS rk FROM g),
+nexts AS (SELECT g, rk, min(conv_id) AS other FROM ranked GROUP BY ALL),
+sta AS (
+  SELECT 'stand-in' AS kind, r.conv_id AS chosen_id, coalesce(n.other, CASE WHEN r.rk > 1 THEN f.other END) AS rejected_id
+  FROM ranked r LEFT JOIN nexts n ON n.g = r.g AND n.rk = r.rk + 1 JOIN nexts f ON f.g = r.g AND f.rk = 1),
+pairs AS (SELECT * FROM sib UNION ALL SELECT * FROM sta WHERE rejected_id IS NOT NULL),
+c AS (SELECT p.kind, p.chosen_id, p.rejected_id, u.pos, u.role, u.text FROM pairs p JOIN u ON u.conv_id = p.chosen_id),
+r AS (
+  SELECT p.kind, p.chosen_id, p.rejected_id, u.pos, u.role, u.text FROM pairs p JOIN u ON u.conv_id = p.rejected_id WHERE p.kind = 'sibling'
+  UNION ALL
+  SELECT p.kind, p.chosen_id, p.rejected_id, u.pos, u.role, u.text FROM pairs p JOIN ends e ON e.conv_id = p.chosen_id JOIN u ON u.conv_id = p.chosen_id AND u.pos < e.last WHERE p.kind = 'stand-in'
+  UNION ALL
+  SELECT p.kind, p.chosen_id, p.rejected_id, e.last, u.role, u.text FROM pairs p JOIN ends e ON e.conv_id = p.chosen_id JOIN ends o ON o.conv_id = p.rejected_id JOIN u ON u.conv_id = p.rejected_id AND u.pos = o.last WHERE p.kind = 'stand-in'),
 lcp AS (
-  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id,
+  SELECT coalesce(c.kind, r.kind) AS kind, coalesce(c.chosen_id, r.chosen_id) AS chosen_id, coalesce(c.rejected_id, r.rejected_id) AS rejected_id,
          coalesce(min(CASE WHEN c.role = r.role AND c.text = r.text THEN NULL ELSE coalesce(c.pos, r.pos) END) - 1, count(*)) AS k
-  FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.pos = r.pos GROUP BY 1),
+  FROM c FULL JOIN r ON c.kind = r.kind AND c.chosen_id = r.chosen_id AND c.rejected_id = r.rejected_id AND c.pos = r.pos GROUP BY ALL),
 cc AS (
-  SELECT c.pair_id, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) FILTER (pos <= k), '') AS prompt,
+  SELECT c.kind, c.chosen_id, c.rejected_id, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) FILTER (pos <= k), '') AS prompt,
          coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) FILTER (pos > k), '') AS chosen,
          string_agg(CASE WHEN role = 'assistant' THEN (length(role) + 5) || ':0,' || length(text) || ':1,1:0' ELSE (length(role) + 6 + length(text)) || ':0' END, ',' ORDER BY pos) FILTER (pos > k) AS mask
-  FROM c JOIN lcp USING (pair_id) GROUP BY 1),
+  FROM c JOIN lcp USING (kind, chosen_id, rejected_id) GROUP BY ALL),
 rr AS (
-  SELECT r.pair_id, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) FILTER (pos > k), '') AS rejected,
+  SELECT r.kind, r.chosen_id, r.rejected_id, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) FILTER (pos > k), '') AS rejected,
          string_agg(CASE WHEN role = 'assistant' THEN (length(role) + 5) || ':0,' || length(text) || ':1,1:0' ELSE (length(role) + 6 + length(text)) || ':0' END, ',' ORDER BY pos) FILTER (pos > k) AS mask
-  FROM r JOIN lcp USING (pair_id) GROUP BY 1)
-SELECT p.pair_id, p.chosen_id, p.rejected_id, CAST(l.k AS BIGINT) AS prefix_turns, cc.prompt, cc.chosen, rr.rejected,
+  FROM r JOIN lcp USING (kind, chosen_id, rejected_id) GROUP BY ALL)
+SELECT l.kind, l.chosen_id, l.rejected_id, x.n_copies, CAST(l.k AS BIGINT) AS prefix_turns, cc.prompt, cc.chosen, rr.rejected,
        concat_ws(',', length(cc.prompt) || ':0', cc.mask) AS chosen_mask, concat_ws(',', length(cc.prompt) || ':0', rr.mask) AS rejected_mask
-FROM pairs p JOIN lcp l USING (pair_id) JOIN cc USING (pair_id) JOIN rr USING (pair_id)
+FROM lcp l JOIN cc USING (kind, chosen_id, rejected_id) JOIN rr USING (kind, chosen_id, rejected_id) JOIN classes x ON x.conv_id = l.chosen_id
 """
