@@ -41,20 +41,34 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _FOLDER.reset(token)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        deleted(spark, path)
+
+
+def deleted(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Deletes a folder of the shared one, now or when the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(at) if at_exit else files.delete(at, True)
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: its lineage
     ends there, and a lost executor costs no recomputation of what came before.
-    With keep it outlives the scratch folder."""
+    With keep, or outside a scratch folder, it stays until the driver ends."""
     spark = df.sparkSession
-    path = f"{(None if keep else _FOLDER.get()) or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = None if keep else _FOLDER.get()
+    path = f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if folder is None:
+        deleted(spark, path, at_exit=True)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of what has ended, which else stay until the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,23 +2,29 @@
 
 A text's UTF-8 bytes, with zero bytes up to a positive multiple of 64, are a
 payload of 8-bit samples. A rolling gear hash cuts it; the chunks are stored
-once each under their digest, and a medium is an ordered chunk list. Reading
-joins the lists with the chunk store, puts the samples together in order and
-verifies the digest of each chunk and of the payload. A medium's file form is
-a header, the chunk list and the samples.
+once each under their digest, and a medium is an ordered chunk list. Both are
+written. Reading joins the lists with the chunk store, puts the samples
+together in order and verifies the digest of each chunk. A medium's stored form
+is a header, its chunk list and its chunks as they lie in the store; its size
+and digest are taken from the bytes read back.
 
-Chunks move compressed, with a dictionary from a bounded sample; it affects
-no result. Equal texts are one medium, so groups of copies move once.
+Stored chunks are compressed with a dictionary that is trained on a bounded
+sample of the table's chunks, chosen by digest: it is the same in every run
+over a table, and equal texts have equal stored forms. Equal texts are one
+medium, so groups of copies are read once.
 
 Defined results: null texts are empty texts, whose payload is 64 zero bytes;
-rows are independent, so repeated rows repeat their result; other columns are
-ignored, whatever their names. A chunk that fails its digest fails the job.
+very long texts are cut whole, a medium being put together in one task; ties of
+equal chunks are one chunk; rows are independent, so repeated rows repeat their
+result; empty tables give empty results; other columns are ignored, whatever
+their names. A chunk that fails its digest fails the job.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -26,13 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import collected, deleted, map_batches, shared_dir, written
 
 UNIT, MAGIC = 64, b"GLCD"
 LEAST, MOST, MASK = 1024, 32768, (1 << 12) - 1
 GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
-#: Rows that the compression dictionary is trained on at most, and its size.
-SAMPLE_ROWS, DICTIONARY = 600, 64 * 1024
+#: Chunks that the compression dictionary is trained on at most (of those whose digest begins with six zero bits), and its size.
+SAMPLE_CHUNKS, DICTIONARY = 1500, 64 * 1024
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -72,28 +78,42 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def container(parts: list[bytes], n_bytes: int) -> bytes:
-    """A medium's file form."""
-    table = b"".join(digest(p) + struct.pack("<I", len(p)) for p in parts)
-    return MAGIC + struct.pack("<QI", n_bytes, len(parts)) + table + b"".join(parts)
+def container(stored: list[tuple[bytes, bytes]], n_bytes: int, dictionary: bytes) -> bytes:
+    """A medium's file form: a header, the list of its chunks (digest, stored
+    size), and the stored chunks (digest, compressed samples) as they lie in the store."""
+    table = b"".join(sign + struct.pack("<I", len(z)) for sign, z in stored)
+    known = digest(dictionary) if dictionary else bytes(16)
+    return MAGIC + struct.pack("<QI", n_bytes, len(stored)) + known + table + b"".join(z for _, z in stored)
 
 
-def opened(media: bytes) -> tuple[bytes, int]:
+def opened(media: bytes, dictionary: bytes) -> tuple[bytes, int]:
     """The payload of a file form, every chunk verified, and its unpadded length."""
-    if media[:4] != MAGIC:
-        raise ValueError("not a chunked medium")
+    if media[:4] != MAGIC or media[16:32] != (digest(dictionary) if dictionary else bytes(16)):
+        raise ValueError("not a chunked medium of this store")
     n_bytes, n = struct.unpack_from("<QI", media, 4)
-    at, out = 16 + 20 * n, []
+    plain = decompressor(dictionary)
+    at, out = 32 + 20 * n, []
     for i in range(n):
-        sign, size = struct.unpack_from("<16sI", media, 16 + 20 * i)
-        part = media[at : at + size]
-        if digest(part) != sign:
-            raise ValueError("a chunk fails its digest")
-        out.append(part)
+        sign, size = struct.unpack_from("<16sI", media, 32 + 20 * i)
+        out.append(verified(plain, sign, media[at : at + size]))
         at += size
     return b"".join(out), n_bytes
 
 
+def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+
+
+def verified(plain: zstandard.ZstdDecompressor, sign: bytes, z: bytes) -> bytes:
+    try:
+        chunk = plain.decompress(z)
+    except zstandard.ZstdError as e:
+        raise ValueError("a chunk cannot be read") from e
+    if digest(chunk) != sign:
+        raise ValueError("a chunk fails its digest")
+    return chunk
+
+
 def feature(samples: bytes) -> str:
     """Whole-number statistics of the samples."""
     counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
@@ -102,9 +122,10 @@ def feature(samples: bytes) -> str:
     return f"sum={int(counts @ value)};energy={int(counts @ value**2)};levels={int((counts > 0).sum())};entropy={-float(p @ np.log2(p)):.6f}"
 
 
-def _dictionary(docs: DataFrame) -> bytes:
-    rows = docs.select(F.substring("text", 1, 20_000).alias("text")).where("text is not null").limit(SAMPLE_ROWS).toLocalIterator()
-    parts = [c for r in rows for c in chunks(payload(r["text"])[0])]
+def _dictionary(heads: DataFrame) -> bytes:
+    """Trained on the SAMPLE_CHUNKS sampled chunks of the least digests, so it depends on the table only."""
+    rows = heads.select(F.explode("sample").alias("chunk")).select(F.sha2("chunk", 256).alias("k"), "chunk").distinct().orderBy("k").limit(SAMPLE_CHUNKS).collect()
+    parts = [bytes(r["chunk"]) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes() if len(parts) >= 50 else b""
     except zstandard.ZstdError:  # too little or too uniform to learn from
@@ -112,21 +133,24 @@ def _dictionary(docs: DataFrame) -> bytes:
 
 
 def listed(docs: DataFrame) -> DataFrame:
-    """doc_id, media_id, n_bytes and the ordered chunk list (digests) of each row."""
+    """doc_id, media_id, n_bytes, the ordered chunk list (digests) and the sampled chunks of each row."""
 
     def make():
         def work(x):
-            out = {"doc_id": x["doc_id"], "media_id": [], "n_bytes": [], "list": []}
+            out = {"doc_id": x["doc_id"], "media_id": [], "n_bytes": [], "list": [], "sample": []}
             for text in x["text"]:
                 data, n = payload(text)
+                parts = chunks(data)
+                signs = [digest(c) for c in parts]
                 out["media_id"].append(digest(struct.pack("<Q", n) + data))
                 out["n_bytes"].append(n)
-                out["list"].append([digest(c) for c in chunks(data)])
+                out["list"].append(signs)
+                out["sample"].append([c for c, sign in zip(parts, signs, strict=True) if sign[0] >> 2 == 0])
             return out
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, media_id binary, n_bytes long, list array<binary>", make)
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, media_id binary, n_bytes long, list array<binary>, sample array<binary>", make)
 
 
 def stored(docs: DataFrame, dictionary: bytes) -> DataFrame:
@@ -164,21 +188,15 @@ def rebuilt(lists: DataFrame, store: DataFrame, dictionary: bytes, keep_media: b
     gathered = single.unionByName(gathered)
 
     def make():
-        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        plain = zstandard.ZstdDecompressor(dict_data=known)
+        plain = decompressor(dictionary)
 
         def work(x):
             names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media")
             out = {"media_id": x["media_id"], "n_chunks": x["n"], **{c: [] for c in names}}
             for n_bytes, parts in zip(x["n_bytes"], x["parts"], strict=True):
-                whole = []
-                for part in sorted(parts, key=lambda p: p["at"]):
-                    chunk = plain.decompress(part["z"])
-                    if digest(chunk) != part["digest"]:
-                        raise ValueError("a chunk fails its digest")
-                    whole.append(chunk)
-                media = container(whole, n_bytes)
-                data, _ = opened(media)
+                found = [(p["digest"], p["z"]) for p in sorted(parts, key=lambda p: p["at"])]
+                data = b"".join(verified(plain, sign, z) for sign, z in found)
+                media = container(found, n_bytes, dictionary)
                 values = (len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).digest(), feature(data), media if keep_media else None)
                 for c, v in zip(names, values, strict=True):
                     out[c].append(v)
@@ -189,14 +207,30 @@ def rebuilt(lists: DataFrame, store: DataFrame, dictionary: bytes, keep_media: b
     return map_batches(gathered, "media_id binary, n_chunks long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, media binary", make)
 
 
+def written_store(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, str]:
+    """The chunk store as a bucketed table of the shared folder, and its name:
+    a join on digest reads it where it lies, without moving it again."""
+    spark = docs.sparkSession
+    name, path = f"chunks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    deleted(spark, path, at_exit=True)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored(docs, dictionary).write.bucketBy(n, "digest").option("path", path).format("parquet").saveAsTable(name)
+    collected(spark)
+    return spark.table(name), name
+
+
 def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, n_chunks (and media) of each row of docs."""
-    dictionary = _dictionary(docs)
-    heads = written(listed(docs), "media-lists")
+    media_sha256, feature, n_chunks (and media) of each row of docs, all read
+    from the written chunk lists and chunk store."""
+    spark = docs.sparkSession
+    heads = written(listed(docs), "media-lists", keep=True)
+    dictionary = _dictionary(heads)
     lists = heads.groupBy("media_id").agg(F.first("n_bytes").alias("n_bytes"), F.first("list").alias("list"))
-    found = rebuilt(lists, stored(docs, dictionary), dictionary, keep_media)
+    store, name = written_store(docs, dictionary)
+    found = written(rebuilt(lists, store, dictionary, keep_media), "media-found", keep=True)
+    spark.sql(f"DROP TABLE {name}")
     if not keep_media:
-        found = written(found.drop("media"), "media-found")
+        found = found.drop("media")
     out = heads.select("doc_id", "media_id", "n_bytes").join(found, "media_id").drop("media_id")
     return out.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
