@@ -12,8 +12,11 @@ confirmed on full sets.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; texts with fewer words than a shingle have one, the whole sequence;
-equal sets are one class and always linked; rows that repeat a doc_id each get
-a row; other columns are ignored, whatever their names.
+equal sets are one class and always linked; very long texts are read whole;
+ties of leaders go by number, and no result depends on them; rows that repeat a
+doc_id each get a row and keep the links of their own text (a null doc_id is no
+component's least id); empty tables give empty results; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, mixed, scratch, windows, written
+from .common import WordHashes, map_batches, mixed, scratch, unused, windows, written
 
 SPACE = 1 << 20
 BANDS, ROWS = 56, 6
@@ -90,7 +93,7 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         cache, circulant = WordHashes(), Circulant(bands, rows)
 
         def work(x):
-            out = {"doc_id": x["doc_id"], "n": [], "set_id": [], "keys": [], "bits": []}
+            out = {"doc_id": x["doc_id"], "h": x["h"], "n": [], "set_id": [], "keys": [], "bits": []}
             for text in x["text"]:
                 found = shingles(text, width, cache)
                 out["n"].append(len(found))
@@ -102,7 +105,8 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, n long, set_id binary, keys array<long>, bits array<long>", make)
+    some = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return map_batches(some, "doc_id long, h long, n long, set_id binary, keys array<long>, bits array<long>", make)
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -210,20 +214,28 @@ def _prefixes(texts: DataFrame, members: DataFrame, width: int, percent: int) ->
     return a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & _fits(F.col("a.n"), F.col("b.n"), percent) & reach).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    return _judged(docs, **options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The same with h, the hash of each row's text."""
     signed = written(_signed(docs, width, bands, rows), "minhash-signed", keep=True)
     with scratch(docs.sparkSession):
         labels = _labels(docs, signed, width, percent, bands, rows)
-    out = signed.select("doc_id", "n", "set_id").join(labels, "set_id", "left")
+    # Rows without shingles have no set; each has a key of its own, so that they meet in no one task.
+    out = signed.select("doc_id", "h", "n", F.coalesce("set_id", F.concat(F.lit("id "), F.col("doc_id").cast("string")).cast("binary"), F.lit("").cast("binary")).alias("set_id")).join(labels, "set_id", "left")
     top = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), top.alias("component_id"), F.coalesce(top == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), top.alias("component_id"), F.coalesce(top == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def _labels(docs: DataFrame, signed: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """component_id of each set_id."""
+    """component_id of each set_id. Classes of equal sets are told apart by a
+    number of their own (rep), as rows of different sets may share a doc_id."""
     some = signed.where("n > 0")
-    classes = written(some.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "minhash-classes")
+    classes = some.groupBy("set_id").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "minhash-classes")
     apart, width_ = bits_apart(bands * rows, percent), -(-bands * rows // 64)
     words_ = [f"b{i}" for i in range(width_)]
     bits = classes.select("rep", *(F.col("bits")[i].alias(c) for i, c in enumerate(words_)))
@@ -231,8 +243,9 @@ def _labels(docs: DataFrame, signed: DataFrame, width: int, percent: int, bands:
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count("*").alias("size")).where("size > 1").drop("size")
     shared = written(keyed.join(leaders, "key"), "minhash-shared")
     stars = shared.where("rep <> leader").where(_fits(F.col("n"), F.col("leader_n"), percent)).select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
-    involved = shared.select("rep").distinct()
-    texts = written(docs.select(F.col("doc_id").alias("rep"), "text").join(involved, "rep").dropDuplicates(["rep"]), "minhash-texts")
+    involved = classes.join(shared.select("rep").distinct(), "rep").select("rep", F.col("row.doc_id").alias("__d"), F.col("row.h").alias("__h"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(involved, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h")))
+    texts = written(texts.select("rep", "text").dropDuplicates(["rep"]), "minhash-texts")
     links = written(_verified(stars, texts, width, percent), "minhash-links")
     roots = components(links, "minhash-cc")
     rest = _unsettled(shared, roots, bits)
@@ -248,11 +261,15 @@ def _labels(docs: DataFrame, signed: DataFrame, width: int, percent: int, bands:
     more = written(_verified(few.distinct(), texts, width, percent), "minhash-links")
     if not more.isEmpty():
         roots = _merged(roots, more)
-    found = classes.select("set_id", F.col("rep").alias("node")).join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("component_id"))
+    found = classes.select("set_id", "least", F.col("rep").alias("node")).join(roots, "node", "left").select("set_id", "least", "node", "root")
+    # Classes without links are their own component; the others take the least doc_id of theirs.
+    tops = found.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    found = found.join(tops, F.col("root") == F.col("r"), "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"))
     return written(found, "minhash-labels", keep=True)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: one document of each group."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that stay: one document of each group; rows that repeat an id go or stay by their own texts."""
+    ident, mark = unused(docs, "__id", "__mark")
+    gone = _judged(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(ident), F.col("h").alias(mark)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(ident)) & (F.xxhash64("text") == F.col(mark)), "left_anti").select(*docs.columns)
