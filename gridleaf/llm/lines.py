@@ -1,12 +1,15 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line descends by its number of words and by its leading words; words that
-hold digits, addresses or signs of variable fields are wildcards on the way. A
-leaf keeps one template for the whole masked line and, for longer lines, five
-more in which one fifth of the words is a wildcard, so that lines which differ
-inside one fifth generalise to the same template. A template that recurs in
-enough documents is dropped from all but the document of the smallest doc_id.
-Short templates need more documents than passages of fifty words and more.
+hold digits, addresses or signs of variable fields are wildcards on the way,
+unless more than half of the line's words are such fields. A leaf keeps one
+template for the whole masked line and five more in which one fifth of the
+words is a wildcard, the leading words' branch included where the fifth covers
+them. Lines of one leaf that agree in all words outside one fifth (a similarity
+of 0.8 or more) thus merge in one template, which needs a fixed number of
+constant words. A template that recurs in enough documents is dropped from all
+but the document of the smallest doc_id; lines of fifty words and more need one
+document less. Keys are 64-bit hashes of all constant words and their places.
 
 A passage of fifty words that recurs verbatim (but for case and white space)
 goes wherever it stands, broken into lines or inside longer ones: every run of
@@ -16,11 +19,17 @@ equal passages have equal anchors, and only runs around anchors that recur are
 listed. Lines that such passages cover are dropped whatever their length, and
 lines that they cover in part lose the covered words only.
 
+Lines to drop are named by document and by the hash of their own text, so no
+other line goes with them.
+
 Defined results: null texts stay null and empty ones empty; lines of fewer
-words than the least stay unless a passage covers them; a line that repeats inside one document counts
-once, and its later copies go if its template recurs; a tie of templates drops
-the line once; rows that repeat a doc_id are one document; other columns are
-kept, whatever their names.
+words than the least stay unless a passage covers them; very long texts are
+read whole; a line that repeats inside one document counts once, and its later
+copies go if its template recurs; a line of several recurring templates is
+dropped once; rows that repeat a doc_id count as one holder, and each loses
+only lines that recur elsewhere; rows without a doc_id lose nothing; empty
+tables give empty results; other columns are kept, whatever their names, and
+those named like the counts come first under the name with underscores added.
 """
 
 from __future__ import annotations
@@ -29,12 +38,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, mixed, scratch, unused, written
+from .common import WordHashes, collected, map_batches, mixed, scratch, unused, written
 
 DEPTH, FIFTHS, LONG = 3, 5, 50
+#: Words outside the wildcard fifth that a template needs at least.
+CONSTANT = 6
 #: Words of an anchor.
 GRAM = 16
 _BASE = 0x9E3779B97F4A7C15
@@ -50,29 +62,30 @@ class MaskedHashes(WordHashes):
         return WordHashes.hashed(b"*" if VARIABLE.search(word) else word)
 
 
-def templates(lines: list[list[bytes]], cache: MaskedHashes, wild: int = 20) -> tuple[np.ndarray, np.ndarray]:
+def templates(plain: np.ndarray, masked: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the templates of lines of words (none empty), and the line each
-    belongs to. A masked line's own template comes from its path and all its
-    placed words; a generalised one leaves out those of one fifth."""
-    sizes = np.array([len(x) for x in lines])
-    flat = [w for x in lines for w in x]
-    h = cache.of(flat)
+    belongs to; plain and masked are the hashes of all lines' words."""
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    place = np.arange(1, len(flat) + 1) - np.repeat(starts, sizes)
-    placed = mixed(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    fields = np.add.reduceat(plain != masked, starts)
+    h = np.where(np.repeat(2 * fields > sizes, sizes), plain, masked)
+    place = np.arange(1, len(h) + 1) - np.repeat(starts, sizes)
+    placed = mixed(h + place.astype(np.uint64) * np.uint64(_BASE))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(placed, dtype=np.uint64)])
-    lead = sums[starts + np.minimum(sizes, DEPTH)] - sums[starts]
-    path = mixed(lead + sizes.astype(np.uint64))
-    total = sums[ends] - sums[starts]
-    longer = np.flatnonzero(sizes >= wild)
-    keys, owner = [mixed(path ^ total)], [np.arange(len(lines))]
+    total, lead = sums[ends] - sums[starts], np.minimum(sizes, DEPTH)
+    branch = mixed(sums[starts + lead] - sums[starts] + sizes.astype(np.uint64))
+    keys, owner = [mixed(branch ^ total)], [np.arange(len(sizes))]
     for i in range(FIFTHS):
-        room = sizes[longer] - DEPTH
-        since, until = (starts[longer] + DEPTH + room * k // FIFTHS for k in (i, i + 1))
-        gone = sums[until] - sums[since]
-        keys.append(mixed((path[longer] ^ (total[longer] - gone)) + np.uint64((i + 1) << 40)))
-        owner.append(longer)
+        since, until = sizes * i // FIFTHS, sizes * (i + 1) // FIFTHS
+        some = np.flatnonzero((until > since) & (sizes - (until - since) >= CONSTANT))
+        at, a, b = starts[some], since[some], until[some]
+        gone = sums[at + b] - sums[at + a]
+        # Leading words inside the fifth descend by the wildcard.
+        la, lb = np.minimum(a, lead[some]), np.minimum(b, lead[some])
+        leading = sums[at + lead[some]] - sums[at] - (sums[at + lb] - sums[at + la])
+        branch = mixed(leading + sizes[some].astype(np.uint64))
+        keys.append(mixed((branch ^ (total[some] - gone)) + np.uint64((i + 1) << 40)))
+        owner.append(some)
     return np.concatenate(keys).view(np.int64), np.concatenate(owner)
 
 
@@ -119,49 +132,57 @@ def _once(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return order[first]
 
 
+def line_hash(line: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+
+
 def _keyed(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, at (position of the line), long (whether it is a passage), fresh
-    (1 at the document's first such key) and key, of each line's templates, and
-    of each text's anchors, whose at is -1."""
+    """doc_id, line (its hash, null for an anchor), long (whether it is a
+    passage), fresh (1 at the document's first such key) and key, of each line's
+    templates and of each text's anchors."""
 
     def make():
         cache, plain = MaskedHashes(), WordHashes()
 
         def work(x):
-            docs, ats, lines, flat, sizes = [], [], [], [], []
+            docs, names, flat, sizes, lengths, starts = [], [], [], [], [], []
             for doc, text in enumerate(x["text"]):
-                sizes.append(-len(flat))
-                for at, line in enumerate((text or "").encode().lower().split(b"\n")):
-                    words = line.split()
-                    flat += words
+                since = len(flat)
+                for line in (text or "").encode().split(b"\n"):
+                    words = line.lower().split()
                     if len(words) >= least:
                         docs.append(doc)
-                        ats.append(at)
-                        lines.append(words)
-                sizes[-1] += len(flat)
-            sizes = np.array(sizes, np.int64)
-            place, marks = anchors(plain.of(flat), sizes)
+                        names.append(line_hash(line))
+                        lengths.append(len(words))
+                        starts.append(len(flat))
+                    flat += words
+                sizes.append(len(flat) - since)
+            sizes, lengths = np.array(sizes, np.int64), np.array(lengths, np.int64)
+            h = plain.of(flat)
+            place, marks = anchors(h, sizes)
             holder = np.repeat(np.arange(len(sizes)), sizes)[place]
             some = _once(holder, marks)
-            if not lines and not len(some):
-                return {c: [] for c in ("doc_id", "at", "long", "fresh", "key")}
-            keys, owner = templates(lines, cache) if lines else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            keys, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if len(lengths):
+                inside = np.repeat(np.array(starts) - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+                keys, owner = templates(h[inside], cache.of(flat)[inside], lengths)
             doc = np.array(docs, np.int64)[owner]
             first = np.zeros(len(keys), np.int64)
             first[_once(doc, keys)] = 1
             ids = pa.array(x["doc_id"], pa.int64()).take(pa.array(np.concatenate([doc, holder[some]])))
-            passage = np.array([len(w) >= LONG for w in lines], bool)
+            n = len(some)
+            line = np.concatenate([np.array(names, np.int64)[owner], np.zeros(n, np.int64)])
             return {
                 "doc_id": ids,
-                "at": np.concatenate([np.array(ats, np.int32)[owner], np.full(len(some), -1, np.int32)]),
-                "long": np.concatenate([passage[owner], np.ones(len(some), bool)]),
-                "fresh": np.concatenate([first, np.ones(len(some), np.int64)]),
+                "line": pa.array(line, mask=np.concatenate([np.zeros(len(keys), bool), np.ones(n, bool)])),
+                "long": np.concatenate([(lengths >= LONG)[owner], np.ones(n, bool)]),
+                "fresh": np.concatenate([first, np.ones(n, np.int64)]),
                 "key": np.concatenate([keys, marks[some]]),
             }
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, at int, long boolean, fresh long, key long", make)
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, line long, long boolean, fresh long, key long", make)
 
 
 def _around(docs: DataFrame) -> DataFrame:
@@ -202,42 +223,41 @@ def _pairs(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: int = 2) -> DataFrame:
-    """doc_id, gone (positions of the lines to drop), covered (keys of the
-    passages to drop, or null). Templates and passages are counted by partial
-    aggregates, so no key's rows ever have to meet; the joins with those that
-    recur are ones whose large partitions Spark splits."""
+    """doc_id, gone (hashes of the lines to drop), covered (keys of the passages
+    to drop, or null). Templates and passages are counted by partial aggregates,
+    so no key's rows ever have to meet; the joins with those that recur are ones
+    whose large partitions Spark splits."""
     spark = docs.sparkSession
     with scratch(spark):
         keyed = written(_keyed(docs, least), "lines-keyed")
         counts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("long").alias("long"), F.sum("fresh").alias("docs"))
         often = counts.where("first < last").where(F.col("docs") >= F.when(F.col("long"), long_docs).otherwise(short_docs))
         often = written(often.select("key", "first"), "lines-often")
-        hits = keyed.join(often, "key").where("at < 0 or doc_id <> first")
-        marks = hits.groupBy("doc_id").agg(F.collect_set(F.when(F.col("at") >= 0, F.col("at"))).alias("gone"), F.collect_set(F.when(F.col("at") < 0, F.col("key"))).alias("anchors"))
+        hits = keyed.join(often, "key").where("line is null or doc_id <> first")
+        marks = hits.groupBy("doc_id").agg(F.collect_set("line").alias("gone"), F.collect_set(F.when(F.col("line").isNull(), F.col("key"))).alias("anchors"))
         marks = written(marks, "lines-marks", keep=True)
-    _collected(spark)
+    collected(spark)
     with scratch(spark):
         near = marks.where(F.size("anchors") > 0).select("doc_id", "anchors")
         passages = written(_around(docs.select("doc_id", "text").join(near, "doc_id")), "lines-passages")
-        _collected(spark)
+        collected(spark)
         twice = passages.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
         twice = written(twice.select("key", "first"), "lines-twice")
-        _collected(spark)
+        collected(spark)
         covered = passages.join(twice, "key").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("key").alias("covered"))
         covered = written(covered, "lines-covered", keep=True)
-    _collected(spark)
+    collected(spark)
     return marks.select("doc_id", "gone").join(covered, "doc_id", "left")
 
 
-def _collected(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of what has ended, which else stay until the driver collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def uncovered(text: str, gone: set[int], covered: np.ndarray, cache: WordHashes) -> tuple[str, int]:
-    """The text without the lines at gone and without the words of the covered
-    passages, and how many lines are dropped whole."""
+def uncovered(text: str, gone: set[int], covered: np.ndarray | None, cache: WordHashes) -> tuple[str, int]:
+    """The text without the lines whose hashes are gone and without the words of
+    the covered passages, and how many lines are dropped whole."""
     raw = text.encode()
+    if covered is None:
+        lines = raw.split(b"\n")
+        kept = [x for x in lines if line_hash(x) not in gone]
+        return b"\n".join(kept).decode(), len(lines) - len(kept)
     spans = [m.span() for m in _WORD.finditer(raw)]
     low = raw.lower()
     at, keys = runs(cache.of([low[s:e] for s, e in spans]), np.array([len(spans)]), LONG)
@@ -247,11 +267,11 @@ def uncovered(text: str, gone: set[int], covered: np.ndarray, cache: WordHashes)
     ends[at + LONG] -= 1
     lost = (np.cumsum(ends) > 0).tolist()
     out, dropped, k, start = [], 0, 0, 0
-    for i, line in enumerate(raw.split(b"\n")):
+    for line in raw.split(b"\n"):
         since, stop = k, start + len(line)
         while k < len(spans) and spans[k][0] < stop:
             k += 1
-        if i in gone or (k > since and all(lost[since:k])):
+        if (gone and line_hash(line) in gone) or (k > since and all(lost[since:k])):
             dropped += 1
         elif not any(lost[since:k]):
             out.append(line)
@@ -271,17 +291,11 @@ def uncovered(text: str, gone: set[int], covered: np.ndarray, cache: WordHashes)
 def _uncovered(text: pa.Array, gone: pa.Array, covered: pa.Array) -> pa.Array:
     cache, out = WordHashes(), []
     for t, g, c in zip(text, gone, covered, strict=True):
-        found = (None, None) if not t.is_valid else uncovered(t.as_py(), set(g.as_py() or ()), c.values.to_numpy(), cache)
+        found = (None, None) if not t.is_valid else uncovered(t.as_py(), set(g.as_py() or ()), c.values.to_numpy() if c.is_valid else None, cache)
         out.append(dict(zip(("text", "dropped"), found, strict=True)))
     return pa.array(out, pa.struct([("text", pa.string()), ("dropped", pa.int32())]))
 
 
-def _without(text: Column, gone: Column) -> Column:
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
-    return F.when(gone.isNull() | text.isNull() | (F.size(gone) == 0), text).otherwise(F.array_join(kept, "\n"))
-
-
 def length(text: Column) -> Column:
     return F.coalesce(F.char_length(text), F.lit(0)).cast("long")
 
@@ -293,9 +307,11 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     text, gone, covered = F.col("text"), F.col(lost), F.col(over)
     marks = recurring(docs, **options).select(F.col("doc_id").alias(ident), F.col("gone").alias(lost), F.col("covered").alias(over))
     out = docs.join(marks, F.col("doc_id") == F.col(ident), "left")
-    out = out.withColumn(cut, F.arrow_udf(_uncovered, "struct<text: string, dropped: int>")(F.when(covered.isNotNull(), text), gone, covered))
-    out = out.withColumn(new, F.coalesce(F.col(cut)["text"], _without(text, gone)))
+    some = covered.isNotNull() | (F.size(gone) > 0)
+    out = out.withColumn(cut, F.arrow_udf(_uncovered, "struct<text: string, dropped: int>")(F.when(some, text), gone, covered))
+    out = out.withColumn(new, F.coalesce(F.col(cut)["text"], text))
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
-    dropped = F.coalesce(F.col(cut)["dropped"], F.size(gone), F.lit(0)).cast("long")
-    old = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "chars_before", "chars_after")]
-    return out.select(*(F.col(new).alias("text") if c == "text" else F.col(c) for c in old), n.alias("n_lines"), dropped.alias("n_dropped"), length(text).alias("chars_before"), length(F.col(new)).alias("chars_after"))
+    dropped = F.coalesce(F.col(cut)["dropped"], F.lit(0)).cast("long")
+    counts = {"n_lines": n, "n_dropped": dropped, "chars_before": length(text), "chars_after": length(F.col(new))}
+    aside = {c: unused(docs, f"{c}_")[0] for c in docs.columns if c in counts}
+    return out.select(*(F.col(new).alias("text") if c == "text" else F.col(c).alias(aside.get(c, c)) for c in docs.columns), *(v.alias(c) for c, v in counts.items()))
