@@ -3,6 +3,12 @@
 Each stage is a function of (spark, docs, sf_dir); run() writes what a stage
 returns as Parquet and reads it again as the next one's docs. All but the last
 return the columns of documents.
+
+Defined results: null and empty texts pass every stage that their quality
+passes, and encode to no ids; very long texts are read whole; ties are those of
+the stages' operators; rows that repeat a doc_id go or stay by their own texts;
+empty tables give empty results of the same columns; further columns of
+documents are carried to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,8 +21,8 @@ from gridleaf.llm import bpe, common, lines, minhash, quality, tiling
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    return quality.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "source", "lang")
+    """Documents that the quality classifier keeps; documents have no URL, so the host is source and the path lang."""
+    return quality.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), [F.col("source"), F.col("lang")])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
