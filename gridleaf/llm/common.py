@@ -10,6 +10,7 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,12 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a written table that is no longer read."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        deleted(df.sparkSession, path)
+
+
 def collected(spark: SparkSession) -> None:
     """Lets go of the shuffle files of what has ended, which else stay until the driver collects its garbage."""
     spark.sparkContext._jvm.System.gc()
@@ -87,7 +94,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """mapInArrow over columns as Python lists. make() runs once in each task
     and returns the function from columns to columns of any length. Batches are
-    worked on in slices, so that a slice's Python objects stay few."""
+    worked on in slices of few rows and bytes (but one row at least), so that a
+    slice's Python objects stay few."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -96,14 +104,28 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at, n in _slices(batch):
+                part = batch.slice(at, n)
                 got = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 1024, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """(start, rows) of a batch's slices."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            total += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(total), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, min(rows, int(np.searchsorted(ends, before + size, "right")) - at, batch.num_rows - at))
+        yield at, n
+        at += n
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
@@ -128,6 +150,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_OF_BYTE = np.random.default_rng(17).integers(1, 1 << 63, 256, np.uint64)
+_WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, remembered."""
+    if len(_POWERS[0]) < n:
+        size = n + n // 4
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs without ASCII white space start and end in bytes."""
+    step = np.diff((~_WHITE[data]).view(np.int8), prepend=0, append=0)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, by sums of powers: equal stretches have equal ones wherever they stand."""
+    power, inverse = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_OF_BYTE[data] * power[:-1], dtype=np.uint64, out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of width words, in order; of the whole sequence where it is shorter."""
     n = len(hashes)

@@ -42,24 +42,55 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, collected, map_batches, mixed, scratch, unused, written
+from .common import LOWER, collected, map_batches, mixed, powers, scratch, span_hashes, unused, word_spans, written
 
 DEPTH, FIFTHS, LONG = 3, 5, 50
 #: Words outside the wildcard fifth that a template needs at least.
 CONSTANT = 6
 #: Words of an anchor.
 GRAM = 16
+#: Columns that dedup_lines adds.
+COUNTS = ("n_lines", "n_dropped", "chars_before", "chars_after")
 _BASE = 0x9E3779B97F4A7C15
-_WORD = re.compile(rb"\S+")
+#: Signs of a variable field, besides '://'.
+_FIELD = np.isin(np.arange(256), list(b"0123456789@\\"))
 VARIABLE = re.compile(rb"[0-9@]|://|\\")
-
-
-class MaskedHashes(WordHashes):
-    """Hashes in which all variable fields are one wildcard."""
-
-    @staticmethod
-    def hashed(word: bytes) -> int:
-        return WordHashes.hashed(b"*" if VARIABLE.search(word) else word)
+_STAR = np.uint64(0x2545F4914F6CDD1D)
+
+
+class Words:
+    """The words and lines of texts, as positions in their joined bytes, with hashes."""
+
+    def __init__(self, texts: list[str | None]):
+        parts = [(t or "").encode() for t in texts]
+        self.raw = b"\n".join(parts)
+        self.data = data = np.frombuffer(self.raw, np.uint8)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        self.since = np.cumsum(sizes + 1) - sizes - 1  # where each text starts
+        low = LOWER[data]
+        self.starts, self.ends = word_spans(low)
+        self.hashes = span_hashes(low, self.starts, self.ends)
+        self.text = np.searchsorted(self.since, self.starts, "right") - 1
+        self.sizes = np.bincount(self.text, minlength=len(parts))
+        #: Lines as stretches of bytes; the last one of a text ends where the next text starts.
+        breaks = np.flatnonzero(data == 10)
+        self.line_starts = np.concatenate([[0], breaks + 1])
+        self.line_ends = np.concatenate([breaks, [len(data)]])
+        self.first = np.searchsorted(self.starts, self.line_starts)  # each line's first word
+        self.words = np.diff(self.first, append=len(self.starts))
+
+    def masked(self) -> np.ndarray:
+        """The words' hashes, those of variable fields replaced by one."""
+        sign = _FIELD[self.data]
+        at = self.raw.find(b"://")
+        while at >= 0:
+            sign[at] = True
+            at = self.raw.find(b"://", at + 1)
+        before = np.concatenate([[0], np.cumsum(sign)])
+        return np.where(before[self.ends] > before[self.starts], _STAR, self.hashes)
+
+    def line_hashes(self) -> np.ndarray:
+        return span_hashes(self.data, self.line_starts, self.line_ends).view(np.int64)
 
 
 def templates(plain: np.ndarray, masked: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +101,7 @@ def templates(plain: np.ndarray, masked: np.ndarray, sizes: np.ndarray) -> tuple
     fields = np.add.reduceat(plain != masked, starts)
     h = np.where(np.repeat(2 * fields > sizes, sizes), plain, masked)
     place = np.arange(1, len(h) + 1) - np.repeat(starts, sizes)
-    placed = mixed(h + place.astype(np.uint64) * np.uint64(_BASE))
+    placed = mixed(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(placed, dtype=np.uint64)])
     total, lead = sums[ends] - sums[starts], np.minimum(sizes, DEPTH)
     branch = mixed(sums[starts + lead] - sums[starts] + sizes.astype(np.uint64))
@@ -94,8 +125,7 @@ def runs(h: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.n
     hashes; h has the words of all texts, sizes the words of each."""
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(h))
     at = np.flatnonzero(left >= width)
-    power = np.cumprod(np.full(len(h), _BASE, np.uint64))
-    inverse = np.cumprod(np.full(len(h), pow(_BASE, -1, 1 << 64), np.uint64))
+    power, inverse = powers(len(h))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power, dtype=np.uint64)])
     return at, mixed((sums[at + width] - sums[at]) * inverse[at])
 
@@ -132,48 +162,30 @@ def _once(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return order[first]
 
 
-def line_hash(line: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
-
-
 def _keyed(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, line (its hash, null for an anchor), long (whether it is a
     passage), fresh (1 at the document's first such key) and key, of each line's
     templates and of each text's anchors."""
 
     def make():
-        cache, plain = MaskedHashes(), WordHashes()
-
         def work(x):
-            docs, names, flat, sizes, lengths, starts = [], [], [], [], [], []
-            for doc, text in enumerate(x["text"]):
-                since = len(flat)
-                for line in (text or "").encode().split(b"\n"):
-                    words = line.lower().split()
-                    if len(words) >= least:
-                        docs.append(doc)
-                        names.append(line_hash(line))
-                        lengths.append(len(words))
-                        starts.append(len(flat))
-                    flat += words
-                sizes.append(len(flat) - since)
-            sizes, lengths = np.array(sizes, np.int64), np.array(lengths, np.int64)
-            h = plain.of(flat)
-            place, marks = anchors(h, sizes)
-            holder = np.repeat(np.arange(len(sizes)), sizes)[place]
+            w = Words(x["text"])
+            place, marks = anchors(w.hashes, w.sizes)
+            holder = w.text[place]
             some = _once(holder, marks)
+            used = np.flatnonzero(w.words >= least)
+            lengths = w.words[used]
             keys, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if len(lengths):
-                inside = np.repeat(np.array(starts) - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-                keys, owner = templates(h[inside], cache.of(flat)[inside], lengths)
-            doc = np.array(docs, np.int64)[owner]
+            if len(used):
+                inside = np.repeat(w.first[used] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+                keys, owner = templates(w.hashes[inside], w.masked()[inside], lengths)
+            doc = w.text[w.first[used]][owner]
             first = np.zeros(len(keys), np.int64)
             first[_once(doc, keys)] = 1
-            ids = pa.array(x["doc_id"], pa.int64()).take(pa.array(np.concatenate([doc, holder[some]])))
             n = len(some)
-            line = np.concatenate([np.array(names, np.int64)[owner], np.zeros(n, np.int64)])
+            line = np.concatenate([w.line_hashes()[used][owner], np.zeros(n, np.int64)])
             return {
-                "doc_id": ids,
+                "doc_id": pa.array(x["doc_id"], pa.int64()).take(pa.array(np.concatenate([doc, holder[some]]))),
                 "line": pa.array(line, mask=np.concatenate([np.zeros(len(keys), bool), np.ones(n, bool)])),
                 "long": np.concatenate([(lengths >= LONG)[owner], np.ones(n, bool)]),
                 "fresh": np.concatenate([first, np.ones(n, np.int64)]),
@@ -190,25 +202,20 @@ def _around(docs: DataFrame) -> DataFrame:
     of doc_id, text, anchors; a key once in each text."""
 
     def make():
-        plain = WordHashes()
-
         def work(x):
-            texts = [(t or "").encode().lower().split() for t in x["text"]]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            h = plain.of([w for t in texts for w in t])
-            holder = np.repeat(np.arange(len(texts)), sizes)
-            place, marks = anchors(h, sizes)
-            wanted = _pairs(holder[place], marks)
-            given = _pairs(np.repeat(np.arange(len(texts)), [len(a) for a in x["anchors"]]), np.array([k for a in x["anchors"] for k in a], np.int64))
+            w = Words(x["text"])
+            place, marks = anchors(w.hashes, w.sizes)
+            wanted = _pairs(w.text[place], marks)
+            given = _pairs(np.repeat(np.arange(len(w.sizes)), [len(a) for a in x["anchors"]]), np.array([k for a in x["anchors"] for k in a], np.int64))
             place = place[np.isin(wanted, given)]
             # A run from p on holds the anchors from p to p + LONG - GRAM.
-            ends = np.zeros(len(h) + 1, np.int64)
+            ends = np.zeros(len(w.hashes) + 1, np.int64)
             np.add.at(ends, np.maximum(place - (LONG - GRAM), 0), 1)
             np.add.at(ends, place + 1, -1)
             near = np.cumsum(ends)[:-1] > 0
-            at, keys = runs(h, sizes, LONG)
+            at, keys = runs(w.hashes, w.sizes, LONG)
             keys = keys[near[at]].view(np.int64)
-            doc = holder[at[near[at]]]
+            doc = w.text[at[near[at]]]
             some = _once(doc, keys)
             return {"doc_id": pa.array(x["doc_id"], pa.int64()).take(pa.array(doc[some])), "key": keys[some]}
 
@@ -219,7 +226,7 @@ def _around(docs: DataFrame) -> DataFrame:
 
 def _pairs(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     """One number for a document's place in its batch and a key."""
-    return mixed(key.view(np.uint64) + doc.astype(np.uint64) * np.uint64(_BASE))
+    return mixed(key.view(np.uint64) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: int = 2) -> DataFrame:
@@ -250,48 +257,43 @@ def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: i
     return marks.select("doc_id", "gone").join(covered, "doc_id", "left")
 
 
-def uncovered(text: str, gone: set[int], covered: np.ndarray | None, cache: WordHashes) -> tuple[str, int]:
+def uncovered(text: str, gone: set[int], covered: np.ndarray | None) -> tuple[str, int]:
     """The text without the lines whose hashes are gone and without the words of
     the covered passages, and how many lines are dropped whole."""
-    raw = text.encode()
-    if covered is None:
-        lines = raw.split(b"\n")
-        kept = [x for x in lines if line_hash(x) not in gone]
-        return b"\n".join(kept).decode(), len(lines) - len(kept)
-    spans = [m.span() for m in _WORD.finditer(raw)]
-    low = raw.lower()
-    at, keys = runs(cache.of([low[s:e] for s, e in spans]), np.array([len(spans)]), LONG)
-    at = at[np.isin(keys.view(np.int64), covered)]
-    ends = np.zeros(len(spans) + 1, np.int64)
-    ends[at] += 1
-    ends[at + LONG] -= 1
-    lost = (np.cumsum(ends) > 0).tolist()
-    out, dropped, k, start = [], 0, 0, 0
-    for line in raw.split(b"\n"):
-        since, stop = k, start + len(line)
-        while k < len(spans) and spans[k][0] < stop:
-            k += 1
-        if (gone and line_hash(line) in gone) or (k > since and all(lost[since:k])):
-            dropped += 1
-        elif not any(lost[since:k]):
-            out.append(line)
-        else:
-            parts: list[list[int]] = []
-            for j in range(since, k):
-                if not lost[j]:
-                    if j > since and not lost[j - 1]:
-                        parts[-1][1] = spans[j][1]
-                    else:
-                        parts.append([*spans[j]])
-            out.append(b" ".join(raw[s:e] for s, e in parts))
-        start = stop + 1
-    return b"\n".join(out).decode(), dropped
+    w = Words([text])
+    drop = np.isin(w.line_hashes(), np.fromiter(gone, np.int64, len(gone)))
+    n = len(w.starts)
+    lost = np.zeros(n, bool)
+    if covered is not None:
+        at, keys = runs(w.hashes, w.sizes, LONG)
+        at = at[np.isin(keys.view(np.int64), covered)]
+        ends = np.zeros(n + 1, np.int64)
+        ends[at] += 1
+        ends[at + LONG] -= 1
+        lost = np.cumsum(ends)[:-1] > 0
+    before = np.concatenate([[0], np.cumsum(lost)])
+    cut = before[w.first + w.words] - before[w.first]
+    drop |= (w.words > 0) & (cut == w.words)
+    out = []
+    for i in np.flatnonzero(~drop).tolist():
+        if not cut[i]:
+            out.append(w.raw[w.line_starts[i] : w.line_ends[i]])
+            continue
+        parts: list[list[int]] = []
+        for j in range(w.first[i], w.first[i] + w.words[i]):
+            if not lost[j]:
+                if j > w.first[i] and not lost[j - 1]:
+                    parts[-1][1] = w.ends[j]
+                else:
+                    parts.append([w.starts[j], w.ends[j]])
+        out.append(b" ".join(w.raw[s:e] for s, e in parts))
+    return b"\n".join(out).decode(), int(drop.sum())
 
 
 def _uncovered(text: pa.Array, gone: pa.Array, covered: pa.Array) -> pa.Array:
-    cache, out = WordHashes(), []
+    out = []
     for t, g, c in zip(text, gone, covered, strict=True):
-        found = (None, None) if not t.is_valid else uncovered(t.as_py(), set(g.as_py() or ()), c.values.to_numpy() if c.is_valid else None, cache)
+        found = (None, None) if not t.is_valid else uncovered(t.as_py(), set(g.as_py() or ()), c.values.to_numpy() if c.is_valid else None)
         out.append(dict(zip(("text", "dropped"), found, strict=True)))
     return pa.array(out, pa.struct([("text", pa.string()), ("dropped", pa.int32())]))
 
@@ -312,6 +314,6 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     out = out.withColumn(new, F.coalesce(F.col(cut)["text"], text))
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
     dropped = F.coalesce(F.col(cut)["dropped"], F.lit(0)).cast("long")
-    counts = {"n_lines": n, "n_dropped": dropped, "chars_before": length(text), "chars_after": length(F.col(new))}
+    counts = dict(zip(COUNTS, (n, dropped, length(text), length(F.col(new))), strict=True))
     aside = {c: unused(docs, f"{c}_")[0] for c in docs.columns if c in counts}
     return out.select(*(F.col(new).alias("text") if c == "text" else F.col(c).alias(aside.get(c, c)) for c in docs.columns), *(v.alias(c) for c, v in counts.items()))
