@@ -214,9 +214,9 @@ def _prefixes(texts: DataFrame, members: DataFrame, width: int, percent: int) ->
     return a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & _fits(F.col("a.n"), F.col("b.n"), percent) & reach).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    return _judged(docs, **options).select("doc_id", "n_shingles", "component_id", "kept")
+    return _judged(docs, width, percent, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _judged(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

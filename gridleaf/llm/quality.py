@@ -48,7 +48,7 @@ def site(url: Column, depth: int = 2) -> list[Column]:
     www.), then the first 1 to depth path segments; a URL with fewer segments
     repeats its last level, and what is no URL has null levels."""
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(rest, r"^.*@|:[0-9]*$", ""), r"^www\.", ""))
+    host = F.regexp_replace(F.lower(F.regexp_replace(rest, r"^.*@|:[0-9]*$", "")), r"^www\.", "")
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     known = F.when(host != "", host)
