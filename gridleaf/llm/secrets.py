@@ -1,17 +1,28 @@
 """Secret scans with DataFrame functions only.
 
 Base spans are the matches of fixed patterns. The battery adds spans of kind
-"random": words of twenty characters and more whose encoding is inferred
-(hex, base32, base64), whose alphabet use passes a chi-squared test of
-uniformity and whose values pass a test of serial correlation, and whose
-changes between character classes and letters are likelier in a random word of
-that encoding than in an ordinary one. The bound that this ratio sets on an
-ordinary word's p-value goes through a weighted Benjamini-Hochberg step
-in each document, weights being proportional to the length of the word, so
+"random": words of twenty characters and more, tested by their inferred
+encoding (hex, base32, lower-case base32, base64 and its URL form). Each test
+gives an e-value, the likelihood ratio of its statistic in uniformly random
+words against other ones:
+
+* chi-squared uniformity of the alphabet, runs about the alphabet's median, and
+  serial correlation of neighbours: standard normal in random words, five times
+  as wide or alike in words of a pattern, so that a test can hardly speak for a
+  word but strongly against it;
+* runs of character classes: binomial, by the encoding's own rate of changes
+  against the rate of ordinary words;
+* letters: by the alphabet's even rate against the letters of ordinary words.
+
+Their product is the word's e-value. Its inverse bounds an ordinary word's
+p-value (Markov's inequality) and goes through a weighted Benjamini-Hochberg
+step in each document, weights being proportional to the length of the word, so
 that long words need less evidence and the share of false finds stays bounded.
 
-Defined results: null texts are empty texts; empty texts have no spans; rows
-are independent, so repeated rows repeat their result; other columns are
+Defined results: null texts are empty texts; empty texts have no spans; very
+long texts are read whole, their matches placed in blocks; words of equal
+evidence are let through together; rows are independent, so repeated rows
+repeat their result; empty tables give empty results; other columns are
 ignored, whatever their names. Positions are code points.
 """
 
@@ -41,7 +52,7 @@ CANDIDATE = (
 #: Inferred encodings: pattern and alphabet; the first that fits counts.
 ENCODINGS = (
     ("hex", r"^[0-9a-f]+$|^[0-9A-F]+$", "0123456789abcdef"),
-    ("base32", r"^[A-Z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("base32", r"^[A-Z2-7]+=*$|^[a-z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567"),
     ("base64", r"^[A-Za-z0-9+/_]+=*$|^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 #: Rate at which ordinary words change character class between neighbours.
@@ -51,8 +62,8 @@ RANDOM_RATE = {"hex": 2 * 10 * 6 / 16**2, "base32": 2 * 26 * 6 / 32**2, "base64"
 #: Letters a to z of ordinary words, in thousandths; a tenth of the weight is spread evenly, as languages differ.
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 EVEN = 0.1
-#: Level of the rejecting tests, and of the false-discovery control.
-REJECT_Z, FALSE_SHARE = 3.3, 0.01
+#: Standard deviation of a test's statistic in words of a pattern, level of the false-discovery control, and matches placed at once.
+WIDE, FALSE_SHARE, BLOCK = 5.0, 0.01, 64
 
 
 def _occurs(text: Column, pattern: str) -> Column:
@@ -69,16 +80,25 @@ def _located(text: Column, pattern: str, group: int = 0) -> Column:
     lengths of the pieces between them; read only where the pattern occurs."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    rows = F.arrays_zip(F.transform(pieces, F.char_length).alias("gap"), found.alias("m"), groups.alias("g"))
-    empty = F.expr("CAST(ARRAY() AS ARRAY<STRUCT<s: INT, e: INT, m: STRING, g: STRING>>)")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    rows = F.slice(F.arrays_zip(F.transform(pieces, F.char_length).alias("gap"), found.alias("m"), groups.alias("g")), 1, F.size(found))
+    kind = "STRUCT<s: INT, e: INT, m: STRING, g: STRING>"
+    empty = F.expr(f"CAST(ARRAY() AS ARRAY<{kind}>)")
 
     def step(acc, row):
         s = acc["at"] + row["gap"]
         e = s + F.char_length(row["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), row["m"].alias("m"), row["g"].alias("g")))).alias("out"))
 
-    walked = F.aggregate(F.slice(rows, 1, F.size(found)), state, step, lambda acc: acc["out"])
+    # Arrays grow inside blocks only; a fold over the blocks then moves each to its place.
+    starts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(BLOCK))
+    blocks = F.transform(starts, lambda i: F.aggregate(F.slice(rows, i, BLOCK), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+
+    def moved(acc, block):
+        there = F.transform(block["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), (x["e"] + acc["at"]).alias("e"), x["m"].alias("m"), x["g"].alias("g")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(there)).alias("out"))
+
+    state = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(ARRAY() AS ARRAY<ARRAY<{kind}>>)").alias("out"))
+    walked = F.aggregate(blocks, state, moved, lambda acc: F.flatten(acc["out"]))
     return F.when(_occurs(text, pattern), walked).otherwise(empty)
 
 
@@ -90,6 +110,10 @@ def _count_in(word: Column):
     return lambda c: (F.char_length(word) - F.char_length(F.replace(word, c))).cast("double")
 
 
+def _crosses(mean: float):
+    return lambda x, y: ((x > mean) != (y > mean)).cast("double")
+
+
 def _product_about(mean: float):
     return lambda x, y: (x - mean) * (y - mean)
 
@@ -106,10 +130,19 @@ def _odds_of_letters(alphabet: str) -> list[tuple[str, float]]:
     return [(c, -math.log((1 - EVEN) * k * n / total + EVEN)) for c, n in some]
 
 
+def _normal_odds(z: Column) -> Column:
+    """Log likelihood ratio of a standard normal statistic against an even mixture of it and a WIDE one."""
+    half = F.least(z * z / 2, F.lit(600.0))
+    return -half - F.log((F.exp(-half) + F.exp(-half / WIDE**2) / WIDE) / 2)
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y)
+
+
 def _evidence(word: Column) -> Column:
-    """A bound on the p-value of an ordinary word, the inverse of the likelihood
-    ratio of class changes and letters (Markov's inequality), or 1 where no
-    encoding fits or a test rejects."""
+    """A bound on the p-value of an ordinary word, the inverse of the product of
+    the tests' e-values, or 1 where no encoding fits."""
     p = F.lit(1.0)
     for name, pattern, alphabet in reversed(ENCODINGS):
         k = len(alphabet)
@@ -118,22 +151,26 @@ def _evidence(word: Column) -> Column:
         values = F.transform(F.split(body, ""), _value_in(alphabet))
         n = F.char_length(body).cast("double")
         counts = F.transform(F.split(F.lit(alphabet), ""), _count_in(body))
-        chi = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x) * k / n - n
+        chi = _total(F.transform(counts, lambda x: x * x)) * k / n - n
         uniform = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
         mean = (k + 1) / 2
         var = (k * k - 1) / 12
-        lagged = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), _product_about(mean))
-        serial = F.aggregate(lagged, F.lit(0.0), lambda acc, x: acc + x) / (var * F.sqrt(n - 1))
+        before, after = F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1)
+        serial = _total(F.zip_with(before, after, _product_about(mean))) / (var * F.sqrt(n - 1))
+        turns = _total(F.zip_with(before, after, _crosses(mean)))
+        about = (2 * turns - (n - 1)) / F.sqrt(n - 1)
         kinds = _classes(F.regexp_replace(word, "=+$", ""))
-        changes = F.aggregate(F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds) - 1), lambda x, y: (x != y).cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+        changes = _total(F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds) - 1), lambda x, y: (x != y).cast("double")))
         rate = RANDOM_RATE[name]
         odds = changes * math.log(rate / WORD_RATE) + (n - 1 - changes) * math.log((1 - rate) / (1 - WORD_RATE))
+        # A word of one class says nothing about its rate of changes: letters alone are an alphabet of their own.
+        odds = F.when(changes == 0, 0.0).otherwise(odds)
         letters = _odds_of_letters(alphabet)
         held = F.transform(F.array(*(F.lit(c) for c, _ in letters)), _count_in(F.lower(body)))
-        odds += F.aggregate(F.zip_with(held, F.array(*(F.lit(x) for _, x in letters)), operator.mul), F.lit(0.0), lambda acc, x: acc + x)
-        tail = F.least(F.lit(1.0), F.exp(-odds))
-        fits = word.rlike(pattern) & (n >= 20)
-        p = F.when(fits, F.when((uniform < REJECT_Z) & (F.abs(serial) < REJECT_Z), tail).otherwise(1.0)).otherwise(p)
+        odds += _total(F.zip_with(held, F.array(*(F.lit(x) for _, x in letters)), operator.mul))
+        odds += _normal_odds(uniform) + _normal_odds(about) + _normal_odds(serial)
+        tail = F.least(F.lit(1.0), F.exp(-F.greatest(odds, F.lit(-600.0))))
+        p = F.when(word.rlike(pattern) & (n >= 20), tail).otherwise(p)
     return p
 
 
