@@ -27,11 +27,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines and passages that recur in documents of a smaller id; one of which no text is left goes."""
-    found = lines.dedup_lines(docs)
+    aside = {c: f"own {c}" for c in docs.columns if c in lines.COUNTS}
+    found = lines.dedup_lines(docs.withColumnsRenamed(aside))
     same = F.col("chars_after") == F.col("chars_before")
     kept = found.where((same & (F.col("n_dropped") == 0)) | F.col("text").rlike(r"\S"))
     n = F.when(same, F.col("n_chars")).otherwise(F.col("chars_after"))
-    return kept.withColumn("n_chars", n).select(*docs.columns)
+    return kept.withColumn("n_chars", n).select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            common.dropped(before)
     return docs
