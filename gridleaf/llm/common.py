@@ -104,7 +104,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at, n in _slices(batch):
+            for at, n in slices(batch):
                 part = batch.slice(at, n)
                 got = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
@@ -112,7 +112,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
     return df.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 1024, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(batch: pa.RecordBatch, rows: int = 1024, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """(start, rows) of a batch's slices."""
     total = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:

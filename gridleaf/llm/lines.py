@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, collected, map_batches, mixed, powers, scratch, span_hashes, unused, word_spans, written
+from .common import LOWER, collected, map_batches, mixed, powers, scratch, slices, span_hashes, unused, word_spans, written
 
 DEPTH, FIFTHS, LONG = 3, 5, 50
 #: Words outside the wildcard fifth that a template needs at least.
@@ -257,45 +257,58 @@ def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: i
     return marks.select("doc_id", "gone").join(covered, "doc_id", "left")
 
 
-def uncovered(text: str, gone: set[int], covered: np.ndarray | None) -> tuple[str, int]:
-    """The text without the lines whose hashes are gone and without the words of
-    the covered passages, and how many lines are dropped whole."""
-    w = Words([text])
-    drop = np.isin(w.line_hashes(), np.fromiter(gone, np.int64, len(gone)))
-    n = len(w.starts)
-    lost = np.zeros(n, bool)
-    if covered is not None:
-        at, keys = runs(w.hashes, w.sizes, LONG)
-        at = at[np.isin(keys.view(np.int64), covered)]
-        ends = np.zeros(n + 1, np.int64)
-        ends[at] += 1
-        ends[at + LONG] -= 1
-        lost = np.cumsum(ends)[:-1] > 0
+def uncovered(texts: list[str], gone: list, covered: list) -> tuple[list[str], list[int]]:
+    """The texts without the lines whose hashes are gone and without the words
+    of the covered passages, and how many lines of each are dropped whole."""
+    w = Words(texts)
+    holder = np.searchsorted(w.since, w.line_starts, "right") - 1
+    drop = np.isin(_pairs(holder, w.line_hashes()), _marked(gone))
+    at, keys = runs(w.hashes, w.sizes, LONG)
+    at = at[np.isin(_pairs(w.text[at], keys), _marked(covered))]
+    ends = np.zeros(len(w.starts) + LONG + 1, np.int64)
+    ends[at] += 1
+    ends[at + LONG] -= 1
+    lost = np.cumsum(ends)[: len(w.starts)] > 0
     before = np.concatenate([[0], np.cumsum(lost)])
     cut = before[w.first + w.words] - before[w.first]
     drop |= (w.words > 0) & (cut == w.words)
-    out = []
-    for i in np.flatnonzero(~drop).tolist():
-        if not cut[i]:
-            out.append(w.raw[w.line_starts[i] : w.line_ends[i]])
-            continue
-        parts: list[list[int]] = []
-        for j in range(w.first[i], w.first[i] + w.words[i]):
-            if not lost[j]:
-                if j > w.first[i] and not lost[j - 1]:
-                    parts[-1][1] = w.ends[j]
-                else:
-                    parts.append([w.starts[j], w.ends[j]])
-        out.append(b" ".join(w.raw[s:e] for s, e in parts))
-    return b"\n".join(out).decode(), int(drop.sum())
+    dropped = np.bincount(holder[drop], minlength=len(texts))
+    kept = [[] for _ in texts]
+    rows = np.flatnonzero(~drop)
+    for i, doc, a, b, part in zip(rows.tolist(), holder[rows].tolist(), w.line_starts[rows].tolist(), w.line_ends[rows].tolist(), cut[rows].tolist(), strict=True):
+        kept[doc].append(w.raw[a:b] if not part else b" ".join(w.raw[s:e] for s, e in _left(w, i, lost)))
+    return [b"\n".join(x).decode() for x in kept], dropped.tolist()
+
+
+def _marked(of: list) -> np.ndarray:
+    """The pairs of each row's place and the keys in its list (or None)."""
+    sizes = [0 if x is None else len(x) for x in of]
+    return _pairs(np.repeat(np.arange(len(of)), sizes), np.array([k for x in of if x is not None for k in x], np.int64))
+
+
+def _left(w: Words, line: int, lost: np.ndarray) -> list[list[int]]:
+    """The stretches of a line's words that are not lost."""
+    parts: list[list[int]] = []
+    for j in range(w.first[line], w.first[line] + w.words[line]):
+        if not lost[j]:
+            if j > w.first[line] and not lost[j - 1]:
+                parts[-1][1] = w.ends[j]
+            else:
+                parts.append([w.starts[j], w.ends[j]])
+    return parts
 
 
 def _uncovered(text: pa.Array, gone: pa.Array, covered: pa.Array) -> pa.Array:
-    out = []
-    for t, g, c in zip(text, gone, covered, strict=True):
-        found = (None, None) if not t.is_valid else uncovered(t.as_py(), set(g.as_py() or ()), c.values.to_numpy() if c.is_valid else None)
-        out.append(dict(zip(("text", "dropped"), found, strict=True)))
-    return pa.array(out, pa.struct([("text", pa.string()), ("dropped", pa.int32())]))
+    """Worked on in slices of few bytes; a null text stays."""
+    kind = pa.struct([("text", pa.string()), ("dropped", pa.int32())])
+    out: list = [None] * len(text)
+    some = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text, gone, covered], ["at", "text", "gone", "covered"]).filter(text.is_valid())
+    for since, n in slices(some):
+        part = some.slice(since, n)
+        x = {c: part.column(i).to_pylist() for i, c in enumerate(part.schema.names)}
+        for at, t, d in zip(x["at"], *uncovered(x["text"], x["gone"], x["covered"]), strict=True):
+            out[at] = {"text": t, "dropped": d}
+    return pa.array(out, kind)
 
 
 def length(text: Column) -> Column:
