@@ -14,7 +14,8 @@ AWKWARD = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
-CLASH = "doc_id long, text string, key string, rep string, n string, root string, kept string, spans string, score string, posterior string, component_id string, `__id` string, label string, lang string, source string, n_chars long"
+CLASH_NAMES = "key rep n root kept spans score posterior component_id __id label __host __path __e __l0 __l1 in0 l0 n0 s0 p_doc n_lines n_dropped chars_before row h media_id list line gone __mark __cut __new y x codes digest".split()
+CLASH = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASH_NAMES) + ", lang string, source string, n_chars long"
 
 
 def awkward(spark):
@@ -22,7 +23,7 @@ def awkward(spark):
 
 
 def clashing(spark):
-    rows = [(d, t, *["v"] * 11, g, s, n) for d, t, g, s, n in AWKWARD]
+    rows = [(d, t, *["v"] * len(CLASH_NAMES), g, s, n) for d, t, g, s, n in AWKWARD]
     return spark.createDataFrame(rows, CLASH)
 
 

@@ -92,3 +92,11 @@ def test_query_against_all_pairs(spark, data):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     got = rows(QUERIES["op1_minhash_near_dedup"](spark, data))
     assert {i: r["component_id"] for i, r in got.items()} == brute(texts, 2)[0]
+
+
+def test_rows_that_repeat_an_id_keep_their_links(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "q w e r t y u"), (2, "a b c d e f g"), (3, "q w e r t y u"), (4, None), (5, ""), (None, "q w e r t y u"), (None, None), (7, "k l m n"), (7, "a b c d e f")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in m.near_duplicates(docs, 2).collect()), key=repr)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (None, 1, True), (None, None, True), (7, 7, True), (7, 1, False)], key=repr)
+    left = {tuple(r) for r in m.drop_near_duplicates(docs, width=2).collect()}
+    assert left == {(1, "a b c d e f"), (1, "q w e r t y u"), (4, None), (5, ""), (None, "q w e r t y u"), (None, None), (7, "k l m n")}

@@ -18,7 +18,7 @@ def test_pipeline(spark, data):
         if name != p.STAGES[-1][0]:
             assert out.columns == docs.columns
         if name == "quality classifier":
-            kept = quality.judged(docs, labels, F.col("source"), F.col("lang"), ["doc_id"]).where("kept")
+            kept = quality.judged(docs, labels, [F.col("source"), F.col("lang")], ["doc_id"]).where("kept")
             assert set(after) == {r["doc_id"] for r in kept.collect()}
         elif name == "line dedup":
             assert any(after[i]["text"] != before[i]["text"] for i in after)

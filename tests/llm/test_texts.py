@@ -1,7 +1,9 @@
 """Media, tiling, BPE, lines, preferences."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -37,27 +39,73 @@ def test_cuts_follow_content():
     assert len(a & b) >= len(a) - 2
 
 
-def test_media_round_trip(spark):
-    found = media.media_columns(clashing(spark), keep_media=True).collect()
-    assert len(found) == len(AWKWARD)
-    texts = {r[0]: r[1] for r in AWKWARD}
+def plain_feature(samples):
+    counts = [samples.count(bytes([b])) for b in range(256)]
+    n = len(samples)
+    return f"sum={sum(b * c for b, c in enumerate(counts))};energy={sum(b * b * c for b, c in enumerate(counts))};levels={sum(c > 0 for c in counts)};entropy={-sum(c / n * math.log2(c / n) for c in counts if c):.6f}"
+
+
+def against_texts(found, texts, dictionary=None):
     for r in found:
         raw = (texts[r["doc_id"]] or "").encode()
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
-        data, n = media.opened(r["media"])
-        assert data == padded and n == len(raw) == r["n_bytes"]
-        assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["payload_bytes"] == len(padded) and r["tail_crc32"] == zlib.crc32(padded[-64:])
-        assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["media_bytes"] == len(r["media"])
+        assert r["n_bytes"] == len(raw) and r["payload_bytes"] == len(padded) and r["n_chunks"] == len(media.chunks(padded))
+        assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["tail_crc32"] == zlib.crc32(padded[-64:])
+        have, want = (x["feature"].rsplit("=", 1) for x in (r, {"feature": plain_feature(padded)}))
+        assert have[0] == want[0] and abs(float(have[1]) - float(want[1])) < 2e-6
+        if dictionary is not None:
+            data, n = media.opened(r["media"], dictionary)
+            assert data == padded and n == len(raw)
+            assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["media_bytes"] == len(r["media"])
+
+
+def test_media_round_trip(spark):
+    found = media.media_columns(clashing(spark), keep_media=True).collect()
+    assert len(found) == len(AWKWARD)
+    against_texts(found, {r[0]: r[1] for r in AWKWARD}, b"")
     assert media.media_columns(empty(spark)).count() == 0
 
 
+def test_media_query_in_plain_python(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    found = QUERIES["op3_media_columns"](spark, data).collect()
+    assert len(found) == len(texts)
+    against_texts(found, texts)
+    again = rows(QUERIES["op3_media_columns"](spark, data))
+    assert all(again[r["doc_id"]] == r for r in found)
+    equal = {}
+    for r in found:
+        equal.setdefault(texts[r["doc_id"]] or "", set()).add((r["media_bytes"], r["media_sha256"]))
+    assert all(len(v) == 1 for v in equal.values())
+
+
+def test_chunks_are_shared_and_read_with_their_dictionary(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    common = " ".join(rng.choice(words) for _ in range(4000))
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(1500))) + common for i in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    heads = media.listed(docs)
+    dictionary = media._dictionary(heads)
+    lists = {r["doc_id"]: [bytes(d) for d in r["list"]] for r in heads.collect()}
+    store = {bytes(r["digest"]): bytes(r["z"]) for r in media.stored(docs, dictionary).collect()}
+    assert set(store) == {d for x in lists.values() for d in x} and len(store) < sum(map(len, lists.values())) / 2
+    plain = media.decompressor(dictionary)
+    for i, t in texts.items():
+        assert b"".join(media.verified(plain, d, store[d]) for d in lists[i]) == media.payload(t)[0]
+    against_texts(media.media_columns(docs, keep_media=True).collect(), texts, dictionary)
+
+
 def test_store_holds_each_chunk_once(spark):
     store = media.stored(awkward(spark), b"").collect()
     assert len({bytes(r["digest"]) for r in store}) == len(store)
-    bad = bytearray(media.container([b"abc"], 3))
-    bad[-1] ^= 1
+    z = media.zstandard.ZstdCompressor().compress
+    form = media.container([(media.digest(b"abc"), z(b"abc"))], 3, b"")
+    assert media.opened(form, b"") == (b"abc", 3)
     with pytest.raises(ValueError):
-        media.opened(bytes(bad))
+        media.opened(media.container([(media.digest(b"abc"), z(b"abd"))], 3, b""), b"")
+    with pytest.raises(ValueError):
+        media.opened(form, b"another dictionary")
 
 
 # Tiling
@@ -89,7 +137,7 @@ def test_tiles_against_all_positions():
         b = [rng.randrange(4) for _ in range(rng.randrange(0, 40))]
         got = sorted((t[0] for t in tiling.tiles(a, b, 3)), reverse=True)
         want = brute_tiles(a, b, 3)
-        assert got[:1] == want[:1] and abs(sum(got) - sum(want)) <= 3
+        assert got == want
         used = [x for k, i, _ in tiling.tiles(a, b, 3) for x in range(i, i + k)]
         assert len(used) == len(set(used))
 
@@ -110,16 +158,33 @@ def test_reordered_passages_are_found(spark):
     assert [r["doc_id"] for r in tiling.drop_contaminated(docs, benchmark).orderBy("doc_id").collect()] == [2, 3, 4]
 
 
+def near(doc, item):
+    """The document with every word that no common run of five covers made unlike all others, to save the brute force time."""
+    seeds = {tuple(item[k : k + 5]) for k in range(len(item) - 4)}
+    keep = {p + x for p in range(len(doc) - 4) if tuple(doc[p : p + 5]) in seeds for x in range(5)}
+    return [w if k in keep else -1 for k, w in enumerate(doc) if k in keep or k - 1 in keep]
+
+
+def test_both_forms_agree_on_awkward_rows(spark):
+    docs = spark.createDataFrame([(1, "w0 w1 w2 w3 w4 w5"), (1, "nothing"), (None, "w0 w1 w2 w3 w4 w5"), (2, None), (3, "say tiny item now"), (1, "w0 w1 w2 w3 w4 w5"), (4, "Tiny. x item")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "w0 w1 w2 w3 w4 w5"), (9, "zz"), (9, None), (8, "tiny item"), (7, ""), (None, "nothing")], "item_id long, text string")
+    want = sorted([(1, 9, 1.0, 1, 1, True), (1, 9, 1.0, 1, 1, True), (1, None, 0.0, 0, 0, False), (2, None, 0.0, 0, 0, False), (3, 8, 1.0, 1, 1, True), (4, None, 0.0, 0, 0, False), (None, 9, 1.0, 1, 1, True)], key=repr)
+    for bound in (tiling.BOUND, -1):
+        assert sorted(map(tuple, tiling.contamination(docs, items, bound=bound).collect()), key=repr) == want
+        assert {tuple(r) for r in tiling.drop_contaminated(docs, items, bound=bound).collect()} == {(1, "nothing"), (2, None), (4, "Tiny. x item")}
+        assert tiling.contamination(clashing(spark), items, bound=bound).count() == len(AWKWARD)
+
+
 def test_decontamination_query(spark, data):
     cache = WordHashes()
     items = {r["item_id"]: cache.of(tiling.words(r["text"])).tolist() for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     got = rows(QUERIES["op4_benchmark_decontamination"](spark, data))
-    for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect():
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
         doc = cache.of(tiling.words(r["text"])).tolist()
         seeds = {tuple(doc[k : k + 5]) for k in range(len(doc) - 4)}
         met = [w for w in items.values() if any(tuple(w[k : k + 5]) in seeds for k in range(len(w) - 4))]
-        want = max((sum(brute_tiles(w, doc, 5)) / len(w) for w in met), default=0.0)
-        assert abs(got[r["doc_id"]]["coverage"] - want) < 0.15 and got[r["doc_id"]]["contaminated"] == (want >= tiling.COVER)
+        want = max((sum(brute_tiles(w, near(doc, w), 5)) / len(w) for w in met), default=0.0)
+        assert abs(got[r["doc_id"]]["coverage"] - want) < 1e-12 and got[r["doc_id"]]["contaminated"] == (want >= tiling.COVER)
 
 
 # BPE
@@ -174,7 +239,8 @@ def test_passages_go_wherever_they_stand(spark):
     broken = "\n".join([run(0, 35), run(35, 43), run(43, 47), "", run(47, 60)])
     docs = [(1, broken), (2, f"own words here\n{run(0, 60).upper()}\nmore"), (3, f"ahead of it {run(0, 60)} and  after it"), (4, run(0, 49)), (5, f"{run(100, 140)} x {run(200, 260)}"), (6, f"{run(100, 140)} {run(200, 260)} y"), (6, None)]
     docs.append((7, "\n".join([run(0, 35), run(35, 43), "other", run(43, 60)])))
-    got = {i: [r for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r["doc_id"] == i] for i in range(1, 8)}
+    found = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {i: [r for r in found if r["doc_id"] == i] for i in range(1, 8)}
     text = {i: next(r["text"] for r in v if r["text"] is not None) for i, v in got.items()}
     assert text[1] == broken and text[2] == "own words here\nmore" and text[3] == "ahead of it and  after it"
     assert got[2][0]["n_dropped"] == 1 and got[3][0]["n_dropped"] == 0 and got[3][0]["chars_after"] == len(text[3])
@@ -182,40 +248,123 @@ def test_passages_go_wherever_they_stand(spark):
     assert text[7] == docs[-1][1]
 
 
+def test_words_against_plain_python():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "B", "é", "🙂", " ", "\n", "\t", "9", "@", "://", "\\", "\r", "\u00a0"]) for _ in range(rng.randrange(60))) for _ in range(300)] + ["", None, "\n", "x"]
+    for some in (texts, [None], [""], ["one"]):
+        w = lines.Words(some)
+        got = [w.raw[a:b].lower() for a, b in zip(w.starts, w.ends, strict=True)]
+        want = [(i, x) for i, t in enumerate(some) for x in (t or "").encode().lower().split()]
+        assert list(zip(w.text.tolist(), got, strict=True)) == want
+        by_hash = {}
+        for h, x in zip(w.hashes.tolist(), got, strict=True):
+            assert by_hash.setdefault(h, x) == x
+        assert len(by_hash) == len(set(got))
+        assert ((w.masked() != w.hashes) == [bool(lines.VARIABLE.search(x)) for x in got]).all()
+        rows_ = [x for t in some for x in (t or "").encode().split(b"\n")]
+        assert [w.raw[a:b] for a, b in zip(w.line_starts, w.line_ends, strict=True)] == rows_ and w.words.tolist() == [len(x.split()) for x in rows_]
+        assert len(set(w.line_hashes().tolist())) == len(set(rows_))
+
+
 def test_equal_passages_have_equal_anchors():
     rng = random.Random(8)
-    shared = [rng.choice("abcdef").encode() for _ in range(lines.LONG)]
-    texts = [[rng.choice("abcdefgh").encode() for _ in range(rng.randrange(90))] for _ in range(60)]
-    texts = [t[: len(t) // 2] + shared + t[len(t) // 2 :] for t in texts] + [[], [b"a"] * 49, [b"a"] * 200]
-    sizes = np.array([len(t) for t in texts])
-    h = WordHashes().of([w for t in texts for w in t])
-    at, keys = lines.anchors(h, sizes)
-    _, inside = lines.anchors(h[: lines.LONG] * 0 + WordHashes().of(shared), np.array([lines.LONG]))
-    owner = np.repeat(np.arange(len(texts)), sizes)[at]
+    shared = " ".join(rng.choice("abcdef") for _ in range(lines.LONG))
+    words = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = [f"{words(rng.randrange(45))} {shared} {words(rng.randrange(45))}" for _ in range(60)] + ["", "a " * 49, "a " * 200]
+    w = lines.Words(texts)
+    at, keys = lines.anchors(w.hashes, w.sizes)
+    own = lines.Words([shared])
+    _, inside = lines.anchors(own.hashes, own.sizes)
+    owner = w.text[at]
     assert len(inside) and all(set(inside.tolist()) <= set(keys[owner == i].tolist()) for i in range(60))
-    where, grams = lines.runs(h, sizes, lines.GRAM)
+    where, grams = lines.runs(w.hashes, w.sizes, lines.GRAM)
     grams = dict(zip(where.tolist(), grams.view(np.int64).tolist(), strict=True))
-    starts = lines.runs(h, sizes, lines.LONG)[0].tolist()
+    starts = lines.runs(w.hashes, w.sizes, lines.LONG)[0].tolist()
     unsigned = lambda k: k % (1 << 64)
     want = {p for s in starts for p in range(s, s + lines.LONG - lines.GRAM + 1) if unsigned(grams[p]) == min(unsigned(grams[q]) for q in range(s, s + lines.LONG - lines.GRAM + 1))}
     assert set(at.tolist()) == want
 
 
-def test_templates_against_plain_strings():
-    cache = lines.MaskedHashes()
+def brute_lines(docs):
+    """What is left of each document, from whole templates and passages instead of hashes."""
+    token = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+
+    def templates(words):
+        n = len(words)
+        fields = [bool(lines.VARIABLE.search(w)) for w in words]
+        w = words if 2 * sum(fields) > n else [b"*" if f else x for f, x in zip(fields, words, strict=True)]
+        yield (n, -1, tuple(w))
+        for i in range(5):
+            a, b = n * i // 5, n * (i + 1) // 5
+            if a < b and n - (b - a) >= 6:
+                yield (n, i, tuple(w[:a]), tuple(w[b:]))
+
+    count, ids, passage, grams = {}, {}, {}, {}
+    for i, t in docs:
+        raw = (t or "").encode()
+        mine = {}
+        for line in raw.split(b"\n"):
+            words = line.lower().split()
+            if len(words) >= 5:
+                for k in templates(words):
+                    mine[k] = len(words) >= 50
+        for k, long in mine.items():
+            count[k] = count.get(k, 0) + 1
+            ids.setdefault(k, set()).add(i)
+            passage[k] = passage.get(k, False) or long
+        words = raw.lower().split()
+        for p in range(len(words) - 49):
+            grams.setdefault(tuple(words[p : p + 50]), set()).add(i)
+    often = {k: min(v) for k, v in ids.items() if len(v) > 1 and count[k] >= (2 if passage[k] else 3)}
+    out = []
+    for i, t in docs:
+        raw = (t or "").encode()
+        spans = [m.span() for m in token.finditer(raw)]
+        words = [raw[a:b].lower() for a, b in spans]
+        lost = set()
+        for p in range(len(words) - 49):
+            held = grams[tuple(words[p : p + 50])]
+            if len(held) > 1 and i != min(held):
+                lost |= set(range(p, p + 50))
+        kept, at, k = [], 0, 0
+        for line in raw.split(b"\n"):
+            mine = [j for j in range(len(spans)) if at <= spans[j][0] < at + len(line)] if lost else []
+            w = line.lower().split()
+            if not ((len(w) >= 5 and any(often.get(x, i) != i for x in templates(w))) or (mine and all(j in lost for j in mine))):
+                if any(j in lost for j in mine):
+                    left = b""
+                    for j in mine:
+                        if j not in lost:
+                            left += (raw[spans[j - 1][1] : spans[j][0]] if j - 1 in mine and j - 1 not in lost else b" " if left else b"") + raw[slice(*spans[j])]
+                    kept.append(left)
+                else:
+                    kept.append(line)
+            at += len(line) + 1
+        out.append((i, None if t is None else b"\n".join(kept).decode()))
+    return out
+
+
+def test_dropped_lines_against_brute_force(spark, data):
     rng = random.Random(6)
-    some = [[rng.choice([b"a", b"b", b"c9", b"d"]) for _ in range(rng.choice([5, 6, 24]))] for _ in range(400)]
-    keys, owner = lines.templates(some, cache)
-    masked = lambda w: tuple(b"*" if lines.VARIABLE.search(x) else x for x in w)
-    by_key = {}
-    for k, o in zip(keys[:400].tolist(), owner[:400].tolist(), strict=True):
-        by_key.setdefault(k, set()).add(masked(some[o]))
-    assert all(len(v) == 1 for v in by_key.values()) and len(by_key) == len({masked(w) for w in some})
+    made = [f"{rng.choice(['Welcome', 'Hello', 'Bye'])} user {rng.choice('abcdefgh') * 3} to the {rng.choice(['member', 'guest'])} area of day {rng.randrange(9)}" for _ in range(60)]
+    rest = [" ".join(rng.choice(["one", "two", "3", "four", "5", "x6"]) for _ in range(rng.randrange(1, 12))) for _ in range(200)]
+    docs = [(rng.randrange(40), "\n".join(rng.choice([*made, *rest]) for _ in range(rng.randrange(1, 6)))) for _ in range(80)]
+    docs += [(1000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, got.select("doc_id", "text").collect()), key=repr) == sorted(brute_lines(docs), key=repr)
+
+
+def test_names_generalise_and_repeated_ids_keep_their_text(spark):
+    docs = [(i, f"Welcome user {n} to the member area today") for i, n in enumerate(("alice", "bob", "carol", "dave", "erin"))]
+    docs += [(10, "keep this one\nunique second line stays put now\nthird"), (10, "x\nserved by the same node as all others\ny"), (9, "served by the same node as all others"), (12, "served by the same node as all others")]
+    got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(0, docs[0][1]), (1, ""), (2, ""), (3, ""), (4, ""), (9, docs[-2][1]), (10, docs[5][1]), (10, "x\ny"), (12, "")]
 
 
 def test_line_rows(spark):
     out = lines.dedup_lines(clashing(spark))
-    assert out.count() == len(AWKWARD) and set(clashing(spark).columns) <= set(out.columns)
+    assert out.count() == len(AWKWARD) and set(clashing(spark).columns) - {*lines.COUNTS} <= set(out.columns)
+    assert {r["n_lines_"] for r in out.collect()} == {"v"} and out.columns.count("n_lines") == 1
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
@@ -227,16 +376,37 @@ def test_preferences_against_sql(spark, data):
     assert oracle.compare(QUERIES["op9_preference_formatting"](spark, data), con, ORACLE_SQL["op9_preference_formatting"]) == ""
 
 
+def test_preferences_of_the_table(spark, data):
+    got = QUERIES["op9_preference_formatting"](spark, data).collect()
+    assert got and all(r["rejected_id"] is not None and r["chosen"] and r["chosen"] != r["rejected"] for r in got)
+    assert len({r["prefix_turns"] for r in got}) > 3 and all(r["prompt"] for r in got if r["prefix_turns"])
+
+
 def test_preferences_of_siblings(spark, tmp_path):
-    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (2, 0, "user", "q"), (2, 1, "assistant", "a2"), (3, 0, "user", "q"), (3, 1, "assistant", "a1"), (3, 2, "user", "more"), (4, 0, "user", None), (4, None, None, "x"), (None, 0, "user", "q"), (5, 0, "user", "alone"), (6, 0, "user", "q"), (6, 1, "assistant", "a1")]
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (2, 0, "user", "q"), (2, 1, "assistant", "a2"), (3, 0, "user", "q"), (3, 1, "assistant", "a1"), (3, 2, "user", "more"), (3, 3, "assistant", "a3"), (4, 0, "user", None), (4, None, None, "x"), (None, 0, "user", "q"), (5, 0, "user", "alone"), (6, 0, "user", "q"), (6, 1, "assistant", "a1")]
+    turns += [(100 + i, k, role, f"{role} {i % 37} {k}") for i in range(300) for k, role in enumerate(["system", "user", "assistant", "user", "assistant"][: 3 + i % 3])]
+    turns += [(1000 + i, k, role, "hot" if k == 0 else f"{i} {k}") for i in range(200) for k, role in enumerate(["user", "assistant"])]
     df = spark.createDataFrame([(*t, "v") for t in turns], "conv_id long, turn long, role string, text string, key string")
-    got = rows(preferences.preference_pairs(df), "pair_id")
-    assert (got[2]["chosen_id"], got[2]["prefix_turns"], got[2]["prompt"]) == (1, 1, "<|user|>\nq\n")
-    assert got[2]["chosen"] == "<|assistant|>\na1\n" and got[2]["chosen_mask"] == "11:0,14:0,2:1,1:0"
-    assert got[3]["prefix_turns"] == 2 and got[3]["chosen"] == "" and got[6]["rejected"] == ""
-    assert got[5]["rejected_id"] is None and 1 not in got
+    out = preferences.preference_pairs(df)
+    got = {(r["kind"], r["chosen_id"], r["rejected_id"]): r for r in out.collect()}
+    assert len(got) == out.count()
+    pairs = {(c, r) for kind, c, r in got if kind == "sibling"}
+    # 1 and 6 are one conversation; all of an opening are joined; the longer one is chosen.
+    small = {p for p in pairs if max(p) < 100}
+    assert len(small) == 2 and all(c == 3 or r != 3 for c, r in small) and {x for p in small for x in p} == {1, 2, 3}
+    hot = [p for p in pairs if min(p) >= 1000]
+    seen, todo = set(), [1000]
+    while todo:
+        x = todo.pop()
+        seen.add(x)
+        todo += [y for p in hot if x in p for y in p if y not in seen]
+    assert len(seen) == 200 and len(hot) == 199
+    own = next(r for (kind, c, _), r in got.items() if kind == "stand-in" and c == 1)
+    assert own["n_copies"] == 2 and own["prefix_turns"] == 1 and own["prompt"] == "<|user|>\nq\n" and own["chosen"] == "<|assistant|>\na1\n" and own["chosen_mask"] == "11:0,14:0,2:1,1:0"
+    assert own["rejected"].startswith("<|assistant|>\n") and own["rejected"] != own["chosen"]
+    assert not any(c in (4, 5) or r in (4, 5) for _, c, r in got)
     df.drop("key").coalesce(1).write.parquet(str(tmp_path / "c"))
     con = oracle.duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
-    assert oracle.compare(preferences.preference_pairs(df), con, ORACLE_SQL["op9_preference_formatting"]) == ""
+    assert oracle.compare(out, con, ORACLE_SQL["op9_preference_formatting"]) == ""
     assert preferences.preference_pairs(df.limit(0)).count() == 0
