@@ -47,8 +47,84 @@ def first_json(text):
     return body[start:]
 
 
+#: States of a document that can be used.
+USABLE = {"ok", "repaired"}
+_TOKEN = re.compile(r'\s+|[{}\[\]:,]|"(?:[^"\\]|\\.)*"?|\'(?:[^\'\\]|\\.)*\'?|//[^\n]*|/\*.*?(?:\*/|$)|[^\s{}\[\]:,"\']+', re.S)
+_WORDS = {"true": True, "false": False, "null": None, "none": None, "undefined": None, "nan": None}
+
+
+def repaired(text: str):
+    """The document that a broken JSON text shows: brackets and strings that do
+    not end are ended, missing and spare commas, quotes and comments are forgiven.
+    None where the text shows no object or array."""
+    tokens = [t for t in _TOKEN.findall(text) if t.strip() and not t.startswith(("//", "/*"))]
+    if not tokens or tokens[0] not in "{[":
+        return None
+    return _value(tokens, 0)[0]
+
+
+def _scalar(token: str):
+    if token[0] in "\"'":
+        body = token[1:-1] if len(token) > 1 and token[-1] == token[0] and not token.endswith("\\" + token[0]) else token[1:]
+        try:
+            return json.loads('"' + body.replace("\n", "\\n").replace("\t", "\\t").replace('\\"', '"').replace('"', '\\"').replace("\\'", "'") + '"')
+        except ValueError:
+            return body
+    if token.lower() in _WORDS:
+        return _WORDS[token.lower()]
+    try:
+        return json.loads(token)
+    except ValueError:
+        return token
+
+
+def _value(tokens: list[str], at: int):
+    """The value that starts at a token, and the place behind it. Depth is kept
+    on a list, so deep texts need no deep calls."""
+    root: list = []
+    stack: list = [root]
+    keys: list = [None]
+    waits = [False]  # whether an object has a key without its value
+
+    def put(v) -> None:
+        top = stack[-1]
+        if isinstance(top, list):
+            top.append(v)
+        elif waits[-1]:
+            top[keys[-1]] = v
+            waits[-1] = False
+        elif not isinstance(v, (dict, list)):
+            keys[-1], waits[-1] = str(v), True  # a key without a value is dropped
+
+    while at < len(tokens):
+        t = tokens[at]
+        at += 1
+        if t in "{[":
+            new: dict | list = {} if t == "{" else []
+            put(new)
+            stack.append(new)
+            keys.append(None)
+            waits.append(False)
+        elif t in "}]":
+            if len(stack) > 1:
+                stack.pop()
+                keys.pop()
+                waits.pop()
+            if len(stack) == 1:
+                break
+        elif t == ",":
+            waits[-1] = False
+        elif t != ":":
+            words = [t]
+            while at < len(tokens) and tokens[at] not in "{}[]:," and t[0] not in "\"'" and tokens[at][0] not in "\"'":
+                words.append(tokens[at])
+                at += 1
+            put(_scalar(" ".join(words)))
+    return (root[0] if root else None), at
+
+
 def lenient(value) -> tuple[object, str]:
-    """(document, status): ok, empty, non_string or unrepairable."""
+    """(document, status): ok, repaired, empty, non_string or unrepairable."""
     if value is None or isinstance(value, str) and not value.strip():
         return None, "empty"
     found = first_json(value) if isinstance(value, str) else value
@@ -58,7 +134,8 @@ def lenient(value) -> tuple[object, str]:
         try:
             found = json.loads(found)
         except ValueError:
-            return None, "unrepairable"
+            found = repaired(found)
+            return (found, "repaired") if found else (None, "unrepairable")
         if found is None:
             return None, "empty"
     if isinstance(found, (dict, list)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from . import dom
 from .text import PUNCTUATION, infill_value
@@ -43,7 +44,7 @@ def legacy(pred: str | None, gold: str | None, blank: str | None) -> list[dict]:
             if not want:
                 continue
             kind = "exact" if got == want else "gold_in_prediction" if want in got else "prediction_in_gold" if got and got in want else "mismatch"
-            out.append({"row": r, "col": c, "kind": kind, "correct": kind != "mismatch"})
+            out.append({"row": r, "col": c, "kind": kind, "correct": kind != "mismatch", "idx": k, "want": want, "got": got})
     return out
 
 
@@ -72,10 +73,23 @@ def source_faithful(pred: str | None, gold: str | None, blank: str | None, layou
         pred_controls = dom.controls(preds[at]) if at in preds else []
         same = all(i < len(pred_controls) and (dom.control_kind(pred_controls[i]), dom.control_value(pred_controls[i])) == v for i, v in wanted.items())
         correct = kind in ("exact", "not_required") and same
-        out.append({"row": at[0], "col": at[1], "kind": kind if same else "control_mismatch", "correct": correct})
+        raw = [grid[at].text(" ", True) if at in grid else "" for grid in (golds, preds)]
+        out.append({"row": at[0], "col": at[1], "kind": kind if same else "control_mismatch", "correct": correct, "markers": len(dom.BRACKET.findall(cell.markup())), "text": needs_text, "want_raw": raw[0], "got_raw": raw[1]})
     return out
 
 
+def content_words(text: str) -> list[str]:
+    return re.findall(r"[\w%$€£¥]+|[\u3400-\u9fff]", unicodedata.normalize("NFKC", text or "").casefold())
+
+
+def reordered(target: dict) -> bool:
+    """Whether a wrong text has the gold text's words in another order."""
+    if target["correct"] or not target["text"]:
+        return False
+    want, got = content_words(target["want_raw"]), content_words(target["got_raw"])
+    return len(want) >= 2 and want != got and sorted(want) == sorted(got)
+
+
 MATCHERS = {
     "legacy_v1": legacy,
     "source_faithful_v2": lambda p, g, b: source_faithful(p, g, b, "first_table"),

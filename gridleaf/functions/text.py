@@ -245,13 +245,10 @@ def non_pure_text(html: Column) -> Column:
     return html.rlike(r"(?i)<input|<select|\(√\)|\( \)|\[√\]|\[ \]|\(×\)|\[×\]")
 
 
-def canonical_model(x: Column, rounds: int = 4) -> Column:
-    """A tuned model's name without method, version and checkpoint suffixes,
-    each round taking one more from the end."""
+def canonical_model(x: Column) -> Column:
+    """A tuned model's name without all its method, version and checkpoint suffixes."""
     out = F.translate(F.lower(x), "/- ", "___")
-    for _ in range(rounds):
-        out = F.regexp_replace(out, r"_(?:ft|sft|lora|qlora|full|finetuned|merged|checkpoint_?\d+|v\d+(?:_\d+)?)$", "")
-    return out
+    return F.regexp_replace(out, r"(?:_(?:ft|sft|lora|qlora|full|finetuned|merged|checkpoint_?\d+|v\d+(?:_\d+)?))+$", "")
 
 
 def tuning_method(x: Column) -> Column:

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 def manifest(samples: DataFrame, dims: Sequence[DataFrame], predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every combination of the dimensions (few rows each) for every sample, with its prediction's status."""
+    from .ordered import bounded
+
     out = samples
     for d in dims:
-        out = out.crossJoin(F.broadcast(d))  # models, tasks, conditions: constant lists
+        out = out.crossJoin(bounded(d))
     return out.join(predictions, list(keys), "left").withColumn("status", F.coalesce("status", F.lit("missing")))
 
 
@@ -57,10 +59,42 @@ def overlay(artifacts: DataFrame, keys: Sequence[str] = ("lang", "sample_id")) -
     return out.withColumn("conflict", F.col("versions") > 1)
 
 
-def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key; a total order makes it one row."""
+def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
+    """The first n rows of each key; a total order makes them the same in every run."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def repeated(df: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:
+    """keys, copies and first_id of the identities that several rows have."""
+    return df.groupBy(*keys).agg(F.count("*").alias("copies"), F.min(ident).alias("first_id")).where("copies > 1")
+
+
+def unlisted(files: DataFrame, manifest_: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return files.join(manifest_, list(keys), "left_anti")
+
+
+def histogram(rows: DataFrame, keys: Sequence[str], status: str) -> DataFrame:
+    """n of each state by keys, and of, the rows of the keys."""
+    h = rows.groupBy(*keys, status).agg(F.count("*").alias("n"))
+    return h.withColumn("of", F.sum("n").over(W.partitionBy(*keys)))
+
+
+def ranked(found: DataFrame, known: DataFrame, name: str, last: int = 99) -> DataFrame:
+    """Distinct names with the rank of a known order (name, rank), unknown ones behind."""
+    from .ordered import bounded
+
+    return found.select(name).distinct().join(bounded(known), name, "left").select(name, F.coalesce("rank", F.lit(last)).alias("rank"))
+
+
+def first_alias(rows: DataFrame, aliases: DataFrame, keys: Sequence[str], name: str, none: str) -> DataFrame:
+    """keys and the alias of the least rank whose fragment the name holds, or
+    starts with (aliases: fragment, alias, rank, starts: few rows)."""
+    from .ordered import bounded
+
+    holds = F.when(F.col("starts"), F.startswith(name, F.col("fragment"))).otherwise(F.contains(F.col(name), F.col("fragment")))
+    found = rows.join(bounded(aliases), holds, "left")
+    return found.groupBy(*keys).agg(F.coalesce(F.min_by("alias", "rank"), F.lit(none)).alias("alias"))
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -43,17 +43,20 @@ def states(jobs: DataFrame, predictions: DataFrame, sources: DataFrame) -> DataF
 
 
 def evaluated(jobs: DataFrame, predictions: DataFrame, sources: DataFrame, matcher: str = "source_faithful_v3", metric: str = "py_tree") -> DataFrame:
-    """KEYS, state, score, correct, total."""
+    """KEYS, state, score, correct, total, in one pass over the joined rows: a
+    scorer gets nulls for rows of other tasks, which it answers without parsing."""
     rows = states(jobs, predictions, sources)
-    live = rows.where(F.col("state").isin("scored", "model_format_failure"))
-    none = F.lit(None)
+    live = F.col("state").isin("scored", "model_format_failure")
     gold = F.when(F.col("condition") == "filled", F.col("json_filled")).otherwise(F.col("json_empty"))
-    r = live.where("task = 'schema'").withColumn("r", S.schema_result(metric)(F.col("response"), gold))
-    bad = F.col("r.pred_status") != "ok"
-    schema = r.select(*KEYS, F.when(bad, "model_format_failure").otherwise(F.col("state")).alias("state"), F.col("r.similarity").alias("score"), none.cast("int").alias("correct"), none.cast("int").alias("total"))
-    r = live.where("task = 'alignment'").withColumn("r", S.alignment_result("response", "placeholder_html", "meta"))
-    alignment = r.select(*KEYS, "state", (F.col("r.correct") / F.col("r.total")).alias("score"), "r.correct", "r.total")
-    r = live.where("task = 'infill'").withColumn("r", S.infill_counts(matcher)("response", "html_filled", "placeholder_html"))
-    infill = r.select(*KEYS, "state", (F.col("r.correct") / F.col("r.total")).alias("score"), "r.correct", "r.total")
-    rest = rows.where(~F.col("state").isin("scored", "model_format_failure")).select(*KEYS, "state", none.cast("double").alias("score"), none.cast("int").alias("correct"), none.cast("int").alias("total"))
-    return schema.unionByName(alignment).unionByName(infill).unionByName(rest)
+    of = lambda task, c: F.when(live & (F.col("task") == task), c)
+    rows = rows.withColumns({
+        "__s": S.schema_result(metric)(of("schema", F.col("response")), of("schema", gold)),
+        "__a": S.alignment_result(of("alignment", F.col("response")), of("alignment", F.col("placeholder_html")), of("alignment", F.col("meta"))),
+        "__i": S.infill_counts(matcher)(of("infill", F.col("response")), of("infill", F.col("html_filled")), of("infill", F.col("placeholder_html"))),
+    })
+    is_schema, counts = live & (F.col("task") == "schema"), F.when(F.col("task") == "alignment", F.struct("__a.correct", "__a.total")).when(F.col("task") == "infill", F.col("__i"))
+    counts = F.when(live, counts)
+    bad = is_schema & ~F.col("__s.pred_status").isin("ok", "repaired")
+    state = F.when(bad, "model_format_failure").otherwise(F.col("state"))
+    score = F.when(is_schema, F.col("__s.similarity")).otherwise(counts["correct"] / F.nullif(counts["total"], F.lit(0)))
+    return rows.select(*KEYS, state.alias("state"), score.alias("score"), counts["correct"].alias("correct"), counts["total"].alias("total"))

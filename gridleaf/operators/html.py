@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,3 +129,9 @@ def td(x: Column, **attrs: Column | int) -> Column:
     return F.concat(head, F.lit(">"), safe, F.lit("</td>"))
 
 
+
+
+def with_verdicts(rows: DataFrame, verdicts: DataFrame, position: Sequence[str], value: str) -> DataFrame:
+    """rows whose value is the reviewer's verdict where the position has one (verdicts: position, verdict)."""
+    side = verdicts.select(*position, F.col("verdict").alias("__v"))
+    return rows.join(side, list(position), "left").withColumn(value, F.coalesce("__v", value)).drop("__v")

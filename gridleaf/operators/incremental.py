@@ -47,3 +47,26 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of new replace those of old with the same key."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     return first_by(both, keys, [F.col("__new").desc()]).drop("__new")
+
+
+def should_render(output_mtime: Column, source_mtime: Column, script_mtime: Column, mode: str = "check") -> Column:
+    """Whether an image is to be rendered: always under force; a missing one
+    always; under missing-only no other; else one older than its source or the script."""
+    if mode == "force":
+        return F.lit(True)
+    old = F.lit(False) if mode == "missing-only" else output_mtime < F.greatest(source_mtime, script_mtime)
+    return output_mtime.isNull() | old
+
+
+def render_source(html: Column, placeholder_html: Column) -> Column:
+    """What an empty form is rendered from: struct(html, strip); an empty template falls back to the marked form, whose marks are stripped."""
+    fall = (html == "") & (F.coalesce(placeholder_html, F.lit("")) != "")
+    return F.struct(F.when(fall, placeholder_html).otherwise(html).alias("html"), fall.alias("strip"))
+
+
+def migrated(states: DataFrame, keys: Sequence[str] = ("lang", "sample_id")) -> DataFrame:
+    """State records where they belong: those of the old place count only where
+    the new one has none (place: 'cache' or 'legacy')."""
+    first = F.when(F.col("place") == "cache", 0).otherwise(1)
+    out = first_by(states.withColumn("__first", first), keys, [F.col("__first")])
+    return out.withColumn("moved", F.col("__first") == 1).withColumn("place", F.lit("cache")).drop("__first")

@@ -63,12 +63,80 @@ Rules:
 Relevant information:
 {context}
 
+HTML:
+{html}
+""",
+    ("alignment", "empty"): """Identify all fillable positions in the following empty HTML form template.
+
+Return the complete HTML using the reference placeholder format. At every position that should contain user-provided data, insert an HTML input placeholder:
+<input type="text" name="FieldName" value="placeholder">
+
+Rules:
+1. Keep the original table structure, text, styling, rows, and cells.
+2. Do not invent field names; use the most local label text from the table as the input name.
+3. For plain text fields, replace the fillable blank/value with <input type="text" name="FieldName" value="placeholder">.
+4. For repeated rows, add 1-based indices to the name when needed, for example name="Item1" and name="Item2".
+5. For checkbox, radio, or other selectable groups, use the same field name for every option in the group. If the option is already an <input type="checkbox"> or <input type="radio">, add name="FieldName" and value="placeholder" to that input. If the selectable mark is plain text such as ( ), [ ], or a check mark, insert a nearby <input type="text" name="FieldName" value="placeholder">.
+6. Do not output square-bracket placeholders such as [Name]. The output must use HTML input placeholders with name="..." and value="placeholder".
+7. Return only the final HTML, without markdown fences or explanations.
+
+HTML:
+{html}
+""",
+    ("infill", "empty"): """Use the relevant information to fill this empty HTML table template.
+
+Rules:
+1. Keep the original HTML structure and styling.
+2. Fill all fields supported by the relevant information.
+3. Preserve checkbox/radio/selectable markup and set the selected option where appropriate.
+4. Return only the final HTML, without markdown fences or explanations.
+
+Relevant information:
+{context}
+
 HTML:
 {html}
 """,
 }
-PROMPTS["alignment", "empty"] = PROMPTS["alignment", "filled"].replace("filled HTML form.", "empty HTML form template.", 1)
-PROMPTS["infill", "empty"] = PROMPTS["infill", "filled"].replace("check, correct, and complete this already filled HTML table", "fill this empty HTML table template", 1)
+# The same for models that see an image. {source}, {language}, {values}, {action} and {context} are replaced.
+IMAGE_SOURCE = {"filled": "filled form/table image", "empty": "empty form/table template image"}
+IMAGE_VALUES = {"filled": "Preserve visible filled values when they are present.", "empty": "Use empty strings for fillable values."}
+IMAGE_ACTION = {"filled": "check, correct, and complete this already filled form/table", "empty": "fill this empty form/table template"}
+IMAGE_LANGUAGE = {"zh": "Keep Chinese labels in Chinese.", "": "Keep English labels in English."}
+IMAGE_PROMPTS = {
+    "schema": """Convert the attached {source} into a concise hierarchical JSON object.
+
+Rules:
+1. {language}
+2. Preserve the form/table field hierarchy and repeated structures.
+3. Convert selectable fields to objects with "select" and "value" when possible.
+4. {values}
+5. Return only valid JSON, without markdown fences or explanations.""",
+    "alignment": """Identify all fillable positions in the attached {source}.
+
+Return a complete HTML table/form approximation of the image using the legacy placeholder format from the original project. At every position that should contain user-provided data, insert an HTML input placeholder:
+<input type="text" name="FieldName" value="placeholder">
+
+Rules:
+1. {language}
+2. Preserve the visible table structure, labels, row/column order, and fillable cells as closely as possible.
+3. Do not invent field names; use the most local visible label text from the form/table as the input name.
+4. For plain text fields, replace the fillable blank/value with <input type="text" name="FieldName" value="placeholder">.
+5. For repeated rows, add 1-based indices to the name when needed, for example name="Item1" and name="Item2".
+6. For checkbox, radio, or other selectable groups, use the same field name for every option in the group and include an input placeholder near each option.
+7. Return only the final HTML, without markdown fences or explanations.""",
+    "infill": """Use the relevant information to {action} shown in the attached image.
+
+Rules:
+1. {language}
+2. Reconstruct the visible table/form structure as HTML as closely as possible.
+3. Fill all fields supported by the relevant information.
+4. Preserve checkbox/radio/selectable semantics and mark the selected option where appropriate.
+5. Return only the final HTML, without markdown fences or explanations.
+
+Relevant information:
+{context}""",
+}
 
 
 def _pieces(task: str, condition: str) -> list[str]:
@@ -160,6 +228,63 @@ def sharded(rows: DataFrame, group: Sequence[str], order: str, size: str, budget
     return rows.groupBy(*group).applyInPandas(cut, schema)
 
 
+def stripped(x: Column | str) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def image_prompt(task: str, condition: str, lang: Column, context: Column | None = None) -> Column:
+    """What an image model is asked; null where an infill sample has no context."""
+    language = F.when(lang == "zh", IMAGE_LANGUAGE["zh"]).otherwise(IMAGE_LANGUAGE[""])
+    text = IMAGE_PROMPTS[task].replace("{source}", IMAGE_SOURCE[condition]).replace("{values}", IMAGE_VALUES[condition]).replace("{action}", IMAGE_ACTION[condition])
+    head, _, rest = text.partition("{language}")
+    body, with_context, _ = rest.partition("{context}")
+    return F.concat(F.lit(head), language, F.lit(body), *([context] if with_context else []))
+
+
+def training_samples(sources: DataFrame, task: str) -> DataFrame:
+    """lang, sample_id, task, status, prompt, completion, messages of each sample
+    (sources: lang, sample_id, html_empty, json_empty, placeholder_html, html_filled,
+    context). A missing or blank file is a status; a gold document that is no
+    JSON fails the job, as it must be mended."""
+    from . import html as H
+
+    needs = {"schema": ("html_empty", "json_empty"), "alignment": ("html_empty", "placeholder_html"), "infill": ("html_empty", "context", "html_filled")}[task]
+    lost = F.filter(F.array(*(F.when(stripped(F.coalesce(c, F.lit(""))) == "", F.lit(c)) for c in needs)), lambda x: x.isNotNull())
+    gold = {"schema": stripped("json_empty"), "alignment": H.inputs_for_markers(F.col("placeholder_html")), "infill": stripped("html_filled")}[task]
+    if task == "schema":
+        gold = F.when(F.try_parse_json(gold).isNotNull(), gold).otherwise(F.raise_error(F.concat(F.lit("gold is no JSON: "), "lang", F.lit("/"), F.col("sample_id").cast("string"))).cast("string"))
+    asked = prompt(task, "empty", F.col("html_empty"), F.col("context"))
+    ok = F.size(lost) == 0
+    status = F.when(ok, "ok").otherwise(F.concat(F.lit("missing: "), F.array_join(lost, ", ")))
+    given = lambda c: F.when(ok, c)
+    return sources.select("lang", "sample_id", F.lit(task).alias("task"), status.alias("status"), given(asked).alias("prompt"), given(gold).alias("completion"), given(messages(asked, gold)).alias("messages"))
+
+
+# Fixed value: what stands before the context of an instruction record.
+CONTEXT_MARK = "相关内容:"
+
+
+def instruction_input(task: Column, html: Column, context: Column) -> Column:
+    form = F.concat(F.lit("HTML:\n"), stripped(html))
+    return F.when(task == "infill", F.concat(form, F.lit(f"\n{CONTEXT_MARK}\n"), stripped(context))).otherwise(form)
+
+
+def split(samples: DataFrame, ident: str = "sample_id", test_share: float = 0.2, seed: int = 3407) -> DataFrame:
+    """samples with their split, by a seeded shuffle of the distinct ids: those
+    of the first share of the order of hashes are test ids, so no id is in both.
+    The shuffle is an order of hashes; the threshold between the splits is one
+    number, found by distributed selection."""
+    ids = samples.select(ident).where(F.col(ident).isNotNull()).distinct().withColumn("__h", F.xxhash64(F.lit(seed), F.col(ident).cast("string")))
+    n = ids.count()
+    if not n:
+        return samples.withColumn("split", F.lit("train"))
+    k = max(1, round(n * test_share))
+    cut = ids.orderBy("__h", ident).offset(k - 1).limit(1).first() if k <= n else None
+    last = F.struct(F.lit(cut["__h"]).alias("h"), F.lit(cut[ident]).cast(dict(samples.dtypes)[ident]).alias("i"))
+    own = F.struct(F.xxhash64(F.lit(seed), F.col(ident).cast("string")).alias("h"), F.col(ident).alias("i"))
+    return samples.withColumn("split", F.when(F.coalesce(own <= last, F.lit(False)), "test").otherwise("train"))
+
+
 def split_ids(ids: Sequence[int], test_share: float = 0.2, seed: int = 3407) -> tuple[set[int], set[int]]:
     """(train, test): the sorted ids shuffled by a seeded generator, the first share being the test ids."""
     order = sorted(set(ids))

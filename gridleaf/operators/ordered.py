@@ -17,6 +17,26 @@ def bounded(side: DataFrame, rows: int = BOUND) -> DataFrame:
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
+def containing(cells: DataFrame, labels: DataFrame, ident: Sequence[str], cell: str, label: str, width: int = 3) -> DataFrame:
+    """ident and label of each cell text that holds a label text. Both meet by
+    the label's rarest run of width characters, so that no cell meets all labels;
+    labels shorter than a run meet by the whole label among runs of their length.
+    The containment is verified afterwards; empty labels are in nothing."""
+    text = labels.select(label).where(F.char_length(label) > 0).distinct()
+    n = F.char_length(label)
+    grams = text.select(label, F.least(n, F.lit(width)).alias("__w")).select(label, "__w", F.explode(F.expr(f"transform(sequence(1, char_length(`{label}`) - __w + 1), i -> substring(`{label}`, i, __w))")).alias("__g"))
+    often = grams.groupBy("__g").agg(F.count("*").alias("__f"))
+    keyed = grams.join(often, "__g").groupBy(label).agg(F.min_by("__g", F.struct("__f", "__g")).alias("__g"))
+
+    def of_width(w: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.char_length(cell) - w + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.substring(F.col(cell), i, F.lit(w)))
+
+    starts = F.flatten(F.array(*map(of_width, range(1, width + 1))))
+    runs_ = cells.select(*ident, cell, F.explode(F.array_distinct(starts)).alias("__g"))
+    return runs_.join(keyed, "__g").where(F.contains(F.col(cell), F.col(label))).select(*ident, label)
+
+
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column) -> DataFrame:
     """df with the number of the run of equal neighbouring values."""
     w = W.partitionBy(*keys).orderBy(*order)
@@ -34,5 +54,15 @@ def nearest_labels(markers: DataFrame, labels: DataFrame, doc: Sequence[str], id
     place = F.when(same, 0).when((F.col("lr") == F.col("r")) & (F.col("lc") < F.col("c")), 1).when(F.col("lr") < F.col("r"), 2).otherwise(3)
     off = F.when(F.col("lc") == F.col("c"), 0).otherwise(1)
     away = F.abs(F.col("lr") - F.col("r")) + F.abs(F.col("lc") - F.col("c"))
-    w = W.partitionBy(*doc, *ident).orderBy(place, off, away, *(F.col(f"label_{i}") for i in ident))
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    # The least of each marker is kept as rows arrive; nothing is sorted.
+    kept = [c for c in rows.columns if c not in (*doc, *ident)]
+    names = [f"label_{i}" for i in ident]
+    best = F.min_by(F.struct(*kept), F.struct(place.alias("p"), off.alias("o"), away.alias("a"), *names)).alias("__best")
+    return rows.groupBy(*doc, *ident).agg(best).select(*doc, *ident, "__best.*")
+
+
+def sequences(rows: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
+    """keys, first and n of each run of consecutive numbers; a repeated number counts once."""
+    some = rows.select(*keys, number).distinct()
+    g = some.withColumn("__g", F.col(number) - F.row_number().over(W.partitionBy(*keys).orderBy(number)))
+    return g.groupBy(*keys, "__g").agg(F.min(number).alias("first"), F.count("*").alias("n")).drop("__g")

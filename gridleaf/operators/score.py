@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import jsontree, meta, scoring
@@ -23,7 +25,8 @@ def infill_counts(matcher: str = "source_faithful_v3"):
 def infill_targets(matcher: str = "source_faithful_v3"):
     @arrow("array<struct<row:int,col:int,kind:string,correct:boolean>>")
     def run(pred: pd.Series, gold: pd.Series, blank: pd.Series) -> pd.Series:
-        return pd.Series([scoring.MATCHERS[matcher](*r) for r in zip(pred, gold, blank, strict=True)])
+        fields = ("row", "col", "kind", "correct")
+        return pd.Series([[{f: t[f] for f in fields} for t in scoring.MATCHERS[matcher](*r)] for r in zip(pred, gold, blank, strict=True)])
 
     return run
 
@@ -38,6 +41,22 @@ def alignment_result(pred: pd.Series, gold: pd.Series, meta_json: pd.Series) ->
     return pd.DataFrame(rows, columns=["strategy", "correct", "total", "types"])
 
 
+@arrow("array<string>")
+def meta_types(meta_json: pd.Series) -> pd.Series:
+    """The types of a meta document's targets, in order; null where it cannot be read."""
+
+    def one(m):
+        document, status = jsontree.lenient(m)
+        return [x["type"] for x in jsontree.expected_of(document)] if status == "ok" else None
+
+    return meta_json.map(one)
+
+
+def meta_targets(meta_json: Column) -> Column:
+    found = meta_types(meta_json)
+    return F.when(found.isNotNull(), F.size(found))
+
+
 def schema_result(mode: str = "py_tree"):
     """similarity and the states of both sides; an unusable side scores 0."""
 
@@ -60,7 +79,7 @@ def lenient_json(x: pd.Series) -> pd.DataFrame:
     rows = []
     for v in x:
         found, status = jsontree.lenient(v)
-        rows.append((json.dumps(found, ensure_ascii=False) if status in ("ok", "non_string") else None, status))
+        rows.append((json.dumps(found, ensure_ascii=False) if status in ("ok", "repaired", "non_string") else None, status))
     return pd.DataFrame(rows, columns=["json", "status"])
 
 
@@ -68,7 +87,7 @@ def lenient_json(x: pd.Series) -> pd.DataFrame:
 def json_nodes(x: pd.Series) -> pd.Series:
     def one(v):
         found, status = jsontree.lenient(v)
-        if status != "ok":
+        if status not in jsontree.USABLE:
             return []
         t = jsontree.Tree(jsontree.normalised(found))
         return [{"node": i, "parent": p, "label": label, "size": s} for i, (p, label, s) in enumerate(zip(t.parents, t.labels, t.sizes, strict=True))]
@@ -80,7 +99,7 @@ def json_nodes(x: pd.Series) -> pd.Series:
 def tree_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
         (p, sp), (q, sq) = jsontree.lenient(x), jsontree.lenient(y)
-        return jsontree.edit_distance(jsontree.Tree(p), jsontree.Tree(q)) if sp == sq == "ok" else None
+        return jsontree.edit_distance(jsontree.Tree(p), jsontree.Tree(q)) if {sp, sq} <= jsontree.USABLE else None
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
@@ -99,13 +118,19 @@ def meta_items(html: pd.Series) -> pd.Series:
     return html.map(lambda h: [{**i, "offsets": [{"rows": r, "cols": c} for r, c in i["offsets"]]} for i in meta.meta_items(h)])
 
 
-def label_distance(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """The fast distance from exploded nodes (keys, side, node, label): counts of
-    labels by side, no document's tree in one place."""
-    counts = nodes.groupBy(*keys, "label").agg(F.count_if(F.col("side") == "pred").alias("a"), F.count_if(F.col("side") == "gold").alias("b"), F.max(F.when(F.col("node") == 0, 1).otherwise(0)).alias("root"), F.count_if((F.col("node") == 0) & (F.col("side") == "pred")).alias("ra"), F.count_if((F.col("node") == 0) & (F.col("side") == "gold")).alias("rb"))
-    total = counts.groupBy(*keys).agg(F.sum(F.abs(F.col("a") - F.col("b"))).alias("d"), F.sum("a").alias("na"), F.sum("b").alias("nb"), F.max(F.when(F.col("ra") != F.col("rb"), 1).otherwise(0)).alias("root_differs"))
-    d = F.col("d") + F.col("root_differs")
-    return total.select(*keys, d.alias("distance"), "na", "nb", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - d / (F.col("na") + F.col("nb")))).alias("similarity"))
+@arrow("struct<distance:long,na:long,nb:long,similarity:double>")
+def label_distance(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    """The fast distance of two documents that meet in a row: differences of
+    their label counts, and one for different roots. A side without a document has no labels."""
+    rows = []
+    for pair in zip(pred, gold, strict=True):
+        trees = [jsontree.Tree(jsontree.normalised(d)) if s in jsontree.USABLE else None for d, s in map(jsontree.lenient, pair)]
+        a, b = (Counter(t.labels) if t else Counter() for t in trees)
+        roots = [t.labels[0] if t else None for t in trees]
+        na, nb = a.total(), b.total()
+        d = ((a - b) + (b - a)).total() + (roots[0] != roots[1])
+        rows.append((d, na, nb, max(0.0, min(1.0, 1 - d / (na + nb))) if na + nb else 1.0))
+    return pd.DataFrame(rows, columns=["distance", "na", "nb", "similarity"])
 
 
 def prediction_status(document: Column) -> Column:

@@ -1,24 +1,101 @@
-"""Base-versus-tuned comparison and inventory checks."""
+"""Base-versus-tuned comparison, its cache and inventory checks."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from .coverage import first_by
+from .ordered import bounded
+
+#: What a cached detail must agree in, and the versions of its form.
+COMPARED = ("cache_version", "cache_key", "schema_metric", "active_prediction_sha1", "paired_prediction_sha1", "source_fingerprint")
+VERSION, INFILL_VERSION = "table4_detail_v1", "table4_detail_v2_infill"
+
 
 def base_vs_tuned(base: DataFrame, tuned: DataFrame, keys: Sequence[str] = ("sample_id", "task", "model"), average: str = "Average") -> DataFrame:
-    """Micro scores of each task over the samples that both sides have, the
-    mean over a model's tasks, their difference, and a row of averages."""
-    both = base.select(*keys, F.col("correct").alias("bc"), F.col("total").alias("bt")).join(tuned.select(*keys, F.col("correct").alias("tc"), F.col("total").alias("tt")), list(keys))
-    by_task = both.groupBy("model", "task").agg((F.sum("bc") / F.sum("bt")).alias("base"), (F.sum("tc") / F.sum("tt")).alias("tuned"), F.count("*").alias("samples"))
+    """Scores of each task over the samples that both sides have (the mean
+    similarity of schema where rows have one, else counts), the mean over a
+    model's tasks, their difference, and a row of averages."""
+    value = lambda d: F.when(F.col("task") == "schema", F.col("score")) if "score" in d.columns else F.lit(None).cast("double")
+    side = lambda d, p: d.select(*keys, F.col("correct").alias(f"{p}c"), F.col("total").alias(f"{p}t"), value(d).alias(f"{p}s"))
+    both = side(base, "b").join(side(tuned, "t"), list(keys))
+    score = lambda p: F.coalesce(F.avg(f"{p}s"), F.sum(f"{p}c") / F.nullif(F.sum(f"{p}t"), F.lit(0)))
+    by_task = both.groupBy("model", "task").agg(score("b").alias("base"), score("t").alias("tuned"), F.count("*").alias("samples"))
     rows = by_task.groupBy("model").agg(F.avg("base").alias("base"), F.avg("tuned").alias("tuned"), F.sum("samples").alias("samples"))
     total = rows.agg(F.lit(average).alias("model"), F.avg("base").alias("base"), F.avg("tuned").alias("tuned"), F.sum("samples").alias("samples"))
     return rows.unionByName(total).withColumn("delta", F.col("tuned") - F.col("base"))
 
 
+def comparison_method(name: Column) -> Column:
+    return F.when(name.rlike(r"(?:^|[\s_-])QA(?:[\s_-]|$)"), "QA").otherwise("FT")
+
+
+def discovered(dirs: DataFrame) -> DataFrame:
+    """Distinct canonical names of the models that have prediction folders (name)."""
+    return dirs.select(X.canonical_model(F.col("name")).alias("model")).distinct()
+
+
+def model_pairs(tuned: DataFrame, bases: DataFrame, with_qa: bool = False) -> DataFrame:
+    """Tuned models (ft_model) with their base model by canonical name, in
+    order: by the base's rank, then method, then name (bases: base_model, rank).
+    Models without a known base are left out, as are QA variants unless asked for."""
+    rows = tuned.select("ft_model", X.canonical_model(F.col("ft_model")).alias("__name"), comparison_method(F.col("ft_model")).alias("comparison_method"))
+    side = bases.select("base_model", "rank", X.canonical_model(F.col("base_model")).alias("__name"))
+    out = rows.join(bounded(side), "__name")
+    if not with_qa:
+        out = out.where("comparison_method <> 'QA'")
+    place = F.struct("rank", "base_model", F.when(F.col("comparison_method") == "FT", 0).otherwise(1).alias("m"), "ft_model")
+    return out.select("ft_model", "base_model", "comparison_method", place.alias("place"))
+
+
+def resolved_dirs(records: DataFrame, dirs: DataFrame, model: Column) -> DataFrame:
+    """records (task, condition, lang, ...) with the folder of the model's
+    predictions: the one of just that name, else the first in order of those
+    with an equal canonical name, else the name itself (dirs: task, condition, lang, name)."""
+    wanted = X.model_dir(model)
+    exact = F.col("name") == wanted
+    same = dirs.where(X.canonical_model(F.col("name")) == X.canonical_model(model)).withColumn("__exact", exact)
+    keys = ["task", "condition", "lang"]
+    best = first_by(same, keys, [F.col("__exact").desc(), F.col("name")]).select(*keys, F.col("name").alias("dir"))
+    return records.join(best, keys, "left").withColumn("dir", F.coalesce("dir", wanted))
+
+
+def fingerprint(path: Column, content: Column) -> Column:
+    """path, size and digest of a file as one text; a missing file says so."""
+    return F.when(content.isNull(), F.concat(path, F.lit(":missing"))).otherwise(F.concat_ws(":", path, F.length(content).cast("string"), F.sha1(content)))
+
+
+def cache_record(rows: DataFrame, metric: str, matcher: str) -> DataFrame:
+    """rows with the columns that tell whether a cached detail is current (rows:
+    base_model, ft_model, method, task, lang, sample_id, active, paired (bytes of
+    both predictions), sources: array of struct(path, content) in order)."""
+    infill = F.col("task") == "infill"
+    key = F.concat_ws("::", "base_model", "ft_model", "method", "task", F.lit("empty"), "lang", F.col("sample_id").cast("string"), F.lit(metric), F.when(infill, F.lit(matcher)))
+    sha = lambda c: F.when(F.col(c).isNull(), "missing").otherwise(F.sha1(c))
+    return rows.withColumns({
+        "cache_version": F.when(infill, INFILL_VERSION).otherwise(VERSION),
+        "cache_key": key,
+        "schema_metric": F.lit(metric),
+        "active_prediction_sha1": sha("active"),
+        "paired_prediction_sha1": sha("paired"),
+        "source_fingerprint": F.array_join(F.transform("sources", lambda x: fingerprint(x["path"], x["content"])), "|"),
+    })
+
+
+def reused(current: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cached details that are current, rows to compute, counts of both by method)."""
+    keep = cached.join(current.select(*COMPARED).distinct(), list(COMPARED), "left_semi")
+    todo = current.join(cached.select(*COMPARED).distinct(), list(COMPARED), "left_anti")
+    n = lambda d, c: d.groupBy("method").agg(F.count("*").alias(c))
+    counts = n(keep, "reused").join(n(todo, "computed"), "method", "full")
+    return keep, todo, counts.select("method", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("reused", "computed")))
+
+
 def positions(df: DataFrame, order: str) -> DataFrame:
     """df with each row's place in the order, from range partitions and their
     sizes, so that no task sees all rows. The offsets are one row a partition."""

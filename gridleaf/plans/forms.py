@@ -82,9 +82,13 @@ def placeholder_extract(t):
 
 
 @query("""
-SELECT o_orderkey, CAST(4 AS BIGINT) AS occurrences, CAST(3 AS BIGINT) AS slots, CAST(1 AS BIGINT) AS collisions, CAST(1 AS BIGINT) AS multi FROM orders""")
+SELECT o_orderkey, CAST(2 + o_orderkey % 3 AS BIGINT) AS occurrences, CAST(CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 2 + o_orderkey % 3 END AS BIGINT) AS slots,
+  CAST(CASE WHEN o_custkey % 2 = 0 THEN o_orderkey % 3 ELSE 0 END AS BIGINT) AS collisions, CAST(CASE WHEN o_custkey % 2 = 0 AND o_orderkey % 3 > 0 THEN 1 ELSE 0 END AS BIGINT) AS multi FROM orders""")
 def slot_inventory(t):
-    cell = F.concat(F.lit("["), "o_orderstatus", F.lit("] ["), "o_orderpriority", F.lit("] ["), "o_orderstatus", F.lit("]"))
+    """Marks of a form: one to three in its first cell, one in its second; equal names of a cell have slots of their own, others share one."""
+    k = F.col("o_orderkey") % 3
+    name = lambda i: F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("[N"), F.substring(F.lit("abc"), i + 1, F.lit(1)), F.lit("]"))).otherwise(F.lit("[N]"))
+    cell = F.array_join(F.transform(F.sequence(F.lit(0), k.cast("int")), name), " ")
     docs = t("orders").select("o_orderkey", _row(H.td(cell), H.td(F.lit("[Total]"))).alias("html"))
     return A.slot_inventory(H.placeholder_rows(H.cells(docs), ["o_orderkey"], X.label_text), ["o_orderkey"])
 
@@ -144,9 +148,14 @@ SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 T
   round(CASE o_orderkey % 5 WHEN 0 THEN 1 - 2 / 14.0 WHEN 1 THEN 1 - 2 / 12.0 WHEN 2 THEN 0 ELSE 1 END, 9) AS similarity FROM orders""")
 def json_label_multiset_distance(t):
     """A prediction without a document has no labels, so all of gold's count."""
-    nodes = _json_pair(t).select("o_orderkey", F.explode(F.array(F.struct(F.lit("pred").alias("side"), F.col("pred").alias("json")), F.struct(F.lit("gold").alias("side"), F.col("gold").alias("json")))).alias("x"))
-    nodes = nodes.select("o_orderkey", "x.side", F.explode(S.json_nodes("x.json")).alias("n")).select("o_orderkey", "side", "n.node", "n.label")
-    return S.label_distance(nodes, ["o_orderkey"]).select("o_orderkey", "distance", F.round("similarity", 9).alias("similarity"))
+    return _json_pair(t).select("o_orderkey", S.label_distance("pred", "gold").alias("d")).select("o_orderkey", "d.distance", F.round("d.similarity", 9).alias("similarity"))
+
+
+@query("""
+SELECT o_orderkey, 3 AS nodes_of_broken, CAST(CASE o_orderkey % 5 WHEN 0 THEN 7 WHEN 1 THEN 5 WHEN 2 THEN 0 ELSE 7 END AS INTEGER) AS nodes FROM orders""".replace("3 AS nodes_of_broken, ", ""))
+def json_tree_size(t):
+    """Nodes of the labelled tree: the root, keys and values."""
+    return _json_pair(t).select("o_orderkey", F.size(S.json_nodes("pred")).alias("nodes"))
 
 
 @query("""
@@ -160,11 +169,15 @@ def schema_macro(t):
 
 
 @query("""
-SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'non_string' WHEN 2 THEN 'unrepairable' WHEN 3 THEN 'empty' ELSE 'ok' END AS status FROM events""")
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'empty' WHEN 1 THEN 'non_string' WHEN 2 THEN 'unrepairable' WHEN 3 THEN 'empty' WHEN 6 THEN 'repaired' ELSE 'ok' END AS status,
+  CASE event_id % 8 WHEN 6 THEN '{"type": "' || event_type || '", "tags": ["a", "b"]}' END AS repaired FROM events""")
 def json_status_ladder(t):
-    k = F.col("event_id") % 7
-    doc = F.when(k == 0, F.lit("  ")).when(k == 1, F.lit("42")).when(k == 2, F.concat("props", F.lit("")).substr(1, 4)).when(k == 3, F.lit("null")).when(k == 4, F.concat(F.lit("Answer: "), "props", F.lit(" done"))).otherwise(F.col("props"))
-    return t("events").select("event_id", S.lenient_json(doc)["status"].alias("status"))
+    """Every state of a lenient reading; a cut-off response is repaired."""
+    k = F.col("event_id") % 8
+    cut = F.concat(F.lit('So: {"type": "'), "event_type", F.lit('", "tags": ["a", "b'))
+    doc = F.when(k == 0, F.lit("  ")).when(k == 1, F.lit("42")).when(k == 2, F.concat("props", F.lit("")).substr(1, 4)).when(k == 3, F.lit("null")).when(k == 4, F.concat(F.lit("Answer: "), "props", F.lit(" done"))).when(k == 6, cut).otherwise(F.col("props"))
+    read = t("events").select("event_id", S.lenient_json(doc).alias("j"))
+    return read.select("event_id", "j.status", F.when(F.col("j.status") == "repaired", F.col("j.json")).alias("repaired"))
 
 
 @query("""
@@ -177,32 +190,37 @@ def prediction_status_ladder(t):
 
 
 @query("""
-SELECT n_regionkey, bool_and(n_nationkey % 3 <> 0) AS ok, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY n_regionkey""")
+SELECT s_suppkey, s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0 AS ok FROM supplier""")
 def json_conformity(t):
-    """Outputs follow their template, but for every third, which lacks a key."""
+    """Outputs follow their template, but for those that lack a key or hold a list for an object."""
+    k = F.col("s_suppkey")
     template = F.lit('{"name": "", "tags": {"value": [""]}}')
-    good = F.to_json(F.struct(F.col("n_name").alias("name"), F.struct(F.array("n_name", "n_name").alias("value")).alias("tags")))
-    bad = F.to_json(F.struct(F.col("n_name").alias("name")))
-    rows = t("nation").select("n_regionkey", S.conforms(template, F.when(F.col("n_nationkey") % 3 == 0, bad).otherwise(good))["ok"].alias("ok"))
-    return rows.groupBy("n_regionkey").agg(F.bool_and("ok").alias("ok"), F.count("*").alias("n"))
+    good = F.to_json(F.struct(F.col("s_name").alias("name"), F.struct(F.array("s_name", "s_name").alias("value")).alias("tags")))
+    fewer = F.to_json(F.struct(F.col("s_name").alias("name")))
+    other = F.to_json(F.struct(F.col("s_name").alias("name"), F.array(F.lit(1)).alias("tags")))
+    return t("supplier").select("s_suppkey", S.conforms(template, F.when(k % 3 == 0, fewer).when(k % 7 == 0, other).otherwise(good))["ok"].alias("ok"))
 
 
 @query("""
-SELECT n_regionkey, bool_and(n_nationkey % 4 <> 0) AS ok FROM nation GROUP BY n_regionkey""")
+SELECT s_suppkey, s_suppkey % 4 <> 0 AS same, s_suppkey % 5 <> 0 AS same_table FROM supplier""")
 def dom_signature_stable(t):
-    """Filling in values and ticks keeps a form's signature; another element changes it."""
+    """Filling in values and ticks keeps a form's signature; another element changes it, another row its table's."""
+    k = F.col("s_suppkey")
     blank = F.lit('<table><tr><td>Name</td><td><input type="text" name="a"></td><td><input type="checkbox"></td></tr></table>')
-    filled = F.concat(F.lit('<table><tr><td>'), "n_name", F.lit('</td><td><input type="text" name="a" value="'), "n_name", F.lit('"></td><td><input type="checkbox" checked>'), F.when(F.col("n_nationkey") % 4 == 0, "<b></b>").otherwise(""), F.lit("</td></tr></table>"))
-    same = H.structure_signature(blank) == H.structure_signature(filled)
-    return t("nation").select("n_regionkey", same.alias("ok")).groupBy("n_regionkey").agg(F.bool_and("ok").alias("ok"))
+    filled = F.concat(F.lit('<table><tr><td>'), "s_name", F.lit('</td><td><input type="text" name="a" value="'), "s_name", F.lit('"></td><td><input type="checkbox" checked>'), F.when(k % 4 == 0, "<b></b>").otherwise(""), F.lit("</td></tr></table>"))
+    tables = lambda row: F.concat(F.lit("<table><tr><td>a</td><td>"), "s_name", F.lit("</td></tr>"), row, F.lit("</table>"))
+    same_table = H.table_signature(tables(F.lit(""))) == H.table_signature(tables(F.when(k % 5 == 0, "<tr><td>x</td></tr>").otherwise("")))
+    return t("supplier").select("s_suppkey", (H.structure_signature(blank) == H.structure_signature(filled)).alias("same"), same_table.alias("same_table"))
 
 
 @query("""
-SELECT r_regionkey, CAST(3 AS INTEGER) AS tables, CAST(3 AS INTEGER) AS depth, true AS wrapped FROM region""")
+SELECT s_suppkey, CAST(1 + s_suppkey % 4 AS INTEGER) AS tables, CAST(1 + s_suppkey % 4 AS INTEGER) AS depth, s_suppkey % 4 > 0 AS nested FROM supplier""")
 def dom_table_profile(t):
-    html = F.concat(F.lit("<table><tr><td><table><tr><td>"), "r_name", F.lit("</td><td><table><tr><td>x</td></tr></table></td></tr></table></td></tr></table>"))
-    found = t("region").select("r_regionkey", H.table_profile(html).alias("p"))
-    return found.select("r_regionkey", F.size("p").alias("tables"), F.array_max(F.transform("p", lambda x: x["depth"])).alias("depth"), F.exists("p", lambda x: x["wrapper"]).alias("wrapped"))
+    """Tables inside cells of tables, none to three deep."""
+    k = (F.col("s_suppkey") % 4).cast("int")
+    html = F.concat(F.repeat(F.lit("<table><tr><td>"), k), F.lit("<table><tr><td>"), "s_name", F.lit("</td></tr></table>"), F.repeat(F.lit("</td></tr></table>"), k))
+    found = t("supplier").select("s_suppkey", H.table_profile(html).alias("p"))
+    return found.select("s_suppkey", F.size("p").alias("tables"), F.array_max(F.transform("p", lambda x: x["depth"])).alias("depth"), F.exists("p", lambda x: x["nested"] > 0).alias("nested"))
 
 
 @query()

@@ -112,10 +112,11 @@ def latest_upsert(t):
 WITH l AS (SELECT DISTINCT p_type AS label FROM part)
 SELECT p_partkey, label FROM part JOIN l ON contains(lower(p_name || ' ' || p_type), lower(label))""")
 def label_containment_join(t):
-    """Cells that hold a label; the labels are the distinct codes of one column."""
-    part = t("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("cell"))
-    labels = O.bounded(t("part").select(F.col("p_type").alias("label")).distinct())
-    return part.join(labels, X.matches(F.col("cell"), F.col("label")) & F.contains(X.field_text(F.col("cell")), X.field_text(F.col("label")))).select("p_partkey", "label")
+    """Cells whose label text holds a label's."""
+    cells = t("part").select("p_partkey", X.field_text(F.concat_ws(" ", "p_name", "p_type")).alias("cell"))
+    labels = t("part").select(F.col("p_type").alias("label")).distinct().withColumn("bare", X.field_text(F.col("label")))
+    found = O.containing(cells, labels.select("bare"), ["p_partkey"], "cell", "bare")
+    return found.join(labels, "bare").select("p_partkey", "label")
 
 
 @query("""
@@ -148,30 +149,26 @@ WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), g AS (SELECT
 SELECT l_orderkey, CAST(min(l_linenumber) AS INTEGER) AS first, count(*) AS n FROM g GROUP BY l_orderkey, g""")
 def gap_sessions_by_index(t):
     """Consecutive numbers of a document; an order holds a handful of lines."""
-    d = t("lineitem").select("l_orderkey", "l_linenumber").distinct()
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber")
-    g = d.withColumn("g", F.col("l_linenumber") - F.row_number().over(w))
-    return g.groupBy("l_orderkey", "g").agg(F.min("l_linenumber").alias("first"), F.count("*").alias("n")).select("l_orderkey", "first", "n")
+    return O.sequences(t("lineitem"), ["l_orderkey"], "l_linenumber")
 
 
 @query("""
 WITH f AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS n FROM orders) SELECT o_orderkey FROM f WHERE n <= 2""")
 def limit_per_combo(t):
-    w = W.partitionBy("o_custkey", "o_orderstatus").orderBy("o_orderkey")
-    return t("orders").withColumn("n", F.row_number().over(w)).where("n <= 2").select("o_orderkey")
+    return G.first_by(t("orders"), ["o_custkey", "o_orderstatus"], [F.col("o_orderkey")], 2).select("o_orderkey")
 
 
 @query("""
 SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_identity(t):
-    return t("documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    return G.repeated(t("documents").withColumn("sha256", F.sha2("text", 256)), ["sha256"], "doc_id")
 
 
 @query("""
 SELECT p.page_id FROM pages p ANTI JOIN documents d ON p.page_id = d.doc_id * 2""")
 def manifest_unlisted(t):
     listed = t("documents").select((F.col("doc_id") * 2).alias("page_id"))
-    return t("pages").select("page_id").join(listed, "page_id", "left_anti")
+    return G.unlisted(t("pages").select("page_id"), listed, ["page_id"])
 
 
 @query("""

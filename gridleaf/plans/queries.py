@@ -1,6 +1,6 @@
 """All registered queries over the driver's tables, with their SQL."""
 
-from . import forms, joins, records, rollups, texts
+from . import audits, forms, joins, records, rollups, texts, workflow
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "forms", "joins", "records", "rollups", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audits", "forms", "joins", "records", "rollups", "texts", "workflow"]

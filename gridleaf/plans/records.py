@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -160,10 +159,7 @@ def alias_by_fragment(t):
     """Names mapped by the first alias whose fragment they hold."""
     spark = t("customer").sparkSession
     aliases = spark.createDataFrame([("b", "building", 0, True), ("e", "has e", 1, False)], "fragment string, alias string, rank int, starts boolean")
-    holds = lambda n: F.when(F.col("starts"), F.startswith(n, F.col("fragment"))).otherwise(F.contains(n, F.col("fragment")))
-    rows = t("customer").select("c_custkey", X.word_text(F.col("c_mktsegment")).alias("name"))
-    found = rows.join(F.broadcast(aliases), holds(F.col("name")), "left")  # two rows
-    return found.groupBy("c_custkey").agg(F.coalesce(F.min_by("alias", "rank"), F.lit("none")).alias("alias"))
+    return G.first_alias(t("customer").select("c_custkey", X.word_text(F.col("c_mktsegment")).alias("name")), aliases, ["c_custkey"], "name", "none")
 
 
 @query("""
@@ -184,9 +180,13 @@ def inventory_check(t):
     return T.inventory(rows, ["sample_id", "language"], ["source", "license"])
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+s AS (SELECT o_custkey, o_orderkey, bytes, n, CAST(0 AS BIGINT) AS shard, bytes AS used FROM o WHERE n = 1
+  UNION ALL SELECT o.o_custkey, o.o_orderkey, o.bytes, o.n, CASE WHEN s.used > 0 AND s.used + o.bytes > 500000 THEN s.shard + 1 ELSE s.shard END, CASE WHEN s.used > 0 AND s.used + o.bytes > 500000 THEN o.bytes ELSE s.used + o.bytes END FROM s JOIN o ON o.o_custkey = s.o_custkey AND o.n = s.n + 1)
+SELECT o_custkey, o_orderkey, bytes, shard FROM s""")
 def shard_by_bytes(t):
-    """Greedy shards of each customer's orders: a running sum that restarts has no plain SQL form."""
+    """Greedy shards of each customer's orders."""
     rows = t("orders").select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("long").alias("bytes"))
     return J.sharded(rows, ["o_custkey"], "o_orderkey", "bytes", 500_000)
 
@@ -194,8 +194,7 @@ def shard_by_bytes(t):
 @query("""
 SELECT model, status, n, CAST(sum(n) OVER (PARTITION BY model) AS BIGINT) AS of FROM (SELECT l_linestatus AS model, l_returnflag AS status, count(*) AS n FROM lineitem GROUP BY ALL)""")
 def status_histogram(t):
-    h = t("lineitem").groupBy(F.col("l_linestatus").alias("model"), F.col("l_returnflag").alias("status")).agg(F.count("*").alias("n"))
-    return h.withColumn("of", F.sum("n").over(W.partitionBy("model")))
+    return G.histogram(t("lineitem").select(F.col("l_linestatus").alias("model"), F.col("l_returnflag").alias("status")), ["model"], "status")
 
 
 @query("""
@@ -205,8 +204,8 @@ def discovered_models(t):
     """Models that have predictions, known ones by their rank, others behind them."""
     spark = t("orders").sparkSession
     known = spark.createDataFrame([("m2", 0), ("m0", 1)], "model string, rank int")
-    seen = t("orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("m"), (F.col("o_custkey") % 4).cast("string")).alias("model")).distinct()
-    return seen.join(F.broadcast(known), "model", "left").select("model", F.coalesce("rank", F.lit(99)).alias("rank"))
+    seen = t("orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("m"), (F.col("o_custkey") % 4).cast("string")).alias("model"))
+    return G.ranked(seen, known, "model")
 
 
 @query("""

@@ -24,6 +24,8 @@ STAGES = {
     "html_b": "html",
     "json_b": "json",
 }
+# The folder names of the stages by what they hold, as records name them.
+ALIASES = {"html_empty": "html_template", "json_empty": "annotated_json", "json_filled": "filled_json", "html_filled": "filled_html", "placeholder": "placeholder_html"}
 ARTIFACT = "path string, name string, ext string, size long, mtime long"
 
 
@@ -49,6 +51,95 @@ def numeric_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     return rows.select(F.col("name").try_cast("int").alias("sample_id"), "path", "size", "mtime").where("sample_id is not null")
 
 
+def stage_path(root: str, stage: str, lang: str, sample_id: int | None = None) -> str:
+    """Where a stage's files, or one sample's, lie; an unknown stage is an error."""
+    name = ALIASES.get(stage, stage)
+    if name not in STAGES:
+        raise ValueError(f"unknown stage: {stage}")
+    folder = f"{root.rstrip('/')}/{name}/data_{lang}"
+    return folder if sample_id is None else f"{folder}/{sample_id}.{STAGES[name]}"
+
+
+def languages(spark: SparkSession, root: str) -> DataFrame:
+    """Languages that any stage of a root has numbered files of."""
+    at = F.regexp_extract("path", r"/([^/]+)/data_([^/]+)/[^/]+$", 1)
+    rows = listing(spark, root, recursive=True).where(at.isin(*STAGES) & F.col("name").rlike("^[0-9]+$"))
+    return rows.select(F.regexp_extract("path", r"/data_([^/]+)/[^/]+$", 1).alias("lang")).distinct()
+
+
+def html_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """Forms below all roots, each path once, in order."""
+    found = union_all(listing(spark, r, recursive=True) for r in roots)
+    return found.where(F.lower("ext").isin("html", "htm")).dropDuplicates(["path"]).orderBy("path")
+
+
+def numeric_pngs(spark: SparkSession, root: str) -> DataFrame:
+    """sample_id and path of rendered images; of files that name one id the last in order."""
+    return numeric_files(spark, root, "png").groupBy("sample_id").agg(F.max("path").alias("path"))
+
+
+def sibling_templates(files: DataFrame, templates: DataFrame, suffix: str = "html") -> DataFrame:
+    """files (name, ...) with the template of the same name, whatever the case of its suffix; the first in order of several."""
+    side = templates.where(F.lower("ext") == suffix).groupBy("name").agg(F.min("path").alias("template_path"))
+    return files.join(side, "name", "left")
+
+
+def meta_documents(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(path, items of each metadata document, warnings): .json files in order of
+    their names, hidden ones left out; what is no list is a warning."""
+    rows = contents(listing(spark, root).where((F.col("ext") == "json") & ~F.startswith("name", F.lit(".")))).orderBy("path")
+    text = text_of(F.col("content"))
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    is_list = F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False))
+    return rows.where(is_list).select("path", text.alias("json")), rows.where(~is_list).select("path", F.when(kind.isNull(), "no JSON").otherwise("no list").alias("warning"))
+
+
+def json_documents(files: DataFrame) -> DataFrame:
+    """files with their text and, as json, its document (variant; null where it cannot be read)."""
+    text = text_of(F.col("content"))
+    return contents(files).withColumn("text", text).withColumn("json", F.try_parse_json(text)).drop("content")
+
+
+def layout_audits(spark: SparkSession, path: str) -> DataFrame:
+    """output and ok of a layout audit: one document with a list of items."""
+    text = spark.read.text(path, wholetext=True)
+    items = F.from_json(F.get_json_object("value", "$.items"), "array<struct<output: string, ok: boolean>>")
+    return text.select(F.explode(items).alias("x")).select("x.output", F.coalesce("x.ok", F.lit(False)).alias("ok"))
+
+
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str | None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return path
+    return None
+
+
+def record_paths(root: str, task: str, lang: str) -> list[str]:
+    """Where test records of a task and language may lie, the most special first."""
+    names = [(task, lang), (task, "both"), ("all", lang), ("all", "both")]
+    return list(dict.fromkeys(f"{root.rstrip('/')}/{t}_{g}_template_test.jsonl" for t, g in names))
+
+
+def test_records(spark: SparkSession, root: str, task: str, lang: str, limit: int = 0) -> DataFrame:
+    """Test records of the first dataset there is, in order of language and id; limit 0 means all."""
+    from ..operators import selection as P
+
+    path = first_existing(spark, record_paths(root, task, lang))
+    if path is None:
+        raise FileNotFoundError(f"no test records of {task} {lang} below {root}")
+    rows = spark.read.json(path, schema="task string, lang string, split string, sample_id long, condition string, prompt string, completion string, gold_path string")
+    return P.limited(P.test_records(rows, task, lang).orderBy("lang", "sample_id"), ["lang", "sample_id"], limit)
+
+
+def gold_of(records: DataFrame, recorded: DataFrame, default: DataFrame) -> DataFrame:
+    """records with their gold text: the recorded file's where it exists, else
+    the stage's (recorded: gold_path, content; default: lang, sample_id, content)."""
+    a = recorded.select("gold_path", F.col("content").alias("__a"))
+    b = default.select("lang", "sample_id", F.col("content").alias("__b"))
+    return records.join(a, "gold_path", "left").join(b, ["lang", "sample_id"], "left").withColumn("gold", F.coalesce("__a", "__b")).drop("__a", "__b")
+
+
 def in_range(sample_id, start: int | None = None, end: int | None = None):
     """Inclusive range with open ends."""
     c = F.col(sample_id) if isinstance(sample_id, str) else sample_id
@@ -104,6 +195,29 @@ def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
     df.select(*fields).write.csv(path, header=True, mode="overwrite", escape='"')
 
 
+def write_csv_union(frames: Iterable[DataFrame], path: str) -> bool:
+    """Rows of all frames under the ordered union of their columns; nothing is written without rows or columns."""
+    rows = union_all(frames)
+    if rows is None or not rows.columns or rows.isEmpty():
+        return False
+    write_csv(rows, path, rows.columns)
+    return True
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON document a line. The files appear at once when the job commits, or not at all."""
+    df.write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+def write_text(df: DataFrame, path: str) -> None:
+    """The only column, a row a line."""
+    df.write.mode("overwrite").text(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.json(path, schema=schema)
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame | None:
     """Rows of all frames under the ordered union of their columns."""
     out = None
