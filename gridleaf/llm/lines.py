@@ -13,11 +13,13 @@ document less. Keys are 64-bit hashes of all constant words and their places.
 
 A passage of fifty words that recurs verbatim (but for case and white space)
 goes wherever it stands, broken into lines or inside longer ones: every run of
-fifty words of the whole text is compared. So that few runs are, each text
-first gives its anchors, the least of the 16-word hashes of each passage; two
-equal passages have equal anchors, and only runs around anchors that recur are
-listed. Lines that such passages cover are dropped whatever their length, and
-lines that they cover in part lose the covered words only.
+fifty words of the whole text is compared. So that few runs move, those are
+told by their anchor, the least hash of 16 words inside them, which equal runs
+share. Neighbouring runs of one anchor are a stretch. Where all documents with
+an anchor have the same stretch, its runs recur or not as one; only the runs of
+other anchors that recur are listed. Lines that such passages cover are dropped
+whatever their length, and lines that they cover in part lose the covered words
+only.
 
 Lines to drop are named by document and by the hash of their own text, so no
 other line goes with them.
@@ -139,19 +141,24 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(x[: len(x) - (width - k)], x[width - k :])
 
 
-def anchors(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and keys of the runs of GRAM words that are the least of some passage."""
-    span = LONG - GRAM + 1
-    at = runs(h, sizes, LONG)[0]
+def passages(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs of LONG words start, their hashes, and their anchors."""
+    at, keys = runs(h, sizes, LONG)
     if not len(at):
-        return at, np.zeros(0, np.int64)
-    where, keys = runs(h, sizes, GRAM)
+        return at, keys, keys
+    where, found = runs(h, sizes, GRAM)
     grams = np.full(len(h), np.iinfo(np.uint64).max, np.uint64)
-    grams[where] = keys
-    low = np.zeros(len(h) + span - 1, np.uint64)
-    low[at + span - 1] = _sliding(grams, span, np.minimum)[at]
-    found = np.flatnonzero(_sliding(low, span, np.maximum) == grams)
-    return found, grams[found].view(np.int64)
+    grams[where] = found
+    return at, keys, _sliding(grams, LONG - GRAM + 1, np.minimum)[at]
+
+
+def stretches(at: np.ndarray, keys: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the first run of each stretch, and a hash of its first and last run and length."""
+    new = np.ones(len(at), bool)
+    new[1:] = (low[1:] != low[:-1]) | (np.diff(at) != 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return first, mixed(keys[first] + mixed(keys[last] + (last - first).astype(np.uint64)))
 
 
 def _once(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -162,60 +169,53 @@ def _once(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return order[first]
 
 
+#: Kinds of rows: templates of shorter and of long lines, and anchors.
+SHORT, PASSAGE, ANCHOR = 0, 1, 2
+
+
 def _keyed(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, line (its hash, null for an anchor), long (whether it is a
-    passage), fresh (1 at the document's first such key) and key, of each line's
-    templates and of each text's anchors."""
+    """doc_id, kind, key, mark (the hash of the line or of the anchor's stretch)
+    and fresh (1 at the document's first such key), of each line's templates and
+    of each text's anchors; a mark once for each key of a document."""
 
     def make():
         def work(x):
             w = Words(x["text"])
-            place, marks = anchors(w.hashes, w.sizes)
-            holder = w.text[place]
-            some = _once(holder, marks)
+            at, runs_, low = passages(w.hashes, w.sizes)
+            begins, stretch = stretches(at, runs_, low)
             used = np.flatnonzero(w.words >= least)
             lengths = w.words[used]
             keys, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if len(used):
                 inside = np.repeat(w.first[used] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
                 keys, owner = templates(w.hashes[inside], w.masked()[inside], lengths)
-            doc = w.text[w.first[used]][owner]
-            first = np.zeros(len(keys), np.int64)
-            first[_once(doc, keys)] = 1
-            n = len(some)
-            line = np.concatenate([w.line_hashes()[used][owner], np.zeros(n, np.int64)])
-            return {
-                "doc_id": pa.array(x["doc_id"], pa.int64()).take(pa.array(np.concatenate([doc, holder[some]]))),
-                "line": pa.array(line, mask=np.concatenate([np.zeros(len(keys), bool), np.ones(n, bool)])),
-                "long": np.concatenate([(lengths >= LONG)[owner], np.ones(n, bool)]),
-                "fresh": np.concatenate([first, np.ones(n, np.int64)]),
-                "key": np.concatenate([keys, marks[some]]),
-            }
+            doc = np.concatenate([w.text[w.first[used]][owner], w.text[at[begins]]])
+            key = np.concatenate([keys, low[begins].view(np.int64)])
+            mark = np.concatenate([w.line_hashes()[used][owner], stretch.view(np.int64)])
+            kind = np.concatenate([np.where(lengths >= LONG, PASSAGE, SHORT)[owner], np.full(len(begins), ANCHOR)])
+            order = np.lexsort((mark, key, doc))
+            doc, key, mark, kind = doc[order], key[order], mark[order], kind[order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (np.diff(key) != 0) | (np.diff(doc) != 0)
+            keep = fresh.copy()
+            keep[1:] |= np.diff(mark) != 0
+            return {"doc_id": pa.array(x["doc_id"], pa.int64()).take(pa.array(doc[keep])), "kind": kind[keep], "key": key[keep], "mark": mark[keep], "fresh": fresh[keep].astype(np.int64)}
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, line long, long boolean, fresh long, key long", make)
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, kind int, key long, mark long, fresh long", make)
 
 
 def _around(docs: DataFrame) -> DataFrame:
-    """doc_id and keys of the runs of LONG words around the anchors of each row
-    of doc_id, text, anchors; a key once in each text."""
+    """doc_id and keys of the runs of LONG words of the given anchors of each
+    row of doc_id, text, anchors; a key once in each text."""
 
     def make():
         def work(x):
             w = Words(x["text"])
-            place, marks = anchors(w.hashes, w.sizes)
-            wanted = _pairs(w.text[place], marks)
-            given = _pairs(np.repeat(np.arange(len(w.sizes)), [len(a) for a in x["anchors"]]), np.array([k for a in x["anchors"] for k in a], np.int64))
-            place = place[np.isin(wanted, given)]
-            # A run from p on holds the anchors from p to p + LONG - GRAM.
-            ends = np.zeros(len(w.hashes) + 1, np.int64)
-            np.add.at(ends, np.maximum(place - (LONG - GRAM), 0), 1)
-            np.add.at(ends, place + 1, -1)
-            near = np.cumsum(ends)[:-1] > 0
-            at, keys = runs(w.hashes, w.sizes, LONG)
-            keys = keys[near[at]].view(np.int64)
-            doc = w.text[at[near[at]]]
+            at, keys, low = passages(w.hashes, w.sizes)
+            some = np.isin(_pairs(w.text[at], low), _marked(x["anchors"]))
+            doc, keys = w.text[at[some]], keys[some].view(np.int64)
             some = _once(doc, keys)
             return {"doc_id": pa.array(x["doc_id"], pa.int64()).take(pa.array(doc[some])), "key": keys[some]}
 
@@ -230,41 +230,47 @@ def _pairs(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: int = 2) -> DataFrame:
-    """doc_id, gone (hashes of the lines to drop), covered (keys of the passages
-    to drop, or null). Templates and passages are counted by partial aggregates,
-    so no key's rows ever have to meet; the joins with those that recur are ones
-    whose large partitions Spark splits."""
-    spark = docs.sparkSession
+    """doc_id, gone (hashes of the lines to drop), settled (anchors all of whose
+    runs are to drop) and covered (keys of further runs to drop, or null).
+    Templates, anchors and runs are counted by partial aggregates, so no key's
+    rows ever have to meet; the joins with those that recur are ones whose large
+    partitions Spark splits."""
+    spark, ends = docs.sparkSession, (F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     with scratch(spark):
         keyed = written(_keyed(docs, least), "lines-keyed")
-        counts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("long").alias("long"), F.sum("fresh").alias("docs"))
-        often = counts.where("first < last").where(F.col("docs") >= F.when(F.col("long"), long_docs).otherwise(short_docs))
+        lines, anchors = keyed.where(F.col("kind") < ANCHOR), keyed.where(F.col("kind") == ANCHOR)
+        counts = lines.groupBy("key").agg(*ends, F.max("kind").alias("kind"), F.sum("fresh").alias("docs"))
+        often = counts.where("first < last").where(F.col("docs") >= F.when(F.col("kind") == PASSAGE, long_docs).otherwise(short_docs))
         often = written(often.select("key", "first"), "lines-often")
-        hits = keyed.join(often, "key").where("line is null or doc_id <> first")
-        marks = hits.groupBy("doc_id").agg(F.collect_set("line").alias("gone"), F.collect_set(F.when(F.col("line").isNull(), F.col("key"))).alias("anchors"))
+        gone = lines.join(often, "key").where("doc_id <> first").select("doc_id", F.col("mark").alias("gone"))
+        known = anchors.groupBy("key").agg(*ends, (F.min("mark") == F.max("mark")).alias("same")).where("first < last")
+        known = written(known.select("key", "first", "same"), "lines-anchors")
+        met = anchors.join(known, "key").where("not same or doc_id <> first")
+        met = met.select("doc_id", F.when(F.col("same"), F.col("key")).alias("settled"), F.when(~F.col("same"), F.col("key")).alias("anchors"))
+        marks = gone.unionByName(met, allowMissingColumns=True).groupBy("doc_id").agg(*(F.collect_set(c).alias(c) for c in ("gone", "settled", "anchors")))
         marks = written(marks, "lines-marks", keep=True)
     collected(spark)
     with scratch(spark):
         near = marks.where(F.size("anchors") > 0).select("doc_id", "anchors")
-        passages = written(_around(docs.select("doc_id", "text").join(near, "doc_id")), "lines-passages")
+        listed = written(_around(docs.select("doc_id", "text").join(near, "doc_id")), "lines-passages")
         collected(spark)
-        twice = passages.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        twice = written(twice.select("key", "first"), "lines-twice")
+        twice = written(listed.groupBy("key").agg(*ends).where("first < last").select("key", "first"), "lines-twice")
         collected(spark)
-        covered = passages.join(twice, "key").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("key").alias("covered"))
+        covered = listed.join(twice, "key").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("key").alias("covered"))
         covered = written(covered, "lines-covered", keep=True)
     collected(spark)
-    return marks.select("doc_id", "gone").join(covered, "doc_id", "left")
+    return marks.select("doc_id", "gone", "settled").join(covered, "doc_id", "left")
 
 
-def uncovered(texts: list[str], gone: list, covered: list) -> tuple[list[str], list[int]]:
+def uncovered(texts: list[str], gone: list, settled: list, covered: list) -> tuple[list[str], list[int]]:
     """The texts without the lines whose hashes are gone and without the words
-    of the covered passages, and how many lines of each are dropped whole."""
+    of the passages of settled anchors and of the covered ones, and how many
+    lines of each are dropped whole."""
     w = Words(texts)
     holder = np.searchsorted(w.since, w.line_starts, "right") - 1
     drop = np.isin(_pairs(holder, w.line_hashes()), _marked(gone))
-    at, keys = runs(w.hashes, w.sizes, LONG)
-    at = at[np.isin(_pairs(w.text[at], keys), _marked(covered))]
+    at, keys, low = passages(w.hashes, w.sizes)
+    at = at[np.isin(_pairs(w.text[at], keys), _marked(covered)) | np.isin(_pairs(w.text[at], low), _marked(settled))]
     ends = np.zeros(len(w.starts) + LONG + 1, np.int64)
     ends[at] += 1
     ends[at + LONG] -= 1
@@ -298,15 +304,15 @@ def _left(w: Words, line: int, lost: np.ndarray) -> list[list[int]]:
     return parts
 
 
-def _uncovered(text: pa.Array, gone: pa.Array, covered: pa.Array) -> pa.Array:
+def _uncovered(text: pa.Array, gone: pa.Array, settled: pa.Array, covered: pa.Array) -> pa.Array:
     """Worked on in slices of few bytes; a null text stays."""
     kind = pa.struct([("text", pa.string()), ("dropped", pa.int32())])
     out: list = [None] * len(text)
-    some = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text, gone, covered], ["at", "text", "gone", "covered"]).filter(text.is_valid())
+    some = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text, gone, settled, covered], ["at", "text", "gone", "settled", "covered"]).filter(text.is_valid())
     for since, n in slices(some):
         part = some.slice(since, n)
         x = {c: part.column(i).to_pylist() for i, c in enumerate(part.schema.names)}
-        for at, t, d in zip(x["at"], *uncovered(x["text"], x["gone"], x["covered"]), strict=True):
+        for at, t, d in zip(x["at"], *uncovered(x["text"], x["gone"], x["settled"], x["covered"]), strict=True):
             out[at] = {"text": t, "dropped": d}
     return pa.array(out, kind)
 
@@ -318,12 +324,12 @@ def length(text: Column) -> Column:
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """All columns of docs, text without its recurring lines and passages, and
     n_lines, n_dropped (lines dropped whole), chars_before, chars_after."""
-    ident, lost, over, cut, new = unused(docs, "__id", "__gone", "__covered", "__cut", "__new")
-    text, gone, covered = F.col("text"), F.col(lost), F.col(over)
-    marks = recurring(docs, **options).select(F.col("doc_id").alias(ident), F.col("gone").alias(lost), F.col("covered").alias(over))
+    ident, lost, rest, over, cut, new = unused(docs, "__id", "__gone", "__settled", "__covered", "__cut", "__new")
+    text, gone, settled, covered = F.col("text"), F.col(lost), F.col(rest), F.col(over)
+    marks = recurring(docs, **options).withColumnsRenamed({"doc_id": ident, "gone": lost, "settled": rest, "covered": over})
     out = docs.join(marks, F.col("doc_id") == F.col(ident), "left")
-    some = covered.isNotNull() | (F.size(gone) > 0)
-    out = out.withColumn(cut, F.arrow_udf(_uncovered, "struct<text: string, dropped: int>")(F.when(some, text), gone, covered))
+    some = covered.isNotNull() | (F.size(gone) > 0) | (F.size(settled) > 0)
+    out = out.withColumn(cut, F.arrow_udf(_uncovered, "struct<text: string, dropped: int>")(F.when(some, text), gone, settled, covered))
     out = out.withColumn(new, F.coalesce(F.col(cut)["text"], text))
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
     dropped = F.coalesce(F.col(cut)["dropped"], F.lit(0)).cast("long")
