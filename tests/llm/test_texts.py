@@ -268,21 +268,25 @@ def test_words_against_plain_python():
 
 def test_equal_passages_have_equal_anchors():
     rng = random.Random(8)
-    shared = " ".join(rng.choice("abcdef") for _ in range(lines.LONG))
-    words = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
-    texts = [f"{words(rng.randrange(45))} {shared} {words(rng.randrange(45))}" for _ in range(60)] + ["", "a " * 49, "a " * 200]
+    words = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    shared = words(70)
+    texts = [" ".join(words(rng.randrange(45)) + shared + words(rng.randrange(45))) for _ in range(40)] + ["", "a " * 49, "a " * 200]
     w = lines.Words(texts)
-    at, keys = lines.anchors(w.hashes, w.sizes)
-    own = lines.Words([shared])
-    _, inside = lines.anchors(own.hashes, own.sizes)
-    owner = w.text[at]
-    assert len(inside) and all(set(inside.tolist()) <= set(keys[owner == i].tolist()) for i in range(60))
-    where, grams = lines.runs(w.hashes, w.sizes, lines.GRAM)
-    grams = dict(zip(where.tolist(), grams.view(np.int64).tolist(), strict=True))
-    starts = lines.runs(w.hashes, w.sizes, lines.LONG)[0].tolist()
-    unsigned = lambda k: k % (1 << 64)
-    want = {p for s in starts for p in range(s, s + lines.LONG - lines.GRAM + 1) if unsigned(grams[p]) == min(unsigned(grams[q]) for q in range(s, s + lines.LONG - lines.GRAM + 1))}
-    assert set(at.tolist()) == want
+    at, keys, low = lines.passages(w.hashes, w.sizes)
+    flat = [x for t in texts for x in t.split()]
+    runs = {}
+    for p, k, a in zip(at.tolist(), keys.tolist(), low.tolist(), strict=True):
+        run = tuple(flat[p : p + lines.LONG])
+        assert runs.setdefault(run, (k, a)) == (k, a)
+    assert len({k for k, _ in runs.values()}) == len(runs)
+    assert at.tolist() == [p for p in range(len(flat)) if p + lines.LONG <= len(flat) and w.text[p] == w.text[p + lines.LONG - 1]]
+    first, marks = lines.stretches(at, keys, low)
+    ends = [*first[1:].tolist(), len(at)]
+    same = {}
+    for a, b, m in zip(first.tolist(), ends, marks.tolist(), strict=True):
+        assert len(set(low[a:b].tolist())) == 1 and at[b - 1] - at[a] == b - 1 - a
+        words_ = tuple(flat[at[a] : at[b - 1] + lines.LONG])
+        assert same.setdefault(m, words_) == words_
 
 
 def brute_lines(docs):
