@@ -302,7 +302,11 @@ def strategy_cells(html: str | None, strategy: str, marker: str) -> list[tuple[i
 
 
 def visible_text(html: str | None) -> str:
-    return re.sub(r"\s+", " ", parse(html).text(" ", True)).strip()
+    return text_of(parse(html))
+
+
+def text_of(root: Node) -> str:
+    return re.sub(r"\s+", " ", root.text(" ", True)).strip()
 
 
 def table_profile(html: str | None) -> list[dict]:
@@ -346,12 +350,14 @@ def modal_width(widths: list[int]) -> int:
 
 def structure_signature(html: str | None) -> str:
     """The element tree with attributes, but for what filling in changes."""
+    return signature_of(parse(html))
+
+
+def signature_of(root: Node) -> str:
     volatile = ("checked", "selected", "value")
-    out = []
-    for n in parse(html).walk():
-        depth, up = 0, n.parent
-        while up is not None:
-            depth, up = depth + 1, up.parent
+    out, depths = [], {}
+    for n in root.walk():  # parents come first
+        depths[id(n)] = depth = depths.get(id(n.parent), -1) + 1
         if n.name != "#comment":
             out.append(f"{depth}{n.name}" + "".join(f";{k}={v}" for k, v in sorted(n.attrs.items()) if k not in volatile))
     return "\n".join(out)

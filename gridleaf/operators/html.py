@@ -57,6 +57,26 @@ def table_profile(x: pd.Series) -> pd.Series:
     return x.map(dom.table_profile)
 
 
+@arrow("struct<ok:boolean,reason:string>")
+def form_verdict(source: pd.Series, generated: pd.Series) -> pd.DataFrame:
+    def one(a, b) -> str:
+        if b is None or not b.strip():
+            return "empty"
+        if "```" in b:
+            return "fenced"
+        if a is None:
+            return "structure differs"
+        x, y = dom.parse(a), dom.parse(b)
+        if x.all("table") and not y.all("table"):
+            return "no table"
+        if dom.signature_of(x) != dom.signature_of(y):
+            return "structure differs"
+        return "text unchanged" if dom.text_of(x) == dom.text_of(y) else ""
+
+    reasons = [one(a, b) for a, b in zip(source, generated, strict=True)]
+    return pd.DataFrame({"ok": [not r for r in reasons], "reason": reasons})
+
+
 @arrow("string")
 def structure_signature(x: pd.Series) -> pd.Series:
     return x.map(dom.structure_signature)

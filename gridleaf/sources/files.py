@@ -150,10 +150,11 @@ def in_range(sample_id, start: int | None = None, end: int | None = None):
 def contents(files: DataFrame) -> DataFrame:
     """files with their bytes; files of no bytes have empty content, unreadable ones null."""
     spark = files.sparkSession
-    paths = [r["path"] for r in files.select("path").where("size > 0").toLocalIterator()]
-    if not paths:
+    # Only the folders' names reach the driver; the files themselves meet their rows in a join.
+    folders = [r["folder"] for r in files.where("size > 0").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().toLocalIterator()]
+    if not folders:
         return files.withColumn("content", F.when(F.col("size") == 0, F.lit(b"")))
-    read = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content")
+    read = spark.read.format("binaryFile").load(folders).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content")
     return files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(read, "path", "left").withColumn("content", F.when(F.col("size") == 0, F.lit(b"")).otherwise(F.col("content")))
 
 
@@ -214,6 +215,11 @@ def write_text(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").text(path)
 
 
+def replace_predictions(rows: DataFrame, path: str, by: Sequence[str] = ("task", "condition", "lang", "model")) -> None:
+    """Predictions replace those of their own partitions and leave all others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path, ignoreNullFields=False)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema)
 

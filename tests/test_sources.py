@@ -52,7 +52,7 @@ def test_stream_scores_what_arrives_once(spark, tmp_path):
         q = P.score_stream(P.arriving(spark, str(tmp_path / "in")), lambda df: df.withColumn("score", F.lit(1.0)), str(tmp_path / "out"), str(tmp_path / "ck"))
         q.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted((r["batch"], r["sample_id"]) for r in out.collect()) == [(0, 1), (1, 1), (1, 2)]
+    assert sorted((r["batch"], r["sample_id"]) for r in out.collect()) == [(0, 1), (1, 2)]
 
 
 def test_validators(spark):
@@ -114,3 +114,108 @@ def test_overlay_and_stage_audit(spark):
     seen = spark.createDataFrame([("0", "en", i) for i in (2, 3, 3, 9)], "stage string, lang string, sample_id int")
     r = G.stage_audit(want, seen).first()
     assert (r["missing"], r["extra"], r["duplicates"], r["complete"]) == (1, 1, 1, False)
+
+
+def test_sinks_and_loaders(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\nb", None), (2, "c", "d")], "sample_id long, text string, more string")
+    S.write_json(rows, str(tmp_path / "j"))
+    assert sorted(map(tuple, S.read_jsonl(spark, str(tmp_path / "j"), "sample_id long, text string, more string").collect())) == [(1, "a\nb", None), (2, "c", "d")]
+    S.write_text(rows.select("more").where("more is not null"), str(tmp_path / "t"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()] == ["d"]
+    other = spark.createDataFrame([(3, "x")], "sample_id long, extra string")
+    assert S.write_csv_union([rows.drop("text"), other], str(tmp_path / "c"))
+    assert S.read_csv(spark, str(tmp_path / "c")).columns == ["sample_id", "more", "extra"]
+    for text in ("old", "new"):
+        S.replace_predictions(spark.createDataFrame([("infill", "empty", g, "m", text) for g in ("en", "zh") if text == "old" or g == "en"], "task string, condition string, lang string, model string, raw_response string"), str(tmp_path / "p"))
+    assert sorted((r["lang"], r["raw_response"]) for r in spark.read.json(str(tmp_path / "p")).collect()) == [("en", "new"), ("zh", "old")]
+    assert not S.write_csv_union([rows.limit(0)], str(tmp_path / "none")) and not (tmp_path / "none").exists()
+
+
+def test_metadata_scan_and_audits(spark, tmp_path):
+    for name, body in (("b.json", "[1]"), ("a.json", "[]"), ("c.JSON", "[]"), (".h.json", "[]"), ("d.json", "{}"), ("e.json", "[")):
+        (tmp_path / name).write_text(body)
+    rows, warnings = S.meta_documents(spark, str(tmp_path))
+    assert [r["path"].rsplit("/", 1)[1] for r in rows.collect()] == ["a.json", "b.json"]
+    assert sorted(r["warning"] for r in warnings.collect()) == ["no JSON", "no list"]
+    (tmp_path / "audit").write_text('{"items": [{"output": "x.png", "ok": true}, {"output": "y.png"}]}')
+    assert [tuple(r) for r in S.layout_audits(spark, str(tmp_path / "audit")).collect()] == [("x.png", True), ("y.png", False)]
+    docs = S.json_documents(S.listing(spark, str(tmp_path)).where("name = 'd' or name = 'e'"))
+    assert {r["path"].rsplit("/", 1)[1]: r["json"] is None for r in docs.collect()} == {"d.json": False, "e.json": True}
+
+
+def test_paths_languages_and_images(spark, tmp_path):
+    assert S.stage_path("r/", "html_empty", "en", 7) == "r/html_template/data_en/7.html" and S.stage_path("r", "context", "zh") == "r/context/data_zh"
+    with pytest.raises(ValueError):
+        S.stage_path("r", "other", "en")
+    for at in ("html_template/data_en/1.html", "context/data_fr/2.txt", "context/data_xx/note.txt", "other/data_es/1.html"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text("x")
+    assert sorted(r["lang"] for r in S.languages(spark, str(tmp_path)).collect()) == ["en", "fr"]
+    assert [r["path"].rsplit("/", 1)[1] for r in S.html_files(spark, [str(tmp_path), str(tmp_path / "other")]).collect()] == ["1.html", "1.html"]
+    for name in ("01.png", "1.PNG", "2.png", "x.png"):
+        (tmp_path / name).write_bytes(b"p")
+    found = {r["sample_id"]: r["path"].rsplit("/", 1)[1] for r in S.numeric_pngs(spark, str(tmp_path)).collect()}
+    assert found == {1: "1.PNG", 2: "2.png"}
+    files, templates = spark.createDataFrame([("1",), ("2",)], "name string"), spark.createDataFrame([("1", "HTML", "/t/1.HTML"), ("1", "html", "/t/1.html"), ("2", "txt", "/t/2.txt")], "name string, ext string, path string")
+    assert sorted((r["name"], r["template_path"]) for r in S.sibling_templates(files, templates).collect()) == [("1", "/t/1.HTML"), ("2", None)]
+
+
+def test_test_records_fall_back(spark, tmp_path):
+    from gridleaf.operators import selection as C
+
+    rows = [{"task": "infill", "lang": g, "split": s, "sample_id": i} for g, s, i in (("en", "test", 2), ("en", None, 1), ("en", "train", 3), ("zh", "test", 4))]
+    (tmp_path / "all_both_template_test.jsonl").write_text("\n".join(map(__import__("json").dumps, rows)))
+    assert [r["sample_id"] for r in S.test_records(spark, str(tmp_path), "infill", "en").collect()] == [1, 2]
+    assert [r["sample_id"] for r in S.test_records(spark, str(tmp_path), "infill", "both", 1).collect()] == [1]
+    with pytest.raises(FileNotFoundError):
+        S.test_records(spark, str(tmp_path / "x"), "infill", "en")
+    assert C.expand_tasks(None) == C.TASKS and C.expand_tasks(["all"]) == C.TASKS and C.expand_langs("both") == ("en", "zh")
+    for bad in (lambda: C.expand_tasks(["x"]), lambda: C.expand_langs("fr")):
+        with pytest.raises(ValueError):
+            bad()
+    chosen = spark.createDataFrame([("en", 1), ("en", 9)], "lang string, sample_id long")
+    with pytest.raises(ValueError):
+        C.balanced_view(spark.createDataFrame([("en", 1)], "lang string, sample_id long"), chosen, n=2)
+
+
+def test_existing_outputs_and_versions(spark):
+    from gridleaf.operators import workflow as W
+
+    cell = lambda a, b: f"<table><tr><td>{a}</td><td>{b}</td></tr></table>"
+    rows = spark.createDataFrame([(cell("姓名", "x"), o, cell("姓名", ""), cell("姓名", "x")) for o in (cell("姓名", "[姓名]"), cell("other", "[姓名]"), cell("姓名", "[年龄]"), " ")], "s string, o string, t string, f string")
+    got = [r[0]["reason"] for r in rows.select(V.existing_placeholders(*map(F.col, "sotf"))).collect()]
+    assert got == ["", "static cells changed", "names not in the source", "empty"]
+    summaries = spark.createDataFrame([("infill", "m", "empty", "en", v) for v in ("legacy_v1", None, W.MATCHER)], "task string, model string, condition string, lang string, metric_version string")
+    with pytest.raises(ValueError, match="legacy_v1"):
+        W.require_versions(summaries)
+    W.require_versions(summaries.where(F.col("metric_version") == W.MATCHER))
+
+
+def test_json_repair_against_cut_documents():
+    import json
+    import random
+
+    from gridleaf.functions import jsontree as T
+
+    rng = random.Random(3)
+
+    def made(depth):
+        kind = rng.randrange(5 if depth else 3)
+        if kind < 3:
+            return [rng.choice(["a", "b c", 'q"u', "ü", "x\\y"]), rng.randrange(99), rng.choice([True, None, 1.5])][kind]
+        return {f"k{i}": made(depth - 1) for i in range(rng.randrange(1, 4))} if kind == 3 else [made(depth - 1) for _ in range(rng.randrange(1, 4))]
+
+    for _ in range(300):
+        whole = {"first": "value", "rest": made(3)}
+        text = json.dumps(whole, ensure_ascii=False)
+        assert T.repaired(text) == whole
+        for cut in range(20, len(text)):
+            found, status = T.lenient(text[:cut])
+            assert status == "repaired" and found["first"] == "value"
+    assert T.lenient('{"a": 1, "b": [1, 2,], }') == ({"a": 1, "b": [1, 2]}, "repaired") and T.lenient("{'a': tru, b: two words // no\n}")[0] == {"a": "tru", "b": "two words"}
+    assert T.lenient("[" * 5000)[1] == "repaired" and T.lenient("{broken")[1] == T.lenient("hello")[1] == "unrepairable"
+
+
+def test_canonical_names_reach_a_fixpoint(spark):
+    got = spark.range(1).select(X.canonical_model(F.lit("Org/M-7B" + "-lora-v2-merged-checkpoint-5-ft-sft"))).first()[0]
+    assert got == "org_m_7b"
