@@ -36,6 +36,8 @@ from .common import scratch, written
 
 #: Hexadecimal digits of the groups of one opening, from level to level.
 LEVELS = (3, 1, 0)
+#: Parts that the copies of one conversation are counted in.
+SALTS = 16
 #: Rows that a group of stand-ins is drawn from, 16 times as many at most.
 LEAST_GROUP, MOST_DIGITS = 64, 12
 
@@ -46,7 +48,11 @@ def conversations(turns: DataFrame) -> DataFrame:
     rows = turns.where("conv_id is not null").select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     ordered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     plain = ordered.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    return plain.groupBy(F.md5(F.to_json("turns").cast("binary")).alias("same")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"), F.first("turns").alias("turns")).drop("same")
+    same = plain.select("conv_id", F.md5(F.to_json("turns").cast("binary")).alias("same"))
+    # In two steps, so that no task meets all parts of a conversation with many copies; only ids and hashes move.
+    parts = same.groupBy("same", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).alias("salt")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    first = parts.groupBy("same").agg(F.min("conv_id").alias("conv_id"), F.sum("n_copies").alias("n_copies"))
+    return plain.join(first.drop("same"), "conv_id").select("conv_id", "n_copies", "turns")
 
 
 def heads(convs: DataFrame) -> DataFrame:
