@@ -240,6 +240,11 @@ def format_bytes(n: int) -> str:
     return str(n)
 
 
+@arrow("string")
+def bytes_text(n: pd.Series) -> pd.Series:
+    return n.map(lambda v: None if pd.isna(v) else format_bytes(int(v)))
+
+
 def non_pure_text(html: Column) -> Column:
     """Whether a cell's markup holds a control or a mark to tick."""
     return html.rlike(r"(?i)<input|<select|\(√\)|\( \)|\[√\]|\[ \]|\(×\)|\[×\]")

@@ -102,6 +102,42 @@ def stripped_markers(x: pd.Series) -> pd.Series:
     return x.map(dom.stripped_markers)
 
 
+@arrow("array<struct<row:int,col:int,text:string>>")
+def scanned_cells(x: pd.Series) -> pd.Series:
+    """Cells by pattern alone, for documents that no tree can be made of."""
+    return x.map(lambda h: [{"row": r, "col": c, "text": t} for (r, c), t in dom.scanned_cells(h or "").items()])
+
+
+@arrow("struct<html:string,target:int,repaired:int,unresolved:int>")
+def repaired_columns(x: pd.Series) -> pd.DataFrame:
+    """A document whose tables' rows are brought to each table's modal width, the
+    greatest target and the rows repaired and not."""
+    rows = []
+    for h in x:
+        root = dom.parse(h)
+        found = [dom.repaired_widths(t) for t in root.all("table")]
+        rows.append((root.markup(), max((f["target"] for f in found), default=0), sum(f["repaired"] for f in found), sum(f["unresolved"] for f in found)))
+    return pd.DataFrame(rows, columns=["html", "target", "repaired", "unresolved"])
+
+
+@arrow("struct<empty_cells:int,cells:int,empty_rows:int,rows:int>")
+def emptiness(x: pd.Series) -> pd.DataFrame:
+    """Cells, and rows of cells, without text and controls."""
+    rows = []
+    for h in x:
+        found = dom.empty_cells(h)
+        by_row: dict[int, list[bool]] = {}
+        for r, _, empty in found:
+            by_row.setdefault(r, []).append(empty)
+        rows.append((sum(e for *_, e in found), len(found), sum(map(all, by_row.values())), len(by_row)))
+    return pd.DataFrame(rows, columns=["empty_cells", "cells", "empty_rows", "rows"])
+
+
+@arrow("string")
+def repaired_gold(html: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([dom.repaired_gold(a or "", b or "") for a, b in zip(html, reference, strict=True)])
+
+
 @arrow("string")
 def restored_static(template: pd.Series, filled: pd.Series, output: pd.Series) -> pd.Series:
     return pd.Series([dom.restored_static(*r) for r in zip(template, filled, output, strict=True)])

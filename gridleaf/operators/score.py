@@ -95,6 +95,25 @@ def json_nodes(x: pd.Series) -> pd.Series:
     return x.map(one)
 
 
+@arrow("string")
+def bracket_form(x: pd.Series) -> pd.Series:
+    """A document's tree in bracket form for external tools; null without a document."""
+
+    def one(v):
+        found, status = jsontree.lenient(v)
+        return jsontree.brackets(jsontree.Tree(found)) if status in jsontree.USABLE else None
+
+    return x.map(one)
+
+
+@arrow("array<string>")
+def json_candidates(x: pd.Series) -> pd.Series:
+    """The documents that a response may stand for, in order."""
+    import json
+
+    return x.map(lambda v: [json.dumps(c, ensure_ascii=False) for c in jsontree.candidates(v or "")])
+
+
 @arrow("int")
 def tree_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
