@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 from .text import infill_value
@@ -217,6 +218,12 @@ def cells(html: str | None, layout: str = "all_logical_regions") -> dict[tuple[i
     return {(r + STRIDE * k, c): cell for k, t in enumerate(tables) for (r, c), cell in table_cells(t).items()}
 
 
+@lru_cache(maxsize=64)
+def shared_cells(html: str | None, layout: str) -> dict[tuple[int, int], Node]:
+    """As cells, for readers that change nothing: rows that hold the same form in turn parse it once."""
+    return cells(html, layout)
+
+
 # Controls
 
 
@@ -372,6 +379,11 @@ def leaf_cells(root: Node) -> list[Node]:
     return [n for n in root.all("td", "th") if not n.all("table")]
 
 
+@lru_cache(maxsize=64)
+def shared_strategy_cells(html: str | None, strategy: str, marker: str) -> tuple[tuple[int, int, Node], ...]:
+    return tuple(strategy_cells(html, strategy, marker))
+
+
 def stripped_markers(html: str | None) -> str:
     """Bracket markers of up to 120 characters on one line removed from text."""
     root = parse(html)

@@ -29,10 +29,10 @@ def alike(a: str, b: str) -> bool:
 
 def legacy(pred: str | None, gold: str | None, blank: str | None) -> list[dict]:
     """First table only; a target for each placeholder slot, the first of a slot kept."""
-    golds = {at: n.text(" ", True) for at, n in dom.cells(gold, "first_table").items()}
-    preds = {at: n.text(" ", True) for at, n in dom.cells(pred, "first_table").items()}
+    golds = {at: n.text(" ", True) for at, n in dom.shared_cells(gold, "first_table").items()}
+    preds = {at: n.text(" ", True) for at, n in dom.shared_cells(pred, "first_table").items()}
     out, slots = [], set()
-    for (r, c), cell in dom.cells(blank, "first_table").items():
+    for (r, c), cell in dom.shared_cells(blank, "first_table").items():
         counts: dict[str, int] = {}
         for name in dom.BRACKET.findall(cell.text(" ", True)):
             k = counts.get(plain(name), 0)
@@ -51,9 +51,9 @@ def legacy(pred: str | None, gold: str | None, blank: str | None) -> list[dict]:
 def source_faithful(pred: str | None, gold: str | None, blank: str | None, layout: str) -> list[dict]:
     """One target for each marked cell that the gold document shows a change in:
     its text if that differs from the static text, and its controls."""
-    golds, preds = dom.cells(gold, layout), dom.cells(pred, layout)
+    golds, preds = dom.shared_cells(gold, layout), dom.shared_cells(pred, layout)
     out = []
-    for at, cell in dom.cells(blank, layout).items():
+    for at, cell in dom.shared_cells(blank, layout).items():
         if not dom.BRACKET.search(cell.markup()) or at not in golds:
             continue
         want = infill_value(golds[at].text(" ", True))
@@ -109,7 +109,7 @@ STRATEGIES = ("analysis", "leaf", "recursive")
 
 def brackets_at(html: str | None, strategy: str) -> dict[tuple[int, int], list[str]]:
     out: dict[tuple[int, int], list[str]] = {}
-    for r, c, cell in dom.strategy_cells(html, strategy, "bracket"):
+    for r, c, cell in dom.shared_strategy_cells(html, strategy, "bracket"):
         names = dom.BRACKET.findall(cell.text())
         if names:
             out.setdefault((r, c), []).extend(names)
@@ -120,7 +120,7 @@ def inputs_at(html: str | None, strategy: str) -> tuple[dict[tuple[int, int], li
     """Named inputs by cell, and each coordinate's first text in cell order."""
     names: dict[tuple[int, int], list[str]] = {}
     texts: dict[tuple[int, int], str] = {}
-    for r, c, cell in dom.strategy_cells(html, strategy, "input"):
+    for r, c, cell in dom.shared_strategy_cells(html, strategy, "input"):
         found = [n.attrs["name"] for n in cell.all("input") if n.attrs.get("name")]
         if found:
             names.setdefault((r, c), []).extend(found)
