@@ -15,7 +15,7 @@ All weights are learnt together in numpy, by penalised pseudo-likelihood on a
 bounded sample of nodes: those that the base patterns label, and words that are
 none (words with letters and digits, and fixed forms of dates, times, versions
 and counts). Each labelled node is shown with its form and once without, so
-that the potentials must explain it too. Words that have a base pattern's form
+that the potentials must explain it too; what a form may say is bounded. Words that have a base pattern's form
 but fail its test (a card number with a wrong digit) are no examples of none.
 
 Defined results: null texts are empty texts; empty texts have no spans; texts
@@ -59,7 +59,9 @@ SURE, TOLERANCE, MOST_ROUNDS = 0.9, 1e-4, 400
 #: What similar values share: one number ends the other, or else.
 ENDS, ALIKE = 0, 1
 #: Prior means of the agreement weights (equal, ends, alike), and prior variances of all weights and of those between neighbours.
-PRIOR, VARIANCE, NEAR_VARIANCE = (4.0, 3.5, 2.0), 4.0, 0.25
+PRIOR, VARIANCE, NEAR_VARIANCE = (7.0, 6.5, 3.0), 4.0, 0.25
+#: What a free node's form may say for or against a label at most, in log-odds: the labels learnt from are those of forms.
+FORM_BOUND = 2.5
 #: Forms that are none of the kinds.
 NONE_FORMS = ("20240131", "2024-01-31", "31.01.2024", "01/31/2024", "12:30:45", "2024-01-31T12:30:45", "1.2.3", "10.15.7", "v2.10.1", "123456", "1234567", "12345678", "123.456", "1,234,567", "99.95%", "3.14159265", "100000", "1_000_000", "R2D2C3P0", "a1b2c3d4", "123456789012345678901234", "0x7fff5694", "@username", "#123456")
 
@@ -340,10 +342,11 @@ def spans_of(text: str, model: dict) -> tuple[list[tuple[int, int, int]], list[t
     if not free:
         return base, base
     unary = np.array([form(text[s:e]) for s, e, _ in nodes], float) @ model["w"]
+    unary = np.clip(unary - unary[:, :1], -FORM_BOUND, FORM_BOUND)
     for i, (_, _, label) in enumerate(nodes):
         if label is not None:
-            unary[i] = np.where(np.arange(5) == label, 0.0, -50.0)
-    agree = [w * np.diag([0.0, 1, 1, 1, 1]) for w in model["agree"]]
+            unary[i] = np.where(np.arange(5) == label, 0.0, -1e9)
+    agree = [w * np.eye(5) for w in model["agree"]]
     p = beliefs(unary, list(zip(edges_of(text, nodes), [model["near"], *agree], strict=True)))
     more = [(nodes[i][0], int(p[i].argmax()) - 1, nodes[i][1]) for i in free if p[i].argmax() > 0 and p[i].max() >= SURE]
     return base, sorted([*base, *more])

@@ -199,7 +199,7 @@ def test_precision_and_recall_of_planted_repeats():
         a, b, c = digits(3), digits(3), digits(4)
         plain = rng.choice([f"{a}{b}{c}", f"1 {a} {b} {c}", f"{a}.{b}.{c}", f"1{a}{b}{c}"])
         other = [f"order {digits(rng.choice([6, 7, 8]))}", f"20{digits(2)}-0{rng.randrange(1, 9)}-1{digits(1)}", f"v1.{digits(2)}.{digits(2)}", f"hash {rng.randbytes(8).hex()}x", f"{digits(2)}:{digits(2)}:{digits(2)}"]
-        text = f"Call +1 ({a}) {b}-{c}. " + " and then ".join(rng.sample(other, 4)) + f" or again {plain} late."
+        text = f"Call +1 ({a}) {b}-{c}, " + " and then ".join(rng.sample(other, 4)) + f" or again {plain} late."
         base, found = pii.spans_of(text, model)
         added = [text[s:e] for s, k, e in found if (s, k, e) not in base]
         want, told_, hit = want + 1, told_ + len(added), hit + (plain in added)
