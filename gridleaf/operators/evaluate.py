@@ -25,8 +25,9 @@ def _field(name: str) -> Column:
     return F.get_json_object("document", f"$.{name}")
 
 
-def states(jobs: DataFrame, predictions: DataFrame, sources: DataFrame) -> DataFrame:
-    """jobs with their sources, the response without thinking, and the state before scoring."""
+def states(jobs: DataFrame, predictions: DataFrame, sources: DataFrame, metric: str = "py_tree") -> DataFrame:
+    """jobs with their sources, the response without thinking, and the state before
+    scoring; a metric whose backend is not there is a state of schema jobs, never another metric."""
     seen = predictions.select(*KEYS, "document", F.lit(True).alias("has_file"))
     rows = jobs.join(seen, list(KEYS), "left").join(sources, ["lang", "sample_id"], "left")
     parsed = F.try_parse_json("document")
@@ -38,19 +39,19 @@ def states(jobs: DataFrame, predictions: DataFrame, sources: DataFrame) -> DataF
     have = F.lit(False)
     for task, c in need.items():
         have = have | ((F.col("task") == task) & c)
-    state = V.job_state(F.col("status"), F.coalesce("has_file", F.lit(False)), F.col("document").isNotNull(), evidence, identity, _field("status"), _field("error"), have, F.lit(False), response == "")
+    state = V.job_state(F.col("status"), F.coalesce("has_file", F.lit(False)), F.col("document").isNotNull(), evidence, identity, _field("status"), _field("error"), have, F.lit(metric not in S.SCHEMA_METRICS) & (F.col("task") == "schema"), response == "")
     return rows.withColumn("response", response).withColumn("state", state)
 
 
 def evaluated(jobs: DataFrame, predictions: DataFrame, sources: DataFrame, matcher: str = "source_faithful_v3", metric: str = "py_tree") -> DataFrame:
     """KEYS, state, score, correct, total, in one pass over the joined rows: a
     scorer gets nulls for rows of other tasks, which it answers without parsing."""
-    rows = states(jobs, predictions, sources)
+    rows = states(jobs, predictions, sources, metric)
     live = F.col("state").isin("scored", "model_format_failure")
     gold = F.when(F.col("condition") == "filled", F.col("json_filled")).otherwise(F.col("json_empty"))
     of = lambda task, c: F.when(live & (F.col("task") == task), c)
     rows = rows.withColumns({
-        "__s": S.schema_result(metric)(of("schema", F.col("response")), of("schema", gold)),
+        "__s": S.schema_result(metric if metric in S.SCHEMA_METRICS else "py_tree")(of("schema", F.col("response")), of("schema", gold)),
         "__a": S.alignment_result(of("alignment", F.col("response")), of("alignment", F.col("placeholder_html")), of("alignment", F.col("meta"))),
         "__i": S.infill_counts(matcher)(of("infill", F.col("response")), of("infill", F.col("html_filled")), of("infill", F.col("placeholder_html"))),
     })

@@ -57,8 +57,14 @@ def meta_targets(meta_json: Column) -> Column:
     return F.when(found.isNotNull(), F.size(found))
 
 
+#: Metrics that are computed here; the external one ('cpp') has no backend.
+SCHEMA_METRICS = ("py_tree", "py_fast")
+
+
 def schema_result(mode: str = "py_tree"):
     """similarity and the states of both sides; an unusable side scores 0."""
+    if mode not in SCHEMA_METRICS:
+        raise ValueError(f"no backend for the metric {mode}")
 
     @arrow("struct<similarity:double,pred_status:string,gold_status:string>")
     def run(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:

@@ -46,6 +46,11 @@ def test_states(spark):
     assert {r["state"] for r in E.evaluated(jobs, docs, sources.limit(0)).collect()} == {"source_error"}
 
 
+def test_a_metric_without_backend_is_a_state(spark):
+    found = {(r["task"], r["state"]) for r in E.evaluated(*frames(spark), metric="cpp").collect()}
+    assert found == {("schema", "backend_error"), ("alignment", "scored"), ("infill", "scored")}
+
+
 def test_reports(spark):
     rows = R.collected(spark.createDataFrame([("b", 0.5, -0.01), ("a", 0.25, None)], "model string, score double, score_diff double"), ["model"])
     assert R.markdown(rows, ["model", "score", "score_diff"], ["score"]).splitlines()[2:] == ["| a | 25.0% |  |", "| b | **50.0%** | -1.0% |"]
