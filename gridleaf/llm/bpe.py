@@ -5,8 +5,11 @@ character, are a piece of score -rank; normalisation is the identity. A text
 is cut by the pattern, each distinct cut is encoded by the model once in a
 task, and ids are decoded by the inverse of the byte map.
 
-Defined results: null texts are empty texts, and an empty text has no ids;
-rows are independent; other columns are ignored, whatever their names.
+Defined results: null texts are empty texts, and an empty text has no ids; very
+long texts are cut and encoded whole; of equal scores the model merges the
+leftmost pair, as the library does; rows are independent, so repeated rows
+repeat their result; empty tables give empty results; other columns are
+ignored, or kept where asked for, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,6 +80,8 @@ def _class(pattern: str, below: int) -> str:
     return "".join(f"\\u{i:04x}" for i in range(below) if regex.match(pattern, chr(i)))
 
 
+#: Characters of remembered cuts, at most, when a text begins.
+KEPT = 16_000_000
 #: Texts below this code point are cut by an equal pattern of the quicker standard module.
 PLAIN = 0x250
 
@@ -107,6 +112,7 @@ class Codec:
         self.parts = {str(i): bytes(map(back.__getitem__, map(ord, piece))) for i, piece in enumerate(pieces)}
         self.whole = {token: str(i) for i, token in enumerate(tokens)}
         self.known: dict[str, str] = {}
+        self.held = 0
         self.parted = f" {len(tokens)} "
 
     def _learn(self, cuts: set[str]) -> None:
@@ -123,11 +129,13 @@ class Codec:
     def encode(self, text: str) -> str:
         """Decimal ids joined by one space."""
         cuts = self.quick(text) if self.quick and self.plain(text) else self.cut(text)
-        if len(self.known) > 400_000:
+        if len(self.known) > 400_000 or self.held > KEPT:
             self.known.clear()
+            self.held = 0
         new = set(cuts).difference(self.known)
         if new:
             self._learn(new)
+            self.held += sum(map(len, new))
         return " ".join(map(self.known.__getitem__, cuts))
 
     def decode(self, ids: str) -> bytes:

@@ -126,11 +126,17 @@ def slices(batch: pa.RecordBatch, rows: int = 1024, size: int = 2 << 20) -> Iter
         at += n
 
 
+#: Words that are remembered at most, and bytes of a word that is.
+REMEMBERED, SHORT = 400_000, 256
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(word) > SHORT:
+            return self.hashed(word)
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = value = self.hashed(word)
         return value
