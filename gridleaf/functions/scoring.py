@@ -48,6 +48,18 @@ def legacy(pred: str | None, gold: str | None, blank: str | None) -> list[dict]:
     return out
 
 
+def legacy_slots(blank: str | None) -> list[tuple[int, int, int]]:
+    """(row, column, index among equal names of the cell) of each placeholder of the first table."""
+    out = []
+    for (r, c), cell in dom.shared_cells(blank, "first_table").items():
+        counts: dict[str, int] = {}
+        for name in dom.BRACKET.findall(cell.text(" ", True)):
+            k = counts.get(plain(name), 0)
+            counts[plain(name)] = k + 1
+            out.append((r, c, k))
+    return out
+
+
 def source_faithful(pred: str | None, gold: str | None, blank: str | None, layout: str) -> list[dict]:
     """One target for each marked cell that the gold document shows a change in:
     its text if that differs from the static text, and its controls."""
@@ -74,7 +86,7 @@ def source_faithful(pred: str | None, gold: str | None, blank: str | None, layou
         same = all(i < len(pred_controls) and (dom.control_kind(pred_controls[i]), dom.control_value(pred_controls[i])) == v for i, v in wanted.items())
         correct = kind in ("exact", "not_required") and same
         raw = [grid[at].text(" ", True) if at in grid else "" for grid in (golds, preds)]
-        out.append({"row": at[0], "col": at[1], "kind": kind if same else "control_mismatch", "correct": correct, "markers": len(dom.BRACKET.findall(cell.markup())), "text": needs_text, "want_raw": raw[0], "got_raw": raw[1]})
+        out.append({"row": at[0], "col": at[1], "kind": kind if same else "control_mismatch", "correct": correct, "markers": len(dom.BRACKET.findall(cell.markup())), "text": needs_text, "controls": len(wanted), "want_raw": raw[0], "got_raw": raw[1]})
     return out
 
 

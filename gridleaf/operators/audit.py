@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -41,6 +42,32 @@ def prediction_audit(pred: pd.Series, gold: pd.Series, blank: pd.Series) -> pd.D
     return pd.DataFrame(rows, columns=[*COUNTS, "reverse"])
 
 
+SOURCE_COUNTS = (
+    "visible_placeholder_occurrences legacy_targets legacy_unique_cells legacy_slot_collision_occurrences legacy_slot_collision_cells legacy_empty_gold_slots "
+    "hardened_evaluable_cells hardened_marker_occurrences hardened_multi_value_cells hardened_text_cells hardened_control_cells hardened_control_targets"
+).split()
+
+
+@arrow(f"struct<{', '.join(f'{c}: int' for c in SOURCE_COUNTS)}>")
+def source_counts(gold: pd.Series, blank: pd.Series) -> pd.DataFrame:
+    """What a sample's marked form and its filled form give both matchers to score."""
+    rows = []
+    for g, b in zip(gold, blank, strict=True):
+        slots = Counter(scoring.legacy_slots(b))
+        old, new = scoring.legacy("", g, b), scoring.source_faithful("", g, b, "all_logical_regions")
+        more = {s[:2] for s, n in slots.items() if n > 1}
+        rows.append((
+            slots.total(), len(old), len({(t["row"], t["col"]) for t in old}), slots.total() - len(slots), len(more), max(0, len(slots) - len(old)),
+            len(new), sum(t["markers"] for t in new), sum(t["markers"] > 1 for t in new), sum(t["text"] for t in new), sum(t["controls"] > 0 for t in new), sum(t["controls"] for t in new),
+        ))
+    return pd.DataFrame(rows, columns=SOURCE_COUNTS)
+
+
+def source_inventory(sources: DataFrame, keys: Sequence[str] = ("lang", "sample_id")) -> DataFrame:
+    """keys and the counts of each sample (sources: keys, html_filled, placeholder_html)."""
+    return sources.select(*keys, source_counts("html_filled", "placeholder_html").alias("c")).select(*keys, "c.*")
+
+
 def audited(predictions: DataFrame, sources: DataFrame, keys: Sequence[str] = ("model", "condition", "lang", "sample_id")) -> DataFrame:
     """keys, the counts of each infill prediction, both scores, their difference
     in points and the reverse matches (predictions: keys, html; sources: lang,

@@ -29,6 +29,21 @@ def _audit_frames(t):
     return pred, src
 
 
+@query("""
+SELECT o_orderkey AS sample_id, CAST(2 + k AS INTEGER) AS visible_placeholder_occurrences, CAST(2 AS INTEGER) - CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END::INTEGER AS legacy_targets, CAST(k AS INTEGER) AS legacy_slot_collision_occurrences, CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END::INTEGER AS legacy_empty_gold_slots,
+  CAST(CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 2 END + 1 AS INTEGER) AS hardened_evaluable_cells, CAST(CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS hardened_text_cells, CAST(CASE WHEN k > 0 THEN 1 ELSE 0 END AS INTEGER) AS hardened_multi_value_cells, CAST(1 AS INTEGER) AS hardened_control_cells FROM (SELECT *, o_orderkey % 3 AS k FROM orders)""")
+def source_inventory(t):
+    """Marks, slots and targets of a form: one to three marks in its first cell,
+    one in its second, which some samples leave empty, and a marked box to tick."""
+    k = (F.col("o_orderkey") % 3).cast("int")
+    names = F.array_join(F.transform(F.sequence(F.lit(0), k), lambda i: F.concat(F.lit("["), F.substring(F.lit("ABC"), i + 1, F.lit(1)), F.lit("]"))), " ")
+    row = lambda a, b, c: F.concat(F.lit("<table><tr><td>L</td><td>"), a, F.lit("</td><td>"), b, F.lit('</td><td><input type="checkbox"'), c, F.lit("></td></tr></table>"))
+    blank = row(names, F.lit("[D]"), F.lit(' name="[E]"'))
+    filled = row(F.lit("alpha beta"), F.when(F.col("o_custkey") % 3 == 0, "").otherwise("gamma"), F.lit(" checked"))
+    src = t("orders").select(F.lit("en").alias("lang"), F.col("o_orderkey").alias("sample_id"), filled.alias("html_filled"), blank.alias("placeholder_html"))
+    return U.source_inventory(src).select("sample_id", "visible_placeholder_occurrences", "legacy_targets", "legacy_slot_collision_occurrences", "legacy_empty_gold_slots", "hardened_evaluable_cells", "hardened_text_cells", "hardened_multi_value_cells", "hardened_control_cells")
+
+
 _AUDIT = """
 SELECT sample_id, m, lang, CAST(CASE r WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INTEGER) AS legacy_correct, CAST(2 AS INTEGER) AS legacy_total, CAST(CASE r WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END AS INTEGER) AS hardened_correct, CAST(2 AS INTEGER) AS hardened_total,
   CAST(CASE r WHEN 2 THEN 2 ELSE 0 END AS INTEGER) AS reverse_n, CAST(CASE r WHEN 2 THEN 1 ELSE 0 END AS INTEGER) AS single, CAST(CASE r WHEN 2 THEN 1 ELSE 0 END AS INTEGER) AS in_multi, CAST(CASE r WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS reorder

@@ -170,6 +170,16 @@ def artifacts(spark: SparkSession, root: str, langs: Sequence[str], root_name: s
     return read.select("stage", "lang", "sample_id", "path", "size", "content", F.sha2("content", 256).alias("sha256"), issue.alias("read_issue"), F.lit(root_name).alias("root"), F.lit(root_order).alias("root_order"))
 
 
+def overlay_scan(spark: SparkSession, roots: Sequence[tuple[str, str]], langs: Sequence[str]) -> DataFrame:
+    """Stage files of all roots (name, path), in their order, with digests and
+    issues; a sample that several roots have is an issue of its later ones only
+    where the contents differ."""
+    rows = union_all(artifacts(spark, path, langs, name, order) for order, (name, path) in enumerate(roots))
+    first = rows.groupBy("stage", "lang", "sample_id").agg(F.min_by("sha256", "root_order").alias("first_sha256"))
+    out = rows.join(first, ["stage", "lang", "sample_id"], "left")
+    return out.withColumn("overlay_issue", F.when(F.col("sha256") != F.col("first_sha256"), "conflict")).drop("first_sha256")
+
+
 def text_of(content):
     """UTF-8 text with line ends as line feeds."""
     return F.regexp_replace(F.decode(content, "UTF-8"), "\r\n?", "\n")

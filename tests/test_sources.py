@@ -31,6 +31,16 @@ def test_artifacts_have_issues_and_digests(spark, tmp_path):
     assert found[8]["read_issue"] == "empty"
 
 
+def test_roots_overlay(spark, tmp_path):
+    for root, body in (("a", "one"), ("b", "one"), ("c", "two")):
+        d = tmp_path / root / "context" / "data_en"
+        d.mkdir(parents=True)
+        (d / "1.txt").write_text(body)
+        (d / "2.txt").write_text("same")
+    found = S.overlay_scan(spark, [(r, str(tmp_path / r)) for r in "abc"], ["en"]).collect()
+    assert {(r["root"], r["sample_id"], r["overlay_issue"]) for r in found} == {*((r, i, None) for r in "ab" for i in (1, 2)), ("c", 1, "conflict"), ("c", 2, None)}
+
+
 def test_csv_with_mark_and_guarded_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbfid,name\n1,\"x\ny\"\n")
     df = S.read_csv(spark, str(tmp_path / "a.csv"))
