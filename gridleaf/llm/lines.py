@@ -329,7 +329,9 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     marks = recurring(docs, **options).withColumnsRenamed({"doc_id": ident, "gone": lost, "settled": rest, "covered": over})
     out = docs.join(marks, F.col("doc_id") == F.col(ident), "left")
     some = covered.isNotNull() | (F.size(gone) > 0) | (F.size(settled) > 0)
-    out = out.withColumn(cut, F.arrow_udf(_uncovered, "struct<text: string, dropped: int>")(F.when(some, text), gone, settled, covered))
+    # Not deterministic only to the planner: a filter on the text would else be pushed below and cut it a second time.
+    once = F.arrow_udf(_uncovered, "struct<text: string, dropped: int>").asNondeterministic()
+    out = out.withColumn(cut, once(F.when(some, text), gone, settled, covered))
     out = out.withColumn(new, F.coalesce(F.col(cut)["text"], text))
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
     dropped = F.coalesce(F.col(cut)["dropped"], F.lit(0)).cast("long")
