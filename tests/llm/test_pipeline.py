@@ -1,6 +1,9 @@
 """The pipeline's stages, each against plain Python on its own input."""
 
-from gridleaf.llm import common, lines, minhash, quality, tiling
+import pytest
+from helpers import AWKWARD, clashing, empty
+
+from gridleaf.llm import common, quality, tiling
 
 
 def test_pipeline(spark, data):
@@ -38,7 +41,20 @@ def test_pipeline(spark, data):
         else:
             assert set(after) == set(before) and all(r["exact"] for r in after.values())
         docs = out
-    assert lines and minhash
+
+
+@pytest.mark.parametrize("make", [clashing, empty])
+def test_stages_on_awkward_rows(spark, data, make):
+    import corpus_pipeline as p
+
+    docs = make(spark)
+    for name, stage in p.STAGES:
+        before = docs.columns
+        docs = common.written(stage(spark, docs, data), "test")
+        if name != p.STAGES[-1][0]:
+            assert docs.columns == before
+    left = {r["doc_id"] for r in docs.collect()}
+    assert left <= {r[0] for r in AWKWARD} and (make is empty) == (not left)
 
 
 def test_line_stage_keeps_what_is_left(spark):
