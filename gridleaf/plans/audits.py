@@ -124,7 +124,7 @@ def summary_lookup(t):
     return U.summary_for(wanted, side).select("o_orderkey", "score")
 
 
-_DETAILS = "SELECT 'm' || (o_custkey % 3) AS model, CASE o_orderkey % 3 WHEN 0 THEN 'schema' WHEN 1 THEN 'alignment' ELSE 'infill' END AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'filled' ELSE 'empty' END AS condition, (o_orderkey % 7) / 7.0 AS score, o_orderkey % 7 AS correct FROM orders WHERE o_custkey % 4 <> 0"
+_DETAILS = "SELECT 'm' || (o_custkey % 3) AS model, CASE o_orderkey % 3 WHEN 0 THEN 'schema' WHEN 1 THEN 'alignment' ELSE 'infill' END AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'filled' ELSE 'empty' END AS condition, (o_orderkey % 7) / 7.0 AS score, o_orderkey % 7 AS correct FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING'"
 
 
 def _details(t):
@@ -142,7 +142,7 @@ _CELLS = [f"{t}_{c}" for t in ("schema", "alignment", "infill") for c in ("fille
 WITH {_TABLE} SELECT model, {', '.join(f'round({c}, 9) AS {c}' for c in _CELLS)} FROM y UNION ALL SELECT 'Task Average', {', '.join(f'round(avg({c}), 9)' for c in _CELLS)} FROM y""")
 def subset_result_table(t):
     """The result table over chosen samples only."""
-    chosen = t("customer").where("c_custkey % 4 <> 0").select(F.lit("en").alias("lang"), F.col("c_custkey").alias("sample_id"))
+    chosen = t("customer").where("c_mktsegment <> 'BUILDING'").select(F.lit("en").alias("lang"), F.col("c_custkey").alias("sample_id"))
     out = U.subset_scores(_details(t), chosen)
     return out.select("model", *(F.round(c, 9).alias(c) for c in _CELLS))
 
@@ -151,7 +151,7 @@ def subset_result_table(t):
 WITH {_TABLE} SELECT round((avg(schema_diff) + avg(alignment_diff) + avg(infill_diff)) / 3, 9) AS global_drop FROM y WHERE model <> 'm0'""")
 def global_average_drop(t):
     """The mean drop over tasks; reference models do not count."""
-    chosen = t("customer").where("c_custkey % 4 <> 0").select(F.lit("en").alias("lang"), F.col("c_custkey").alias("sample_id"))
+    chosen = t("customer").where("c_mktsegment <> 'BUILDING'").select(F.lit("en").alias("lang"), F.col("c_custkey").alias("sample_id"))
     counted, _ = U.without_references(_details(t), ["m0"])
     return U.global_drop(U.subset_scores(counted, chosen)).withColumn("global_drop", F.round("global_drop", 9))
 
@@ -239,24 +239,24 @@ def ordered_unique(t):
 
 
 @query("""
-SELECT o_custkey AS sample_id FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0""")
+SELECT o_custkey AS sample_id FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'""")
 def id_union(t):
-    return P.union_ids([t("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("sample_id")), t("customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("sample_id"))])
+    return P.union_ids([t("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("sample_id")), t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("sample_id"))])
 
 
 @query("""
-SELECT c_custkey AS sample_id, c_mktsegment AS html, n AS json FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0""")
+SELECT c_custkey AS sample_id, c_mktsegment AS html, n AS json FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_mktsegment <> 'MACHINERY'""")
 def stage_pairs(t):
-    a = t("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("html"))
+    a = t("customer").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("html"))
     b = t("orders").groupBy(F.col("o_custkey").alias("sample_id")).agg(F.count("*").alias("json"))
     return P.paired(a, b, ["sample_id"])
 
 
 @query("""
-SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 1""")
+SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'AUTOMOBILE'""")
 def balanced_view(t):
     rows = t("orders").select("o_orderkey", F.lit("en").alias("lang"), F.col("o_custkey").alias("sample_id"))
-    chosen = t("customer").where("c_custkey % 10 = 1").select(F.lit("en").alias("lang"), F.col("c_custkey").alias("sample_id"))
+    chosen = t("customer").where("c_mktsegment = 'AUTOMOBILE'").select(F.lit("en").alias("lang"), F.col("c_custkey").alias("sample_id"))
     n = rows.join(chosen, ["lang", "sample_id"], "left_semi").select("sample_id").distinct().count()
     return P.balanced_view(rows, chosen, n=n).select("o_orderkey")
 
@@ -276,21 +276,21 @@ def stale_renders(t):
 
 
 @query("""
-SELECT c_custkey AS sample_id, c_custkey % 3 = 0 AS moved, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS value FROM customer WHERE c_custkey % 3 <> 2 OR c_custkey % 2 = 0""")
+SELECT c_custkey AS sample_id, c_mktsegment = 'BUILDING' AS moved, CASE WHEN c_mktsegment = 'BUILDING' THEN 'old' ELSE 'new' END AS value FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE')""")
 def state_migration(t):
     k = F.col("c_custkey")
     row = lambda w, place, v: t("customer").where(w).select(k.alias("sample_id"), F.lit(place).alias("place"), F.lit(v).alias("value"))
-    states = row("c_custkey % 3 = 0", "legacy", "old").union(row("c_custkey % 3 = 1", "legacy", "old")).union(row("c_custkey % 3 = 1", "cache", "new")).union(row("c_custkey % 6 = 2", "cache", "new"))
+    states = row("c_mktsegment in ('BUILDING', 'MACHINERY')", "legacy", "old").union(row("c_mktsegment in ('MACHINERY', 'FURNITURE')", "cache", "new"))
     return K.migrated(states, ["sample_id"]).select("sample_id", "moved", "value")
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN true WHEN l_linenumber % 3 = 1 THEN false ELSE l_returnflag = 'R' END AS is_group FROM lineitem""")
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber < 4 THEN l_linenumber = 1 ELSE l_returnflag = 'R' END AS is_group FROM lineitem""")
 def verdict_overlay(t):
     """A reviewer's verdict by position counts before the heuristic."""
     key = ["l_orderkey", "l_linenumber", "l_partkey"]
     rows = t("lineitem").select(*key, (F.col("l_returnflag") == "R").alias("heuristic"))
-    verdicts = t("lineitem").where("l_linenumber % 3 < 2").select(*key, (F.col("l_linenumber") % 3 == 0).alias("verdict")).distinct()
+    verdicts = t("lineitem").where("l_linenumber < 4").select(*key, (F.col("l_linenumber") == 1).alias("verdict")).distinct()
     return H.with_verdicts(rows, verdicts, key, "heuristic").select(*key, F.col("heuristic").alias("is_group"))
 
 
@@ -345,16 +345,15 @@ def split_sizes(t):
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS gold, CAST(o_orderkey AS VARCHAR) AS gold_path FROM orders WHERE o_orderkey % 4 <> 0
-UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 'default' END, CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 4 = 0""")
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus WHEN o_orderpriority <> '5-LOW' THEN 'default' END AS gold, CAST(o_orderkey AS VARCHAR) AS gold_path FROM orders""")
 def gold_resolution(t):
     """The recorded file where it exists, else the stage's."""
     from ..sources.files import gold_of
 
     k = F.col("o_orderkey")
     records = t("orders").select(k.alias("sample_id"), F.lit("en").alias("lang"), k.cast("string").alias("gold_path"))
-    recorded = t("orders").where("o_orderkey % 4 <> 0").select(k.cast("string").alias("gold_path"), F.col("o_orderstatus").alias("content"))
-    default = t("orders").where("o_orderkey % 3 <> 0").select(F.lit("en").alias("lang"), k.alias("sample_id"), F.lit("default").alias("content"))
+    recorded = t("orders").where("o_orderstatus <> 'F'").select(k.cast("string").alias("gold_path"), F.col("o_orderstatus").alias("content"))
+    default = t("orders").where("o_orderpriority <> '5-LOW'").select(F.lit("en").alias("lang"), k.alias("sample_id"), F.lit("default").alias("content"))
     return gold_of(records, recorded, default).select(F.col("sample_id").alias("o_orderkey"), "gold", "gold_path")
 
 

@@ -24,14 +24,14 @@ _PRED = f"SELECT l_orderkey AS sample_id, {_CONDITION} AS condition, l_linestatu
 
 @query("""
 WITH d AS (SELECT DISTINCT c_mktsegment AS segment FROM customer), s AS (SELECT DISTINCT o_orderstatus AS status FROM orders),
-o AS (SELECT c_mktsegment AS segment, o_orderstatus AS status, count(*) AS n, min(o_orderkey) AS min_id, max(o_orderkey) AS max_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9900 GROUP BY ALL)
+o AS (SELECT c_mktsegment AS segment, o_orderstatus AS status, count(*) AS n, min(o_orderkey) AS min_id, max(o_orderkey) AS max_id FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
 SELECT segment, status, CAST(coalesce(n, 0) AS BIGINT) AS n, min_id, max_id FROM d CROSS JOIN s LEFT JOIN o USING (segment, status)""")
 def coverage_cross_join(t):
     """Counts of every combination, those without rows included."""
-    c = t("customer").select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("segment"))
+    c = t("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
     o = t("orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"))
-    dims = c.select("segment").distinct().crossJoin(F.broadcast(o.select("status").distinct()))  # a handful of codes each
-    some = o.join(c.where("c_acctbal > 9900"), F.col("o_custkey") == F.col("c_custkey")).groupBy("segment", "status").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("min_id"), F.max("o_orderkey").alias("max_id"))
+    dims = c.select("segment").distinct().crossJoin(O.bounded(o.select("status").distinct()))
+    some = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("segment", "status").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("min_id"), F.max("o_orderkey").alias("max_id"))
     return dims.join(some, ["segment", "status"], "left").select("segment", "status", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "min_id", "max_id")
 
 

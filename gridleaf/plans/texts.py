@@ -28,9 +28,9 @@ def strip_thinking(t):
 
 @query("""
 SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') AS domain,
-  coalesce(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') LIKE '%.gov' OR regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') LIKE '%.mil', false) AS public FROM pages WHERE url LIKE 'http%'""".replace("\\\\", "\\"))
+  coalesce(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') LIKE '%.gov' OR regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') LIKE '%.mil', false) AS public FROM pages""".replace("\\\\", "\\"))
 def domain_filter_forall(t):
-    found = t("pages").where("url like 'http%'").select("page_id", X.domains(F.split_part("url", F.lit(" "), F.lit(1))).alias("d"))
+    found = t("pages").select("page_id", X.domains(F.col("url")).alias("d"))
     return found.select("page_id", F.coalesce(F.get("d", 0), F.lit("")).alias("domain"), X.all_public(F.col("d")).alias("public"))
 
 

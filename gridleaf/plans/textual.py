@@ -232,12 +232,12 @@ def grouped_field_types(t):
 
 
 @query("""
-WITH e AS (SELECT o_orderstatus AS stage, o_orderpriority AS lang, o_custkey AS id FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL), f AS (SELECT o_orderstatus AS stage, o_orderpriority AS lang, o_custkey AS id, count(*) AS n FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY ALL),
+WITH e AS (SELECT o_orderstatus AS stage, o_orderpriority AS lang, o_custkey AS id FROM orders WHERE o_totalprice < 200000 GROUP BY ALL), f AS (SELECT o_orderstatus AS stage, o_orderpriority AS lang, o_custkey AS id, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY ALL),
 j AS (SELECT coalesce(e.stage, f.stage) AS stage, coalesce(e.lang, f.lang) AS lang, e.id AS want, f.id AS have, coalesce(n, 0) AS n FROM e FULL JOIN f ON e.stage = f.stage AND e.lang = f.lang AND e.id = f.id)
 SELECT stage, lang, count(*) FILTER (have IS NULL) AS missing, count(*) FILTER (want IS NULL) AS extra, count(*) FILTER (n > 1) AS duplicates FROM j GROUP BY ALL""")
 def stage_file_audit(t):
     rows = lambda w: t("orders").where(w).select(F.col("o_orderstatus").alias("stage"), F.col("o_orderpriority").alias("lang"), F.col("o_custkey").alias("sample_id"))
-    return G.stage_audit(rows("o_orderkey % 3 <> 0").distinct(), rows("o_orderkey % 4 <> 0")).drop("complete")
+    return G.stage_audit(rows("o_totalprice < 200000").distinct(), rows("o_totalprice > 100000")).drop("complete")
 
 
 @query("""

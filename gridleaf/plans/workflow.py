@@ -63,7 +63,7 @@ def source_eligibility(t):
 def _documents(t):
     """Predictions of model a-image and b for infill: by key and condition missing, broken, empty or good."""
     models = t("region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "a-image").otherwise("b").alias("model"))
-    rows = t("customer").where("c_custkey % 3 <> 0").crossJoin(F.broadcast(models)).withColumn("condition", F.explode(F.array(F.lit("filled"), F.lit("empty"))))  # two rows
+    rows = t("customer").where("c_mktsegment <> 'BUILDING'").crossJoin(F.broadcast(models)).withColumn("condition", F.explode(F.array(F.lit("filled"), F.lit("empty"))))  # two rows
     body = F.when(_k() % 4 == 1, F.lit("{")).when(_k() % 4 == 2, F.lit('{"raw_response": " "}')).otherwise(F.to_json(F.struct(F.col("c_name").alias("raw_response"))))
     return models, rows.select("model", F.lit("infill").alias("task"), F.when(_k() % 2 == 0, "en").otherwise("zh").alias("lang"), "condition", _k().alias("sample_id"), body.alias("document"))
 
@@ -73,15 +73,15 @@ WITH e AS (SELECT * FROM ({_ELIGIBLE}) WHERE task = 'infill' AND eligible)
 SELECT model, condition, sample_id, target_count, prediction_status, prediction_status <> 'ready' AS retry_recommended, input_path FROM (
 SELECT model, condition, sample_id, target_count,
   CASE WHEN model = 'a-image' THEN 'rendered/' || condition WHEN condition = 'filled' THEN 'filled_html' ELSE 'html_template' END || '/data_' || lang || '/' || sample_id || CASE WHEN model = 'a-image' THEN '.png' ELSE '.html' END AS input_path,
-  CASE WHEN model = 'a-image' AND sample_id % 6 <> 1 THEN 'missing_input' WHEN sample_id % 3 = 0 THEN 'missing' WHEN sample_id % 4 = 1 THEN 'invalid_json' WHEN sample_id % 4 = 2 THEN 'empty_response' ELSE 'ready' END AS prediction_status
-FROM e, (VALUES ('a-image'), ('b')) m(model), (VALUES ('filled'), ('empty')) c(condition))"""
+  CASE WHEN model = 'a-image' AND c_mktsegment = 'MACHINERY' THEN 'missing_input' WHEN c_mktsegment = 'BUILDING' THEN 'missing' WHEN sample_id % 4 = 1 THEN 'invalid_json' WHEN sample_id % 4 = 2 THEN 'empty_response' ELSE 'ready' END AS prediction_status
+FROM e JOIN customer ON c_custkey = sample_id, (VALUES ('a-image'), ('b')) m(model), (VALUES ('filled'), ('empty')) c(condition))"""
 
 
 def _manifest(t):
     models, documents = _documents(t)
     lang = F.when(_k() % 2 == 0, "en").otherwise("zh")
     path = lambda m, c: P.input_path(F.lit(m), F.lit(c), lang, _k()).alias("path")
-    inputs = [t("customer").where("c_custkey % 6 = 1" if m == "a-image" else "true").select(path(m, c)) for m in ("a-image", "b") for c in ("filled", "empty")]
+    inputs = [t("customer").where("c_mktsegment <> 'MACHINERY'" if m == "a-image" else "true").select(path(m, c)) for m in ("a-image", "b") for c in ("filled", "empty")]
     there = inputs[0]
     for i in inputs[1:]:
         there = there.union(i)
@@ -109,14 +109,14 @@ def job_manifest(t):
 
 
 @query("""
-WITH a AS (SELECT o_custkey AS sample_id, o_orderstatus AS task, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL), b AS (SELECT DISTINCT o_custkey AS sample_id, o_orderstatus AS task FROM orders WHERE o_orderkey % 4 <> 0)
+WITH a AS (SELECT o_custkey AS sample_id, o_orderstatus AS task, count(*) AS n FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY ALL), b AS (SELECT DISTINCT o_custkey AS sample_id, o_orderstatus AS task FROM orders WHERE o_orderpriority <> '5-LOW')
 SELECT sample_id, task, CASE WHEN n IS NULL THEN 'not prepared' WHEN b.task IS NULL THEN 'not a job' ELSE 'repeated' END AS difference FROM a FULL JOIN b USING (sample_id, task) WHERE n IS NULL OR b.task IS NULL OR n > 1""".replace("a FULL JOIN b USING (sample_id, task)", "(SELECT a.n, coalesce(a.sample_id, b.sample_id) AS sample_id, coalesce(a.task, b.task) AS task, b.task AS bt FROM a FULL JOIN b ON a.sample_id = b.sample_id AND a.task = b.task)").replace("b.task IS NULL", "bt IS NULL"))
 def prepared_job_set(t):
     rows = lambda w: t("orders").where(w).select(F.col("o_custkey").alias("sample_id"), F.col("o_orderstatus").alias("task"))
-    return W.job_set_differences(rows("o_orderkey % 3 <> 0"), rows("o_orderkey % 4 <> 0"), ["sample_id", "task"])
+    return W.job_set_differences(rows("o_orderpriority <> '1-URGENT'"), rows("o_orderpriority <> '5-LOW'"), ["sample_id", "task"])
 
 
-_STATES = "CASE WHEN k % 4 = 0 THEN 'ineligible_no_targets' WHEN k % 13 = 0 THEN 'not_run' WHEN k % 11 = 0 THEN 'source_mismatch' WHEN k % 17 = 0 THEN 'prediction_error' WHEN k % 19 = 0 THEN 'transport_error' WHEN k % 7 = 0 THEN 'source_error' WHEN k % 23 = 0 THEN 'model_format_failure' ELSE 'scored' END"
+_STATES = "CASE WHEN k % 4 = 0 THEN 'ineligible_no_targets' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'not_run' WHEN k % 11 = 0 THEN 'source_mismatch' WHEN k % 17 = 0 THEN 'prediction_error' WHEN k % 19 = 0 THEN 'transport_error' WHEN k % 7 = 0 THEN 'source_error' WHEN k % 23 = 0 THEN 'model_format_failure' ELSE 'scored' END"
 
 
 def _evaluated(t):
@@ -126,7 +126,7 @@ def _evaluated(t):
     s = F.col("sample_id")
     answer = F.when(s % 23 == 0, "").when(s % 3 == 0, F.replace("html_filled", F.lit("v0 "), F.lit("w0 "))).otherwise(F.col("html_filled"))
     document = F.to_json(F.struct(F.lit("m").alias("model"), s, "lang", F.lit("infill").alias("task"), F.when(s % 17 == 0, "filled").otherwise("empty").alias("condition"), F.when(s % 11 == 0, "old").otherwise("e1").alias("evidence"), F.when(s % 19 == 0, "transport_error").alias("status"), answer.alias("raw_response")))
-    predictions = src.where("sample_id % 13 <> 0").select("lang", "sample_id", F.lit("m").alias("model"), F.lit("infill").alias("task"), F.lit("empty").alias("condition"), document.alias("document"))
+    predictions = src.where("get_json_object(json_filled, '$.segment') <> 'HOUSEHOLD'").select("lang", "sample_id", F.lit("m").alias("model"), F.lit("infill").alias("task"), F.lit("empty").alias("condition"), document.alias("document"))
     return E.evaluated(jobs, predictions, src)
 
 
@@ -183,17 +183,17 @@ def missing_summaries(t):
 
 
 @query("""
-WITH r AS (SELECT o_orderpriority AS task, o_orderstatus AS lang, o_orderkey AS id, o_custkey % 4 <> 0 AND o_custkey % 5 <> 0 AS has FROM orders),
+WITH r AS (SELECT o_orderpriority AS task, o_orderstatus AS lang, o_orderkey AS id, o_totalprice >= 50000 AND o_custkey % 5 <> 0 AS has FROM orders),
 m AS (SELECT task, lang, id, row_number() OVER (PARTITION BY task, lang ORDER BY id) AS n FROM r WHERE NOT has)
 SELECT 'tuned' AS model, r.task, 'empty' AS condition, r.lang, count(*) AS expected_count, count(*) FILTER (has) AS prediction_count, count(*) FILTER (NOT has) AS missing_count, min(id) AS first_id, max(id) AS last_id,
   coalesce((SELECT string_agg(CAST(m.id AS VARCHAR), ' ' ORDER BY m.id) FROM m WHERE n <= 50 AND m.task = r.task AND m.lang = r.lang), '') AS missing_ids FROM r GROUP BY r.task, r.lang""")
 def checkpoint_coverage(t):
-    rows = t("orders").select(F.col("o_orderpriority").alias("task"), F.col("o_orderstatus").alias("lang"), F.col("o_orderkey").alias("sample_id"), "o_custkey")
-    predictions = rows.where("o_custkey % 4 <> 0").select("task", "lang", "sample_id", F.when(F.col("o_custkey") % 5 == 0, "empty_response").otherwise("ready").alias("status"))
+    rows = t("orders").select(F.col("o_orderpriority").alias("task"), F.col("o_orderstatus").alias("lang"), F.col("o_orderkey").alias("sample_id"), "o_custkey", "o_totalprice")
+    predictions = rows.where("o_totalprice >= 50000").select("task", "lang", "sample_id", F.when(F.col("o_custkey") % 5 == 0, "empty_response").otherwise("ready").alias("status"))
     return W.checkpoint_coverage(rows, predictions, "tuned")
 
 
-_SPLIT = "SELECT CASE o_orderstatus WHEN 'F' THEN 'schema' WHEN 'O' THEN 'infill' ELSE 'alignment' END AS task, o_orderpriority AS lang, o_orderkey AS id, o_custkey % 3 <> 0 AS has, (o_orderkey % 5) / 5.0 AS score, o_orderkey % 5 AS correct FROM orders"
+_SPLIT = "SELECT CASE o_orderstatus WHEN 'F' THEN 'schema' WHEN 'O' THEN 'infill' ELSE 'alignment' END AS task, o_orderpriority AS lang, o_orderkey AS id, o_totalprice >= 100000 AS has, (o_orderkey % 5) / 5.0 AS score, o_orderkey % 5 AS correct FROM orders"
 
 
 @query(f"""
@@ -203,9 +203,9 @@ def checkpoint_scores(t):
     """Test records under both policies for missing predictions."""
     k = F.col("o_orderkey")
     task = F.when(F.col("o_orderstatus") == "F", "schema").when(F.col("o_orderstatus") == "O", "infill").otherwise("alignment")
-    rows = t("orders").select(task.alias("task"), F.col("o_orderpriority").alias("lang"), k.alias("sample_id"), F.lit(5).alias("target_count"), "o_custkey")
-    details = rows.where("o_custkey % 3 <> 0").select("task", "lang", "sample_id", (F.col("sample_id") % 5 / 5).alias("score"), (F.col("sample_id") % 5).alias("correct"), F.lit(5).alias("total"))
-    out = [W.split_scores(rows.drop("o_custkey"), details, p).withColumn("policy", F.lit(p)) for p in ("zero", "skip")]
+    rows = t("orders").select(task.alias("task"), F.col("o_orderpriority").alias("lang"), k.alias("sample_id"), F.lit(5).alias("target_count"), "o_totalprice")
+    details = rows.where("o_totalprice >= 100000").select("task", "lang", "sample_id", (F.col("sample_id") % 5 / 5).alias("score"), (F.col("sample_id") % 5).alias("correct"), F.lit(5).alias("total"))
+    out = [W.split_scores(rows.drop("o_totalprice"), details, p).withColumn("policy", F.lit(p)) for p in ("zero", "skip")]
     return out[0].unionByName(out[1]).withColumn("score", F.round("score", 9))
 
 
@@ -213,7 +213,7 @@ def checkpoint_scores(t):
 SELECT CASE WHEN c_custkey % 2 = 0 THEN 'en' ELSE 'zh' END AS lang, c_custkey AS sample_id, CAST(c_custkey % 4 AS INTEGER) AS correct, CAST(c_custkey % 4 AS INTEGER) AS total, c_custkey % 4 > 0 AS ok FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 9 <> 0""")
 def alignment_self_check(t):
     """Gold forms that find all their own targets; one without targets does not pass."""
-    return W.alignment_self_check(_sources(t).where("placeholder_html is not null and sample_id % 9 <> 0"))
+    return W.alignment_self_check(_sources(t).where("placeholder_html is not null and meta <> '{'"))
 
 
 @query("""
@@ -268,9 +268,9 @@ def detail_cache_keys(t):
 
 
 @query("""
-SELECT CASE WHEN doc_id % 2 = 0 THEN 'FT' ELSE 'Base' END AS method, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 7 <> 0) AS reused, count(*) FILTER (doc_id % 5 = 0 OR doc_id % 7 = 0) AS computed FROM documents GROUP BY 1""")
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'FT' ELSE 'Base' END AS method, count(*) FILTER (lang <> 'de' AND doc_id % 7 <> 0) AS reused, count(*) FILTER (lang = 'de' OR doc_id % 7 = 0) AS computed FROM documents GROUP BY 1""")
 def detail_cache_reuse(t):
     """Details that are current, and those of which a prediction changed or nothing is known."""
     now = T.cache_record(_cache_rows(t), "py_tree", "m1")
-    old = now.where("sample_id % 5 <> 0").withColumn("active_prediction_sha1", F.when(F.col("sample_id") % 7 == 0, "x").otherwise(F.col("active_prediction_sha1")))
+    old = now.where("lang <> 'de'").withColumn("active_prediction_sha1", F.when(F.col("sample_id") % 7 == 0, "x").otherwise(F.col("active_prediction_sha1")))
     return T.reused(now, old)[2]
