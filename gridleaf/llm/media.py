@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collected, deleted, map_batches, shared_dir, written
+from .common import collected, deleted, hash_ordered, map_batches, shared_dir, written
 
 UNIT, MAGIC = 64, b"GLCD"
 LEAST, MOST, MASK = 1024, 32768, (1 << 12) - 1
@@ -123,9 +123,9 @@ def feature(samples: bytes) -> str:
 
 
 def _dictionary(heads: DataFrame) -> bytes:
-    """Trained on the SAMPLE_CHUNKS sampled chunks of the least digests, so it depends on the table only."""
-    rows = heads.select(F.explode("sample").alias("chunk")).select(F.sha2("chunk", 256).alias("k"), "chunk").distinct().orderBy("k").limit(SAMPLE_CHUNKS).collect()
-    parts = [bytes(r["chunk"]) for r in rows]
+    """Trained on the sampled chunks of the least hashes, so it depends on the table only."""
+    rows = hash_ordered(heads.select(F.explode("sample").alias("chunk")).distinct(), SAMPLE_CHUNKS, "chunk").collect()
+    parts = sorted(bytes(r["chunk"]) for r in rows)
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes() if len(parts) >= 50 else b""
     except zstandard.ZstdError:  # too little or too uniform to learn from

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import hash_ordered, map_batches, scratch, written
 
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -368,7 +368,9 @@ def trained(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
 
         return work
 
-    rows = map_batches(some, "x array<double>, y int", make).orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample_rows).toPandas()
+    with scratch(docs.sparkSession):
+        nodes = written(map_batches(some, "x array<double>, y int", make), "pii-nodes")
+        rows = hash_ordered(nodes, sample_rows, "x", "y").toPandas()
     return learnt(np.array(rows["x"].tolist()), rows["y"].to_numpy())
 
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, unused, written
+from .common import hash_ordered, map_batches, unused, written
 
 #: Labelled rows that the classifier is fitted on at most (hash-ordered, whole texts).
 SAMPLE_ROWS = 6000
@@ -98,7 +98,8 @@ def evidence(model: dict | None, x: np.ndarray) -> np.ndarray:
 def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict | None:
     """A model from a bounded, hash-ordered sample of labelled rows, or None
     without two classes. Whole texts are read, and only features reach the driver."""
-    some = labels.where("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") > 0).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows)
+    some = labels.where("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") > 0).cast("double").alias("y"))
+    some = hash_ordered(some, sample_rows, "doc_id", "y")
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y")
 
     def make():
