@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 #: Rows up to which a side of codes goes to every task.
 BOUND = 10_000
 
@@ -61,6 +63,23 @@ def nearest_labels(markers: DataFrame, labels: DataFrame, doc: Sequence[str], id
     return rows.groupBy(*doc, *ident).agg(best).select(*doc, *ident, "__best.*")
 
 
+def numbered(df: DataFrame, order: Sequence[Column], place: str = "place") -> DataFrame:
+    """df with each row's place (1, 2, ...) in an order. Tasks sort ranges of the
+    order; rows that are equal in it are dealt over ranges as well, so a single
+    value that fills the table is no single task's. Sorted ranges are written
+    once, and the sizes of the ranges before (one number a range) are added."""
+    rows = df.withColumn("__tie", F.monotonically_increasing_id())
+    sorted_ = rows.repartitionByRange(*order, F.col("__tie")).sortWithinPartitions(*order, "__tie").drop("__tie")
+    # The id is the range's number, shifted by 33 bits, and the place in the range.
+    table = staged(sorted_.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    at = F.shiftright("__id", 33)
+    sizes = table.groupBy(at.alias("__range")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.col("__id").bitwiseAND((1 << 33) - 1)
+    out = table.withColumn("__range", at).join(F.broadcast(before), "__range")
+    return out.withColumn(place, F.col("__before") + within + 1).drop("__range", "__before", "__id")
+
+
 def sequences(rows: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     """keys, first and n of each run of consecutive numbers; a repeated number counts once."""
     some = rows.select(*keys, number).distinct()
