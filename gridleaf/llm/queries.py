@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, media, minhash, pii, preferences, quality, resampling, secrets, tiling, toxicity
+from . import bpe, lines, media, minhash, pii, preferences, quality, resampling, secrets, spelling, tiling, toxicity
 from .common import documents
 
 
@@ -57,6 +57,10 @@ def quality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, _table(spark, sf_dir, "labels"), [F.col("source"), F.col("lang")], ["doc_id"])
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
@@ -72,10 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": personal_data,
     "op9_preference_formatting": preference_format,
     "op10_quality_classifier": quality_classes,
+    "op11_spelling_variants": spelling_variants,
     "op12_importance_resampling": importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_preference_formatting": preferences.ORACLE_SQL,
+    "op11_spelling_variants": spelling.ORACLE_SQL,
     "op12_importance_resampling": resampling.ORACLE_SQL,
 }
