@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, media, minhash, pii, preferences, quality, resampling, secrets, spelling, tiling, toxicity
+from . import bpe, lines, media, minhash, pii, preferences, quality, resampling, secrets, spelling, tiling, toxicity, warc
 from .common import documents
 
 
@@ -65,6 +65,10 @@ def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": near_dedup,
     "op2_secret_scans": secret_scan,
@@ -78,10 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": quality_classes,
     "op11_spelling_variants": spelling_variants,
     "op12_importance_resampling": importance_resampling,
+    "op13_warc": warc_records,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_preference_formatting": preferences.ORACLE_SQL,
     "op11_spelling_variants": spelling.ORACLE_SQL,
     "op12_importance_resampling": resampling.ORACLE_SQL,
+    "op13_warc": warc.ORACLE_SQL,
 }
