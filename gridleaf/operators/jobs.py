@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import smallest
+from .staging import staged
+
 # The texts that models are asked with. {html} and {context} are replaced.
 SYSTEM = "You are a precise table and JSON conversion assistant."
 PROMPTS = {
@@ -206,28 +209,6 @@ def record_summary(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     return records.groupBy(*keys).agg(F.count("*").alias("records"), F.max(n).cast("long").alias("max_chars"), F.floor(F.avg(n)).cast("long").alias("avg_chars"))
 
 
-def sharded(rows: DataFrame, group: Sequence[str], order: str, size: str, budget: int) -> DataFrame:
-    """rows with a shard number: greedy in order, a new shard where the budget
-    would be passed; a row above it has its own. A group is one batch, which the
-    service bounds."""
-    import pandas as pd
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        shard, used, out = 0, 0, []
-        for n in pdf[size]:
-            if used and used + n > budget:
-                shard, used = shard + 1, 0
-            used += n
-            out.append(shard)
-        return pdf.assign(shard=out)
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.LongType())])
-    return rows.groupBy(*group).applyInPandas(cut, schema)
-
-
 def stripped(x: Column | str) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
@@ -269,20 +250,26 @@ def instruction_input(task: Column, html: Column, context: Column) -> Column:
     return F.when(task == "infill", F.concat(form, F.lit(f"\n{CONTEXT_MARK}\n"), stripped(context))).otherwise(form)
 
 
+def split_keys(ident: Column, seed: int) -> tuple[Column, Column]:
+    """Two numbers of 60 bits that put ids in a seeded order."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), ident.cast("string")), 256)
+    number = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint")
+    return number(1), number(16)
+
+
 def split(samples: DataFrame, ident: str = "sample_id", test_share: float = 0.2, seed: int = 3407) -> DataFrame:
     """samples with their split, by a seeded shuffle of the distinct ids: those
     of the first share of the order of hashes are test ids, so no id is in both.
-    The shuffle is an order of hashes; the threshold between the splits is one
-    number, found by distributed selection."""
-    ids = samples.select(ident).where(F.col(ident).isNotNull()).distinct().withColumn("__h", F.xxhash64(F.lit(seed), F.col(ident).cast("string")))
+    The last test id is found by counting hashes in ranges; nothing is sorted,
+    and no ids leave their tasks."""
+    first, second = split_keys(F.col(ident), seed)
+    ids = staged(samples.select(ident).where(F.col(ident).isNotNull()).distinct().select(first.alias("a"), second.alias("b")), "split-ids")
     n = ids.count()
     if not n:
         return samples.withColumn("split", F.lit("train"))
-    k = max(1, round(n * test_share))
-    cut = ids.orderBy("__h", ident).offset(k - 1).limit(1).first() if k <= n else None
-    last = F.struct(F.lit(cut["__h"]).alias("h"), F.lit(cut[ident]).cast(dict(samples.dtypes)[ident]).alias("i"))
-    own = F.struct(F.xxhash64(F.lit(seed), F.col(ident).cast("string")).alias("h"), F.col(ident).alias("i"))
-    return samples.withColumn("split", F.when(F.coalesce(own <= last, F.lit(False)), "test").otherwise("train"))
+    last = smallest(ids, ["a", "b"], max(1, round(n * test_share)))
+    own = (first < last[0]) | ((first == last[0]) & (second <= last[1]))
+    return samples.withColumn("split", F.when(F.coalesce(own, F.lit(False)), "test").otherwise("train"))
 
 
 def split_ids(ids: Sequence[int], test_share: float = 0.2, seed: int = 3407) -> tuple[set[int], set[int]]:

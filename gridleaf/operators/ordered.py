@@ -63,13 +63,14 @@ def nearest_labels(markers: DataFrame, labels: DataFrame, doc: Sequence[str], id
     return rows.groupBy(*doc, *ident).agg(best).select(*doc, *ident, "__best.*")
 
 
-def numbered(df: DataFrame, order: Sequence[Column], place: str = "place") -> DataFrame:
-    """df with each row's place (1, 2, ...) in an order. Tasks sort ranges of the
+def numbered(df: DataFrame, order: Sequence[Column], place: str = "place", ranges: int | None = None, number: str | None = None) -> DataFrame:
+    """df with each row's place (1, 2, ...) in an order, and with the number of
+    its range where that has a name. Tasks sort ranges of the
     order; rows that are equal in it are dealt over ranges as well, so a single
     value that fills the table is no single task's. Sorted ranges are written
     once, and the sizes of the ranges before (one number a range) are added."""
     rows = df.withColumn("__tie", F.monotonically_increasing_id())
-    sorted_ = rows.repartitionByRange(*order, F.col("__tie")).sortWithinPartitions(*order, "__tie").drop("__tie")
+    sorted_ = rows.repartitionByRange(*([ranges] if ranges else []), *order, F.col("__tie")).sortWithinPartitions(*order, "__tie").drop("__tie")
     # The id is the range's number, shifted by 33 bits, and the place in the range.
     table = staged(sorted_.withColumn("__id", F.monotonically_increasing_id()), "numbered")
     at = F.shiftright("__id", 33)
@@ -77,7 +78,32 @@ def numbered(df: DataFrame, order: Sequence[Column], place: str = "place") -> Da
     before = sizes.select("__range", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     within = F.col("__id").bitwiseAND((1 << 33) - 1)
     out = table.withColumn("__range", at).join(F.broadcast(before), "__range")
-    return out.withColumn(place, F.col("__before") + within + 1).drop("__range", "__before", "__id")
+    out = out.withColumn(place, F.col("__before") + within + 1)
+    return (out.withColumn(number, F.col("__range")) if number else out).drop(*({"__range", "__before", "__id"} - {number}))
+
+
+def smallest(df: DataFrame, keys: Sequence[str], k: int, bits: int = 60, step: int = 12) -> list[int]:
+    """The k-th smallest keys of df, which are numbers of so many bits, the first
+    that differs deciding. Each pass counts the rows of 2 ** step ranges of the
+    one that holds the k-th; at most so many counts reach the driver."""
+    out: list[int] = []
+    for key in keys:
+        prefix, known = 0, 0
+        while known < bits:
+            width = min(step, bits - known)
+            known += width
+            at = F.shiftright(key, bits - known)
+            counts = dict(df.groupBy(at.bitwiseAND((1 << width) - 1).alias("at")).agg(F.count("*")).collect())
+            for place in sorted(counts):
+                if k <= counts[place]:
+                    break
+                k -= counts[place]
+            prefix = prefix << width | place
+            df = df.where(at == prefix)
+        out.append(prefix)
+        if counts[place] == 1 and len(out) < len(keys):
+            return out + list(df.select(*keys[len(out) :]).first())
+    return out
 
 
 def sequences(rows: DataFrame, keys: Sequence[str], number: str) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .coverage import first_by
-from .ordered import bounded
+from .ordered import bounded, numbered
 
 #: What a cached detail must agree in, and the versions of its form.
 COMPARED = ("cache_version", "cache_key", "schema_metric", "active_prediction_sha1", "paired_prediction_sha1", "source_fingerprint")
@@ -96,17 +95,9 @@ def reused(current: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame,
     return keep, todo, counts.select("method", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("reused", "computed")))
 
 
-def positions(df: DataFrame, order: str, buckets: int = 256) -> DataFrame:
-    """df with each row's place in the order of a numeric column, then of all
-    columns. Rows are dealt by quantiles that are computed once and stand in the
-    plan, so no task sees all rows and every use of it deals them alike."""
-    cuts = df.select(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()["q"] or []
-    below = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    rows = df.withColumn("__p", F.coalesce(F.size(F.filter(below, lambda c: c < F.col(order))), F.lit(-1)))
-    placed = rows.withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(order, *df.columns)))
-    sizes = rows.groupBy("__p").agg(F.count("*").alias("__c"))  # one row a bucket
-    before = sizes.alias("x").join(sizes.alias("y"), F.col("y.__p") < F.col("x.__p"), "left").groupBy(F.col("x.__p").alias("__p")).agg(F.coalesce(F.sum("y.__c"), F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(before), "__p").withColumn("place", F.col("__n") + F.col("__before")).drop("__p", "__n", "__before")
+def positions(df: DataFrame, order: str) -> DataFrame:
+    """df with each row's place in the order of a column, then of all columns."""
+    return numbered(df, [F.col(order), *(F.col(c) for c in df.columns if c != order)])
 
 
 def zipped(a: DataFrame, b: DataFrame, order: str) -> DataFrame:

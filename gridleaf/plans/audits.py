@@ -328,13 +328,25 @@ def instruction_inputs(t):
     return t("documents").select("doc_id", F.sha2(J.instruction_input(task, F.col("source"), F.col("lang")), 256).alias("input"))
 
 
-@query("""
-SELECT lang, count(*) AS rows, count(*) FILTER (doc_id IS NULL) AS both_splits FROM documents GROUP BY lang""")
+# The order of hashes that splits follow: 60 bits of a seeded digest.
+SPLIT_SQL = """(SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(sha256('3407:' || doc_id), 1, 15))::BIGINT, ('0x' || substr(sha256('3407:' || doc_id), 16, 15))::BIGINT)
+  <= greatest(1, round_even(count(*) OVER () * 0.2, 0)) AS test FROM (SELECT DISTINCT doc_id FROM documents))"""
+
+
+@query(f"""
+SELECT lang, 2 * count(*) AS rows, 2 * count(*) FILTER (test) AS test, CAST(0 AS BIGINT) AS both_splits FROM documents JOIN {SPLIT_SQL} USING (doc_id) GROUP BY lang""")
 def split_is_a_partition(t):
     """Every row has one split, and copies of an id share theirs."""
     rows = t("documents").select("doc_id", "lang").union(t("documents").select("doc_id", "lang"))
-    out = J.split(rows, "doc_id").groupBy("doc_id", "lang").agg(F.count_distinct("split").alias("n"))
-    return out.groupBy("lang").agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 1).alias("both_splits"))
+    out = J.split(rows, "doc_id").groupBy("doc_id", "lang").agg(F.count_distinct("split").alias("n"), F.count("*").alias("rows"), F.count_if(F.col("split") == "test").alias("test"))
+    return out.groupBy("lang").agg(F.sum("rows").alias("rows"), F.sum("test").alias("test"), F.count_if(F.col("n") > 1).alias("both_splits"))
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN test THEN 'test' ELSE 'train' END AS split FROM {SPLIT_SQL}""")
+def split_by_threshold(t):
+    """The test ids are those below a threshold that is found by counting, not by sorting."""
+    return J.split(t("documents").select("doc_id"), "doc_id")
 
 
 @query("""

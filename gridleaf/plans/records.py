@@ -11,6 +11,7 @@ from ..operators import incremental as K
 from ..operators import jobs as J
 from ..operators import tuning as T
 from ..operators import validate as V
+from ..operators.shards import sharded
 from .registry import query
 
 
@@ -188,7 +189,19 @@ SELECT o_custkey, o_orderkey, bytes, shard FROM s""")
 def shard_by_bytes(t):
     """Greedy shards of each customer's orders."""
     rows = t("orders").select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("long").alias("bytes"))
-    return J.sharded(rows, ["o_custkey"], "o_orderkey", "bytes", 500_000)
+    return sharded(rows, ["o_custkey"], "o_orderkey", "bytes", 500_000)
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS bytes, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders),
+p AS (SELECT n, sum(bytes) OVER (ORDER BY n) AS upto FROM o),
+s(first, shard) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL SELECT (SELECT min(q.n) FROM p q WHERE q.n > s.first AND q.upto > 5000000 + (SELECT r.upto - o.bytes FROM p r JOIN o USING (n) WHERE r.n = s.first)), shard + 1 FROM s WHERE s.first IS NOT NULL)
+SELECT o_orderkey, bytes, (SELECT max(shard) FROM s WHERE first <= n) AS shard FROM o""")
+def shard_of_all(t):
+    """Greedy shards of all orders as one group, whose ranges are summed up as maps of the open shard's fill."""
+    rows = t("orders").select("o_orderkey", F.round("o_totalprice").cast("long").alias("bytes"))
+    return sharded(rows, [], "o_orderkey", "bytes", 5_000_000, rows_a_range=2_000)
 
 
 @query("""

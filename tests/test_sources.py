@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridleaf.functions import text as X
 from gridleaf.operators import coverage as G
 from gridleaf.operators import jobs as J
+from gridleaf.operators.shards import sharded
 from gridleaf.operators import validate as V
 from gridleaf.sources import files as S
 from gridleaf.streaming import predictions as P
@@ -95,7 +96,7 @@ def test_jobs_shards_and_splits(spark):
     samples = spark.createDataFrame([("en", 1, "<p></p>", "c", 2), ("en", 2, "<p></p>", None, 2), ("en", 3, "<p></p>", "c", 0)], "lang string, sample_id int, html string, context string, targets int")
     assert [r["status"] for r in J.jobs(samples, "infill", "empty").orderBy("sample_id").collect()] == ["ready", "source_error", "ineligible_no_targets"]
     rows = spark.createDataFrame([("b", i, n) for i, n in enumerate((40, 70, 10, 300, 20, 90))], "b string, i long, n long")
-    assert [r["shard"] for r in J.sharded(rows, ["b"], "i", "n", 100).orderBy("i").collect()] == [0, 1, 1, 2, 3, 4]
+    assert [r["shard"] for r in sharded(rows, ["b"], "i", "n", 100).orderBy("i").collect()] == [0, 1, 1, 2, 3, 4]
     train, test = J.split_ids(range(1, 829))
     assert len(train) == 662 and len(test) == 166 and not train & test
     out = J.batch_outcome(spark.createDataFrame([("a", True), ("b", False), ("c", False), ("d", False)], "custom_id string, has_prediction boolean"), spark.createDataFrame([("a", None, "x"), ("b", None, "x"), ("c", "e", None), ("d", None, " "), ("z", None, "x")], "custom_id string, error string, response string"))
