@@ -30,13 +30,20 @@ from ..operators.ordered import numbered
 from .common import scratch, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The complement of [\x00-\x2F\x3A-\x60\x7B-\x7F] and capitals, which Java matches much faster in this form.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Buckets up to which their gains go to every task; beyond, they are joined by a shuffle.
 BROADCAST_BUCKETS = 1 << 20
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def lowered(word: Column) -> Column:
+    """word with A-Z in lower case; lower() changes just those where all is ASCII."""
+    plain = F.octet_length(word) == F.char_length(word)
+    return F.when(plain, F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
 def features(docs: DataFrame, ident: str, text: str, orders: int, buckets: int) -> DataFrame:
@@ -44,6 +51,7 @@ def features(docs: DataFrame, ident: str, text: str, orders: int, buckets: int)
     document's features; a document without words has one row without bucket."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("ident"), F.col(text).alias("text"))
     places = rows.select("row", "ident", F.posexplode_outer(words(F.col("text"))).alias("pos", "word"))
+    places = places.withColumn("word", lowered(F.col("word")))
     following = W.partitionBy("row").orderBy("pos")
     runs = [F.col("word")]
     for k in range(1, orders):
