@@ -250,19 +250,30 @@ def non_pure_text(html: Column) -> Column:
     return html.rlike(r"(?i)<input|<select|\(√\)|\( \)|\[√\]|\[ \]|\(×\)|\[×\]")
 
 
-def canonical_model(x: Column) -> Column:
-    """A tuned model's name without all its method, version and checkpoint suffixes."""
-    out = F.translate(F.lower(x), "/- ", "___")
-    return F.regexp_replace(out, r"(?:_(?:ft|sft|lora|qlora|full|finetuned|merged|checkpoint_?\d+|v\d+(?:_\d+)?))+$", "")
+# What may stand before a tuned model's name, and behind its base model's name.
+TUNED_HEAD = r"(?iU)^(?:schema|alignment|infill)[\s_-]+(?:en|zh)[\s_-]+"
+TUNED_TAILS = (r"(?i:seed=\d+)", r"checkpoint(?:[\s_-]\d+)?", r"(?i:InfillFT)(?:[\s_-].*)?", r"(?i:infill)(?:[\s_-].*)?", r"QA(?:[\s_-].*)?", r"(?i:repair)")
+
+
+def tuned_name(x: Column) -> Column:
+    """A tuned model's name without task and language before it, white space being underscores."""
+    bare = F.regexp_replace(F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", ""), TUNED_HEAD, "")
+    return F.regexp_replace(bare, r"(?U)\s*_\s*|\s+", "_")
+
+
+def tuned_base(x: Column) -> Column:
+    """The name of a tuned model's base: all tails go, in any order and number."""
+    return F.regexp_replace(F.regexp_replace(tuned_name(x), "^finetuned_", ""), rf"(?U)(?:[\s_-](?:{'|'.join(TUNED_TAILS)}))+$", "")
 
 
 def tuning_method(x: Column) -> Column:
-    low = F.lower(x)
-    return F.when(F.contains(low, F.lit("qlora")), "qlora").when(F.contains(low, F.lit("lora")), "lora").when(low.rlike(r"(?:^|[_-])(?:full|sft|ft)(?:[_-]|$)"), "full").otherwise("base")
+    return F.when(tuned_name(x).rlike(r"(?U)(?:^|[\s_-])QA(?:[\s_-]|$)"), "QA").otherwise("FT")
 
 
-def version_of(x: Column) -> Column:
-    return F.coalesce(F.regexp_extract(F.lower(x), r"[_-]v(\d+)", 1).try_cast("int"), F.lit(0))
+def tuned_version(x: Column, method: Column) -> Column:
+    """The number behind the method's mark at the end of a name, 0 if there is none."""
+    number = lambda mark: F.regexp_extract(x, rf"(?iU)[\s_-]{mark}[\s_-]v?(\d+)$", 1).try_cast("int")
+    return F.coalesce(F.when(method == "FT", number("InfillFT")).when(method == "QA", number("QA")), F.lit(0))
 
 
 def safe_language(x: Column) -> Column:

@@ -30,21 +30,21 @@ def base_vs_tuned(base: DataFrame, tuned: DataFrame, keys: Sequence[str] = ("sam
     return rows.unionByName(total).withColumn("delta", F.col("tuned") - F.col("base"))
 
 
-def comparison_method(name: Column) -> Column:
-    return F.when(name.rlike(r"(?:^|[\s_-])QA(?:[\s_-]|$)"), "QA").otherwise("FT")
-
-
 def discovered(dirs: DataFrame) -> DataFrame:
-    """Distinct canonical names of the models that have prediction folders (name)."""
-    return dirs.select(X.canonical_model(F.col("name")).alias("model")).distinct()
+    """Distinct names of the models that have prediction folders (name)."""
+    return dirs.select(X.tuned_name(F.col("name")).alias("model")).distinct()
 
 
 def model_pairs(tuned: DataFrame, bases: DataFrame, with_qa: bool = False) -> DataFrame:
-    """Tuned models (ft_model) with their base model by canonical name, in
-    order: by the base's rank, then method, then name (bases: base_model, rank).
-    Models without a known base are left out, as are QA variants unless asked for."""
-    rows = tuned.select("ft_model", X.canonical_model(F.col("ft_model")).alias("__name"), comparison_method(F.col("ft_model")).alias("comparison_method"))
-    side = bases.select("base_model", "rank", X.canonical_model(F.col("base_model")).alias("__name"))
+    """Tuned models (ft_model) with their base model, whose name or folder name
+    is left of theirs, in order: by the base's rank, then method, then name
+    (bases: base_model, rank; of bases of one folder name the first in order
+    counts). Models without a known base are left out, as are QA variants unless
+    asked for."""
+    name = F.col("ft_model")
+    rows = tuned.select(name, X.tuned_base(name).alias("__name"), X.tuning_method(name).alias("comparison_method"))
+    names = bases.select("base_model", "rank", F.explode(F.array_distinct(F.array(F.col("base_model"), X.model_dir(F.col("base_model"))))).alias("__name"))
+    side = names.groupBy("__name").agg(F.min(F.struct("rank", "base_model")).alias("b")).select("__name", "b.*")
     out = rows.join(bounded(side), "__name")
     if not with_qa:
         out = out.where("comparison_method <> 'QA'")
@@ -52,16 +52,23 @@ def model_pairs(tuned: DataFrame, bases: DataFrame, with_qa: bool = False) -> Da
     return out.select("ft_model", "base_model", "comparison_method", place.alias("place"))
 
 
-def resolved_dirs(records: DataFrame, dirs: DataFrame, model: Column) -> DataFrame:
-    """records (task, condition, lang, ...) with the folder of the model's
-    predictions: the one of just that name, else the first in order of those
-    with an equal canonical name, else the name itself (dirs: task, condition, lang, name)."""
-    wanted = X.model_dir(model)
-    exact = F.col("name") == wanted
-    same = dirs.where(X.canonical_model(F.col("name")) == X.canonical_model(model)).withColumn("__exact", exact)
+def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Of each key's tuned models (ft_model, comparison_method) the one of the highest version, later ones first."""
+    version = X.tuned_version(F.col("ft_model"), F.col("comparison_method"))
+    return first_by(rows, [*keys, "comparison_method"], [version.desc(), F.col(order).desc()])
+
+
+def resolved_dirs(records: DataFrame, files: DataFrame, model: Column) -> DataFrame:
+    """records (task, condition, lang, sample_id, ...) with the folder of the
+    model's prediction: the one of just the model's folder name if the sample's
+    file is in it, else the first folder in order whose name has the same form,
+    else that folder name itself (files: task, condition, lang, name, sample_id)."""
     keys = ["task", "condition", "lang"]
-    best = first_by(same, keys, [F.col("__exact").desc(), F.col("name")]).select(*keys, F.col("name").alias("dir"))
-    return records.join(best, keys, "left").withColumn("dir", F.coalesce("dir", wanted))
+    wanted = records.withColumns({"__dir": X.model_dir(model), "__name": X.tuned_name(model)})
+    own = files.select(*keys, "sample_id", F.col("name").alias("__dir"), F.lit(True).alias("__there")).distinct()
+    first = files.groupBy(*keys, X.tuned_name(F.col("name")).alias("__name")).agg(F.min("name").alias("__first"))
+    out = wanted.join(own, [*keys, "sample_id", "__dir"], "left").join(first, [*keys, "__name"], "left")
+    return out.withColumn("dir", F.when(F.col("__there"), F.col("__dir")).otherwise(F.coalesce("__first", "__dir"))).drop("__dir", "__name", "__there", "__first")
 
 
 def fingerprint(path: Column, content: Column) -> Column:

@@ -100,9 +100,12 @@ def content_token_multiset(t):
 
 
 @query("""
-SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'base' WHEN 'MACHINERY' THEN 'lora' ELSE 'qlora' END AS method,
-  CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_custkey % 5 END AS INTEGER) AS version FROM customer""")
+SELECT c_custkey, CASE c_custkey % 6 WHEN 2 THEN 'QA' WHEN 3 THEN 'QA' ELSE 'FT' END AS method,
+  CAST(CASE c_custkey % 6 WHEN 1 THEN c_custkey % 9 WHEN 3 THEN c_custkey % 9 ELSE 0 END AS INTEGER) AS version FROM customer""")
 def model_names(t):
-    k = F.col("c_custkey")
-    name = F.concat(F.lit("Org/Some-7B"), F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.concat(F.when(F.col("c_mktsegment") == "MACHINERY", "-lora-v").otherwise("-qlora-v"), (k % 5).cast("string"))))
-    return t("customer").select("c_custkey", X.tuning_method(name).alias("method"), X.version_of(name).alias("version"))
+    """The method and version that a tuned model's name tells."""
+    k, n = F.col("c_custkey") % 6, (F.col("c_custkey") % 9).cast("string")
+    tail = F.when(k == 0, "_InfillFT").when(k == 1, F.concat(F.lit("-infillft v"), n)).when(k == 2, "-QA").when(k == 3, F.concat(F.lit(" QA_"), n)).when(k == 4, F.concat(F.lit("-qabc-v"), n)).otherwise("-InfillFT-seed=3")
+    name = F.concat(F.lit("Org/Some-7B"), tail)
+    method = X.tuning_method(name)
+    return t("customer").select("c_custkey", method.alias("method"), X.tuned_version(name, method).alias("version"))

@@ -216,37 +216,65 @@ def alignment_self_check(t):
     return W.alignment_self_check(_sources(t).where("placeholder_html is not null and meta <> '{'"))
 
 
-@query("""
-SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Org/Base-' || (c_custkey % 5) || '-QA' ELSE 'Org/Base-' || (c_custkey % 5) || '-lora-v' || c_custkey END AS ft_model,
-  'Org_Base-' || (c_custkey % 5) AS base_model, 'FT' AS comparison_method FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 < 4""")
+# A tuned model's name by key: what stands around the base's name, the method, and whether the base is found.
+_TUNED = """(VALUES (0, '', '_InfillFT', 'FT', true), (1, '', '-infillft-v2', 'FT', true), (2, 'finetuned_', '-seed=17', 'FT', true), (3, '', '_checkpoint', 'FT', true), (4, 'schema en ', '-checkpoint-500', 'FT', true),
+  (5, '', '-infill more-words', 'FT', true), (6, '', '-QA', 'QA', true), (7, ' Alignment_ZH_', ' QA _v3', 'QA', true), (8, '', '-Repair', 'FT', true), (9, 'finetuned_', '_InfillFT_v2_checkpoint_5_seed=3-repair', 'FT', true),
+  (10, '', '-Checkpoint-5', 'FT', false), (11, '', '-lora-v2', 'FT', false), (12, '', '-qa', 'FT', false), (13, '', '', 'FT', true), (14, '', ' _ InfillFT', 'FT', true)) f(k, head, tail, method, known)"""
+
+
+def _tuned_names(t):
+    import re
+
+    forms = re.findall(r"\((\d+), '([^']*)', '([^']*)'", _TUNED)
+    part = lambda i: F.element_at(F.array(*(F.lit(f[i]) for f in forms)), (_k() % len(forms) + 1).cast("int"))
+    base = F.concat(F.when(_k() % 2 == 0, "Org/Base-").otherwise("Org_Base_"), (_k() % 7).cast("string"))
+    return t("customer").select(_k().alias("c_custkey"), F.concat(part(1), base, part(2)).alias("ft_model"))
+
+
+@query(f"""
+SELECT c_custkey, head || CASE WHEN c_custkey % 2 = 0 THEN 'Org/Base-' ELSE 'Org_Base_' END || (c_custkey % 7) || tail AS ft_model, 'Org/Base-' || (c_custkey % 7) AS base_model, method AS comparison_method
+FROM customer JOIN {_TUNED} ON k = c_custkey % 15 WHERE known AND c_custkey % 7 < 5""")
 def base_tuned_pairs(t):
-    """Tuned models with the base of equal canonical name; QA variants and unknown bases leave."""
-    name = F.concat(F.lit("Org/Base-"), (_k() % 5).cast("string"), F.when(_k() % 3 == 0, "-QA").otherwise(F.concat(F.lit("-lora-v"), _k().cast("string"))))
-    bases = t("region").where("r_regionkey < 4").select(F.concat(F.lit("Org_Base-"), F.col("r_regionkey").cast("string")).alias("base_model"), F.col("r_regionkey").alias("rank"))
-    tuned = t("customer").select(_k().alias("c_custkey"), name.alias("ft_model"))
-    return T.model_pairs(tuned.select("ft_model").distinct(), bases).join(tuned, "ft_model").select("c_custkey", "ft_model", "base_model", "comparison_method")
+    """Tuned models of every form of name with their base, which is known by its name or its folder's."""
+    bases = t("region").select(F.concat(F.lit("Org/Base-"), F.col("r_regionkey").cast("string")).alias("base_model"), F.col("r_regionkey").alias("rank"))
+    tuned = _tuned_names(t)
+    return T.model_pairs(tuned.select("ft_model").distinct(), bases, with_qa=True).join(tuned, "ft_model").select("c_custkey", "ft_model", "base_model", "comparison_method")
 
 
 @query("""
-SELECT c_custkey AS sample_id, CASE WHEN c_custkey % 3 = 0 THEN 'Org_M_' || c_custkey || '_v2' WHEN c_custkey % 3 = 1 THEN 'Org_M_' || c_custkey || '_lora' ELSE 'Org_M_' || c_custkey || '_v2' END AS dir FROM customer""")
+SELECT 'Org/Base_' || n_regionkey || CASE n_nationkey % 3 WHEN 0 THEN '_InfillFT' WHEN 1 THEN '' ELSE '_QA_v2' END AS model FROM nation GROUP BY ALL""")
+def discovered_tuned_models(t):
+    """Prediction folders of several forms that stand for one model each."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey").cast("string")
+    name = F.concat(F.when(k % 2 == 0, "infill zh ").otherwise(" "), F.lit("Org/Base _ "), r, F.when(k % 3 == 0, " InfillFT").when(k % 3 == 1, "").otherwise(" _QA_ v2 "))
+    return T.discovered(t("nation").select(name.alias("name")))
+
+
+@query("""
+SELECT c_custkey AS sample_id, CASE c_custkey % 3 WHEN 0 THEN 'Org_M_' || c_custkey || '_QA' WHEN 1 THEN 'Org_M ' || c_custkey || ' QA' ELSE 'Org_M_' || c_custkey || '_QA' END AS dir FROM customer""")
 def prediction_dir_resolution(t):
-    """The folder of just that name, else the first of an equal canonical name, else the name."""
-    k = _k().cast("string")
-    name = lambda s: F.concat(F.lit("Org_M_"), k, F.lit(s))
-    there = F.when(_k() % 3 == 0, F.array(name("_v2"), name("_a"), name("_full"))).when(_k() % 3 == 1, F.array(name("_v9"), name("_lora"))).otherwise(F.array(F.concat(F.lit("Other_"), k)))
-    dirs = t("customer").select(F.lit("infill").alias("task"), F.lit("empty").alias("condition"), k.alias("lang"), F.explode(there).alias("name"))
-    records = t("customer").select(F.lit("infill").alias("task"), F.lit("empty").alias("condition"), k.alias("lang"), _k().alias("sample_id"))
-    return _resolved(records, dirs)
-
-
-def _resolved(records, dirs):
-    """Each record's own model, told by its id."""
-    wanted = records.withColumn("model", F.concat(F.lit("Org/M-"), "lang", F.lit("-v2")))
-    side = dirs.join(wanted.select("lang", "model"), "lang")
-    canonical = X.canonical_model(F.col("model"))
-    own = side.where(X.canonical_model(F.col("name")) == canonical).withColumn("e", F.col("name") == X.model_dir(F.col("model")))
-    best = G.first_by(own, ["lang"], [F.col("e").desc(), F.col("name")]).select("lang", F.col("name").alias("dir"))
-    return wanted.join(best, "lang", "left").select("sample_id", F.coalesce("dir", X.model_dir(F.col("model"))).alias("dir"))
+    """The folder of just that name if it has the file, else the first whose name has the same form, else the name."""
+    k, n = _k() % 3, _k().cast("string")
+    form = lambda a, b: F.concat(F.lit("Org_M"), F.lit(a), n, F.lit(b))
+    keys = [F.lit("infill").alias("task"), F.lit("empty").alias("condition"), (_k() % 2).cast("string").alias("lang")]
+    # The sample's own file; one of other samples in two folders of the same form; none.
+    there = F.when(k == 0, F.array(F.struct(form("_", "_QA").alias("name"), _k().alias("sample_id")), F.struct(form(" ", " QA").alias("name"), _k().alias("sample_id"))))
+    there = there.when(k == 1, F.array(F.struct(form("_", "_QA").alias("name"), F.lit(-1).cast("bigint").alias("sample_id")), F.struct(form(" ", " QA").alias("name"), _k().alias("sample_id"))))
+    files = t("customer").select(*keys, F.inline(F.coalesce(there, F.array(F.struct(F.lit("Other").alias("name"), _k().alias("sample_id"))))))
+    records = t("customer").select(*keys, _k().alias("sample_id"), form("_", "_QA").alias("model"))
+    return T.resolved_dirs(records, files, F.col("model")).select("sample_id", "dir")
+
+
+@query("""
+SELECT c_nationkey AS base, comparison_method, CASE comparison_method WHEN 'FT' THEN 'm' || max(c_custkey) || '_InfillFT_' || max(c_custkey) ELSE 'm' || max(c_custkey) || ' QA v' || max(c_custkey) END AS ft_model
+FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN 'FT' ELSE 'QA' END AS comparison_method FROM customer) GROUP BY c_nationkey, comparison_method""")
+def latest_tuned_variants(t):
+    """Of each base and method the tuned model of the highest version."""
+    n = _k().cast("string")
+    qa = _k() % 2 == 1
+    name = F.concat(F.lit("m"), n, F.when(qa, " QA v").otherwise("_InfillFT_"), n)
+    rows = t("customer").select(F.col("c_nationkey").alias("base"), F.when(qa, "QA").otherwise("FT").alias("comparison_method"), name.alias("ft_model"), (-_k()).alias("at"))
+    return T.latest(rows, ["base"], "at").select("base", "comparison_method", "ft_model")
 
 
 _CACHE = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'infill' ELSE 'schema' END AS task, CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE sha1(source) END AS paired, 'p' || doc_id || ':' || octet_length(encode(text)) || ':' || sha1(text) AS fp FROM documents"

@@ -112,7 +112,7 @@ def test_text_functions(spark):
     assert get(X.domains(F.lit("see https://www.Agency.gov/x; http://a.b:80?c"))) == ["agency.gov", "a.b:80"]
     assert get(X.all_public(F.array(F.lit("agency.gov"), F.lit("canada.ca")))) and not get(X.all_public(F.array().cast("array<string>")))
     assert get(X.clean_html(F.lit("Sure:\n```html\n<table></table>\n```"))) == "<table></table>"
-    assert get(X.canonical_model(F.lit("Org/M-7B-lora-v2"))) == "org_m_7b"
+    assert get(X.tuned_base(F.lit("finetuned_Org/M-7B_InfillFT_v2"))) == "Org/M-7B"
     assert X.format_bytes(1536) == "1.5 KiB"
     assert get(X.response_text(F.lit('{"choices":[{"message":{"content":"hi"}}]}'))) == "hi"
 
@@ -227,6 +227,13 @@ def test_json_repair_against_cut_documents():
     assert T.lenient("[" * 5000)[1] == "repaired" and T.lenient("{broken")[1] == T.lenient("hello")[1] == "unrepairable"
 
 
-def test_canonical_names_reach_a_fixpoint(spark):
-    got = spark.range(1).select(X.canonical_model(F.lit("Org/M-7B" + "-lora-v2-merged-checkpoint-5-ft-sft"))).first()[0]
-    assert got == "org_m_7b"
+def test_tuned_names_lose_all_tails(spark):
+    from itertools import permutations
+
+    tails = ["_seed=3", "-checkpoint-5", "_checkpoint", " repair", "-InfillFT_v2", "_infill more", "-QA x"]
+    names = ["Org/M-7B" + "".join(p) for n in (1, 2, 3) for p in permutations(tails, n)]
+    got = spark.createDataFrame([(x,) for x in names], "x string").select(X.tuned_base(F.col("x"))).distinct().collect()
+    assert [r[0] for r in got] == ["Org/M-7B"]
+    kept = ["Org/M-Checkpoint-5", "Org/M-qa", "M_seedling=3", "M-InfillFTx", "M_checkpoint_x", "M-repaired"]
+    got = spark.createDataFrame([(x,) for x in kept], "x string").select("x", X.tuned_base(F.col("x"))).collect()
+    assert all(r[0] == r[1] for r in got)
