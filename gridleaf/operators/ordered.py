@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .staging import staged
 
@@ -19,24 +22,63 @@ def bounded(side: DataFrame, rows: int = BOUND) -> DataFrame:
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
-def containing(cells: DataFrame, labels: DataFrame, ident: Sequence[str], cell: str, label: str, width: int = 3) -> DataFrame:
-    """ident and label of each cell text that holds a label text. Both meet by
-    the label's rarest run of width characters, so that no cell meets all labels;
-    labels shorter than a run meet by the whole label among runs of their length.
-    The containment is verified afterwards; empty labels are in nothing."""
-    text = labels.select(label).where(F.char_length(label) > 0).distinct()
+#: Bytes of labels up to which every task reads them all at once.
+LABEL_BYTES = 8 << 20
+
+
+def containing(cells: DataFrame, labels: DataFrame, ident: Sequence[str], cell: str, label: str, bound: int = LABEL_BYTES) -> DataFrame:
+    """ident and label of each cell text that holds a label text. Up to a bound
+    on all labels' bytes one automaton of them reads each text once, in its own
+    task; nothing is shuffled. Beyond it texts and labels meet by runs of
+    characters. Empty labels are in nothing."""
+    text = labels.select(label).where(F.octet_length(label) > 0).distinct()
+    if (text.agg(F.sum(F.octet_length(label))).first()[0] or 0) > bound:
+        return _met(cells, text, ident, cell, label)
+    known = cells.sparkSession.sparkContext.broadcast([r[0] for r in text.collect()])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = automaton(known.value)
+        for batch in batches:
+            rows, names = [], []
+            for i, value in enumerate(batch.column(cell)):
+                held = {n for _, n in found.iter(value.as_py() or "")} if len(found) else ()
+                rows += [i] * len(held)
+                names += held
+            if rows:
+                at = pa.array(rows, pa.int64())
+                out = [batch.column(c).take(at) for c in ident]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(names, pa.string())], names=[*ident, label])
+
+    kinds = cells.select(*ident).schema
+    return cells.select(*ident, cell).mapInArrow(find, T.StructType([*kinds.fields, T.StructField(label, T.StringType())]))
+
+
+def automaton(labels: Sequence[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for text in labels:
+        out.add_word(text, text)
+    if labels:
+        out.make_automaton()
+    return out
+
+
+def _met(cells: DataFrame, text: DataFrame, ident: Sequence[str], cell: str, label: str, width: int = 3) -> DataFrame:
+    """As containing, by each label's rarest run of width characters, so that no
+    text meets all labels; labels shorter than a run meet as a whole. Only rows'
+    numbers travel with the runs; the texts are joined to what met and verified."""
     n = F.char_length(label)
     grams = text.select(label, F.least(n, F.lit(width)).alias("__w")).select(label, "__w", F.explode(F.expr(f"transform(sequence(1, char_length(`{label}`) - __w + 1), i -> substring(`{label}`, i, __w))")).alias("__g"))
     often = grams.groupBy("__g").agg(F.count("*").alias("__f"))
     keyed = grams.join(often, "__g").groupBy(label).agg(F.min_by("__g", F.struct("__f", "__g")).alias("__g"))
+    rows = staged(cells.select(*ident, cell).withColumn("__row", F.monotonically_increasing_id()), "cells")
 
     def of_width(w: int) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.char_length(cell) - w + 1, F.lit(1)))
         return F.transform(places, lambda i: F.substring(F.col(cell), i, F.lit(w)))
 
     starts = F.flatten(F.array(*map(of_width, range(1, width + 1))))
-    runs_ = cells.select(*ident, cell, F.explode(F.array_distinct(starts)).alias("__g"))
-    return runs_.join(keyed, "__g").where(F.contains(F.col(cell), F.col(label))).select(*ident, label)
+    met = rows.select("__row", F.explode(F.array_distinct(starts)).alias("__g")).join(keyed, "__g").select("__row", label)
+    return met.join(rows, "__row").where(F.contains(F.col(cell), F.col(label))).select(*ident, label)
 
 
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column) -> DataFrame:

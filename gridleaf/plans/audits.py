@@ -385,3 +385,13 @@ def column_sums(t):
     w = t("lineitem").select(F.col("l_returnflag").alias("task"), F.col("l_linestatus").alias("model"), F.col("l_linenumber").alias("correct"), (F.col("l_suppkey") % 5).alias("total"))
     out = A.with_both(w.withColumn("lang", F.lit("en")), ["task", "model"], ["correct", "total"])
     return out.where("lang = 'both'").select("task", "model", "correct", "total")
+
+
+@query(r"""
+WITH l AS (SELECT p_name AS label FROM part UNION SELECT unnest(regexp_extract_all(text, '[a-z]{4,}')) FROM benchmark)
+SELECT doc_id, label FROM documents JOIN l ON contains(text, label)""")
+def labels_in_documents(t):
+    """Part names and words of the benchmark in whole documents, which one automaton reads once."""
+    words = t("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("label"))
+    labels = t("part").select(F.col("p_name").alias("label")).union(words)
+    return O.containing(t("documents").select("doc_id", "text"), labels, ["doc_id"], "text", "label")

@@ -93,3 +93,20 @@ def test_split_sorts_nothing(spark):
     assert {r.split: r.n for r in out.groupBy("split").agg(F.count_distinct("sample_id").alias("n")).collect()} == {"test": 200, "train": 800}
     assert {r.split for r in J.split(ids.limit(1)).collect()} == {"test"} and J.split(ids.limit(0)).collect() == []
     assert J.split(spark.createDataFrame([(None,), (1,)], "sample_id long")).where("sample_id IS NULL").first().split == "train"
+
+
+def test_labels_in_texts_by_both_ways(spark):
+    from gridleaf.operators import ordered
+
+    rng = random.Random(8)
+    letters = "abé🙂 "
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    cells = [(i, f"k{i % 7}", word(rng.randint(0, 40))) for i in range(300)] + [(300, None, None), (301, "k", "")]
+    labels = [word(rng.randint(0, 5)) for _ in range(60)] + [None, "", "ab"]
+    df = spark.createDataFrame(cells, "i int, k string, text string")
+    names = spark.createDataFrame([(x,) for x in labels], "name string")
+    want = sorted((i, k, x) for i, k, t in cells for x in {x for x in labels if x} if t and x in t)
+    for bound in (1 << 20, 0):
+        assert sorted(map(tuple, ordered.containing(df, names, ["i", "k"], "text", "name", bound).collect())) == want
+    assert ordered.containing(df, names.limit(0), ["i"], "text", "name").collect() == []
+    assert "Exchange" not in plan(ordered.containing(df, names, ["i"], "text", "name"))
