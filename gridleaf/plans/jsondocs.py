@@ -1,8 +1,7 @@
-"""Nested documents of orders with edits of known cost, and what the JSON distances say of them."""
+"""Nested documents around whole texts with edits of known cost, and what the JSON distances say of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import jsonpairs
@@ -12,50 +11,38 @@ from .registry import query
 THRESHOLD = 6
 
 
-def _object(**members: Column) -> Column:
-    parts = [p for k, v in members.items() for p in (F.lit(f'"{k}": '), v, F.lit(", "))][:-1]
-    return F.concat(F.lit("{"), *parts, F.lit("}"))
-
-
-def _array(*items: Column) -> Column:
-    return F.concat(F.lit("["), items[0], *(p for x in items[1:] for p in (F.lit(", "), x)), F.lit("]"))
-
-
 def _pairs(t):
-    """o_orderkey, edit, gold, pred: the edit is told by the key."""
-    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    key, owner, price = (F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_totalprice"))
-    status, first, last = text(F.concat(F.lit("s"), "o_orderstatus")), text(F.col("o_orderpriority")), text(F.concat(F.lit("by "), "o_orderstatus"))
-    tags = _array(first, last)
-    inner = _object(status=status, price=price, tags=tags)
-    gold = _object(form=inner, id=key, owner=owner)
-    kind = F.col("o_orderkey") % 7
-    pred = (
-        F.when(kind == 0, _object(owner=owner, id=key, form=_object(tags=tags, price=price, status=status)))
-        .when(kind == 1, _object(sheet=inner, id=key, owner=owner))
-        .when(kind == 2, _object(form=_object(status=F.lit('"other"'), price=price, tags=tags), id=key, owner=owner))
-        .when(kind == 3, _object(form=_object(status=status, price=price, tags=_array(last, first)), id=key, owner=owner))
-        .when(kind == 4, _object(form=_object(status=status, price=price), id=key, owner=owner))
-        .when(kind == 5, _object(form=_object(body=inner), id=key, owner=owner))
-        .otherwise(_array(*(F.lit(f'"q{i}"') for i in range(15))))
-    )
-    names = ("order", "key", "value", "swap", "removed", "wrapped", "unrelated")
-    edit = F.when(kind == 6, names[6])
-    for i, n in enumerate(names[:-1]):
-        edit = edit.when(kind == i, n)
-    return t("orders").select("o_orderkey", edit.alias("edit"), gold.alias("gold"), pred.alias("pred"))
+    """doc_id, edit, gold, pred: a document with its whole text; the edit is told by the key."""
+    status, tags = F.concat(F.lit("s "), "source"), [F.col("lang"), F.concat(F.lit("by "), "source")]
+    price, kind = F.col("n_chars"), F.col("doc_id") % 7
+    obj = lambda **members: F.struct(*(v.alias(k) for k, v in members.items()))
+    top = {"id": F.col("doc_id"), "owner": F.col("doc_id") + 1, "text": F.col("text")}
+    inner = obj(status=status, price=price, tags=F.array(*tags))
+    made = {
+        "order": obj(**dict(reversed(top.items())), form=obj(tags=F.array(*tags), price=price, status=status)),
+        "key": obj(sheet=inner, **top),
+        "value": obj(form=obj(status=F.lit("other"), price=price, tags=F.array(*tags)), **top),
+        "swap": obj(form=obj(status=status, price=price, tags=F.array(*reversed(tags))), **top),
+        "removed": obj(form=obj(status=status, price=price), **top),
+        "wrapped": obj(form=obj(body=inner), **top),
+        "unrelated": F.array(*(F.lit(f"q{i}") for i in range(15))),
+    }
+    edit, pred = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, x) in enumerate(made.items()):
+        edit, pred = F.when(kind == i, name).otherwise(edit), F.when(kind == i, F.to_json(x)).otherwise(pred)
+    return t("documents").select("doc_id", edit.alias("edit"), F.to_json(obj(form=inner, **top)).alias("gold"), pred.alias("pred"))
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 6 THEN CAST([0, 1, 1, 2, 4, 2][o_orderkey % 7 + 1] AS INTEGER) END AS distance,
-  CASE WHEN o_orderkey % 7 < 6 THEN 'exact' ELSE 'beyond' END AS state, o_orderkey % 7 = 6 AS pruned FROM orders""")
+SELECT doc_id, CASE WHEN doc_id % 7 < 6 THEN CAST([0, 1, 1, 2, 4, 2][doc_id % 7 + 1] AS INTEGER) END AS distance,
+  CASE WHEN doc_id % 7 < 6 THEN 'exact' ELSE 'beyond' END AS state, doc_id % 7 = 6 AS pruned FROM documents""")
 def json_distance_exact(t):
     """The exact distance ignores the order of members and sees a renamed key or a wrapped object as one step a node."""
-    return jsonpairs.bounded_distances(_pairs(t), "pred", "gold", THRESHOLD).select("o_orderkey", "distance", "state", "pruned")
+    return jsonpairs.bounded_distances(_pairs(t), "pred", "gold", THRESHOLD).select("doc_id", "distance", "state", "pruned")
 
 
 @query("""
-WITH k AS (SELECT o_orderkey % 7 AS k, count(*) AS pairs FROM orders GROUP BY 1),
+WITH k AS (SELECT doc_id % 7 AS k, count(*) AS pairs FROM documents GROUP BY 1),
 known(k, edit, exact, ordered) AS (VALUES (0, 'order', 0, 0), (1, 'key', 1, 9), (2, 'value', 1, 1), (3, 'swap', 2, 2), (4, 'removed', 4, 4), (5, 'wrapped', 2, 14), (6, 'unrelated', NULL, NULL))
 SELECT edit, pairs, CASE WHEN exact IS NULL THEN pairs ELSE 0 END AS pruned, CASE WHEN exact IS NULL THEN pairs ELSE 0 END AS beyond,
   CASE WHEN exact IS NULL THEN 0 ELSE pairs END AS compared, CAST(ordered - exact AS DOUBLE) AS mean_error, CAST(ordered - exact AS INTEGER) AS max_error

@@ -204,6 +204,18 @@ def shard_of_all(t):
     return sharded(rows, [], "o_orderkey", "bytes", 5_000_000, rows_a_range=2_000)
 
 
+@query("""
+WITH RECURSIVE o AS (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+p AS (SELECT n, bytes, sum(bytes) OVER (ORDER BY n) AS upto FROM o),
+s(first, shard) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL SELECT (SELECT min(q.n) FROM p q WHERE q.n > s.first AND q.upto > 100000 + (SELECT r.upto - r.bytes FROM p r WHERE r.n = s.first)), shard + 1 FROM s WHERE s.first IS NOT NULL)
+SELECT doc_id, bytes, (SELECT max(shard) FROM s WHERE first <= n) AS shard FROM o""")
+def document_shards(t):
+    """Greedy shards of all documents under a byte budget."""
+    rows = t("documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    return sharded(rows, [], "doc_id", "bytes", 100_000)
+
+
 @query("""
 SELECT model, status, n, CAST(sum(n) OVER (PARTITION BY model) AS BIGINT) AS of FROM (SELECT l_linestatus AS model, l_returnflag AS status, count(*) AS n FROM lineitem GROUP BY ALL)""")
 def status_histogram(t):
