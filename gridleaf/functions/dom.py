@@ -209,7 +209,10 @@ def form_cells(root: Node) -> dict[tuple[int, int], Node]:
 def cells(html: str | None, layout: str = "all_logical_regions") -> dict[tuple[int, int], Node]:
     """The logical grid of a document: its first table, or all top-level tables
     at strides of rows, or its div form where it has no table."""
-    root = parse(html)
+    return cells_of(parse(html), layout)
+
+
+def cells_of(root: Node, layout: str) -> dict[tuple[int, int], Node]:
     tables = top_tables(root)
     if not tables:
         return form_cells(root) if layout == "all_logical_regions" else {}
@@ -218,10 +221,15 @@ def cells(html: str | None, layout: str = "all_logical_regions") -> dict[tuple[i
     return {(r + STRIDE * k, c): cell for k, t in enumerate(tables) for (r, c), cell in table_cells(t).items()}
 
 
+@lru_cache(maxsize=16)
+def shared_tree(html: str | None) -> Node:
+    return parse(html)
+
+
 @lru_cache(maxsize=64)
 def shared_cells(html: str | None, layout: str) -> dict[tuple[int, int], Node]:
-    """As cells, for readers that change nothing: rows that hold the same form in turn parse it once."""
-    return cells(html, layout)
+    """As cells, for readers that change nothing: rows that hold the same form in turn parse it once, for all layouts."""
+    return cells_of(shared_tree(html), layout)
 
 
 # Controls

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,39 +15,57 @@ from ..functions import scoring
 from ..functions import text as X
 from ..functions.text import arrow
 from . import aggregates as A
+from .clustered import clustered, scored
 
+# The columns of an audit, in order.
 COUNTS = (
-    "legacy_correct legacy_total hardened_correct hardened_total legacy_reverse_substring_correct legacy_reverse_single_char_correct "
-    "legacy_reverse_short_fragment_correct legacy_reverse_in_multi_value_cell hardened_multi_value_correct hardened_multi_value_total "
-    "hardened_reorder_candidates hardened_control_mismatches"
-).split()
-
-
-@arrow(f"struct<{', '.join(f'{c}: int' for c in COUNTS)}, reverse: array<struct<row: int, col: int, idx: int, gold: string, prediction: string, multi: boolean>>>")
-def prediction_audit(pred: pd.Series, gold: pd.Series, blank: pd.Series) -> pd.DataFrame:
+    "legacy_correct",
+    "legacy_total",
+    "hardened_correct",
+    "hardened_total",
+    "legacy_reverse_substring_correct",
+    "legacy_reverse_single_char_correct",
+    "legacy_reverse_short_fragment_correct",
+    "legacy_reverse_in_multi_value_cell",
+    "hardened_multi_value_correct",
+    "hardened_multi_value_total",
+    "hardened_reorder_candidates",
+    "hardened_control_mismatches",
+)
+REVERSE = "array<struct<row: int, col: int, idx: int, gold: string, prediction: string, multi: boolean>>"
+
+
+def prediction_audit(p: str | None, g: str | None, b: str | None) -> dict[str, Any]:
     """Both matchers' counts of one prediction, what the first accepts as part of
     the gold text, and what of the second only differs in order; an unreadable
     prediction is an empty text."""
-    rows = []
-    for p, g, b in zip(pred, gold, blank, strict=True):
-        old, new = scoring.legacy(p or "", g, b), scoring.source_faithful(p or "", g, b, "all_logical_regions")
-        many = {(t["row"], t["col"]) for t in new if t["markers"] > 1}
-        part = [t for t in old if t["kind"] == "prediction_in_gold"]
-        multi = [t for t in new if t["markers"] > 1]
-        reverse = [{"row": t["row"], "col": t["col"], "idx": t["idx"], "gold": t["want"], "prediction": t["got"], "multi": (t["row"], t["col"]) in many} for t in part]
-        values = (
-            sum(t["correct"] for t in old), len(old), sum(t["correct"] for t in new), len(new), len(part), sum(len(t["got"]) == 1 for t in part),
-            sum(0 < len(t["got"]) <= 3 for t in part), sum(r["multi"] for r in reverse), sum(t["correct"] for t in multi), len(multi),
-            sum(scoring.reordered(t) for t in multi), sum(t["kind"] == "control_mismatch" for t in new),
-        )
-        rows.append((*values, reverse))
-    return pd.DataFrame(rows, columns=[*COUNTS, "reverse"])
+    old, new = scoring.legacy(p or "", g, b), scoring.source_faithful(p or "", g, b, "all_logical_regions")
+    many = {(t["row"], t["col"]) for t in new if t["markers"] > 1}
+    part = [t for t in old if t["kind"] == "prediction_in_gold"]
+    multi = [t for t in new if t["markers"] > 1]
+    reverse = [{"row": t["row"], "col": t["col"], "idx": t["idx"], "gold": t["want"], "prediction": t["got"], "multi": (t["row"], t["col"]) in many} for t in part]
+    values = (
+        sum(t["correct"] for t in old), len(old), sum(t["correct"] for t in new), len(new), len(part), sum(len(t["got"]) == 1 for t in part),
+        sum(0 < len(t["got"]) <= 3 for t in part), sum(r["multi"] for r in reverse), sum(t["correct"] for t in multi), len(multi),
+        sum(scoring.reordered(t) for t in multi), sum(t["kind"] == "control_mismatch" for t in new),
+    )
+    return {**dict(zip(COUNTS, values, strict=True)), "reverse": reverse}
 
 
 SOURCE_COUNTS = (
-    "visible_placeholder_occurrences legacy_targets legacy_unique_cells legacy_slot_collision_occurrences legacy_slot_collision_cells legacy_empty_gold_slots "
-    "hardened_evaluable_cells hardened_marker_occurrences hardened_multi_value_cells hardened_text_cells hardened_control_cells hardened_control_targets"
-).split()
+    "visible_placeholder_occurrences",
+    "legacy_targets",
+    "legacy_unique_cells",
+    "legacy_slot_collision_occurrences",
+    "legacy_slot_collision_cells",
+    "legacy_empty_gold_slots",
+    "hardened_evaluable_cells",
+    "hardened_marker_occurrences",
+    "hardened_multi_value_cells",
+    "hardened_text_cells",
+    "hardened_control_cells",
+    "hardened_control_targets",
+)
 
 
 @arrow(f"struct<{', '.join(f'{c}: int' for c in SOURCE_COUNTS)}>")
@@ -72,10 +92,28 @@ def audited(predictions: DataFrame, sources: DataFrame, keys: Sequence[str] = ("
     """keys, the counts of each infill prediction, both scores, their difference
     in points and the reverse matches (predictions: keys, html; sources: lang,
     sample_id, html_filled, placeholder_html)."""
-    rows = predictions.where("task = 'infill'").join(sources.select("lang", "sample_id", "html_filled", "placeholder_html"), ["lang", "sample_id"])
-    a = rows.select(*keys, prediction_audit(F.coalesce("html", F.lit("")), F.col("html_filled"), F.col("placeholder_html")).alias("a"))
-    old, new = (X.ratio(F.col(f"a.{s}_correct"), F.col(f"a.{s}_total")) for s in ("legacy", "hardened"))
-    return a.select(*keys, *(F.col(f"a.{c}").alias(c) for c in COUNTS), old.alias("legacy_score"), new.alias("hardened_score"), F.round(100 * (new - old), 6).alias("score_delta_pp"), F.col("a.reverse").alias("reverse"))
+    on, theirs = ("lang", "sample_id"), ("html_filled", "placeholder_html")
+    rows = clustered(predictions.where("task = 'infill'").select(*keys, "html"), sources.select(*on, *theirs), on)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{c} int" for c in COUNTS), f"reverse {REVERSE}"])
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def score(row: dict[str, Any], source: dict[str, Any]) -> dict[str, Any]:
+            return {**{k: row[k] for k in keys}, **prediction_audit(row["html"], source["html_filled"], source["placeholder_html"])}
+
+        yield from scored(batches, on, theirs, out, score)
+
+    a = rows.mapInArrow(run, schema)
+    old, new = (X.ratio(F.col(f"{s}_correct"), F.col(f"{s}_total")) for s in ("legacy", "hardened"))
+    return a.select(*keys, *COUNTS, old.alias("legacy_score"), new.alias("hardened_score"), F.round(100 * (new - old), 6).alias("score_delta_pp"), "reverse")
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
 
 
 def column_sums(rows: DataFrame, keys: Sequence[str], sums: Sequence[str] = COUNTS) -> DataFrame:
