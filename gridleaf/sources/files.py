@@ -1,8 +1,7 @@
 """Files of the corpus as DataFrames, and sinks.
 
 Spark's readers leave out files of no bytes, which are a state here, so scans
-start from a listing. The listing is of names only and comes from the file
-system that the path belongs to; contents are read by the executors.
+start from a listing. Executors list folders and read just the listed files.
 """
 
 from __future__ import annotations
@@ -12,6 +11,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
+from .publish import published, recovered
+
 # The stage folders of a workflow root, and the suffix of each.
 STAGES = {
     "html_template": "html",
@@ -29,10 +31,20 @@ ALIASES = {"html_empty": "html_template", "json_empty": "annotated_json", "json_
 ARTIFACT = "path string, name string, ext string, size long, mtime long"
 
 
-def listing(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
-    """Files below a folder; none where it does not exist."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
+def listing(spark: SparkSession, root: str | Sequence[str], recursive: bool = False) -> DataFrame:
+    """Files below a folder, or below each of several; none where it does not exist."""
+    roots = [storage.qualified(spark, r) for r in ([root] if isinstance(root, str) else root)]
+    if not all(map(storage.known, roots)):
+        return union_all(_listed_by_hadoop(spark, r, recursive) for r in roots)
+    name = F.substring_index("path", "/", -1)
+    stem = F.regexp_extract(name, r"(?s)^(.*)\.[^.]*$", 1)
+    ext = F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise(name)
+    return storage.listed(spark, roots, recursive).select("path", F.when(stem == "", name).otherwise(stem).alias("name"), ext.alias("ext"), "size", "mtime")
+
+
+def _listed_by_hadoop(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    """As listing, on the driver, for file systems that only Hadoop knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     rows = []
     if fs.exists(path):
@@ -69,7 +81,7 @@ def languages(spark: SparkSession, root: str) -> DataFrame:
 
 def html_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """Forms below all roots, each path once, in order."""
-    found = union_all(listing(spark, r, recursive=True) for r in roots)
+    found = listing(spark, roots, recursive=True)
     return found.where(F.lower("ext").isin("html", "htm")).dropDuplicates(["path"]).orderBy("path")
 
 
@@ -148,23 +160,28 @@ def in_range(sample_id, start: int | None = None, end: int | None = None):
 
 
 def contents(files: DataFrame) -> DataFrame:
-    """files with their bytes; files of no bytes have empty content, unreadable ones null."""
-    spark = files.sparkSession
-    # Only the folders' names reach the driver; the files themselves meet their rows in a join.
-    folders = [r["folder"] for r in files.where("size > 0").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().toLocalIterator()]
-    if not folders:
-        return files.withColumn("content", F.when(F.col("size") == 0, F.lit(b"")))
-    read = spark.read.format("binaryFile").load(folders).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content")
-    return files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(read, "path", "left").withColumn("content", F.when(F.col("size") == 0, F.lit(b"")).otherwise(F.col("content")))
+    """files with their bytes, which executors read by path; files of no bytes have empty content, unreadable ones null."""
+    files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    some = files.where("size > 0")
+    first = some.select("path").first()
+    none = files.where("size = 0").withColumn("content", F.lit(b""))
+    if first is None:
+        return none
+    if storage.known(first["path"]):
+        return storage.read(some).unionByName(none)
+    # Only Hadoop knows the file system: Spark reads the folders, whose names reach the driver.
+    folders = [r["folder"] for r in some.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().toLocalIterator()]
+    read = files.sparkSession.read.format("binaryFile").load(folders).select("path", "content")
+    return some.join(read, "path", "left").unionByName(none)
 
 
 def artifacts(spark: SparkSession, root: str, langs: Sequence[str], root_name: str = "main", root_order: int = 0) -> DataFrame:
     """All stage files of a root with contents, digests and issues."""
-    out = None
-    for stage, ext in STAGES.items():
-        for lang in langs:
-            part = numeric_files(spark, f"{root}/{stage}/data_{lang}", ext).select(F.lit(stage).alias("stage"), F.lit(lang).alias("lang"), "sample_id", "path", "size")
-            out = part if out is None else out.unionByName(part)
+    rows = listing(spark, [stage_path(root, stage, lang) for stage in STAGES for lang in langs])
+    at = lambda i: F.regexp_extract("path", r"/([^/]+)/data_([^/]+)/[^/]+$", i)
+    suffix = F.create_map(*(F.lit(x) for pair in STAGES.items() for x in pair))
+    rows = rows.withColumns({"stage": at(1), "lang": at(2), "sample_id": F.col("name").try_cast("int")})
+    out = rows.where((F.lower("ext") == suffix[F.col("stage")]) & F.col("sample_id").isNotNull()).select("stage", "lang", "sample_id", "path", "size")
     read = contents(out)
     issue = F.when(F.col("content").isNull(), "unreadable").when(F.length("content") == 0, "empty")
     return read.select("stage", "lang", "sample_id", "path", "size", "content", F.sha2("content", 256).alias("sha256"), issue.alias("read_issue"), F.lit(root_name).alias("root"), F.lit(root_order).alias("root_order"))
@@ -193,36 +210,40 @@ def verified_text(content, sha256, issue):
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV table of strings; a byte-order mark before the first name goes."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    df = spark.read.csv(recovered(spark, path), header=True, multiLine=True, escape='"')
     first = df.columns[0] if df.columns else ""
     return df.withColumnRenamed(first, first.lstrip("﻿")) if first.startswith("﻿") else df
 
 
 def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
-    """Exactly the fields, in order; columns beyond them are an error."""
+    """Exactly the fields, in order; columns beyond them are an error. As all
+    sinks here it appears when the job has ended, or not at all."""
     extra = set(df.columns) - set(fields)
     if extra:
         raise ValueError(f"columns without a field: {sorted(extra)}")
-    df.select(*fields).write.csv(path, header=True, mode="overwrite", escape='"')
+    published(df.sparkSession, path, lambda at: df.select(*fields).write.csv(at, header=True, escape='"'))
 
 
 def write_csv_union(frames: Iterable[DataFrame], path: str) -> bool:
-    """Rows of all frames under the ordered union of their columns; nothing is written without rows or columns."""
+    """Rows of all frames under the ordered union of their columns; a file of no bytes without rows or columns."""
     rows = union_all(frames)
     if rows is None or not rows.columns or rows.isEmpty():
+        spark = SparkSession.active()
+        empty = spark.createDataFrame([], "value string").coalesce(1)
+        published(spark, path, lambda at: empty.write.text(at))
         return False
     write_csv(rows, path, rows.columns)
     return True
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON document a line. The files appear at once when the job commits, or not at all."""
-    df.write.mode("overwrite").json(path, ignoreNullFields=False)
+    """One JSON document a line."""
+    published(df.sparkSession, path, lambda at: df.write.json(at, ignoreNullFields=False))
 
 
 def write_text(df: DataFrame, path: str) -> None:
     """The only column, a row a line."""
-    df.write.mode("overwrite").text(path)
+    published(df.sparkSession, path, lambda at: df.write.text(at))
 
 
 def replace_predictions(rows: DataFrame, path: str, by: Sequence[str] = ("task", "condition", "lang", "model")) -> None:
@@ -231,7 +252,7 @@ def replace_predictions(rows: DataFrame, path: str, by: Sequence[str] = ("task",
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.json(path, schema=schema)
+    return spark.read.json(recovered(spark, path), schema=schema)
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame | None:

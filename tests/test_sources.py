@@ -139,7 +139,7 @@ def test_sinks_and_loaders(spark, tmp_path):
     for text in ("old", "new"):
         S.replace_predictions(spark.createDataFrame([("infill", "empty", g, "m", text) for g in ("en", "zh") if text == "old" or g == "en"], "task string, condition string, lang string, model string, raw_response string"), str(tmp_path / "p"))
     assert sorted((r["lang"], r["raw_response"]) for r in spark.read.json(str(tmp_path / "p")).collect()) == [("en", "new"), ("zh", "old")]
-    assert not S.write_csv_union([rows.limit(0)], str(tmp_path / "none")) and not (tmp_path / "none").exists()
+    assert not S.write_csv_union([rows.limit(0)], str(tmp_path / "none")) and [f.stat().st_size for f in (tmp_path / "none").glob("part-*")] == [0]
 
 
 def test_metadata_scan_and_audits(spark, tmp_path):
