@@ -47,6 +47,6 @@ known(k, edit, exact, ordered) AS (VALUES (0, 'order', 0, 0), (1, 'key', 1, 9),
 SELECT edit, pairs, CASE WHEN exact IS NULL THEN pairs ELSE 0 END AS pruned, CASE WHEN exact IS NULL THEN pairs ELSE 0 END AS beyond,
   CASE WHEN exact IS NULL THEN 0 ELSE pairs END AS compared, CAST(ordered - exact AS DOUBLE) AS mean_error, CAST(ordered - exact AS INTEGER) AS max_error
 FROM k JOIN known USING (k)""")
-def metric_validation(t):
+def json_metric_validation(t):
     """The ordered tree distance against the exact one: what it overstates, by kind of edit."""
     return jsonpairs.validated(_pairs(t), "pred", "gold", ["edit"], THRESHOLD)

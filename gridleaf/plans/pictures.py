@@ -52,7 +52,7 @@ _CHECKED = f"""(SELECT *, CASE WHEN broken THEN 'invalid PNG: cut short' WHEN w
 @query(f"""
 SELECT doc_id, CAST(CASE WHEN broken THEN 0 ELSE w END AS INTEGER) AS width, CAST(CASE WHEN broken THEN 0 ELSE h END AS INTEGER) AS height, CASE WHEN broken THEN 0.0::DOUBLE ELSE n::DOUBLE / (w * h) END AS nonwhite,
   reason, reason = '' AND coalesce(audited, false) AS ok FROM {_CHECKED}""")
-def image_checks(t):
+def grey_image_checks(t):
     """Broken, small, blank and unaudited images, and the share of pixels that are not white."""
     return images.checked(_images(t), "content", "audited").select("doc_id", "width", "height", "nonwhite", "reason", "ok")
 
@@ -61,6 +61,6 @@ def image_checks(t):
 SELECT lang, count(*) AS images, count(*) FILTER (NOT (reason = '' AND coalesce(audited, false))) AS failed, CAST(min(w) FILTER (NOT broken) AS INTEGER) AS min_width, CAST(max(w) FILTER (NOT broken) AS INTEGER) AS max_width,
   CAST(min(h) FILTER (NOT broken) AS INTEGER) AS min_height, CAST(max(h) FILTER (NOT broken) AS INTEGER) AS max_height, coalesce(sum(n) FILTER (NOT broken)::DOUBLE / sum(w * h) FILTER (NOT broken)::DOUBLE, 0) AS nonwhite
 FROM {_CHECKED} GROUP BY lang""")
-def image_group_checks(t):
+def grey_image_groups(t):
     """The same by language; counts of grey values add up."""
     return images.merged(images.checked(_images(t), "content", "audited"), ["lang"])

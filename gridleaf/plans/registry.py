@@ -17,6 +17,8 @@ def query(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries have the name {f.__name__}")
         QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql

@@ -1,9 +1,10 @@
 """Predictions that arrive over time: each new file is scored once.
 
-The stream is a file source; a batch's rows are reduced to one of each key and
-digest that no earlier batch has had and handed to a scorer, whose details are
-written to a folder of the batch, so that a repeated batch overwrites its own
-output only. The keys and digests of each batch are written beside them.
+The stream is a file source. That a prediction of the same key and digest has
+been seen is state of the stream itself, kept by key in its checkpoint, so no
+batch reads the past. A batch's new predictions are handed to a scorer, whose
+details are written to a folder of the batch: a repeated batch overwrites its
+own output only.
 """
 
 from __future__ import annotations
@@ -16,9 +17,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 SCHEMA = "task string, condition string, lang string, model string, sample_id int, raw_response string"
 
-SEEN = "task string, condition string, lang string, model string, sample_id int, sha1 string"
-
-
 def arriving(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
@@ -26,14 +24,9 @@ def arriving(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
 def score_stream(rows: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """Runs until all that has arrived is scored."""
     keys = ("task", "condition", "lang", "model", "sample_id")
+    once = rows.withColumn("sha1", F.sha1(F.coalesce("raw_response", F.lit("")))).dropDuplicates([*keys, "sha1"])
 
     def batch(df: DataFrame, number: int) -> None:
-        marks = [*keys, "sha1"]
-        once = df.withColumn("sha1", F.sha1(F.coalesce("raw_response", F.lit("")))).dropDuplicates(marks)
-        if number:
-            seen = df.sparkSession.read.schema(f"{SEEN}, batch int").parquet(f"{out}-seen").where(F.col("batch") < number)
-            once = once.join(seen.select(marks), marks, "left_anti")
-        once.select(marks).write.mode("overwrite").parquet(f"{out}-seen/batch={number}")
-        score(once).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        score(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
