@@ -29,7 +29,8 @@ words than the least stay unless a passage covers them; very long texts are
 read whole; a line that repeats inside one document counts once, and its later
 copies go if its template recurs; a line of several recurring templates is
 dropped once; rows that repeat a doc_id count as one holder, and each loses
-only lines that recur elsewhere; rows without a doc_id lose nothing; empty
+only lines that recur elsewhere; rows without a doc_id are no holders and lose
+nothing; empty
 tables give empty results; other columns are kept, whatever their names, and
 those named like the counts come first under the name with underscores added.
 """
@@ -236,11 +237,18 @@ def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: i
     partitions Spark splits."""
     spark, ends = docs.sparkSession, (F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     with scratch(spark):
+        docs = docs.where("doc_id IS NOT NULL")
         keyed = written(_keyed(docs, least), "lines-keyed")
         lines, anchors = keyed.where(F.col("kind") < ANCHOR), keyed.where(F.col("kind") == ANCHOR)
         counts = lines.groupBy("key").agg(*ends, F.max("kind").alias("kind"), F.sum("fresh").alias("docs"))
-        often = counts.where("first < last").where(F.col("docs") >= F.when(F.col("kind") == PASSAGE, long_docs).otherwise(short_docs))
-        often = written(often.select("key", "first"), "lines-often")
+        enough = F.col("docs") >= F.when(F.col("kind") == PASSAGE, long_docs).otherwise(short_docs)
+        often = written(counts.where("first < last").where(enough).select("key", "first", "kind"), "lines-often")
+        if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            # Rows were counted; where ids repeat, the holders of what recurs are counted as well.
+            held = lines.join(often.select("key"), "key", "left_semi").groupBy("key", "doc_id").agg(F.max("kind").alias("kind"))
+            held = held.groupBy("key").agg(F.max("kind").alias("kind"), F.count("*").alias("docs")).where(enough)
+            often = written(often.join(held.select("key"), "key", "left_semi"), "lines-held")
+        often = often.select("key", "first")
         gone = lines.join(often, "key").where("doc_id <> first").select("doc_id", F.col("mark").alias("gone"))
         known = anchors.groupBy("key").agg(*ends, (F.min("mark") == F.max("mark")).alias("same")).where("first < last")
         known = written(known.select("key", "first", "same"), "lines-anchors")

@@ -303,7 +303,7 @@ def brute_lines(docs):
             if a < b and n - (b - a) >= 6:
                 yield (n, i, tuple(w[:a]), tuple(w[b:]))
 
-    count, ids, passage, grams = {}, {}, {}, {}
+    ids, passage, grams = {}, {}, {}
     for i, t in docs:
         raw = (t or "").encode()
         mine = {}
@@ -313,13 +313,12 @@ def brute_lines(docs):
                 for k in templates(words):
                     mine[k] = len(words) >= 50
         for k, long in mine.items():
-            count[k] = count.get(k, 0) + 1
             ids.setdefault(k, set()).add(i)
             passage[k] = passage.get(k, False) or long
         words = raw.lower().split()
         for p in range(len(words) - 49):
             grams.setdefault(tuple(words[p : p + 50]), set()).add(i)
-    often = {k: min(v) for k, v in ids.items() if len(v) > 1 and count[k] >= (2 if passage[k] else 3)}
+    often = {k: min(v) for k, v in ids.items() if len(v) >= (2 if passage[k] else 3)}
     out = []
     for i, t in docs:
         raw = (t or "").encode()
