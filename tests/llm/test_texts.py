@@ -45,7 +45,7 @@ def plain_feature(samples):
     return f"sum={sum(b * c for b, c in enumerate(counts))};energy={sum(b * b * c for b, c in enumerate(counts))};levels={sum(c > 0 for c in counts)};entropy={-sum(c / n * math.log2(c / n) for c in counts if c):.6f}"
 
 
-def against_texts(found, texts, dictionary=None):
+def against_texts(found, texts, forms=False):
     for r in found:
         raw = (texts[r["doc_id"]] or "").encode()
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
@@ -53,8 +53,8 @@ def against_texts(found, texts, dictionary=None):
         assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["tail_crc32"] == zlib.crc32(padded[-64:])
         have, want = (x["feature"].rsplit("=", 1) for x in (r, {"feature": plain_feature(padded)}))
         assert have[0] == want[0] and abs(float(have[1]) - float(want[1])) < 2e-6
-        if dictionary is not None:
-            data, n = media.opened(r["media"], dictionary)
+        if forms:
+            data, n = media.opened(r["media"])
             assert data == padded and n == len(raw)
             assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["media_bytes"] == len(r["media"])
 
@@ -62,7 +62,7 @@ def against_texts(found, texts, dictionary=None):
 def test_media_round_trip(spark):
     found = media.media_columns(clashing(spark), keep_media=True).collect()
     assert len(found) == len(AWKWARD)
-    against_texts(found, {r[0]: r[1] for r in AWKWARD}, b"")
+    against_texts(found, {r[0]: r[1] for r in AWKWARD}, True)
     assert media.media_columns(empty(spark)).count() == 0
 
 
@@ -79,33 +79,54 @@ def test_media_query_in_plain_python(spark, data):
     assert all(len(v) == 1 for v in equal.values())
 
 
-def test_chunks_are_shared_and_read_with_their_dictionary(spark):
+def test_chunks_are_shared(spark):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
     common = " ".join(rng.choice(words) for _ in range(4000))
     texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(1500))) + common for i in range(200)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     heads = media.listed(docs)
-    dictionary = media._dictionary(heads)
     lists = {r["doc_id"]: [bytes(d) for d in r["list"]] for r in heads.collect()}
-    store = {bytes(r["digest"]): bytes(r["z"]) for r in media.stored(docs, dictionary).collect()}
+    store = {bytes(r["digest"]): bytes(r["z"]) for r in media.stored(docs).collect()}
     assert set(store) == {d for x in lists.values() for d in x} and len(store) < sum(map(len, lists.values())) / 2
-    plain = media.decompressor(dictionary)
+    plain = media.zstandard.ZstdDecompressor()
     for i, t in texts.items():
         assert b"".join(media.verified(plain, d, store[d]) for d in lists[i]) == media.payload(t)[0]
-    against_texts(media.media_columns(docs, keep_media=True).collect(), texts, dictionary)
+    against_texts(media.media_columns(docs, keep_media=True).collect(), texts, True)
 
 
 def test_store_holds_each_chunk_once(spark):
-    store = media.stored(awkward(spark), b"").collect()
+    store = media.stored(awkward(spark)).collect()
     assert len({bytes(r["digest"]) for r in store}) == len(store)
     z = media.zstandard.ZstdCompressor().compress
-    form = media.container([(media.digest(b"abc"), z(b"abc"))], 3, b"")
-    assert media.opened(form, b"") == (b"abc", 3)
+    form = media.container([(media.digest(b"abc"), z(b"abc"))], 3)
+    assert media.opened(form) == (b"abc", 3)
     with pytest.raises(ValueError):
-        media.opened(media.container([(media.digest(b"abc"), z(b"abd"))], 3, b""), b"")
+        media.opened(media.container([(media.digest(b"abc"), z(b"abd"))], 3))
     with pytest.raises(ValueError):
-        media.opened(form, b"another dictionary")
+        media.opened(b"else" + form)
+
+
+def test_stored_forms_do_not_depend_on_the_table(spark):
+    text = "one text of its own " * 30
+    forms = set()
+    for n in (0, 3, 400):
+        df = spark.createDataFrame([(0, text), *((i + 1, f"other words {i * i} " * (i % 90)) for i in range(n))], "doc_id long, text string")
+        forms |= {(r.media_bytes, r.media_sha256) for r in media.media_columns(df).where("doc_id = 0").collect()}
+    assert len(forms) == 1
+
+
+def test_chunks_of_many_media(spark, monkeypatch):
+    """A chunk that all media share is joined by a salt, with the same result."""
+    rng = random.Random(2)
+    common = bytes(rng.randrange(97, 123) for _ in range(40_000)).decode()
+    texts = {i: common + f"{i} " * (i * 37 % 900) for i in range(60)} | {60: None, 61: "x", 62: "x", 63: "y" * 3_000_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    plain = rows(media.media_columns(docs))
+    monkeypatch.setattr(media, "HOT", 10)
+    found = media.media_columns(docs, keep_media=True).collect()
+    against_texts(found, texts, True)
+    assert all(r[c] == plain[r.doc_id][c] for r in found for c in ("media_bytes", "media_sha256", "payload_sha256", "feature"))
 
 
 # Tiling
