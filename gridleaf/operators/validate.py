@@ -62,11 +62,13 @@ def score_ok(score: Column) -> Column:
 
 
 def identity_ok(document: Column, model: Column, sample_id: Column, lang: Column, task: Column, condition: Column) -> Column:
-    """Whether a prediction names its job; an id must be a number of the document, not a truth value or text."""
+    """Whether what a prediction says of its job is right; an id must be a number of the document, not a truth value or text."""
     raw = F.try_parse_json(document)
-    kind = F.schema_of_variant(F.try_variant_get(raw, "$.sample_id", "variant"))
-    same = lambda path, c: F.get_json_object(document, f"$.{path}").eqNullSafe(c)
-    return F.coalesce(kind.isin("BIGINT"), F.lit(False)) & same("sample_id", sample_id.cast("string")) & same("model", model) & same("lang", lang) & same("task", task) & same("condition", condition)
+    part = lambda path: F.try_variant_get(raw, f"$.{path}", "variant")
+    kind = F.schema_of_variant(part("sample_id"))
+    said = lambda path, c: part(path).isNull() | F.get_json_object(document, f"$.{path}").eqNullSafe(c)
+    number = part("sample_id").isNull() | F.coalesce(kind.isin("BIGINT"), F.lit(False))
+    return number & said("sample_id", sample_id.cast("string")) & said("model", model) & said("lang", lang) & said("task", task) & said("condition", condition)
 
 
 def evidence_ok(a: Column, b: Column, keys: list[str]) -> Column:
@@ -85,7 +87,7 @@ def job_state(job: Column, has_file: Column, readable: Column, evidence: Column,
         .when(~evidence, "source_mismatch")
         .when(~identity, "prediction_error")
         .when(declared.isin("not_run", "transport_error", "backend_error"), declared)
-        .when((F.coalesce(declared, F.lit("ok")) != "ok") | error.isNotNull(), "prediction_error")
+        .when((F.coalesce(declared, F.lit("completed")) != "completed") | error.isNotNull(), "prediction_error")
         .when(~sources, "source_error")
         .when(failed, "backend_error")
         .when(blank, "model_format_failure")

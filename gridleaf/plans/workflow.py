@@ -138,6 +138,46 @@ def evaluated_jobs(t):
     return _evaluated(t).select("lang", "sample_id", "state", F.round("score", 9).alias("score"), "correct", "total")
 
 
+_TASKS = """
+SELECT lang, sample_id, task, condition, state, CASE state WHEN 'scored' THEN round(CASE task WHEN 'schema' THEN CASE WHEN bad THEN 0.9 ELSE 1.0 END::DOUBLE ELSE (n - CASE WHEN bad THEN 1 ELSE 0 END)::DOUBLE / n END, 9) WHEN 'model_format_failure' THEN 0.0 END AS score,
+  CASE WHEN task = 'schema' THEN NULL WHEN state = 'scored' THEN n - CASE WHEN bad THEN 1 ELSE 0 END WHEN state = 'model_format_failure' THEN 0 END::INTEGER AS correct, CASE WHEN prepared <> 'source_error' THEN n END::INTEGER AS total FROM (
+SELECT *, CASE WHEN prepared <> 'ready' THEN prepared WHEN c_mktsegment = 'HOUSEHOLD' THEN 'not_run' WHEN k % 37 = 0 OR k % 11 = 0 THEN 'source_mismatch' WHEN k % 13 = 0 OR k % 17 = 0 THEN 'prediction_error' WHEN k % 19 = 0 THEN 'transport_error'
+  WHEN k % 23 = 0 THEN 'prediction_error' WHEN k % 29 = 0 OR k % 31 = 0 THEN 'model_format_failure' ELSE 'scored' END AS state FROM (
+SELECT *, CASE WHEN lost THEN 'source_error' WHEN n = 0 THEN 'ineligible_no_targets' ELSE 'ready' END AS prepared FROM (
+SELECT CASE WHEN c_custkey % 2 = 0 THEN 'en' ELSE 'zh' END AS lang, c_custkey AS sample_id, c_custkey AS k, task, condition, c_mktsegment, c_custkey % 3 = 0 AS bad, CASE task WHEN 'schema' THEN 1 ELSE c_custkey % 4 END AS n,
+  CASE task WHEN 'schema' THEN condition = 'empty' AND c_custkey % 10 = 0 WHEN 'alignment' THEN c_custkey % 9 = 0 OR c_custkey % 7 = 0 ELSE c_custkey % 5 = 0 OR c_custkey % 7 = 0 END AS lost
+FROM customer, (VALUES ('schema'), ('alignment'), ('infill')) t(task), (VALUES ('empty'), ('filled')) c(condition))))"""
+
+
+def _answers(src):
+    """A prediction for each job of all tasks, what is wrong with it being told by its key."""
+    jobs = E.prepared(src, "org/m-1")
+    s = F.col("sample_id")
+    request = F.parse_json(E.request())
+    other = F.parse_json(F.to_json(F.struct(*(F.lit(99).alias(c) if c == "target_count" else F.col(c) for c in E.EVIDENCE)), {"ignoreNullFields": "false"}))
+    wrong = s % 3 == 0
+    schema = F.when(wrong, F.replace("json_filled", F.concat(F.lit('"segment":"'), F.get_json_object("json_filled", "$.segment")), F.lit('"segment":"OTHER'))).otherwise(F.col("json_filled"))
+    inputs = H.inputs_for_markers(F.col("placeholder_html"))
+    alignment = F.when(wrong, F.regexp_replace(inputs, '<input[^>]*name="Field0"[^>]*>', "")).otherwise(inputs)
+    infill = F.when(wrong, F.replace("html_filled", F.lit("v0 "), F.lit("w0 "))).otherwise(F.col("html_filled"))
+    answer = F.when(F.col("task") == "schema", schema).when(F.col("task") == "alignment", alignment).otherwise(infill)
+    text = F.when(s % 31 == 0, "<think>so</think> ").otherwise(F.concat(F.lit("<think>so</think>"), answer))
+    said = F.to_json(F.struct(
+        F.when(s % 11 == 0, other).otherwise(request).alias("request"), F.when(s % 13 == 0, "m2").otherwise(F.col("model")).alias("model"), F.when(s % 17 == 0, F.parse_json(F.lit("true"))).otherwise(F.parse_json(s.cast("string"))).alias("sample_id"),
+        F.when(s % 19 == 0, "transport_error").when(s % 23 == 0, "odd").otherwise("completed").alias("status"), F.lit("").alias("error"), F.when(s % 29 == 0, F.parse_json(F.lit("5"))).otherwise(F.variant_get(F.parse_json(F.to_json(F.struct(text.alias("t")))), "$.t", "variant")).alias("raw_response"),
+    ))
+    rows = jobs.where("status = 'ready'").join(src, ["lang", "sample_id"]).where("get_json_object(json_filled, '$.segment') <> 'HOUSEHOLD'")
+    return jobs, rows.select(*E.KEYS, F.when(s % 37 == 0, "[1]").otherwise(said).alias("document"))
+
+
+@query(_TASKS)
+def evaluated_tasks(t):
+    """Jobs of all tasks and conditions through one ladder, their predictions repeating the whole request."""
+    src = _sources(t)
+    jobs, predictions = _answers(src)
+    return E.evaluated(jobs, predictions, src).select("lang", "sample_id", "task", "condition", "state", F.round("score", 9).alias("score"), "correct", "total")
+
+
 @query("""
 SELECT CASE WHEN c_custkey % 2 = 0 THEN 'en' ELSE 'zh' END AS lang, c_custkey AS sample_id, CAST(0 AS INTEGER) AS correct, type, n AS total FROM (
 SELECT c_custkey, 'LI' AS type, CAST(1 AS BIGINT) AS n FROM customer WHERE c_custkey % 4 >= 2 AND c_custkey % 9 <> 0
