@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 def manifest(samples: DataFrame, dims: Sequence[DataFrame], predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every combination of the dimensions (few rows each) for every sample, with its prediction's status."""
-    from .ordered import bounded
+    from .ordered import times
 
     out = samples
     for d in dims:
-        out = out.crossJoin(bounded(d))
+        out = times(out, d)
     return out.join(predictions, list(keys), "left").withColumn("status", F.coalesce("status", F.lit("missing")))
 
 
@@ -59,6 +59,46 @@ def overlay(artifacts: DataFrame, keys: Sequence[str] = ("lang", "sample_id")) -
     return out.withColumn("conflict", F.col("versions") > 1)
 
 
+# The stages that make a sample, and those that only go with one.
+CORE = ("html_empty", "json_empty", "json_filled", "html_filled", "context", "placeholder_html", "meta")
+AUXILIARY = ("html_second", "json_second", "png_empty", "png_filled")
+
+
+def merged_roots(artifacts: DataFrame) -> DataFrame:
+    """lang, sample_id, roots, root (the first), has_core, auxiliary (stage to
+    digest) and issue of each sample over all roots (artifacts: lang, sample_id,
+    stage, root, root_order, sha256, null if unreadable, read_issue). Roots must
+    agree in their core stages, missing and unreadable ones included. Auxiliary
+    stages add up: they may not differ where two roots have one, nor be
+    unreadable where roots meet, nor differ at all in a sample whose core is not whole."""
+    is_core, digest = F.col("stage").isin(*CORE), F.coalesce("sha256", F.lit(""))
+    of = lambda where, value: F.array_sort(F.collect_list(F.when(where, value)))
+    entry = F.struct("stage", "sha256")
+    each = artifacts.groupBy("lang", "sample_id", "root", "root_order").agg(
+        of(is_core, F.concat_ws("=", "stage", digest, F.coalesce("read_issue", F.lit("")))).alias("core"), F.count_if(is_core & F.col("sha256").isNotNull()).alias("readable"),
+        of(~is_core & F.col("sha256").isNotNull(), entry).alias("aux"), F.count_if(~is_core & F.col("sha256").isNull()).alias("unread"),
+    )
+    rows = each.groupBy("lang", "sample_id").agg(
+        F.count("*").alias("roots"), F.min_by("root", "root_order").alias("root"), F.count_distinct("core").alias("cores"), F.max(F.size("core")).alias("n_core"), F.min("readable").alias("readable"),
+        F.array_distinct(F.flatten(F.collect_list("aux"))).alias("aux"), F.count_distinct("aux").alias("auxes"), F.sum("unread").alias("unread"),
+    )
+    differs = F.size("aux") > F.size(F.array_distinct(F.col("aux.stage")))
+    several = F.col("roots") > 1
+    issue = F.when(F.col("cores") > 1, "conflicting sample").when(several & (differs | (F.col("unread") > 0) | ((F.col("auxes") > 1) & (F.col("readable") < len(CORE)))), "conflicting auxiliary")
+    known = F.when(issue.isNull(), F.map_from_entries("aux"))
+    return rows.select("lang", "sample_id", "roots", "root", (F.col("n_core") > 0).alias("has_core"), known.alias("auxiliary"), issue.alias("issue"))
+
+
+def wrong_names(files: DataFrame, keys: Sequence[str] = ("root", "stage", "lang")) -> DataFrame:
+    """Files (keys, name without suffix) whose number is not written as numbers
+    are, or that several files of a stage have: aliases of a sample that would hide one another."""
+    number = F.col("name").try_cast("decimal(38,0)")
+    rows = files.where(F.col("name").rlike(r"^\p{Nd}+$")).withColumn("number", number)
+    alias = ~F.col("name").eqNullSafe(F.col("number").cast("string")) | (F.col("number") < 1)
+    same = rows.groupBy(*keys, "number").agg(F.count("*").alias("files"), F.bool_or(alias).alias("alias"), F.array_sort(F.collect_list("name")).alias("names"))
+    return same.where("alias OR files > 1").select(*keys, "names", F.when(F.col("alias"), "noncanonical").otherwise("repeated").alias("issue"))
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key; a total order makes them the same in every run."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -22,6 +22,15 @@ def bounded(side: DataFrame, rows: int = BOUND) -> DataFrame:
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
+def times(rows: DataFrame, few: DataFrame, most: int = BOUND) -> DataFrame:
+    """Each row with each of few others, which go to every task; more of those
+    than the bound are an error, as no caller can want that many for every row."""
+    n = few.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows for each row")
+    return rows.crossJoin(F.broadcast(few))
+
+
 #: Bytes of labels up to which every task reads them all at once.
 LABEL_BYTES = 8 << 20
 

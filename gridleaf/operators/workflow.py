@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import aggregates as A
 from . import score as S
 from . import selection as P
-from .ordered import bounded
+from .ordered import times
 
 #: The sources that each task needs, and names of metrics and of the current matcher.
 NEEDS = {
@@ -62,7 +62,8 @@ def evaluation_manifest(eligible: DataFrame, models: DataFrame, predictions: Dat
     document; inputs: path). Everything but a ready prediction should be retried."""
     keys = ["model", "task", "lang", "condition", "sample_id"]
     pairs = models.select("model").withColumn("condition", F.explode(F.array(*(F.lit(c) for c in conditions))))
-    rows = eligible.where("eligible").select("lang", "sample_id", "task", "target_count").crossJoin(bounded(pairs))
+    rows = eligible.where("eligible").select("lang", "sample_id", "task", "target_count")
+    rows = times(rows, pairs)
     rows = rows.withColumn("input_path", P.input_path(F.col("model"), F.col("condition"), F.col("lang"), F.col("sample_id")))
     seen = predictions.select(*keys, "document")
     known = inputs.select(F.col("path").alias("input_path")).distinct().withColumn("__there", F.lit(True))
@@ -118,7 +119,7 @@ def missing_summaries(summaries: DataFrame, dims: Sequence[DataFrame], keys: Seq
     """Combinations of the dimensions that have no summary."""
     cube = dims[0]
     for d in dims[1:]:
-        cube = cube.crossJoin(bounded(d))
+        cube = times(cube, d)
     return cube.join(summaries.select(*keys).distinct(), list(keys), "left_anti")
 
 

@@ -295,10 +295,10 @@ def verdict_overlay(t):
 
 
 @query("""
-SELECT doc_id, k, first_at FROM (SELECT doc_id, lower(regexp_replace(w, '[^A-Za-z]', '', 'g')) AS k, min(i) AS first_at FROM (SELECT doc_id, unnest(string_split(left(text, 200), ' ')) AS w, generate_subscripts(string_split(left(text, 200), ' '), 1) AS i FROM documents WHERE lang = 'en') GROUP BY ALL) WHERE k <> ''""")
+SELECT doc_id, k, first_at FROM (SELECT doc_id, lower(regexp_replace(w, '[^A-Za-z]', '', 'g')) AS k, min(i) AS first_at FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) GROUP BY ALL) WHERE k <> ''""")
 def placeholder_dedup(t):
     """Of equal keys of a document the first stays."""
-    words = t("documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 200), " ")).alias("i", "w"))
+    words = t("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
     keyed = words.select("doc_id", F.lower(F.regexp_replace("w", "[^A-Za-z]", "")).alias("k"), (F.col("i") + 1).cast("long").alias("first_at")).where("k <> ''")
     return G.first_by(keyed, ["doc_id", "k"], [F.col("first_at")])
 

@@ -73,6 +73,47 @@ def overlay_conflicts(t):
     return G.overlay(main.unionByName(over))
 
 
+_MERGED = """
+SELECT lang, doc_id AS sample_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS roots, 'main' AS root, doc_id % 13 <> 0 AS has_core,
+  CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 13 <> 0 AND doc_id % 5 = 0 THEN 'conflicting sample' WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'conflicting auxiliary'
+  WHEN doc_id % 2 = 0 AND (doc_id % 13 = 0 OR doc_id % 17 = 0) THEN 'conflicting auxiliary' END AS issue FROM documents"""
+
+
+def _roots(t):
+    """Two roots; by key the second lacks, changes or adds stages."""
+    k, d = F.col("sample_id"), t("documents").select(F.col("doc_id").alias("sample_id"), "lang", "text")
+    mark = lambda s: F.sha2(F.concat(F.lit(s), "text"), 256)
+    row = lambda stage, sha, issue=None: F.struct(F.lit(stage).alias("stage"), sha.alias("sha256"), F.when(sha.isNull(), F.lit(issue or "OSError")).alias("read_issue"))
+    # Samples of every thirteenth key have auxiliaries only; of every seventeenth one core stage is unreadable.
+    core = [row(s, F.when((k % 17 != 0) | F.lit(s != "meta"), mark(s))) for s in G.CORE]
+    other = [row(s, F.when((k % 17 != 0) | F.lit(s != "meta"), F.when((k % 5 == 0) & F.lit(s == "context"), mark("changed")).otherwise(mark(s)))) for s in G.CORE]
+    cores = lambda rows: F.when(k % 13 == 0, F.array().cast("array<struct<stage:string,sha256:string,read_issue:string>>")).otherwise(F.array(*rows))
+    one = F.concat(cores(core), F.array(row("html_second", mark("h"))))
+    more = F.when(k % 2 == 0, F.array(row("png_empty", mark("p")))).otherwise(F.array().cast("array<struct<stage:string,sha256:string,read_issue:string>>"))
+    changed = F.when(k % 7 == 0, mark("other")).when(k % 11 != 0, mark("h"))
+    two = F.concat(cores(other), F.array(row("html_second", changed)), more)
+    at = lambda rows, name, order: d.select("lang", "sample_id", F.inline(rows), F.lit(name).alias("root"), F.lit(order).alias("root_order"))
+    return at(one, "main", 0).unionByName(at(two, "overlay", 1).where("sample_id % 3 <> 0"))
+
+
+@query(_MERGED)
+def merged_roots(t):
+    """Roots that agree, differ in core or auxiliary stages, or cannot be read."""
+    return G.merged_roots(_roots(t)).select("lang", "sample_id", F.col("roots").cast("int").alias("roots"), "root", "has_core", "issue")
+
+
+@query("""
+SELECT CASE WHEN doc_id % 4 = 0 THEN '0' || doc_id ELSE '' || doc_id END AS first_name, CASE WHEN doc_id % 4 = 0 THEN 'noncanonical' ELSE 'repeated' END AS issue
+FROM documents WHERE doc_id > 0 AND (doc_id % 4 = 0 OR doc_id % 6 = 1) UNION ALL SELECT '0', 'noncanonical' FROM documents WHERE doc_id = 0""")
+def wrong_file_names(t):
+    """Numbers with leading zeros, zero, and numbers that two files have; other names are no samples."""
+    k = F.col("doc_id")
+    own = k.cast("string")
+    names = F.when((k % 4 == 0) & (k > 0), F.array(F.concat(F.lit("0"), own), F.concat(own, F.lit("a")))).when(k % 6 == 1, F.array(own, own)).otherwise(F.array(own))
+    files = t("documents").select(F.lit("main").alias("root"), F.lit("meta").alias("stage"), "lang", F.explode(names).alias("name"))
+    return G.wrong_names(files).select(F.element_at("names", 1).alias("first_name"), "issue")
+
+
 @query("""
 WITH n AS (SELECT o_orderkey, sha1(CAST(o_totalprice AS BIGINT) || CASE WHEN o_orderkey % 9 = 0 THEN '*' ELSE '' END) AS mark FROM orders), o AS (SELECT o_orderkey, sha1('' || CAST(o_totalprice AS BIGINT)) AS mark FROM orders WHERE o_orderstatus <> 'P')
 SELECT n.o_orderkey AS sample_id, o.o_orderkey IS NOT NULL AS reused FROM n LEFT JOIN o ON n.o_orderkey = o.o_orderkey AND n.mark = o.mark""")

@@ -54,10 +54,16 @@ def span_parsing(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", X.span_of(s).alias("loose"), X.strict_span(s).alias("strict"))
 
 
-@query("""
-SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size FROM documents""")
+@query(r"""
+SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND trim(text) <> '' THEN sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) END AS verified FROM documents""")
 def sha_verify(t):
-    return t("documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+    """Sources whose recorded digest still holds, with the digest of their text; changed and unreadable ones have none."""
+    from ..sources.files import verified_text
+
+    k, content = F.col("doc_id"), F.col("text").cast("binary")
+    recorded = F.when(k % 5 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2(content, 256))
+    text = verified_text(content, recorded, F.when(k % 7 == 0, "unreadable"))
+    return t("documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"), F.sha2(text, 256).alias("verified"))
 
 
 @query(f"""
@@ -90,13 +96,21 @@ def api_error_classes(t):
     return t("events").select("event_id", X.api_error(m).alias("class"))
 
 
-@query()
+_TOKENS = r"regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\p{L}\p{N}_%$€£¥]+')"
+
+
+@query(rf"""
+SELECT conv_id, turn, len({_TOKENS}) AS n, sha256(array_to_string({_TOKENS}, ' ')) AS tokens, sha256(array_to_string(list_sort({_TOKENS}), ' ')) AS multiset,
+  len({_TOKENS}) >= 2 AND {_TOKENS} <> {_TOKENS.replace('(text)', "(array_to_string(string_split(text, ' ')[2:], ' ') || ' ' || string_split(text, ' ')[1])")} AS reordered FROM conversations""")
 def content_token_multiset(t):
-    """Orders of equal word multisets; the tokens need compatibility forms, which SQL lacks."""
+    """Words in order and as a multiset; a text whose first word goes last has the same multiset."""
+    words = F.split("text", " ")
+    turned = F.concat(F.array_join(F.slice(words, 2, F.size(words)), " "), F.lit(" "), words[0])
     tokens = X.content_tokens("text")
-    rows = t("conversations").select("conv_id", "turn", tokens.alias("a"), F.reverse(tokens).alias("b"))
+    rows = t("conversations").select("conv_id", "turn", tokens.alias("a"), X.content_tokens(turned).alias("b"))
+    digest = lambda c: F.sha2(F.array_join(c, " "), 256)
     reordered = (F.array_sort("a") == F.array_sort("b")) & (F.col("a") != F.col("b")) & (F.size("a") >= 2)
-    return rows.select("conv_id", "turn", F.size("a").cast("long").alias("n"), reordered.alias("reordered"))
+    return rows.select("conv_id", "turn", F.size("a").cast("long").alias("n"), digest("a").alias("tokens"), digest(F.array_sort("a")).alias("multiset"), reordered.alias("reordered"))
 
 
 @query("""
