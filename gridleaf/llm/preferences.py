@@ -8,16 +8,18 @@ points, 1 where the loss counts), the prompt's run being the first and 0.
 A table of conversations holds two kinds of pairs. Siblings open with the same
 turn: the one that went on for more assistant turns is chosen (its reader went
 on asking), of equal ones the smaller conv_id. Stand-ins: a conversation is
-chosen against itself with its last assistant turn replaced by that of another
-conversation, which does not answer its prompt. Conversations of equal turns
-are one, which the smallest conv_id stands for; n_copies counts them.
+chosen against itself up to one of its assistant turns, which its hash names,
+with the turn so named of another conversation in its place, which does not
+answer its prompt; so pairs part at all depths. Conversations of equal turns are
+one, which the smallest conv_id stands for; n_copies counts them.
 
 Siblings are paired with their neighbours along a fixed order of hashes, first
 inside small groups of one opening, then between the groups' first members, so
 that an opening of any number of conversations meets in no single task and all
-of them are joined. Stand-ins are drawn likewise, inside groups whose number
-grows with the table; a conversation whose group has no other last answer has
-no stand-in. Only ids and hashes move while pairs are found; turns are joined last.
+of them are joined. The stand-in of an answer is the next one in the order of
+all different answers' hashes, the first following the last, so every
+conversation has one unless all answers of the table are equal. Only ids and
+hashes move while pairs are found; turns are joined last.
 
 Defined results: null roles and texts are empty; rows without a conv_id belong
 to no conversation; turns that share a number follow in the order of role and
@@ -32,14 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from .common import scratch, written
 
 #: Hexadecimal digits of the groups of one opening, from level to level.
 LEVELS = (3, 1, 0)
 #: Parts that the copies of one conversation are counted in.
 SALTS = 16
-#: Rows that a group of stand-ins is drawn from, 16 times as many at most.
-LEAST_GROUP, MOST_DIGITS = 64, 12
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -55,14 +56,20 @@ def conversations(turns: DataFrame) -> DataFrame:
     return plain.join(first.drop("same"), "conv_id").select("conv_id", "n_copies", "turns")
 
 
+def answer_place(ident: Column, turns: Column) -> Column:
+    """The place, from 1, of the assistant turn that the id's hash names; 0 without one."""
+    own = F.filter(F.transform(turns, lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda x: x.isNotNull())
+    named = F.conv(F.substring(F.md5(ident.cast("string").cast("binary")), 1, 4), 16, 10).cast("int")
+    return F.when(F.size(own) > 0, F.element_at(own, (named % F.greatest(F.size(own), F.lit(1)) + 1).cast("int"))).otherwise(0)
+
+
 def heads(convs: DataFrame) -> DataFrame:
-    """conv_id, h (its hash), opening (hash of the first turn), n_answers, last
-    (place of the last assistant turn, from 1, or 0) and answer (hash of that turn's text)."""
-    own = F.transform("turns", lambda t: t["role"] == "assistant")
-    last = F.size("turns") - F.array_position(F.reverse(own), True) + 1
-    last = F.when(F.array_contains(own, True), last).otherwise(0).cast("int")
-    first = F.col("turns")[0]
-    return convs.select("conv_id", F.md5(F.col("conv_id").cast("string").cast("binary")).alias("h"), F.md5(F.concat(first["role"], F.lit("\n"), first["text"]).cast("binary")).alias("opening"), F.size(F.filter(own, lambda x: x)).alias("n_answers"), last.alias("last"), F.when(last > 0, F.md5(F.element_at("turns", F.greatest(last, F.lit(1)))["text"].cast("binary"))).alias("answer"))
+    """conv_id, h (its hash), opening (hash of the first turn), n_answers and
+    answer (hash of the text of the assistant turn at answer_place, if there is one)."""
+    own = F.filter("turns", lambda t: t["role"] == "assistant")
+    first, place = F.col("turns")[0], answer_place(F.col("conv_id"), F.col("turns"))
+    text = F.element_at("turns", F.greatest(place, F.lit(1)))["text"]
+    return convs.select("conv_id", F.md5(F.col("conv_id").cast("string").cast("binary")).alias("h"), F.md5(F.concat(first["role"], F.lit("\n"), first["text"]).cast("binary")).alias("opening"), F.size(own).alias("n_answers"), F.when(place > 0, F.md5(text.cast("binary"))).alias("answer"))
 
 
 def siblings(found: DataFrame) -> DataFrame:
@@ -83,20 +90,15 @@ def siblings(found: DataFrame) -> DataFrame:
 
 
 def stand_ins(found: DataFrame) -> DataFrame:
-    """chosen_id and rejected_id, whose last answer stands in for the chosen
-    one's: the next different answer by hash in a group."""
-    some = found.where("last > 0").select("conv_id", "h", "answer")
-    n, digits = some.count(), 0
-    while digits < MOST_DIGITS and n >= LEAST_GROUP * 16 ** (digits + 1):
-        digits += 1
-    group = F.substring("h", 1, digits).alias("g")
-    rows = some.select("conv_id", "answer", group)
-    ranked = rows.withColumn("at", F.dense_rank().over(W.partitionBy("g").orderBy("answer")))
-    # The smallest conversation of the next answer, or of the first after the last.
-    following = F.min("conv_id").over(W.partitionBy("g").orderBy("at").rangeBetween(1, 1))
-    first = F.min(F.when(F.col("at") == 1, F.col("conv_id"))).over(W.partitionBy("g"))
-    drawn = ranked.select("conv_id", "at", F.coalesce(following, F.when(F.col("at") > 1, first)).alias("other"))
-    return drawn.where("other is not null").select(F.col("conv_id").alias("chosen_id"), F.col("other").alias("rejected_id"))
+    """chosen_id and rejected_id, whose answer stands in for the chosen one's:
+    the next different one by hash, of which the smallest conversation is taken."""
+    some = found.where("answer IS NOT NULL").select("conv_id", "answer")
+    placed = numbered(some.groupBy("answer").agg(F.min("conv_id").alias("other")), [F.col("answer")])
+    n = placed.count()
+    before = F.when(F.col("place") == 1, n).otherwise(F.col("place") - 1)
+    following = placed.select(before.alias("place"), F.col("other").alias("rejected_id"))
+    drawn = placed.select("answer", "place").join(following, "place") if n > 1 else placed.where("false").select("answer", F.col("other").alias("rejected_id"))
+    return some.join(drawn, "answer").select(F.col("conv_id").alias("chosen_id"), "rejected_id")
 
 
 def _rendered(turns: Column) -> Column:
@@ -119,14 +121,13 @@ def formatted(pairs: DataFrame, convs: DataFrame) -> DataFrame:
     """kind, chosen_id, rejected_id, n_copies (of the chosen one), prefix_turns,
     prompt, chosen, rejected, chosen_mask, rejected_mask of each pair (kind,
     chosen_id, rejected_id); the rejected side of a stand-in is the chosen
-    conversation up to its last answer, and the other one's last answer."""
+    conversation up to the answer that its hash names, and the other one's."""
     c = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("c"), "n_copies")
     r = convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("r"))
     both = pairs.join(c, "chosen_id").join(r, "rejected_id")
-    answers = F.filter(F.transform("c", lambda t, i: F.when(t["role"] == "assistant", i)), lambda x: x.isNotNull())
-    theirs = F.slice(F.filter("r", lambda t: t["role"] == "assistant"), -1, 1)
-    replaced = F.concat(F.slice("c", F.lit(1), F.array_max(answers)), theirs)
-    both = both.withColumn("r", F.when(F.col("kind") == "stand-in", replaced).otherwise(F.col("r")))
+    at, theirs = answer_place(F.col("chosen_id"), F.col("c")), answer_place(F.col("rejected_id"), F.col("r"))
+    replaced = F.concat(F.slice("c", F.lit(1), at - 1), F.slice("r", theirs, F.lit(1)))
+    both = both.withColumn("r", F.when((F.col("kind") == "stand-in") & (at > 0) & (theirs > 0), replaced).otherwise(F.col("r")))
     same = F.zip_with("c", "r", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     both = both.withColumn("same", same)
     both = both.withColumn("k", F.when(F.array_position("same", False) > 0, F.array_position("same", False) - 1).otherwise(F.size("same")).cast("int"))
@@ -152,7 +153,9 @@ WITH t AS (
 told AS (SELECT conv_id, list((role, text) ORDER BY pos) AS turns FROM t GROUP BY 1),
 classes AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies FROM told GROUP BY turns),
 u AS (SELECT t.* FROM t JOIN classes USING (conv_id)),
-ends AS (SELECT conv_id, count(*) FILTER (role = 'assistant') AS n_answers, max(pos) FILTER (role = 'assistant') AS last FROM u GROUP BY 1),
+own AS (SELECT conv_id, pos, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM u WHERE role = 'assistant'),
+named AS (SELECT conv_id, pos FROM own WHERE i = 1 + ('0x' || left(md5(CAST(conv_id AS VARCHAR)), 4))::INT % n),
+ends AS (SELECT u.conv_id, count(*) FILTER (role = 'assistant') AS n_answers, any_value(named.pos) AS last FROM u LEFT JOIN named ON named.conv_id = u.conv_id GROUP BY u.conv_id),
 heads AS (
   SELECT e.conv_id, md5(CAST(e.conv_id AS VARCHAR)) AS h, o.role AS orole, o.text AS otext, e.n_answers, e.last, md5(a.text) AS answer
   FROM ends e JOIN u o ON o.conv_id = e.conv_id AND o.pos = 1 LEFT JOIN u a ON a.conv_id = e.conv_id AND a.pos = e.last),
@@ -164,14 +167,12 @@ met AS (
 sib AS (
   SELECT 'sibling' AS kind, CASE WHEN ahead THEN conv_id ELSE nid END AS chosen_id, CASE WHEN ahead THEN nid ELSE conv_id END AS rejected_id
   FROM (SELECT *, n_answers > nn OR (n_answers = nn AND conv_id < nid) AS ahead FROM met WHERE nid IS NOT NULL)),
-size AS (SELECT CAST(CASE WHEN count(*) < 1024 THEN 0 ELSE floor(log(count(*) / 64.0) / log(16.0) + 1e-9) END AS INTEGER) AS digits FROM heads WHERE last IS NOT NULL),
-g AS (SELECT conv_id, answer, left(h, digits) AS g FROM heads, size WHERE last IS NOT NULL),
-ranked AS (SELECT *, dense_rank() OVER (PARTITION BY g ORDER BY answer) AS rk FROM g),
-nexts AS (SELECT g, rk, min(conv_id) AS other FROM ranked GROUP BY ALL),
+ranked AS (SELECT conv_id, dense_rank() OVER (ORDER BY answer) AS rk FROM heads WHERE last IS NOT NULL),
+nexts AS (SELECT rk, min(conv_id) AS other, max(rk) OVER () AS most FROM ranked GROUP BY rk),
 sta AS (
-  SELECT 'stand-in' AS kind, r.conv_id AS chosen_id, coalesce(n.other, CASE WHEN r.rk > 1 THEN f.other END) AS rejected_id
-  FROM ranked r LEFT JOIN nexts n ON n.g = r.g AND n.rk = r.rk + 1 JOIN nexts f ON f.g = r.g AND f.rk = 1),
-pairs AS (SELECT * FROM sib UNION ALL SELECT * FROM sta WHERE rejected_id IS NOT NULL),
+  SELECT 'stand-in' AS kind, r.conv_id AS chosen_id, n.other AS rejected_id
+  FROM ranked r JOIN nexts n ON n.rk = CASE WHEN r.rk = n.most THEN 1 ELSE r.rk + 1 END WHERE n.most > 1),
+pairs AS (SELECT * FROM sib UNION ALL SELECT * FROM sta),
 c AS (SELECT p.kind, p.chosen_id, p.rejected_id, u.pos, u.role, u.text FROM pairs p JOIN u ON u.conv_id = p.chosen_id),
 r AS (
   SELECT p.kind, p.chosen_id, p.rejected_id, u.pos, u.role, u.text FROM pairs p JOIN u ON u.conv_id = p.rejected_id WHERE p.kind = 'sibling'
