@@ -57,6 +57,16 @@ def test_reports(spark):
     assert R.latex(rows[1:], ["model", "score_diff"]) == "b & -1.0\\% \\\\\n" and R.csv_lines(rows, ["model"]) == "model\na\nb\n"
 
 
+def test_reports_in_blocks():
+    rows = [{"model": m, "score": x, "score_diff": d} for m, x, d in (("b", 0.5, -0.01), ("Ref", 0.9, None), ("a", 0.25, 0.5))]
+    columns = ["model", "score", "score_diff"]
+    assert R.with_references(rows, columns, ["Ref"], "Images", -0.125).splitlines()[2:] == ["| b | 50.0% | -1.0% |", "| a | 25.0% | +50.0% |", "", "Global Average Drop (main rows only): -12.5%", "", "| Images |  |  |", "| Ref | 90.0% |  |"]
+    assert R.with_references(rows[:1], columns, ["Ref"], "Images", None).splitlines()[3:] == ["", "Global Average Drop: "]
+    groups = [{"model": m, "method": t, "score": x} for m, t, x in (("Average", "Base", 0.1), ("x", "Base", 0.5), ("y", "Base", 0.5), ("x", "FT", 0.75), ("Average", "FT", None), ("y", "FT", 0.5))]
+    got = R.grouped(groups, ["model", "method", "score"], "model", ["score"]).splitlines()[2:]
+    assert got == ["| x | Base | 50.0% |", "| x | FT | **75.0%** |", "| y | Base | **50.0%** |", "| y | FT | **50.0%** |", "| --- | --- | --- |", "| Average | Base | **10.0%** |", "| Average | FT |  |"]
+
+
 def test_grid_repairs():
     t = dom.parse('<table><tr><td>a</td><td>b</td></tr><tr><td colspan="3">c</td></tr><tr><td>d</td><td>e</td></tr><tr><td>f</td></tr></table>').all("table")[0]
     assert dom.row_widths(t) == [2, 3, 2, 1] and dom.repaired_widths(t) == {"target": 2, "repaired": 2, "unresolved": 0} and dom.row_widths(t) == [2, 2, 2, 2]
