@@ -2,17 +2,22 @@
 
 Base spans are the matches of fixed patterns. The battery adds spans of kind
 "random": words of twenty characters and more, tested by their inferred
-encoding (hex, base32, lower-case base32, base64 and its URL form). Each test
-gives an e-value, the likelihood ratio of its statistic in uniformly random
-words against other ones:
-
-* chi-squared uniformity of the alphabet, runs about the alphabet's median, and
-  serial correlation of neighbours: standard normal in random words, five times
-  as wide or alike in words of a pattern, so that a test can hardly speak for a
-  word but strongly against it;
-* runs of character classes: binomial, by the encoding's own rate of changes
-  against the rate of ordinary words;
-* letters: by the alphabet's even rate against the letters of ordinary words.
+encoding (hex, base32 of either case, base64 and its URL form). Each test gives
+an e-value, the likelihood ratio of its statistic in uniformly random words
+against ordinary ones, of which the likeliest kind counts:
+
+* uniformity of the alphabet: the counts of letters and of character classes,
+  under the encoding's even rates against those of prose, names, constants,
+  numbers and identifiers; the chi-squared statistic of the whole alphabet
+  besides, which is standard normal in random words;
+* runs: the changes of character class, binomial at the encoding's own rate
+  against the rate of ordinary words; runs about the alphabet's median besides;
+* serial correlation: the changes between vowels and consonants of neighbours,
+  which alternate in ordinary words; the correlation of neighbours' values; and
+  equal characters at each of the first lags, which tell a word that repeats itself.
+
+The three besides can hardly speak for a word, but strongly against it, being
+compared with a statistic five times as wide.
 
 Their product is the word's e-value. Its inverse bounds an ordinary word's
 p-value (Markov's inequality) and goes through a weighted Benjamini-Hochberg
@@ -55,10 +60,21 @@ ENCODINGS = (
     ("base32", r"^[A-Z2-7]+=*$|^[a-z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567"),
     ("base64", r"^[A-Za-z0-9+/_]+=*$|^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-#: Rate at which ordinary words change character class between neighbours.
-WORD_RATE = 0.12
-#: The same rate of uniformly random words of each encoding.
+#: Rate at which ordinary words of each encoding's alphabet change character class between neighbours.
+WORD_RATE = {"hex": 0.06, "base32": 0.06, "base64": 0.16}
+#: The same rate of uniformly random words.
 RANDOM_RATE = {"hex": 2 * 10 * 6 / 16**2, "base32": 2 * 26 * 6 / 32**2, "base64": 1 - (26**2 + 26**2 + 10**2 + 2**2) / 64**2}
+#: Character classes (lower, upper, digit, sign) of each alphabet, and their shares in kinds of ordinary words; alphabets of one case have their letters under lower.
+CLASSES = {"hex": (6, 0, 10, 0), "base32": (26, 0, 6, 0), "base64": (26, 26, 10, 2)}
+SHARES = {
+    "hex": ((0.05, 1, 0.95, 1), (0.95, 1, 0.05, 1), (0.5, 1, 0.5, 1)),
+    "base32": ((0.98, 1, 0.02, 1), (0.4, 1, 0.6, 1)),
+    "base64": ((0.93, 0.02, 0.03, 0.02), (0.02, 0.93, 0.03, 0.02), (0.05, 0.05, 0.88, 0.02), (0.72, 0.12, 0.08, 0.08), (0.4, 0.1, 0.4, 0.1)),
+}
+#: Rates at which neighbouring letters change between vowel and consonant in random and in ordinary words; hex has too few letters to tell.
+VOWELS, VOWEL_RATE = 5 / 26, 0.68
+#: Lags of the search for repeats, and the share of equal characters at the lag of a word that repeats itself.
+LAGS, EQUAL = 24, 0.9
 #: Letters a to z of ordinary words, in thousandths; a tenth of the weight is spread evenly, as languages differ.
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 EVEN = 0.1
@@ -118,9 +134,47 @@ def _product_about(mean: float):
     return lambda x, y: (x - mean) * (y - mean)
 
 
-def _classes(word: Column) -> Column:
-    """Each character's class: lower a, upper A, digit 0, other +."""
-    return F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "")
+def _changes(word: Column) -> Column:
+    """Neighbours of different character class: lower a, upper A, digit 0, other +."""
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+    return (F.size(F.regexp_extract_all(kinds, F.lit("a+|A+|0+|[^aA0]+"), F.lit(0))) - 1).cast("double")
+
+
+def _held(word: Column, pattern: str) -> Column:
+    """The number of a word's characters that a pattern takes."""
+    return (F.char_length(word) - F.char_length(F.regexp_replace(word, pattern, ""))).cast("double")
+
+
+def _binomial_odds(hits: Column, n: Column, random: float, ordinary: float) -> Column:
+    return hits * math.log(random / ordinary) + (n - hits) * math.log((1 - random) / (1 - ordinary))
+
+
+def _class_odds(body: Column, name: str) -> Column:
+    """Log likelihood ratio of the counts of character classes, against the likeliest kind of ordinary word."""
+    counts = [_held(body, c) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
+    total = sum(CLASSES[name])
+    logs = lambda shares: reduce(operator.add, (n * math.log(x) for n, x in zip(counts, shares, strict=True) if 0 < x < 1))
+    kinds = [logs(shares) for shares in SHARES[name]]
+    return logs([n / total for n in CLASSES[name]]) - F.greatest(*kinds)
+
+
+def _vowel_odds(body: Column) -> Column:
+    """Log likelihood ratio of the changes between vowels and consonants among neighbouring letters."""
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(body), "[^a-z]", "."), "[aeiou]", "1"), "[a-z]", "2")
+    pairs = _held(kinds, "[12]") - F.size(F.regexp_extract_all(kinds, F.lit("[12]+"), F.lit(0)))
+    return _binomial_odds((_held(kinds, "12") + _held(kinds, "21")) / 2, pairs, 2 * VOWELS * (1 - VOWELS), VOWEL_RATE)
+
+
+def _repeat_odds(values: Column, n: Column, k: int) -> Column:
+    """Log likelihood ratio of the equal characters at the lag that most favours a word that repeats itself, 0 if none does."""
+    size = n.cast("int")
+
+    def at(lag: Column) -> Column:
+        equal = _total(F.zip_with(F.slice(values, F.lit(1), size - lag), F.slice(values, lag + 1, size - lag), lambda x, y: (x == y).cast("double")))
+        return _binomial_odds(equal, (size - lag).cast("double"), 1 / k, EQUAL)
+
+    lags = F.sequence(F.lit(1), F.greatest(F.least(F.floor(n / 2).cast("int"), F.lit(LAGS)), F.lit(1)))
+    return F.least(F.lit(0.0), F.array_min(F.transform(lags, at)) + math.log(LAGS))
 
 
 def _odds_of_letters(alphabet: str) -> list[tuple[str, float]]:
@@ -140,14 +194,14 @@ def _total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y)
 
 
-def _evidence(word: Column) -> Column:
-    """A bound on the p-value of an ordinary word, the inverse of the product of
-    the tests' e-values, or 1 where no encoding fits."""
-    p = F.lit(1.0)
+def battery(word: Column) -> Column:
+    """struct(encoding, uniformity, runs, serial): the log e-values of the tests
+    under the first encoding that fits a word; null where none does."""
+    out = F.lit(None).cast("struct<encoding: string, uniformity: double, runs: double, serial: double>")
     for name, pattern, alphabet in reversed(ENCODINGS):
         k = len(alphabet)
-        body = F.regexp_replace(word, "=+$", "")
-        body = F.translate(body, "_-", "/+") if name == "base64" else F.lower(body)
+        bare = F.regexp_replace(word, "=+$", "")
+        body = F.translate(bare, "_-", "/+") if name == "base64" else F.lower(bare)
         values = F.transform(F.split(body, ""), _value_in(alphabet))
         n = F.char_length(body).cast("double")
         counts = F.transform(F.split(F.lit(alphabet), ""), _count_in(body))
@@ -155,23 +209,39 @@ def _evidence(word: Column) -> Column:
         uniform = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
         mean = (k + 1) / 2
         var = (k * k - 1) / 12
-        before, after = F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1)
+        before, after = F.slice(values, F.lit(1), n.cast("int") - 1), F.slice(values, F.lit(2), n.cast("int") - 1)
         serial = _total(F.zip_with(before, after, _product_about(mean))) / (var * F.sqrt(n - 1))
         turns = _total(F.zip_with(before, after, _crosses(mean)))
         about = (2 * turns - (n - 1)) / F.sqrt(n - 1)
-        kinds = _classes(F.regexp_replace(word, "=+$", ""))
-        changes = _total(F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds) - 1), lambda x, y: (x != y).cast("double")))
-        rate = RANDOM_RATE[name]
-        odds = changes * math.log(rate / WORD_RATE) + (n - 1 - changes) * math.log((1 - rate) / (1 - WORD_RATE))
-        # A word of one class says nothing about its rate of changes: letters alone are an alphabet of their own.
-        odds = F.when(changes == 0, 0.0).otherwise(odds)
         letters = _odds_of_letters(alphabet)
         held = F.transform(F.array(*(F.lit(c) for c, _ in letters)), _count_in(F.lower(body)))
-        odds += _total(F.zip_with(held, F.array(*(F.lit(x) for _, x in letters)), operator.mul))
-        odds += _normal_odds(uniform) + _normal_odds(about) + _normal_odds(serial)
-        tail = F.least(F.lit(1.0), F.exp(-F.greatest(odds, F.lit(-600.0))))
-        p = F.when(word.rlike(pattern) & (n >= 20), tail).otherwise(p)
-    return p
+        even = _total(F.zip_with(held, F.array(*(F.lit(x) for _, x in letters)), operator.mul))
+        changes = _changes(bare)
+        runs = _binomial_odds(changes, n - 1, RANDOM_RATE[name], WORD_RATE[name])
+        shares = _class_odds(body, name)
+        if name == "base32":
+            # Letters alone are an alphabet of their own, in which nothing changes; every other such word may be of it.
+            alone = (changes == 0) & body.rlike("^[a-z]+$")
+            runs, shares = F.when(alone, 0.0).otherwise(runs), F.when(alone, -math.log(2)).otherwise(shares)
+        alternates = F.lit(0.0) if name == "hex" else _vowel_odds(body)
+        tests = F.struct(
+            F.lit(name).alias("encoding"), (even + shares + _normal_odds(uniform)).alias("uniformity"),
+            (runs + _normal_odds(about)).alias("runs"), (alternates + _repeat_odds(values, n, k) + _normal_odds(serial)).alias("serial"),
+        )
+        out = F.when(word.rlike(pattern) & (F.char_length(bare) >= 20), tests).otherwise(out)
+    return out
+
+
+def _evidence(word: Column) -> Column:
+    """A bound on the p-value of an ordinary word, the inverse of the product of
+    the tests' e-values, or 1 where no encoding fits."""
+
+    def tail(x: Column) -> Column:
+        odds = x["uniformity"] + x["runs"] + x["serial"]
+        return F.coalesce(F.least(F.lit(1.0), F.exp(-F.greatest(odds, F.lit(-600.0)))), F.lit(1.0))
+
+    # An array of one element and transform() stand for a let-binding: the tests run once.
+    return F.transform(F.array(battery(word)), tail)[0]
 
 
 def _random(text: Column) -> Column:

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 from helpers import AWKWARD, clashing, empty, rows
+from pyspark.sql import functions as F
 
 from gridleaf.llm import pii, secrets
 from gridleaf.llm.queries import QUERIES
@@ -90,9 +91,21 @@ def evidence(word):
     near = list(zip(v, v[1:], strict=False))
     z = [(chi - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n)), (2 * sum((x > mean) != (y > mean) for x, y in near) - (n - 1)) / math.sqrt(n - 1), sum((x - mean) * (y - mean) for x, y in near) / ((k * k - 1) / 12 * math.sqrt(n - 1))]
     odds = sum(-x * x / 2 - math.log((math.exp(-x * x / 2) + math.exp(-x * x / 50) / 5) / 2) for x in z)
-    rate = secrets.RANDOM_RATE[name]
-    if changes:
-        odds += changes * math.log(rate / 0.12) + (n - 1 - changes) * math.log((1 - rate) / 0.88)
+    def binomial(hits, m, random_, ordinary):
+        return hits * math.log(random_ / ordinary) + (m - hits) * math.log((1 - random_) / (1 - ordinary))
+
+    # Character classes of the decoded word, against the likeliest kind of ordinary word.
+    counts = [sum(f(c) for c in body) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())]
+    of = lambda shares: sum(m * math.log(x) for m, x in zip(counts, shares, strict=True) if 0 < x < 1)
+    if name == "base32" and body.isalpha():
+        odds -= math.log(2)
+    else:
+        odds += of([m / k for m in secrets.CLASSES[name]]) - max(map(of, secrets.SHARES[name]))
+        odds += binomial(changes, n - 1, secrets.RANDOM_RATE[name], secrets.WORD_RATE[name])
+    if name != "hex":
+        pairs = [(x in "aeiou") != (y in "aeiou") for x, y in zip(body.lower(), body.lower()[1:], strict=False) if x.isalpha() and y.isalpha()]
+        odds += binomial(sum(pairs), len(pairs), 2 * 5 / 26 * 21 / 26, 0.68)
+    odds += min(0, math.log(24) + min(binomial(sum(x == y for x, y in zip(v, v[d:], strict=False)), n - d, 1 / k, 0.9) for d in range(1, min(24, n // 2) + 1)))
     own = {c: f for c, f in ENGLISH.items() if c in alphabet}
     total = sum(own.values())
     return odds + sum(-math.log(0.9 * len(own) * own[c] / total + 0.1) for c in body.lower() if c in own)
@@ -133,6 +146,47 @@ def test_single_class_keys_are_found(spark):
         assert sum(got[j * 100 + i]["n_random"] for i in range(40)) >= 38
 
 
+ALPHABETS = {"HEX": "0123456789ABCDEF", "BASE32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base32": "abcdefghijklmnopqrstuvwxyz234567", "base64": secrets.ENCODINGS[2][2], "url": secrets.ENCODINGS[2][2][:-2] + "-_"}
+
+
+def test_nine_of_ten_random_words_are_found(spark):
+    """Of each encoding and length, one word in a text, and one beside four long ordinary words."""
+    rng = random.Random(77)
+    beside = "internationalization_support getCustomerAddressForOrderItem Donaudampfschifffahrtsgesellschaft state-of-the-art-and-up-to-date"
+    texts, at = {}, 0
+    for name, alphabet in ALPHABETS.items():
+        for n in (20, 24, 32, 48):
+            for _ in range(200):
+                texts[at] = (name, n, "".join(rng.choice(alphabet) for _ in range(n)))
+                at += 1
+    rows_ = [(i, f"see {w} here") for i, (_, _, w) in texts.items()] + [(100_000 + i, f"{beside} {w} here") for i, (_, n, w) in texts.items() if n >= 24]
+    got = rows(secrets.secrets(spark.createDataFrame(rows_, "doc_id long, text string")))
+    found = {}
+    for i, text in rows_:
+        name, n, w = texts[i % 100_000]
+        start = text.index(w)
+        found.setdefault((name, n, i >= 100_000), []).append(f"random:{start}:{start + n}" in got[i]["spans"])
+    assert {k: sum(v) / 200 for k, v in found.items() if sum(v) < 180} == {}
+
+
+def test_words_of_a_pattern_are_not_random(spark):
+    words = [
+        "Xk7QzJ2wXk7QzJ2wXk7QzJ2w", "zxqvkjwpzxqvkjwpzxqvkjwp", "DEADBEEFDEADBEEFDEADBEEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "AAAAAAAAAAAAAAAAAAAAAAAAAA", "ELECTROENCEPHALOGRAPHICALLY", "2024-01-01T00-00-00-000000",
+        "com/example/project/module/Main", "THIS_IS_A_CONSTANT_NAME_OF_CODE", "version2beta3release4candidate", "antidisestablishmentarianism", "ISBN9783161484100ISBN9783161484100", "20230501_143022_IMG_0042", "ACCOUNT1234567890123456", "=" * 30,
+    ]
+    got = secrets.secrets(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).collect()
+    assert [words[r.doc_id] for r in got if r.n_random] == []
+
+
+def test_each_test_has_its_share(spark):
+    """In random words of base32 and base64 all three tests speak for them; in hex, whose letters are few, serial correlation only may speak against."""
+    rng = random.Random(5)
+    words = [(name, "".join(rng.choice(a) for _ in range(32))) for name, a in ALPHABETS.items() for _ in range(100)]
+    tests = spark.createDataFrame(words, "name string, w string").select("name", secrets.battery(F.col("w")).alias("t")).groupBy("name").agg(*(F.avg(f"t.{c}").alias(c) for c in ("uniformity", "runs", "serial"))).collect()
+    for r in tests:
+        assert r.uniformity > 2 and r.runs > (1 if "32" in r.name else 10) and (r.serial > 3 or r.name == "HEX" and r.serial > 0), r
+
+
 def test_many_matches_in_one_text(spark):
     text = " ".join(f"{i:016x}" for i in range(5000))
     got = rows(secrets.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")))
