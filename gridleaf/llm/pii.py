@@ -15,8 +15,10 @@ All weights are learnt together in numpy, by penalised pseudo-likelihood on a
 bounded sample of nodes: those that the base patterns label, and words that are
 none (words with letters and digits, and fixed forms of dates, times, versions
 and counts). Each labelled node is shown with its form and once without, so
-that the potentials must explain it too; what a form may say is bounded. Words that have a base pattern's form
-but fail its test (a card number with a wrong digit) are no examples of none.
+that the potentials must explain it too; what a form may say is bounded. Words that
+have a base pattern's form but fail its test are no examples of none, but for
+numbers of a card's length with a wrong check digit, most of which are no
+cards; a right and a wrong one are features of the form.
 
 Defined results: null texts are empty texts; empty texts have no spans; texts
 without candidates have no field; very long texts are read whole; of overlapping
@@ -177,7 +179,9 @@ def form(span: str) -> np.ndarray:
     n = len(span)
     digits = sum("0" <= c <= "9" for c in span)
     letters = sum(c.isalpha() for c in span)
-    return np.array([1.0, digits / n, letters / n, "@" in span, span.count(".") == 3, span.count("-") / n * 4, span.startswith("+"), "(" in span, digits in (15, 16), 9 <= digits <= 13, min(n, 40) / 40, digits > 19])
+    card = 12 <= digits <= 19 and bool(_CARD.fullmatch(span))
+    right = card and luhn("".join(_DIGITS.findall(span)))
+    return np.array([1.0, digits / n, letters / n, "@" in span, span.count(".") == 3, span.count("-") / n * 4, span.startswith("+"), "(" in span, digits in (15, 16), 9 <= digits <= 13, min(n, 40) / 40, digits > 19, right, card and not right])
 
 
 def nodes_of(text: str) -> tuple[list[tuple[int, int, int | None]], list[tuple[int, int, int]]]:
@@ -233,12 +237,13 @@ def edges_of(text: str, nodes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def lookalike(span: str) -> bool:
-    """Whether a word has the form of a base pattern, though it fails its test."""
+    """Whether a word has the form of a base pattern, though it fails its test.
+    Numbers of a card's length that fail the card's are none: they are examples."""
     digits = sum("0" <= c <= "9" for c in span)
-    return "@" in span or bool(_IP.fullmatch(span)) or (bool(_CARD.fullmatch(span)) and 12 <= digits <= 19) or (bool(_PHONE.fullmatch(span)) and digits >= 7)
+    return "@" in span or bool(_IP.fullmatch(span)) or (bool(_PHONE.fullmatch(span)) and digits >= 7)
 
 
-N_FORM = 12
+N_FORM = 14
 #: A row of an example: form, labels of the neighbours before and after (one-hot), and the numbers of equal, ending and alike nodes by label.
 N_ROW = N_FORM + 5 * (2 + 3)
 
