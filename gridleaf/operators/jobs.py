@@ -11,65 +11,25 @@ from pyspark.sql import functions as F
 from .ordered import smallest
 from .staging import staged
 
-# The texts that models are asked with. {html} and {context} are replaced.
+# The texts that models are asked with. {source}, {values} and {action} follow from the condition; {html} and {context} are replaced.
 SYSTEM = "You are a precise table and JSON conversion assistant."
+SOURCE = {"filled": {"schema": "filled HTML table", "alignment": "filled HTML form"}, "empty": {"schema": "empty HTML table template", "alignment": "empty HTML form template"}}
+VALUES = {"filled": "Preserve filled values when they are present.", "empty": "Use empty strings for fillable values."}
+ACTION = {"filled": "check, correct, and complete this already filled HTML table", "empty": "fill this empty HTML table template"}
 PROMPTS = {
-    ("schema", "filled"): """Convert the following filled HTML table into a concise hierarchical JSON object.
+    "schema": """Convert the following {source} into a concise hierarchical JSON object.
 
 Rules:
 1. Keep the original language of all labels.
 2. Preserve the table's field hierarchy and repeated structures.
 3. Convert selectable fields to objects with "select" and "value" when possible.
-4. Preserve filled values when they are present.
-5. Return only valid JSON, without markdown fences or explanations.
-
-HTML:
-{html}
-""",
-    ("schema", "empty"): """Convert the following empty HTML table template into a concise hierarchical JSON object.
-
-Rules:
-1. Keep the original language of all labels.
-2. Preserve the table's field hierarchy and repeated structures.
-3. Convert selectable fields to objects with "select" and "value" when possible.
-4. Use empty strings for fillable values.
+4. {values}
 5. Return only valid JSON, without markdown fences or explanations.
 
 HTML:
 {html}
 """,
-    ("alignment", "filled"): """Identify all fillable positions in the following filled HTML form.
-
-Return the complete HTML using the reference placeholder format. At every position that should contain user-provided data, insert an HTML input placeholder:
-<input type="text" name="FieldName" value="placeholder">
-
-Rules:
-1. Keep the original table structure, text, styling, rows, and cells.
-2. Do not invent field names; use the most local label text from the table as the input name.
-3. For plain text fields, replace the fillable blank/value with <input type="text" name="FieldName" value="placeholder">.
-4. For repeated rows, add 1-based indices to the name when needed, for example name="Item1" and name="Item2".
-5. For checkbox, radio, or other selectable groups, use the same field name for every option in the group. If the option is already an <input type="checkbox"> or <input type="radio">, add name="FieldName" and value="placeholder" to that input. If the selectable mark is plain text such as ( ), [ ], or a check mark, insert a nearby <input type="text" name="FieldName" value="placeholder">.
-6. Do not output square-bracket placeholders such as [Name]. The output must use HTML input placeholders with name="..." and value="placeholder".
-7. Return only the final HTML, without markdown fences or explanations.
-
-HTML:
-{html}
-""",
-    ("infill", "filled"): """Use the relevant information to check, correct, and complete this already filled HTML table.
-
-Rules:
-1. Keep the original HTML structure and styling.
-2. Fill all fields supported by the relevant information.
-3. Preserve checkbox/radio/selectable markup and set the selected option where appropriate.
-4. Return only the final HTML, without markdown fences or explanations.
-
-Relevant information:
-{context}
-
-HTML:
-{html}
-""",
-    ("alignment", "empty"): """Identify all fillable positions in the following empty HTML form template.
+    "alignment": """Identify all fillable positions in the following {source}.
 
 Return the complete HTML using the reference placeholder format. At every position that should contain user-provided data, insert an HTML input placeholder:
 <input type="text" name="FieldName" value="placeholder">
@@ -86,7 +46,7 @@ Rules:
 HTML:
 {html}
 """,
-    ("infill", "empty"): """Use the relevant information to fill this empty HTML table template.
+    "infill": """Use the relevant information to {action}.
 
 Rules:
 1. Keep the original HTML structure and styling.
@@ -144,7 +104,7 @@ Relevant information:
 
 def _pieces(task: str, condition: str) -> list[str]:
     """The template cut at its fields, fields included."""
-    out, rest = [], PROMPTS[task, condition]
+    out, rest = [], PROMPTS[task].replace("{source}", SOURCE[condition].get(task, "")).replace("{values}", VALUES[condition]).replace("{action}", ACTION[condition])
     for name in ("{context}", "{html}"):
         if name in rest:
             head, rest = rest.split(name, 1)
