@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, collected, map_batches, mixed, powers, scratch, slices, span_hashes, unused, word_spans, written
+from .common import LOWER, collected, map_batches, mixed, powers, scratch, slices, span_hashes, unused, written
 
 DEPTH, FIFTHS, LONG = 3, 5, 50
 #: Words outside the wildcard fifth that a template needs at least.
@@ -54,12 +54,25 @@ GRAM = 16
 #: Columns that dedup_lines adds.
 COUNTS = ("n_lines", "n_dropped", "chars_before", "chars_after")
 _BASE = 0x9E3779B97F4A7C15
-#: Signs of a variable field, besides '://'.
-_FIELD = np.isin(np.arange(256), list(b"0123456789@\\"))
+#: Tables for translate(): signs of a variable field (besides '://'), white space, lower case.
+_FIELD = bytes(np.isin(np.arange(256), list(b"0123456789@\\")).astype(np.uint8))
+_WHITE = bytes(np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c")).astype(np.uint8))
+_LOWER = bytes(LOWER)
 VARIABLE = re.compile(rb"[0-9@]|://|\\")
 _STAR = np.uint64(0x2545F4914F6CDD1D)
 
 
+def _spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs without white space start and end."""
+    white = np.frombuffer(raw.translate(_WHITE), np.uint8)
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    if len(white) and not white[0]:
+        edges = np.concatenate([[0], edges])
+    if len(white) and not white[-1]:
+        edges = np.concatenate([edges, [len(white)]])
+    return edges[::2], edges[1::2]
+
+
 class Words:
     """The words and lines of texts, as positions in their joined bytes, with hashes."""
 
@@ -69,8 +82,8 @@ class Words:
         self.data = data = np.frombuffer(self.raw, np.uint8)
         sizes = np.array([len(p) for p in parts], np.int64)
         self.since = np.cumsum(sizes + 1) - sizes - 1  # where each text starts
-        low = LOWER[data]
-        self.starts, self.ends = word_spans(low)
+        low = np.frombuffer(self.raw.translate(_LOWER), np.uint8)
+        self.starts, self.ends = _spans(self.raw)
         self.hashes = span_hashes(low, self.starts, self.ends)
         self.text = np.searchsorted(self.since, self.starts, "right") - 1
         self.sizes = np.bincount(self.text, minlength=len(parts))
@@ -83,13 +96,14 @@ class Words:
 
     def masked(self) -> np.ndarray:
         """The words' hashes, those of variable fields replaced by one."""
-        sign = _FIELD[self.data]
-        at = self.raw.find(b"://")
+        signs = [np.flatnonzero(np.frombuffer(self.raw.translate(_FIELD), np.uint8))]
+        at, found = self.raw.find(b"://"), []
         while at >= 0:
-            sign[at] = True
+            found.append(at)
             at = self.raw.find(b"://", at + 1)
-        before = np.concatenate([[0], np.cumsum(sign)])
-        return np.where(before[self.ends] > before[self.starts], _STAR, self.hashes)
+        out = self.hashes.copy()
+        out[np.searchsorted(self.starts, np.concatenate([*signs, np.array(found, np.int64)]), "right") - 1] = _STAR
+        return out
 
     def line_hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.line_starts, self.line_ends).view(np.int64)
@@ -176,7 +190,7 @@ SHORT, PASSAGE, ANCHOR = 0, 1, 2
 def _keyed(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, kind, key, mark (the hash of the line or of the anchor's stretch)
     and fresh (1 at the document's first such key), of each line's templates and
-    of each text's anchors; a mark once for each key of a document."""
+    of each text's anchors; neighbouring equal marks of a document's key once."""
 
     def make():
         def work(x):
@@ -193,10 +207,11 @@ def _keyed(docs: DataFrame, least: int) -> DataFrame:
             key = np.concatenate([keys, low[begins].view(np.int64)])
             mark = np.concatenate([w.line_hashes()[used][owner], stretch.view(np.int64)])
             kind = np.concatenate([np.where(lengths >= LONG, PASSAGE, SHORT)[owner], np.full(len(begins), ANCHOR)])
-            order = np.lexsort((mark, key, doc))
-            doc, key, mark, kind = doc[order], key[order], mark[order], kind[order]
+            pair = _pairs(doc, key)
+            order = np.argsort(pair)
+            doc, key, mark, kind, pair = doc[order], key[order], mark[order], kind[order], pair[order]
             fresh = np.ones(len(order), bool)
-            fresh[1:] = (np.diff(key) != 0) | (np.diff(doc) != 0)
+            fresh[1:] = pair[1:] != pair[:-1]
             keep = fresh.copy()
             keep[1:] |= np.diff(mark) != 0
             return {"doc_id": pa.array(x["doc_id"], pa.int64()).take(pa.array(doc[keep])), "kind": kind[keep], "key": key[keep], "mark": mark[keep], "fresh": fresh[keep].astype(np.int64)}
@@ -233,8 +248,8 @@ def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: i
     """doc_id, gone (hashes of the lines to drop), settled (anchors all of whose
     runs are to drop) and covered (keys of further runs to drop, or null).
     Templates, anchors and runs are counted by partial aggregates, so no key's
-    rows ever have to meet; the joins with those that recur are ones whose large
-    partitions Spark splits."""
+    rows ever have to meet; the joins with those that recur, which are hashed as
+    they are the few, are ones whose large partitions Spark splits."""
     spark, ends = docs.sparkSession, (F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     with scratch(spark):
         docs = docs.where("doc_id IS NOT NULL")
@@ -249,10 +264,10 @@ def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: i
             held = held.groupBy("key").agg(F.max("kind").alias("kind"), F.count("*").alias("docs")).where(enough)
             often = written(often.join(held.select("key"), "key", "left_semi"), "lines-held")
         often = often.select("key", "first")
-        gone = lines.join(often, "key").where("doc_id <> first").select("doc_id", F.col("mark").alias("gone"))
+        gone = lines.join(often.hint("shuffle_hash"), "key").where("doc_id <> first").select("doc_id", F.col("mark").alias("gone"))
         known = anchors.groupBy("key").agg(*ends, (F.min("mark") == F.max("mark")).alias("same")).where("first < last")
         known = written(known.select("key", "first", "same"), "lines-anchors")
-        met = anchors.join(known, "key").where("not same or doc_id <> first")
+        met = anchors.join(known.hint("shuffle_hash"), "key").where("not same or doc_id <> first")
         met = met.select("doc_id", F.when(F.col("same"), F.col("key")).alias("settled"), F.when(~F.col("same"), F.col("key")).alias("anchors"))
         marks = gone.unionByName(met, allowMissingColumns=True).groupBy("doc_id").agg(*(F.collect_set(c).alias(c) for c in ("gone", "settled", "anchors")))
         marks = written(marks, "lines-marks", keep=True)
@@ -263,7 +278,7 @@ def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: i
         collected(spark)
         twice = written(listed.groupBy("key").agg(*ends).where("first < last").select("key", "first"), "lines-twice")
         collected(spark)
-        covered = listed.join(twice, "key").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("key").alias("covered"))
+        covered = listed.join(twice.hint("shuffle_hash"), "key").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("key").alias("covered"))
         covered = written(covered, "lines-covered", keep=True)
     collected(spark)
     return marks.select("doc_id", "gone", "settled").join(covered, "doc_id", "left")
@@ -293,6 +308,22 @@ def uncovered(texts: list[str], gone: list, settled: list, covered: list) -> tup
     return [b"\n".join(x).decode() for x in kept], dropped.tolist()
 
 
+def without_lines(texts: list[str], gone: list) -> tuple[list[str], list[int]]:
+    """As uncovered, of texts that lose whole lines only: their words are not read."""
+    parts = [t.encode() for t in texts]
+    raw = b"\n".join(parts)
+    data = np.frombuffer(raw, np.uint8)
+    breaks = np.flatnonzero(data == 10)
+    starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
+    since = np.cumsum([len(p) + 1 for p in parts])
+    holder = np.searchsorted(since, starts, "right")
+    drop = np.isin(_pairs(holder, span_hashes(data, starts, ends).view(np.int64)), _marked(gone))
+    kept: list[list[bytes]] = [[] for _ in texts]
+    for doc, a, b in zip(holder[~drop].tolist(), starts[~drop].tolist(), ends[~drop].tolist(), strict=True):
+        kept[doc].append(raw[a:b])
+    return [b"\n".join(x).decode() for x in kept], np.bincount(holder[drop], minlength=len(texts)).tolist()
+
+
 def _marked(of: list) -> np.ndarray:
     """The pairs of each row's place and the keys in its list (or None)."""
     sizes = [0 if x is None else len(x) for x in of]
@@ -318,9 +349,14 @@ def _uncovered(text: pa.Array, gone: pa.Array, settled: pa.Array, covered: pa.Ar
     some = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text, gone, settled, covered], ["at", "text", "gone", "settled", "covered"]).filter(text.is_valid())
     for since, n in slices(some):
         part = some.slice(since, n)
-        x = {c: part.column(i).to_pylist() for i, c in enumerate(part.schema.names)}
-        for at, t, d in zip(x["at"], *uncovered(x["text"], x["gone"], x["settled"], x["covered"]), strict=True):
-            out[at] = {"text": t, "dropped": d}
+        rows = part.to_pylist()
+        whole = [r for r in rows if not r["settled"] and not r["covered"]]
+        rest = [r for r in rows if r["settled"] or r["covered"]]
+        of = lambda rows, *names: [[r[c] for r in rows] for c in names]
+        for some_, cut, names in ((whole, without_lines, ("text", "gone")), (rest, uncovered, ("text", "gone", "settled", "covered"))):
+            if some_:
+                for r, t, d in zip(some_, *cut(*of(some_, *names)), strict=True):
+                    out[r["at"]] = {"text": t, "dropped": d}
     return pa.array(out, kind)
 
 
