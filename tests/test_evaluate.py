@@ -46,6 +46,34 @@ def test_states(spark):
     assert {r["state"] for r in E.evaluated(jobs, docs, sources.limit(0)).collect()} == {"source_error"}
 
 
+def full(spark, **change):
+    """Whole jobs, predictions without a request, and sources."""
+    gold = json.dumps({"Name": "Ada"})
+    sources = spark.createDataFrame(
+        [("en", 1, BLANK, FILLED, gold, gold, META, BLANK, "Name: Ada B")],
+        "lang string, sample_id int, html_empty string, html_filled string, json_empty string, json_filled string, meta string, placeholder_html string, context string",
+    )
+    jobs = E.prepared(sources, "m")
+    docs = jobs.select(*E.KEYS).collect()
+    rows = [(*r, json.dumps({"raw_response": ANSWERS[r.task]} | change)) for r in docs]
+    return jobs, spark.createDataFrame(rows, "lang string, sample_id int, model string, task string, condition string, document string"), sources
+
+
+def test_prepared_jobs_stand_for_missing_requests(spark):
+    jobs, docs, sources = full(spark)
+    of = lambda **kw: {(r["state"], r["score"]) for r in E.evaluated(jobs, docs, sources, **kw).collect()}
+    assert of() == {("source_mismatch", None)}  # a prediction that names no request, and nothing prepared
+    assert of(evidence=jobs) == {("scored", 1.0)}
+    other = jobs.withColumn("target_count", jobs["target_count"] + 1)
+    assert of(evidence=other) == {("source_mismatch", None)}
+    assert {(r["state"], r["total"]) for r in E.evaluated(jobs, docs, sources).collect()} == {("source_mismatch", 1)}
+    # What is no object says nothing, so the prepared job decides, and the response is malformed.
+    broken = docs.withColumn("document", E.F.lit("[1]"))
+    assert {(r["state"], r["score"], r["total"]) for r in E.evaluated(jobs, broken, sources, evidence=jobs).collect()} == {("model_format_failure", 0.0, 1)}
+    jobs, docs, sources = full(spark, request={"lang": "en"})
+    assert {r["state"] for r in E.evaluated(jobs, docs, sources, evidence=jobs).collect()} == {"source_mismatch"}
+
+
 def test_a_metric_without_backend_is_a_state(spark):
     found = {(r["task"], r["state"]) for r in E.evaluated(*frames(spark), metric="cpp").collect()}
     assert found == {("schema", "backend_error"), ("alignment", "scored"), ("infill", "scored")}
