@@ -41,6 +41,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +74,12 @@ def _spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def stretch_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of few stretches of bytes, which cost less one by one than sums over all bytes."""
+    view = memoryview(raw)
+    return np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
+
+
 class Words:
     """The words and lines of texts, as positions in their joined bytes, with hashes."""
 
@@ -106,7 +113,7 @@ class Words:
         return out
 
     def line_hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.line_starts, self.line_ends).view(np.int64)
+        return stretch_hashes(self.raw, self.line_starts, self.line_ends)
 
 
 def templates(plain: np.ndarray, masked: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +190,8 @@ def _once(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return order[first]
 
 
-#: Kinds of rows: templates of shorter and of long lines, and anchors.
-SHORT, PASSAGE, ANCHOR = 0, 1, 2
+#: Kinds of rows: templates of lines, and anchors. A template's key is odd if its lines are long ones.
+TEMPLATE, ANCHOR = 0, 1
 
 
 def _keyed(docs: DataFrame, least: int) -> DataFrame:
@@ -203,10 +210,11 @@ def _keyed(docs: DataFrame, least: int) -> DataFrame:
             if len(used):
                 inside = np.repeat(w.first[used] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
                 keys, owner = templates(w.hashes[inside], w.masked()[inside], lengths)
+                keys = keys & ~1 | (lengths >= LONG)[owner]
             doc = np.concatenate([w.text[w.first[used]][owner], w.text[at[begins]]])
             key = np.concatenate([keys, low[begins].view(np.int64)])
             mark = np.concatenate([w.line_hashes()[used][owner], stretch.view(np.int64)])
-            kind = np.concatenate([np.where(lengths >= LONG, PASSAGE, SHORT)[owner], np.full(len(begins), ANCHOR)])
+            kind = np.repeat([TEMPLATE, ANCHOR], [len(keys), len(begins)])
             pair = _pairs(doc, key)
             order = np.argsort(pair)
             doc, key, mark, kind, pair = doc[order], key[order], mark[order], kind[order], pair[order]
@@ -255,15 +263,14 @@ def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: i
         docs = docs.where("doc_id IS NOT NULL")
         keyed = written(_keyed(docs, least), "lines-keyed")
         lines, anchors = keyed.where(F.col("kind") < ANCHOR), keyed.where(F.col("kind") == ANCHOR)
-        counts = lines.groupBy("key").agg(*ends, F.max("kind").alias("kind"), F.sum("fresh").alias("docs"))
-        enough = F.col("docs") >= F.when(F.col("kind") == PASSAGE, long_docs).otherwise(short_docs)
-        often = written(counts.where("first < last").where(enough).select("key", "first", "kind"), "lines-often")
+        counts = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.sum("fresh").alias("docs"))
+        enough = F.col("docs") >= F.when(F.col("key").bitwiseAND(1) == 1, long_docs).otherwise(short_docs)
+        often = written(counts.where(enough).where("docs > 1").select("key", "first"), "lines-often")
         if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             # Rows were counted; where ids repeat, the holders of what recurs are counted as well.
-            held = lines.join(often.select("key"), "key", "left_semi").groupBy("key", "doc_id").agg(F.max("kind").alias("kind"))
-            held = held.groupBy("key").agg(F.max("kind").alias("kind"), F.count("*").alias("docs")).where(enough)
+            held = lines.join(often.select("key"), "key", "left_semi").groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
+            held = held.groupBy("key").agg(F.count("*").alias("docs")).where(enough).where("docs > 1")
             often = written(often.join(held.select("key"), "key", "left_semi"), "lines-held")
-        often = often.select("key", "first")
         gone = lines.join(often.hint("shuffle_hash"), "key").where("doc_id <> first").select("doc_id", F.col("mark").alias("gone"))
         known = anchors.groupBy("key").agg(*ends, (F.min("mark") == F.max("mark")).alias("same")).where("first < last")
         known = written(known.select("key", "first", "same"), "lines-anchors")
@@ -317,7 +324,7 @@ def without_lines(texts: list[str], gone: list) -> tuple[list[str], list[int]]:
     starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
     since = np.cumsum([len(p) + 1 for p in parts])
     holder = np.searchsorted(since, starts, "right")
-    drop = np.isin(_pairs(holder, span_hashes(data, starts, ends).view(np.int64)), _marked(gone))
+    drop = np.isin(_pairs(holder, stretch_hashes(raw, starts, ends)), _marked(gone))
     kept: list[list[bytes]] = [[] for _ in texts]
     for doc, a, b in zip(holder[~drop].tolist(), starts[~drop].tolist(), ends[~drop].tolist(), strict=True):
         kept[doc].append(raw[a:b])
