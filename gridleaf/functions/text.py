@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +28,31 @@ def arrow(schema: str):
     return wrap
 
 
+def arrow_rows(schema: str):
+    """As arrow, of a function of one row's plain values; what it returns (dicts for structs) goes to Arrow as it is, without pandas."""
+
+    def wrap(f):
+        made = []
+
+        def call(*columns):
+            if not made:
+                from pyspark.sql.pandas.types import to_arrow_type
+                from pyspark.sql.types import DataType
+
+                kind = to_arrow_type(DataType.fromDDL(schema))
+
+                def run(*arrays: pa.Array) -> pa.Array:
+                    return pa.array(list(map(f, *(x.to_pylist() for x in arrays))), type=kind)
+
+                made.append(F.arrow_udf(run, schema))
+            return made[0](*columns)
+
+        call.__doc__, call.__name__ = f.__doc__, f.__name__
+        return call
+
+    return wrap
+
+
 # The character classes that the scored tasks agree on.
 SPACE = r"(?U)[\s\x{1C}-\x{1F}]"
 PUNCTUATION = "[]{}()<>:：,，.;；。!?！？'\"`_-/\\|~"
@@ -73,8 +99,14 @@ def collapsed(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)[\s\x{1C}-\x{1F}]+", " "))
 
 
+#: What goes from texts of ASCII alone: white space and punctuation, at once.
+_ASCII_DROPPED = {i: None for i in range(128) if chr(i).isspace() or chr(i) in PUNCTUATION}
+
+
 def infill_value(text: str | None) -> str:
     """Compatibility form, case-folded, no white space, no punctuation."""
+    if text.__class__ is str and text.isascii():
+        return text.lower().translate(_ASCII_DROPPED)
     folded = unicodedata.normalize("NFKC", "" if text is None else str(text)).casefold()
     return "".join(c for c in folded if not c.isspace() and c not in PUNCTUATION)
 

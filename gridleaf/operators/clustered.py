@@ -15,6 +15,17 @@ from .ordered import bounded
 ROWS = 256
 
 
+#: Tasks for each core, so that a slow one does not hold up the rest.
+WAVES = 4
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over tasks of equal shares, before Python reads what is made of each.
+    A table of narrow rows lies in few row groups, each of which one task reads
+    whole, so that without this a few tasks would parse all of its documents."""
+    return rows.repartition(WAVES * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def clustered(predictions: DataFrame, sources: DataFrame, on: Sequence[str], rows: int = ROWS) -> DataFrame:
     """Rows of both sides, each source (__source true) right before its
     predictions. A source's text is shuffled once for each task that scores it
@@ -28,7 +39,7 @@ def clustered(predictions: DataFrame, sources: DataFrame, on: Sequence[str], row
     b = sources.join(side, list(on), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     both = b.withColumn("__source", F.lit(True)).unionByName(a.withColumn("__source", F.lit(False)), allowMissingColumns=True)
     keys = [*on, "__part"]
-    return both.select(*keys, "__source", *theirs, *own).repartition(*keys).sortWithinPartitions(*keys, F.col("__source").desc())
+    return dealt(both.select(*keys, "__source", *theirs, *own), *keys).sortWithinPartitions(*keys, F.col("__source").desc())
 
 
 def scored(batches: Iterator[pa.RecordBatch], on: Sequence[str], theirs: Sequence[str], out: pa.Schema, score: Callable[[dict[str, Any], dict[str, Any]], dict[str, Any]]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import dom
-from ..functions.text import arrow
+from ..functions.text import arrow, arrow_rows
 
 CONTROL = "struct<idx:int,kind:string,value:string>"
 CELL = f"struct<row:int,col:int,rowspan:int,colspan:int,tag:string,text:string,html:string,controls:array<{CONTROL}>>"
@@ -30,9 +30,9 @@ def _cell(row: int, col: int, node: dom.Node) -> dict:
 
 
 def cells_of(layout: str):
-    @arrow(f"array<{CELL}>")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda h: [_cell(r, c, n) for (r, c), n in sorted(dom.cells(h, layout).items(), key=lambda i: i[0])])
+    @arrow_rows(f"array<{CELL}>")
+    def run(h: str | None) -> list[dict]:
+        return [_cell(r, c, n) for (r, c), n in sorted(dom.cells(h, layout).items(), key=lambda i: i[0])]
 
     return run
 
@@ -92,9 +92,9 @@ def row_widths(x: pd.Series) -> pd.Series:
     return x.map(lambda h: [dom.row_widths(t) for t in dom.parse(h).all("table")])
 
 
-@arrow("string")
-def inputs_for_markers(x: pd.Series) -> pd.Series:
-    return x.map(lambda h: dom.inputs_for_markers(h or ""))
+@arrow_rows("string")
+def inputs_for_markers(h: str | None) -> str:
+    return dom.inputs_for_markers(h or "")
 
 
 @arrow("string")

@@ -9,47 +9,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import jsontree, meta, scoring
-from ..functions.text import arrow, without_thinking
+from ..functions.text import arrow, arrow_rows, without_thinking
 
 COUNTS = "struct<correct:int,total:int>"
 
 
 def infill_counts(matcher: str = "source_faithful_v3"):
-    @arrow(COUNTS)
-    def run(pred: pd.Series, gold: pd.Series, blank: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([scoring.infill(*r, matcher) for r in zip(pred, gold, blank, strict=True)], columns=["correct", "total"])
+    @arrow_rows(COUNTS)
+    def run(pred: str | None, gold: str | None, blank: str | None) -> dict:
+        correct, total = scoring.infill(pred, gold, blank, matcher)
+        return {"correct": correct, "total": total}
 
     return run
 
 
 def infill_targets(matcher: str = "source_faithful_v3"):
-    @arrow("array<struct<row:int,col:int,kind:string,correct:boolean>>")
-    def run(pred: pd.Series, gold: pd.Series, blank: pd.Series) -> pd.Series:
+    @arrow_rows("array<struct<row:int,col:int,kind:string,correct:boolean>>")
+    def run(pred: str | None, gold: str | None, blank: str | None) -> list[dict]:
         fields = ("row", "col", "kind", "correct")
-        return pd.Series([[{f: t[f] for f in fields} for t in scoring.MATCHERS[matcher](*r)] for r in zip(pred, gold, blank, strict=True)])
+        return [{f: t[f] for f in fields} for t in scoring.MATCHERS[matcher](pred, gold, blank)]
 
     return run
 
 
-@arrow("struct<strategy:string,correct:int,total:int,types:array<struct<type:string,ok:boolean>>>")
-def alignment_result(pred: pd.Series, gold: pd.Series, meta_json: pd.Series) -> pd.DataFrame:
-    rows = []
-    for p, g, m in zip(pred, gold, meta_json, strict=True):
-        document, _ = jsontree.lenient(m)
-        strategy, found = scoring.alignment(p, g, jsontree.expected_of(document or []))
-        rows.append((strategy, sum(ok for _, ok in found), len(found), [{"type": t, "ok": ok} for t, ok in found]))
-    return pd.DataFrame(rows, columns=["strategy", "correct", "total", "types"])
+@arrow_rows("struct<strategy:string,correct:int,total:int,types:array<struct<type:string,ok:boolean>>>")
+def alignment_result(pred: str | None, gold: str | None, meta_json: str | None) -> dict:
+    document, _ = jsontree.lenient(meta_json)
+    strategy, found = scoring.alignment(pred, gold, jsontree.expected_of(document or []))
+    return {"strategy": strategy, "correct": sum(ok for _, ok in found), "total": len(found), "types": [{"type": t, "ok": ok} for t, ok in found]}
 
 
-@arrow("array<string>")
-def meta_types(meta_json: pd.Series) -> pd.Series:
+@arrow_rows("array<string>")
+def meta_types(meta_json: str | None) -> list[str] | None:
     """The types of a meta document's targets, in order; null where it cannot be read."""
-
-    def one(m):
-        document, status = jsontree.lenient(m)
-        return [x["type"] for x in jsontree.expected_of(document)] if status == "ok" else None
-
-    return meta_json.map(one)
+    document, status = jsontree.lenient(meta_json)
+    return [x["type"] for x in jsontree.expected_of(document)] if status == "ok" else None
 
 
 def meta_targets(meta_json: Column) -> Column:
@@ -66,14 +60,11 @@ def schema_result(mode: str = "py_tree"):
     if mode not in SCHEMA_METRICS:
         raise ValueError(f"no backend for the metric {mode}")
 
-    @arrow("struct<similarity:double,pred_status:string,gold_status:string>")
-    def run(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, g in zip(pred, gold, strict=True):
-            a, sa = jsontree.object_only(p, "pred")
-            b, sb = jsontree.object_only(g, "gold")
-            rows.append((jsontree.similarity(a, b, mode) if a is not None and b is not None else 0.0, sa, sb))
-        return pd.DataFrame(rows, columns=["similarity", "pred_status", "gold_status"])
+    @arrow_rows("struct<similarity:double,pred_status:string,gold_status:string>")
+    def run(pred: str | None, gold: str | None) -> dict:
+        a, sa = jsontree.object_only(pred, "pred")
+        b, sb = jsontree.object_only(gold, "gold")
+        return {"similarity": jsontree.similarity(a, b, mode) if a is not None and b is not None else 0.0, "pred_status": sa, "gold_status": sb}
 
     return run
 
@@ -138,9 +129,9 @@ def conforms(template: pd.Series, output: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ok", "reason"])
 
 
-@arrow("array<struct<key:string,row:int,col:int,offsets:array<struct<rows:int,cols:int>>,is_object_type:boolean,is_non_pure_text:boolean,type:string>>")
-def meta_items(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: [{**i, "offsets": [{"rows": r, "cols": c} for r, c in i["offsets"]]} for i in meta.meta_items(h)])
+@arrow_rows("array<struct<key:string,row:int,col:int,offsets:array<struct<rows:int,cols:int>>,is_object_type:boolean,is_non_pure_text:boolean,type:string>>")
+def meta_items(html: str | None) -> list[dict]:
+    return [{**i, "offsets": [{"rows": r, "cols": c} for r, c in i["offsets"]]} for i in meta.meta_items(html)]
 
 
 @arrow("struct<distance:long,na:long,nb:long,similarity:double>")

@@ -13,6 +13,7 @@ from ..operators import incremental as K
 from ..operators import jobs as J
 from ..operators import ordered as O
 from ..operators import selection as P
+from ..operators.clustered import dealt
 from .registry import query
 
 
@@ -40,7 +41,7 @@ def source_inventory(t):
     row = lambda a, b, c: F.concat(F.lit("<table><tr><td>L</td><td>"), a, F.lit("</td><td>"), b, F.lit('</td><td><input type="checkbox"'), c, F.lit("></td></tr></table>"))
     blank = row(names, F.lit("[D]"), F.lit(' name="[E]"'))
     filled = row(F.lit("alpha beta"), F.when(F.col("o_custkey") % 3 == 0, "").otherwise("gamma"), F.lit(" checked"))
-    src = t("orders").select(F.lit("en").alias("lang"), F.col("o_orderkey").alias("sample_id"), filled.alias("html_filled"), blank.alias("placeholder_html"))
+    src = dealt(t("orders"), "o_orderkey").select(F.lit("en").alias("lang"), F.col("o_orderkey").alias("sample_id"), filled.alias("html_filled"), blank.alias("placeholder_html"))
     return U.source_inventory(src).select("sample_id", "visible_placeholder_occurrences", "legacy_targets", "legacy_slot_collision_occurrences", "legacy_empty_gold_slots", "hardened_evaluable_cells", "hardened_text_cells", "hardened_multi_value_cells", "hardened_control_cells")
 
 

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import html as H
 from ..operators import score as S
+from ..operators.clustered import dealt
 from .registry import query
 
 
@@ -21,7 +22,7 @@ def _forms(t):
     """A form for each customer: two fields, gold values, and a prediction that
     errs by key."""
     key = F.col("c_custkey")
-    c = t("customer").select("c_custkey", "c_name", "c_mktsegment")
+    c = dealt(t("customer"), "c_custkey").select("c_custkey", "c_name", "c_mktsegment")
     blank = _row(H.td(F.lit("Name")), H.td(F.lit("[Name]")), H.td(F.lit("[Segment]")))
     gold = _row(H.td(F.lit("Name")), H.td(F.col("c_name")), H.td(F.col("c_mktsegment")))
     name = F.when(key % 5 == 0, "").when(key % 7 == 0, F.concat("c_name", F.lit(" and more"))).otherwise(F.col("c_name"))
@@ -76,7 +77,7 @@ UNION ALL SELECT o_orderkey, 0, 0, o_orderpriority, 0 FROM orders UNION ALL SELE
 UNION ALL SELECT o_orderkey, 0, 1, 'Total', 0 FROM orders""")
 def placeholder_extract(t):
     cell = F.concat(F.lit("is ["), "o_orderstatus", F.lit("] of ["), "o_orderpriority", F.lit("], ["), "o_orderstatus", F.lit("]"))
-    docs = t("orders").select("o_orderkey", _row(H.td(cell), H.td(F.lit("[Total]"))).alias("html"))
+    docs = dealt(t("orders"), "o_orderkey").select("o_orderkey", _row(H.td(cell), H.td(F.lit("[Total]"))).alias("html"))
     grid = H.cells(docs)
     return H.placeholder_rows(grid, ["o_orderkey"], X.label_text).select("o_orderkey", "row", "col", "name", "idx")
 
@@ -89,7 +90,7 @@ def slot_inventory(t):
     k = F.col("o_orderkey") % 3
     name = lambda i: F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("[N"), F.substring(F.lit("abc"), i + 1, F.lit(1)), F.lit("]"))).otherwise(F.lit("[N]"))
     cell = F.array_join(F.transform(F.sequence(F.lit(0), k.cast("int")), name), " ")
-    docs = t("orders").select("o_orderkey", _row(H.td(cell), H.td(F.lit("[Total]"))).alias("html"))
+    docs = dealt(t("orders"), "o_orderkey").select("o_orderkey", _row(H.td(cell), H.td(F.lit("[Total]"))).alias("html"))
     return A.slot_inventory(H.placeholder_rows(H.cells(docs), ["o_orderkey"], X.label_text), ["o_orderkey"])
 
 
@@ -109,7 +110,7 @@ def alignment_roundtrip(t):
     fields = F.array(F.lit('<td><input name="Name"></td>'), second)
     title = F.array(F.lit('<td colspan="2">Form</td>'))
     pred = F.when(F.col("s_suppkey") % 3 == 0, H.as_table(F.array(title, head, fields))).otherwise(H.as_table(F.array(head, fields)))
-    docs = t("supplier").select("s_suppkey", pred.alias("pred"), H.as_table(F.array(head, marks)).alias("gold"), _meta(F.col("s_suppkey")).alias("meta"))
+    docs = dealt(t("supplier"), "s_suppkey").select("s_suppkey", pred.alias("pred"), H.as_table(F.array(head, marks)).alias("gold"), _meta(F.col("s_suppkey")).alias("meta"))
     return docs.select("s_suppkey", S.alignment_result("pred", "gold", "meta").alias("a")).select("s_suppkey", "a.strategy", "a.correct", "a.total")
 
 
@@ -121,7 +122,7 @@ def meta_roundtrip(t):
     """Field types of a form: one simple field, a repeated one, one to tick."""
     cell = lambda s: F.lit(f"<td>{s}</td>")
     table = H.as_table(F.array(F.array(cell("Name"), cell("[Name]")), F.array(cell("Item"), cell("Qty")), F.array(cell("[Item1]"), H.td(F.col("c_custkey"))), F.array(cell("[Item2]"), cell("")), F.array(cell("Agree"), cell('<input type="checkbox">[Agree]'))))
-    items = t("customer").select("c_custkey", F.explode(S.meta_items(table)).alias("m"))
+    items = dealt(t("customer"), "c_custkey").select("c_custkey", F.explode(S.meta_items(table)).alias("m"))
     return items.select("c_custkey", "m.key", "m.type", "m.row", "m.col", F.size("m.offsets").alias("n"))
 
 
@@ -132,7 +133,7 @@ def _json_pair(t):
     other = F.to_json(F.struct(F.lit("?").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").cast("string").alias("customer")))
     fewer = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")))
     pred = F.when(k % 5 == 0, other).when(k % 5 == 1, fewer).when(k % 5 == 2, F.lit("{broken")).when(k % 5 == 3, F.concat(F.lit("Here it is:\n```json\n"), gold, F.lit("\n```"))).otherwise(gold)
-    return t("orders").select("o_orderkey", pred.alias("pred"), gold.alias("gold"))
+    return dealt(t("orders"), "o_orderkey").select("o_orderkey", pred.alias("pred"), gold.alias("gold"))
 
 
 @query("""
@@ -176,7 +177,7 @@ def json_status_ladder(t):
     k = F.col("event_id") % 8
     cut = F.concat(F.lit('So: {"type": "'), "event_type", F.lit('", "tags": ["a", "b'))
     doc = F.when(k == 0, F.lit("  ")).when(k == 1, F.lit("42")).when(k == 2, F.concat("props", F.lit("")).substr(1, 4)).when(k == 3, F.lit("null")).when(k == 4, F.concat(F.lit("Answer: "), "props", F.lit(" done"))).when(k == 6, cut).otherwise(F.col("props"))
-    read = t("events").select("event_id", S.lenient_json(doc).alias("j"))
+    read = dealt(t("events"), "event_id").select("event_id", S.lenient_json(doc).alias("j"))
     return read.select("event_id", "j.status", F.when(F.col("j.status") == "repaired", F.col("j.json")).alias("repaired"))
 
 
@@ -198,7 +199,7 @@ def json_conformity(t):
     good = F.to_json(F.struct(F.col("s_name").alias("name"), F.struct(F.array("s_name", "s_name").alias("value")).alias("tags")))
     fewer = F.to_json(F.struct(F.col("s_name").alias("name")))
     other = F.to_json(F.struct(F.col("s_name").alias("name"), F.array(F.lit(1)).alias("tags")))
-    return t("supplier").select("s_suppkey", S.conforms(template, F.when(k % 3 == 0, fewer).when(k % 7 == 0, other).otherwise(good))["ok"].alias("ok"))
+    return dealt(t("supplier"), "s_suppkey").select("s_suppkey", S.conforms(template, F.when(k % 3 == 0, fewer).when(k % 7 == 0, other).otherwise(good))["ok"].alias("ok"))
 
 
 @query("""
@@ -210,7 +211,7 @@ def dom_signature_stable(t):
     filled = F.concat(F.lit('<table><tr><td>'), "s_name", F.lit('</td><td><input type="text" name="a" value="'), "s_name", F.lit('"></td><td><input type="checkbox" checked>'), F.when(k % 4 == 0, "<b></b>").otherwise(""), F.lit("</td></tr></table>"))
     tables = lambda row: F.concat(F.lit("<table><tr><td>a</td><td>"), "s_name", F.lit("</td></tr>"), row, F.lit("</table>"))
     same_table = H.table_signature(tables(F.lit(""))) == H.table_signature(tables(F.when(k % 5 == 0, "<tr><td>x</td></tr>").otherwise("")))
-    return t("supplier").select("s_suppkey", (H.structure_signature(blank) == H.structure_signature(filled)).alias("same"), same_table.alias("same_table"))
+    return dealt(t("supplier"), "s_suppkey").select("s_suppkey", (H.structure_signature(blank) == H.structure_signature(filled)).alias("same"), same_table.alias("same_table"))
 
 
 @query("""
@@ -219,7 +220,7 @@ def dom_table_profile(t):
     """Tables inside cells of tables, none to three deep."""
     k = (F.col("s_suppkey") % 4).cast("int")
     html = F.concat(F.repeat(F.lit("<table><tr><td>"), k), F.lit("<table><tr><td>"), "s_name", F.lit("</td></tr></table>"), F.repeat(F.lit("</td></tr></table>"), k))
-    found = t("supplier").select("s_suppkey", H.table_profile(html).alias("p"))
+    found = dealt(t("supplier"), "s_suppkey").select("s_suppkey", H.table_profile(html).alias("p"))
     return found.select("s_suppkey", F.size("p").alias("tables"), F.array_max(F.transform("p", lambda x: x["depth"])).alias("depth"), F.exists("p", lambda x: x["nested"] > 0).alias("nested"))
 
 

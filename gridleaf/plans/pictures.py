@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import png
 from ..functions.text import arrow
 from ..operators import images
+from ..operators.clustered import dealt
 from .registry import query
 
 
@@ -39,7 +40,7 @@ def drawn(width: pd.Series, height: pd.Series, dark: pd.Series, kind: pd.Series)
 def _images(t):
     k = F.col("doc_id")
     width, height = F.lit(15) + k % 17, F.lit(16) + k % 11
-    rows = t("documents").select(k, "lang", width.alias("w"), height.alias("h"), F.when(k % 13 == 0, 0).otherwise(F.col("n_chars") % (width * height + 1)).alias("n"), (k % 7).alias("form"))
+    rows = dealt(t("documents"), "doc_id").select(k, "lang", width.alias("w"), height.alias("h"), F.when(k % 13 == 0, 0).otherwise(F.col("n_chars") % (width * height + 1)).alias("n"), (k % 7).alias("form"))
     audited = F.when(k % 5 == 0, None).otherwise(k % 3 != 0)
     return rows.select("doc_id", "lang", drawn("w", "h", "n", "form").alias("content"), audited.alias("audited"))
 

@@ -11,6 +11,7 @@ from ..operators import incremental as K
 from ..operators import jobs as J
 from ..operators import tuning as T
 from ..operators import validate as V
+from ..operators.clustered import dealt
 from ..operators.shards import sharded
 from .registry import query
 
@@ -93,7 +94,7 @@ def control_values(t):
         F.lit('<td><input value="'), "c_mktsegment", F.lit('"><input type="Checkbox"'), F.when(k % 2 == 0, " checked").otherwise(""),
         F.lit('><select><option value="A">x</option><option'), F.when(k % 3 == 0, " selected").otherwise(""), F.lit(">B</option></select><textarea>n"), F.col("c_nationkey").cast("string"), F.lit("</textarea></td>"),
     )
-    docs = t("customer").select("c_custkey", H.as_table(F.array(F.array(F.lit("<td>L</td>"), cell))).alias("html"))
+    docs = dealt(t("customer"), "c_custkey").select("c_custkey", H.as_table(F.array(F.array(F.lit("<td>L</td>"), cell))).alias("html"))
     grid = H.cells(docs)
     return grid.select("c_custkey", "col", F.explode("controls").alias("x")).select("c_custkey", "col", "x.idx", "x.kind", "x.value")
 

@@ -9,6 +9,7 @@ from ..operators import coverage as G
 from ..operators import html as H
 from ..operators import score as S
 from ..operators import validate as V
+from ..operators.clustered import dealt
 from .registry import query
 
 
@@ -84,7 +85,7 @@ def div_form_cells(t):
     """Forms of divisions instead of tables: rows and columns by class."""
     row = lambda i: F.concat(F.lit('<div class="row"><div class="col-half">L'), i.cast("string"), F.lit('</div><div class="x col">'), F.col("c_name"), i.cast("string"), F.lit("</div><div>no</div></div>"))
     html = F.concat(F.lit('<div class="a form-container">'), F.array_join(F.transform(F.sequence(F.lit(0), (F.col("c_custkey") % 3).cast("int")), row), ""), F.lit("</div>"))
-    return H.cells(t("customer").select("c_custkey", html.alias("html"))).select("c_custkey", "row", "col", "text")
+    return H.cells(dealt(t("customer"), "c_custkey").select("c_custkey", html.alias("html"))).select("c_custkey", "row", "col", "text")
 
 
 @query("""
@@ -110,7 +111,7 @@ def strategy_choice(t):
     flat = lambda mark: F.lit(f"<table><tr><td>A</td><td>{mark}</td></tr></table>")
     gold = F.when(k % 3 == 0, deep("[A]")).otherwise(flat("[A]"))
     pred = F.when(k % 3 == 0, deep('<input name="A">')).when(k % 3 == 1, flat('<input name="A">')).otherwise(flat('<input name="B">'))
-    docs = t("supplier").select("s_suppkey", pred.alias("pred"), gold.alias("gold"), F.when(k % 3 == 0, meta(1)).otherwise(meta(0)).alias("meta"))
+    docs = dealt(t("supplier"), "s_suppkey").select("s_suppkey", pred.alias("pred"), gold.alias("gold"), F.when(k % 3 == 0, meta(1)).otherwise(meta(0)).alias("meta"))
     return docs.select("s_suppkey", S.alignment_result("pred", "gold", "meta").alias("a")).select("s_suppkey", "a.strategy", "a.correct", "a.total")
 
 
@@ -119,7 +120,7 @@ SELECT c_custkey, CAST(0 AS INTEGER) AS row, CAST(0 AS INTEGER) AS col, c_name |
 def pattern_cells(t):
     """Cells by pattern alone."""
     html = F.concat(F.lit("<tr class='a'><td>"), "c_name", F.lit(" &amp;  co</td><TH><b>"), "c_mktsegment", F.lit("</b></TH></tr>"), F.when(F.col("c_custkey") % 2 == 0, "<tr><td>x</td></tr>").otherwise(""))
-    return t("customer").select("c_custkey", F.explode(H.scanned_cells(html)).alias("x")).select("c_custkey", "x.row", "x.col", "x.text")
+    return dealt(t("customer"), "c_custkey").select("c_custkey", F.explode(H.scanned_cells(html)).alias("x")).select("c_custkey", "x.row", "x.col", "x.text")
 
 
 @query("""
@@ -129,7 +130,7 @@ def column_repair(t):
     k = F.col("s_suppkey") % 3
     last = F.when(k == 0, "<td>c</td><td>d</td>").when(k == 1, '<td>c</td><td colspan="2">d</td>').otherwise("<td>c</td>")
     html = F.concat(F.lit("<table><tr><td>a</td><td>"), "s_name", F.lit("</td></tr><tr><td>e</td><td>f</td></tr><tr>"), last, F.lit("</tr></table>"))
-    fixed = t("supplier").select("s_suppkey", H.repaired_columns(html).alias("r"))
+    fixed = dealt(t("supplier"), "s_suppkey").select("s_suppkey", H.repaired_columns(html).alias("r"))
     cells = H.cells(fixed.select("s_suppkey", "r.target", "r.repaired", F.col("r.html").alias("html")))
     return cells.groupBy("s_suppkey", "target", "repaired").agg(F.max_by("colspan", F.struct("row", "col")).alias("last_span"))
 

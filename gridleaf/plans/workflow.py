@@ -15,6 +15,7 @@ from ..operators import html as H
 from ..operators import selection as P
 from ..operators import tuning as T
 from ..operators import workflow as W
+from ..operators.clustered import dealt
 from .registry import query
 
 def _k():
@@ -37,7 +38,7 @@ def _sources(t):
     item = lambda x: F.struct(F.concat(F.lit("Field"), x.cast("string")).alias("key"), F.struct((x + 1).alias("row"), F.lit(0).alias("col")).alias("label_info"), F.struct(F.lit(0).alias("rows"), F.lit(1).alias("cols")).alias("placeholder_offset"), F.when(x == 1, "LI").otherwise("SI").alias("type"))
     meta = F.to_json(F.transform(some, item))
     gold = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))
-    return t("customer").select(
+    return dealt(t("customer"), "c_custkey").select(
         F.when(_k() % 2 == 0, "en").otherwise("zh").alias("lang"), _k().alias("sample_id"), cells(lambda x: F.lit("")).alias("html_empty"), filled.alias("html_filled"),
         F.when(_k() % 10 != 0, gold).alias("json_empty"), gold.alias("json_filled"), F.when(_k() % 9 == 0, F.lit("{")).otherwise(meta).alias("meta"),
         F.when(_k() % 7 != 0, marked).alias("placeholder_html"), F.when(_k() % 5 != 0, F.col("c_name")).alias("context"),
@@ -157,7 +158,7 @@ def _answers(src):
     other = F.parse_json(F.to_json(F.struct(*(F.lit(99).alias(c) if c == "target_count" else F.col(c) for c in E.EVIDENCE)), {"ignoreNullFields": "false"}))
     wrong = s % 3 == 0
     schema = F.when(wrong, F.replace("json_filled", F.concat(F.lit('"segment":"'), F.get_json_object("json_filled", "$.segment")), F.lit('"segment":"OTHER'))).otherwise(F.col("json_filled"))
-    inputs = H.inputs_for_markers(F.col("placeholder_html"))
+    inputs = H.inputs_for_markers(F.when(F.col("task") == "alignment", F.col("placeholder_html")))
     alignment = F.when(wrong, F.regexp_replace(inputs, '<input[^>]*name="Field0"[^>]*>', "")).otherwise(inputs)
     infill = F.when(wrong, F.replace("html_filled", F.lit("v0 "), F.lit("w0 "))).otherwise(F.col("html_filled"))
     answer = F.when(F.col("task") == "schema", schema).when(F.col("task") == "alignment", alignment).otherwise(infill)
