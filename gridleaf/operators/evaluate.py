@@ -83,29 +83,32 @@ def states(jobs: DataFrame, predictions: DataFrame, sources: DataFrame, metric:
     prediction without a request must have been made from, and any other as well."""
     seen = predictions.select(*KEYS, "document", F.lit(True).alias("has_file"))
     rows = jobs.join(seen, list(KEYS), "left").join(sources, ["lang", "sample_id"], "left")
-    parsed = F.try_parse_json("document")
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
+    # Each document is parsed once, as a column that the conditions below share.
+    rows = rows.withColumn("__parsed", F.try_parse_json("document"))
+    parsed = F.col("__parsed")
+    rows = rows.withColumn("__is_object", F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False)))
+    is_object = F.col("__is_object")
     if "messages" in jobs.columns:
-        rows = rows.withColumn("__job", F.parse_json(request()))
-        said = F.when(is_object, F.try_variant_get(parsed, "$.request", "variant"))
+        rows = rows.withColumns({"__job": F.parse_json(request()), "__said": F.when(is_object, F.try_variant_get(parsed, "$.request", "variant"))})
+        said = F.col("__said")
         same = repeats(said, F.col("__job"))
         if evidence is not None:
-            rows = rows.join(evidence.select(*KEYS, request().alias("__prepared")), list(KEYS), "left")
-            own = repeats(F.parse_json("__prepared"), F.col("__job"))
+            rows = rows.join(evidence.select(*KEYS, F.parse_json(request()).alias("__prepared")), list(KEYS), "left")
+            own = repeats(F.col("__prepared"), F.col("__job"))
             same = F.when(F.col("__prepared").isNull(), same).otherwise(own & (said.isNull() | same))
     else:
         same = F.coalesce(_field("evidence") == F.col("evidence"), F.lit(False)) & is_object
-    identity = V.identity_ok(F.col("document"), F.col("model"), F.col("sample_id"), F.col("lang"), F.col("task"), F.col("condition"))
+    identity = V.identity_ok(F.col("document"), F.col("model"), F.col("sample_id"), F.col("lang"), F.col("task"), F.col("condition"), parsed)
     is_text = F.schema_of_variant(F.try_variant_get(parsed, "$.raw_response", "variant")) == "STRING"
-    response = F.coalesce(X.without_thinking(F.when(is_object & is_text, _field("raw_response"))), F.lit(""))
+    rows = rows.withColumns({"response": F.coalesce(X.without_thinking(F.when(is_object & is_text, _field("raw_response"))), F.lit("")), "__declared": _field("status")})
     need = {"schema": F.when(F.col("condition") == "filled", F.col("json_filled")).otherwise(F.col("json_empty")).isNotNull(), "alignment": F.col("meta").isNotNull() & F.col("placeholder_html").isNotNull(), "infill": F.col("html_filled").isNotNull() & F.col("placeholder_html").isNotNull()}
     have = F.lit(False)
     for task, c in need.items():
         have = have | ((F.col("task") == task) & c)
     wanted = F.coalesce("schema_metric", F.lit(metric)) if "schema_metric" in jobs.columns else F.lit(metric)
     error = F.nullif(_field("error"), F.lit(""))
-    state = V.job_state(F.col("status"), F.coalesce("has_file", F.lit(False)), F.col("document").isNotNull(), same, identity, _field("status"), error, have, ~wanted.isin(*S.SCHEMA_METRICS) & (F.col("task") == "schema"), F.trim(response) == "")
-    return rows.withColumn("response", response).withColumn("state", state)
+    state = V.job_state(F.col("status"), F.coalesce("has_file", F.lit(False)), F.col("document").isNotNull(), same, identity, F.col("__declared"), error, have, ~wanted.isin(*S.SCHEMA_METRICS) & (F.col("task") == "schema"), F.trim("response") == "")
+    return rows.withColumn("state", state).drop("__parsed", "__is_object", "__job", "__said", "__prepared", "__declared")
 
 
 def evaluated(jobs: DataFrame, predictions: DataFrame, sources: DataFrame, matcher: str = "source_faithful_v3", metric: str = "py_tree", evidence: DataFrame | None = None) -> DataFrame:

@@ -61,9 +61,10 @@ def score_ok(score: Column) -> Column:
     return score.isNotNull() & ~F.isnan(score) & score.between(0.0, 1.0)
 
 
-def identity_ok(document: Column, model: Column, sample_id: Column, lang: Column, task: Column, condition: Column) -> Column:
-    """Whether what a prediction says of its job is right; an id must be a number of the document, not a truth value or text."""
-    raw = F.try_parse_json(document)
+def identity_ok(document: Column, model: Column, sample_id: Column, lang: Column, task: Column, condition: Column, raw: Column | None = None) -> Column:
+    """Whether what a prediction says of its job is right; an id must be a number of the document, not a truth value or text.
+    raw is the document as a variant, where the caller has it."""
+    raw = F.try_parse_json(document) if raw is None else raw
     part = lambda path: F.try_variant_get(raw, f"$.{path}", "variant")
     kind = F.schema_of_variant(part("sample_id"))
     said = lambda path, c: part(path).isNull() | F.get_json_object(document, f"$.{path}").eqNullSafe(c)
