@@ -192,12 +192,15 @@ def _once(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 #: Kinds of rows: templates of lines, and anchors. A template's key is odd if its lines are long ones.
 TEMPLATE, ANCHOR = 0, 1
+#: Bytes of texts at a time: arrays of 64 bits for each byte stay in a core's cache.
+SLICE = 512 << 10
 
 
 def _keyed(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, kind, key, mark (the hash of the line or of the anchor's stretch)
-    and fresh (1 at the document's first such key), of each line's templates and
-    of each text's anchors; neighbouring equal marks of a document's key once."""
+    """doc_id, kind (twice the kind, and one more at the document's first such
+    key), key and mark (the hash of the line or of the anchor's stretch), of each
+    line's templates and of each text's anchors; neighbouring equal marks of a
+    document's key once."""
 
     def make():
         def work(x):
@@ -222,11 +225,11 @@ def _keyed(docs: DataFrame, least: int) -> DataFrame:
             fresh[1:] = pair[1:] != pair[:-1]
             keep = fresh.copy()
             keep[1:] |= np.diff(mark) != 0
-            return {"doc_id": pa.array(x["doc_id"], pa.int64()).take(pa.array(doc[keep])), "kind": kind[keep], "key": key[keep], "mark": mark[keep], "fresh": fresh[keep].astype(np.int64)}
+            return {"doc_id": pa.array(x["doc_id"], pa.int64()).take(pa.array(doc[keep])), "kind": (2 * kind + fresh)[keep].astype(np.int32), "key": key[keep], "mark": mark[keep]}
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, kind int, key long, mark long, fresh long", make)
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, kind int, key long, mark long", make, SLICE)
 
 
 def _around(docs: DataFrame) -> DataFrame:
@@ -244,7 +247,7 @@ def _around(docs: DataFrame) -> DataFrame:
 
         return work
 
-    return map_batches(docs, "doc_id long, key long", make)
+    return map_batches(docs, "doc_id long, key long", make, SLICE)
 
 
 def _pairs(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -262,8 +265,8 @@ def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: i
     with scratch(spark):
         docs = docs.where("doc_id IS NOT NULL")
         keyed = written(_keyed(docs, least), "lines-keyed")
-        lines, anchors = keyed.where(F.col("kind") < ANCHOR), keyed.where(F.col("kind") == ANCHOR)
-        counts = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.sum("fresh").alias("docs"))
+        lines, anchors = keyed.where(F.col("kind") < 2 * ANCHOR), keyed.where(F.col("kind") >= 2 * ANCHOR)
+        counts = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.sum(F.col("kind") - 2 * TEMPLATE).alias("docs"))
         enough = F.col("docs") >= F.when(F.col("key").bitwiseAND(1) == 1, long_docs).otherwise(short_docs)
         often = written(counts.where(enough).where("docs > 1").select("key", "first"), "lines-often")
         if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
@@ -281,7 +284,7 @@ def recurring(docs: DataFrame, least: int = 5, short_docs: int = 3, long_docs: i
     collected(spark)
     with scratch(spark):
         near = marks.where(F.size("anchors") > 0).select("doc_id", "anchors")
-        listed = written(_around(docs.select("doc_id", "text").join(near, "doc_id")), "lines-passages")
+        listed = written(_around(docs.select("doc_id", "text").join(near.hint("shuffle_hash"), "doc_id")), "lines-passages")
         collected(spark)
         twice = written(listed.groupBy("key").agg(*ends).where("first < last").select("key", "first"), "lines-twice")
         collected(spark)
@@ -354,7 +357,7 @@ def _uncovered(text: pa.Array, gone: pa.Array, settled: pa.Array, covered: pa.Ar
     kind = pa.struct([("text", pa.string()), ("dropped", pa.int32())])
     out: list = [None] * len(text)
     some = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text, gone, settled, covered], ["at", "text", "gone", "settled", "covered"]).filter(text.is_valid())
-    for since, n in slices(some):
+    for since, n in slices(some, size=SLICE):
         part = some.slice(since, n)
         rows = part.to_pylist()
         whole = [r for r in rows if not r["settled"] and not r["covered"]]
@@ -377,14 +380,19 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     ident, lost, rest, over, cut, new = unused(docs, "__id", "__gone", "__settled", "__covered", "__cut", "__new")
     text, gone, settled, covered = F.col("text"), F.col(lost), F.col(rest), F.col(over)
     marks = recurring(docs, **options).withColumnsRenamed({"doc_id": ident, "gone": lost, "settled": rest, "covered": over})
-    out = docs.join(marks, F.col("doc_id") == F.col(ident), "left")
+    out = docs.join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col(ident), "left")
     some = covered.isNotNull() | (F.size(gone) > 0) | (F.size(settled) > 0)
     # Not deterministic only to the planner: a filter on the text would else be pushed below and cut it a second time.
     once = F.arrow_udf(_uncovered, "struct<text: string, dropped: int>").asNondeterministic()
     out = out.withColumn(cut, once(F.when(some, text), gone, settled, covered))
     out = out.withColumn(new, F.coalesce(F.col(cut)["text"], text))
-    n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
+    n = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     dropped = F.coalesce(F.col(cut)["dropped"], F.lit(0)).cast("long")
-    counts = dict(zip(COUNTS, (n, dropped, length(text), length(F.col(new))), strict=True))
+    # Texts that are left as they are have the same length again.
+    (size,) = unused(out, "__size")
+    out = out.withColumn(size, length(text))
+    before = F.col(size)
+    after = F.when(F.col(cut)["text"].isNull(), before).otherwise(length(F.col(cut)["text"]))
+    counts = dict(zip(COUNTS, (n, dropped, before, after), strict=True))
     aside = {c: unused(docs, f"{c}_")[0] for c in docs.columns if c in counts}
     return out.select(*(F.col(new).alias("text") if c == "text" else F.col(c).alias(aside.get(c, c)) for c in docs.columns), *(v.alias(c) for c, v in counts.items()))
