@@ -4,28 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import png
-from ..functions.text import arrow
 
 #: Grey values from here on count as white, and sides below this as implausible.
 WHITE, LEAST = 250, 16
 
 
-@arrow("struct<width:int,height:int,histogram:array<bigint>,error:string>")
-def grey_values(content: pd.Series) -> pd.DataFrame:
-    """Size and counts of the grey values of each PNG; what cannot be read is an error of its row."""
-    rows = []
-    for data in content:
+def _grey(content: pa.Array) -> pa.Array:
+    """One image is held at a time; counts stay arrays and become no Python numbers."""
+    sizes, errors = np.zeros((2, len(content)), np.int32), [None] * len(content)
+    counts = np.zeros((len(content), 256), np.int64)
+    for i, data in enumerate(content):
         try:
-            width, height, counts = png.histogram(data or b"")
-            rows.append((width, height, counts.tolist(), None))
+            sizes[0, i], sizes[1, i], counts[i] = png.histogram(data.as_py() or b"")
         except ValueError as e:
-            rows.append((0, 0, None, f"invalid PNG: {e}"))
-    return pd.DataFrame(rows, columns=["width", "height", "histogram", "error"])
+            errors[i] = f"invalid PNG: {e}"
+    error = pa.array(errors, pa.string())
+    places = pa.array(np.arange(len(content) + 1, dtype=np.int32) * 256)
+    lists = pa.ListArray.from_arrays(places, pa.array(counts.reshape(-1)), mask=error.is_valid())
+    return pa.StructArray.from_arrays([pa.array(sizes[0]), pa.array(sizes[1]), lists, error], ["width", "height", "histogram", "error"])
+
+
+def grey_values(content: Column) -> Column:
+    """Size and counts of the grey values of each PNG; what cannot be read is an error of its row."""
+    return F.arrow_udf(_grey, "struct<width:int,height:int,histogram:array<bigint>,error:string>")(content)
 
 
 def nonwhite(histogram: Column) -> Column:
