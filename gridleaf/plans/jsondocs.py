@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import jsonpairs
+from ..operators.clustered import dealt
 from .registry import query
 
 #: Distances beyond this are not told.
@@ -30,7 +31,7 @@ def _pairs(t):
     edit, pred = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, (name, x) in enumerate(made.items()):
         edit, pred = F.when(kind == i, name).otherwise(edit), F.when(kind == i, F.to_json(x)).otherwise(pred)
-    return t("documents").select("doc_id", edit.alias("edit"), F.to_json(obj(form=inner, **top)).alias("gold"), pred.alias("pred"))
+    return dealt(t("documents"), "doc_id").select("doc_id", edit.alias("edit"), F.to_json(obj(form=inner, **top)).alias("gold"), pred.alias("pred"))
 
 
 @query("""
